@@ -61,3 +61,187 @@ def with_ratings(summary: DataFrame) -> DataFrame:
     return summary.withColumn("performance_rating", rules.performance_rating("average_hz", has)).withColumn(
         "stability_rating", rules.stability_rating("average_ms", has)
     ).withColumn("recommendations", rules.recommendations("average_hz", "average_ms", "average_mbps"))
+
+
+# ---------------------------------------------------------------------------------------
+# Series statistics (A5, A8, A12), cumulative checkpoints (W15, A6), slot statistics
+# ---------------------------------------------------------------------------------------
+SERIES_KEYS = ("run_id", "series")
+
+
+def valid(v: Column) -> Column:
+    """NULL for NaN, so aggregates skip it."""
+    return F.nanvl(v, F.lit(None).cast("double"))
+
+
+def nan_safe_stats(series: DataFrame, keys: Sequence[str] = SERIES_KEYS, value_col: str = "value") -> DataFrame:
+    """A5: avg/min/max/pop-std ignoring NaN; all zeros when nothing valid is left."""
+    v = valid(F.col(value_col))
+    return series.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("samples"),
+        F.count(v).alias("valid"),
+        F.coalesce(F.avg(v), F.lit(0.0)).alias("avg"),
+        F.coalesce(F.min(v), F.lit(0.0)).alias("min"),
+        F.coalesce(F.max(v), F.lit(0.0)).alias("max"),
+        F.coalesce(F.stddev_pop(v), F.lit(0.0)).alias("std"),
+    )
+
+
+def series_stats(series: DataFrame, keys: Sequence[str] = SERIES_KEYS, value_col: str = "value") -> DataFrame:
+    """avg/std/min/max on the full data with NaN propagating (any NaN → NaN)."""
+    v = F.col(value_col)
+    has_nan = F.max(F.isnan(v).cast("int")) > 0
+    nan = F.lit(float("nan"))
+    return series.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("samples"),
+        F.when(has_nan, nan).otherwise(F.avg(v)).alias("avg"),
+        F.when(has_nan, nan).otherwise(F.stddev_pop(v)).alias("std"),
+        F.when(has_nan, nan).otherwise(F.min(v)).alias("min"),
+        F.when(has_nan, nan).otherwise(F.max(v)).alias("max"),
+    )
+
+
+def std_band(stats_df: DataFrame) -> DataFrame:
+    """P20: mean ± 1 std, only when std > 0."""
+    pos = F.col("std") > 0
+    return stats_df.withColumn("band_low", F.when(pos, F.col("avg") - F.col("std"))).withColumn(
+        "band_high", F.when(pos, F.col("avg") + F.col("std"))
+    )
+
+
+def histogram(series: DataFrame, bins: int = 10, keys: Sequence[str] = SERIES_KEYS, value_col: str = "value") -> DataFrame:
+    """Equal-width histogram of the valid values per series, bins 1..n over [min, max]
+    (the maximum falls in the last bin). Bounds come from a grouped aggregate."""
+    v = valid(F.col(value_col))
+    clean = series.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull())
+    bounds = clean.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    j = clean.join(bounds, list(keys))
+    width = F.col("_hi") - F.col("_lo")
+    b = F.when(width == 0, F.lit(1).cast("long")).otherwise(
+        F.least(F.lit(bins).cast("long"), F.floor((F.col("_v") - F.col("_lo")) * F.lit(float(bins)) / width).cast("long") + 1)
+    )
+    return j.groupBy(*keys, b.alias("bin")).agg(
+        F.count(F.lit(1)).alias("count"), F.first("_lo").alias("lo"), F.first("_hi").alias("hi")
+    )
+
+
+def cumulative_checkpoints(
+    series: DataFrame,
+    runs: DataFrame,
+    interval_s: float,
+    keys: Sequence[str] = SERIES_KEYS,
+    run_keys: Sequence[str] = ("run_id", "series"),
+    value_col: str = "value",
+) -> DataFrame:
+    """At every checkpoint k·interval (and once at the run end when the duration is not a
+    multiple) statistics over all samples with elapsed <= the checkpoint, NaN skipped.
+
+    Partials (n, Σ, Σ², min, max) per interval bucket first; the cumulative step is a running
+    window over the bucket table, which has one row per interval per series. ``runs`` gives
+    ``duration_s`` per (run, series)."""
+    iv = int(round(interval_s * 1e6))
+    v = valid(F.col(value_col))
+    b = F.expr(f"CAST(ceil(elapsed_us / {iv}D) AS BIGINT)")
+    parts = series.groupBy(*keys, b.alias("bucket")).agg(
+        F.count(F.lit(1)).alias("_cnt"),
+        F.count(v).alias("_n"),
+        F.sum(v).alias("_s"),
+        F.sum(v * v).alias("_s2"),
+        F.min(v).alias("_mn"),
+        F.max(v).alias("_mx"),
+        F.max("elapsed_us").alias("_last_us"),
+    )
+    dur = runs.select(*run_keys, (F.col("duration_s") * F.lit(1e6)).cast("long").alias("_dur_us"))
+    n_full = F.expr(f"_dur_us div {iv}")
+    grid = dur.select(
+        *run_keys,
+        "_dur_us",
+        F.explode(
+            F.when(F.expr(f"_dur_us % {iv}") == 0, F.sequence(F.lit(1).cast("long"), F.greatest(n_full, F.lit(1).cast("long"))))
+            .otherwise(F.sequence(F.lit(1).cast("long"), n_full + 1))
+        ).alias("checkpoint"),
+    ).where(F.col("checkpoint") * iv <= F.col("_dur_us") + iv)
+    grid = grid.withColumn("end_us", F.least(F.col("checkpoint") * iv, F.col("_dur_us"))).withColumn(
+        "is_final", F.col("end_us") == F.col("_dur_us")
+    )
+    # cumulative partials at each checkpoint: union the grid into the bucket table and run
+    # one window over (series) ordered by (bucket, grid-after-data)
+    g = grid.select(*run_keys, F.col("checkpoint").alias("bucket"), "checkpoint", "end_us", "is_final")
+    p = parts.select(*keys, "bucket", F.lit(None).cast("long").alias("checkpoint"), F.lit(None).cast("long").alias("end_us"),
+                     F.lit(None).cast("boolean").alias("is_final"), "_cnt", "_n", "_s", "_s2", "_mn", "_mx", "_last_us")
+    for c, t in (("_cnt", "long"), ("_n", "long"), ("_s", "double"), ("_s2", "double"), ("_mn", "double"), ("_mx", "double"), ("_last_us", "long")):
+        g = g.withColumn(c, F.lit(None).cast(t))
+    u = p.unionByName(g)
+    w = Window.partitionBy(*keys).orderBy("bucket", F.col("checkpoint").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    r = u.select(
+        *keys,
+        "checkpoint",
+        "end_us",
+        "is_final",
+        F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("samples"),
+        F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("valid"),
+        F.sum("_s").over(w).alias("_cs"),
+        F.sum("_s2").over(w).alias("_cs2"),
+        F.min("_mn").over(w).alias("_cmn"),
+        F.max("_mx").over(w).alias("_cmx"),
+        F.max("_last_us").over(w).alias("last_elapsed_us"),
+    ).where(F.col("checkpoint").isNotNull())
+    n = F.col("valid").cast("double")
+    mean = F.col("_cs") / n
+    var = F.greatest(F.col("_cs2") / n - mean * mean, F.lit(0.0))
+    return r.select(
+        *keys,
+        "checkpoint",
+        "end_us",
+        "is_final",
+        "samples",
+        "valid",
+        F.when(F.col("valid") > 0, mean).otherwise(F.lit(0.0)).alias("avg"),
+        F.coalesce(F.col("_cmn"), F.lit(0.0)).alias("min"),
+        F.coalesce(F.col("_cmx"), F.lit(0.0)).alias("max"),
+        F.when(F.col("valid") > 0, F.sqrt(var)).otherwise(F.lit(0.0)).alias("std"),
+        F.coalesce(F.col("last_elapsed_us"), F.lit(0)).alias("last_elapsed_us"),
+    )
+
+
+def checkpoint_report(checkpoints: DataFrame, roles: dict[str, str], keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """One row per (run, checkpoint) with the stats of the role series (hz, jitter, …)
+    as structs, the long-run ratings (empty = 0 Hz → Poor, 0 ms → Excellent) and the
+    recommendations. ``roles`` maps role → series name."""
+    inverse = {v: k for k, v in roles.items()}
+    role = F.create_map(*[x for s, r in inverse.items() for x in (F.lit(s), F.lit(r))])[F.col("series")]
+    c = checkpoints.withColumn("role", role).where(F.col("role").isNotNull())
+    stat = F.struct("samples", "valid", "avg", "min", "max", "std")
+    wide = c.groupBy(*keys, "checkpoint", "end_us", "is_final").pivot("role", sorted(roles)).agg(F.first(stat))
+    hz = F.coalesce(F.col("hz.avg"), F.lit(0.0)) if "hz" in roles else F.lit(0.0)
+    jit = F.coalesce(F.col("jitter.avg"), F.lit(0.0)) if "jitter" in roles else F.lit(0.0)
+    out = wide.withColumn("duration_s", F.col("end_us").cast("double") / F.lit(1e6))
+    out = out.withColumn("label", F.format_string("Day%.1f", F.col("end_us").cast("double") / F.lit(86400e6)))
+    out = out.withColumn("performance_rating", rules.performance_rating(hz)).withColumn("stability_rating", rules.stability_rating(jit))
+    rec = rules.recommendations(
+        hz,
+        jit,
+        F.col("bandwidth.avg") if "bandwidth" in roles else None,
+        F.col("cpu.avg") if "cpu" in roles else None,
+        F.col("memory.avg") if "memory" in roles else None,
+    )
+    return out.withColumn("recommendations", rec)
+
+
+def process_slot_stats(slots: DataFrame, labels: DataFrame, keys: Sequence[str] = ("run_id", "slot")) -> DataFrame:
+    """Per slot NaN-skipping avg/min/max of memory and CPU, with the latest labels; a slot
+    with neither a name nor any valid value is dropped."""
+    mem, cpu = valid(F.col("memory_mb")), valid(F.col("cpu_percent"))
+    s = slots.groupBy(*keys).agg(
+        F.count(mem).alias("memory_samples"),
+        F.avg(mem).alias("memory_avg_mb"),
+        F.min(mem).alias("memory_min_mb"),
+        F.max(mem).alias("memory_max_mb"),
+        F.count(cpu).alias("cpu_samples"),
+        F.avg(cpu).alias("cpu_avg_percent"),
+        F.min(cpu).alias("cpu_min_percent"),
+        F.max(cpu).alias("cpu_max_percent"),
+    )
+    j = s.join(labels, list(keys), "left")
+    named = F.coalesce(F.col("name"), F.lit("")) != ""
+    return j.where(named | (F.col("memory_samples") > 0) | (F.col("cpu_samples") > 0))

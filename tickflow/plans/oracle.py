@@ -158,3 +158,87 @@ def with_ctes(*ctes: str, body: str) -> str:
 
 
 STREAM_CTES = (EV, MESSAGES, RUNS, GAUGES, TICKS)
+
+
+_ZONES = ["cpu", "gpu", "aux", "ao", "pmic", "tboard", "tdiode"]
+_ZONE_SQL = ",\n         ".join(
+    f"CASE WHEN (event_id + {i}) % 3 = 0 OR event_id % 15 = 0 THEN NULL ELSE CAST(40000 + 100 * k + {500 * i} AS BIGINT) END AS zone_{z}_millic"
+    for i, z in enumerate(_ZONES)
+)
+
+SYSTEM_SAMPLES = f"""system_samples AS (
+  SELECT 'run-1' AS run_id, 'h0' AS host, row_number() OVER (ORDER BY event_id) AS sample_seq,
+         {BASE_US} + row_number() OVER (ORDER BY event_id) * 1000000 AS sample_us,
+         least(value, 100e0) AS cpu_percent, CAST(k AS DOUBLE) AS memory_percent,
+         CAST(event_id % 5 AS INTEGER) AS cpu_count,
+         {_ZONE_SQL},
+         [{{'grp': 'coretemp', 'label': 'CPU 0', 'current': 40e0 + k / 10e0}},
+          {{'grp': 'coretemp', 'label': 'Core 1', 'current': 41e0}},
+          {{'grp': 'cpu_thermal', 'label': '', 'current': 39e0 + k / 10e0}}] AS sensors
+  FROM ev WHERE event_type = 'view')"""
+
+PROCESS_SAMPLES = f"""proc_groups AS (
+  SELECT 'h0' AS host, (us - {BASE_US}) // {4 * 3600 * 1000000} AS sample_seq, user_id, sum(cents) AS sc, count(*) AS n
+  FROM ev GROUP BY ALL
+  UNION ALL
+  SELECT 'h1' AS host, (us - {BASE_US}) // {3600 * 1000000} AS sample_seq, user_id, sum(cents) AS sc, count(*) AS n
+  FROM ev GROUP BY ALL),
+process_samples AS (
+  SELECT 'run-1' AS run_id, host, sample_seq, 100 + user_id AS pid, nm AS name,
+         CAST((sc // 1000) * 1048576 AS BIGINT) AS rss_bytes, 12.5e0 * n AS cpu_percent,
+         repeat(nm || ' --flag ', 40) AS cmdline, '/usr/bin/' || nm AS exe, '/home/' || CAST(user_id AS VARCHAR) AS cwd
+  FROM (SELECT *, CASE WHEN (100 + user_id) % 11 = 0 THEN '' ELSE 'p' || CAST((100 + user_id) % 7 AS VARCHAR) END AS nm
+        FROM proc_groups))"""
+
+_ODD = "[" + ", ".join(f"'{v}'" for v in ODD_VALUES) + "]"
+DIAGNOSTICS = f"""diagnostics AS (
+  SELECT 'run-1' AS run_id, event_id AS diag_seq, us AS ts_us,
+         CASE event_id % 3 WHEN 0 THEN 'LiDAR Benchmark: /t' WHEN 1 THEN 'System Resources' ELSE 'Other' END AS name,
+         0 AS level, 'ok' AS message,
+         [{{'key': 'current_hz', 'value': CAST(cents AS VARCHAR)}},
+          {{'key': 'jitter_ms', 'value': CAST(k AS VARCHAR)}},
+          {{'key': 'top_process_1_name', 'value': 'a'}},
+          {{'key': 'top_process_1_name', 'value': 'p' || CAST(user_id AS VARCHAR)}},
+          {{'key': 'jetson_gpu_temp_c', 'value': CAST(k AS VARCHAR)}},
+          {{'key': 'odd', 'value': ({_ODD})[k % 8 + 1]}}] AS "values"
+  FROM ev),
+kv AS (
+  SELECT run_id, diag_seq, ts_us, name, p.pos - 1 AS pos, p.kv.key AS key, p.kv.value AS value
+  FROM diagnostics, LATERAL (SELECT unnest(generate_series(1, len("values"))) AS pos, unnest("values") AS kv) p)"""
+
+_FULL_M = "[value, CAST(k AS DOUBLE), value * 2, 1.5e0, CAST(event_id AS DOUBLE), 0e0, 0e0, 0e0, value * 3]"
+METRICS_VECTORS = f"""metrics_vectors AS (
+  SELECT 'run-1' AS run_id, event_id AS seq, event_id * 500000 AS elapsed_us,
+         CASE WHEN event_id % 13 = 0 THEN ({_FULL_M})[1:6] ELSE {_FULL_M} END AS data
+  FROM ev)"""
+
+_BASE_S = "least(value, 100e0), CAST(k AS DOUBLE), value / 2, CAST(k AS DOUBLE) / 2, CAST(k % 10 AS DOUBLE), value * 3, 40e0 + k / 10e0"
+_SLOTS_S = ", ".join(f"value + {i}, CAST(k AS DOUBLE) + {i}" for i in range(20))
+_ZONES_S = ", ".join(f"{40 + z}e0 + k / 10e0" for z in range(7))
+_FULL_S = f"[{_BASE_S}, {_SLOTS_S}, {_ZONES_S}]"
+SYSTEM_VECTORS = f"""system_vectors AS (
+  SELECT 'run-1' AS run_id, event_id AS seq, event_id * 500000 AS elapsed_us,
+         CASE event_id % 17 WHEN 1 THEN ({_FULL_S})[1:47] WHEN 2 THEN ({_FULL_S})[1:46] WHEN 3 THEN ({_FULL_S})[1:7]
+              WHEN 4 THEN ({_FULL_S})[1:6] WHEN 5 THEN CAST([] AS DOUBLE[]) ELSE {_FULL_S} END AS data
+  FROM ev)"""
+
+SERIES = f"""series AS (
+  SELECT 'run-1' AS run_id, event_type AS series,
+         row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS idx,
+         (us - {BASE_US}) // ({_C.format(col='event_type')}) AS elapsed_us,
+         CASE WHEN event_id % 11 = 0 THEN 'nan'::DOUBLE ELSE value END AS value
+  FROM ev)"""
+
+SERIES_RUNS = f"""series_runs AS (
+  SELECT DISTINCT 'run-1' AS run_id, event_type AS series,
+         {RUN_SECONDS}e0 / CAST({_C.format(col='event_type')} AS DOUBLE) AS duration_s
+  FROM events)"""
+
+_PHRASES = "[" + ", ".join(f"'{p}'" for p in LOG_PHRASES) + "]"
+THERMAL_CSV = """thermal_csv AS (
+  SELECT ts, value AS temp_c, 1.5e9 + k * 1e6 AS arm_hz, CAST(CAST(ts AS DATE) AS VARCHAR) AS day
+  FROM ev WHERE event_type = 'error')"""
+LOG_LINES = f"""log_lines AS (
+  SELECT event_id AS line_no, us AS ts_us, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, k % 8 AS priority,
+         ({_PHRASES})[k % 12 + 1] AS line
+  FROM ev)"""
