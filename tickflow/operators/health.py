@@ -34,7 +34,7 @@ def log_pattern_report(logs: DataFrame, patterns: list[str] = LOG_FAILURE_PATTER
     grouped count."""
     pats = F.array(*[F.lit(p) for p in patterns])
     low = F.lower(F.col("line"))
-    hits = F.filter(pats, lambda p: F.locate(F.lower(p), low) > 0)
+    hits = F.filter(pats, lambda p: low.contains(F.lower(p)))
     return logs.select("day", F.explode(hits).alias("pattern")).groupBy("day", "pattern").agg(F.count(F.lit(1)).alias("lines"))
 
 

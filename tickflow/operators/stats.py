@@ -21,7 +21,10 @@ STREAM_KEYS = ("run_id", "topic")
 def _kv(c: str, rounded: bool, places: int = 3) -> Column:
     """A published metric as the analyzer reads it back: missing → 0.0, text-rounded."""
     x = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    return F.round(x, places) if rounded else x
+    if not rounded:
+        return x
+    scale = float(10**places)
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale))
 
 
 def population_std(col: Column) -> Column:

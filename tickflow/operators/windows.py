@@ -265,8 +265,9 @@ def live_window(series: DataFrame, window_seconds: int = 60, keys: Sequence[str]
     first_shown = j.where(F.col("elapsed_us") >= lo).groupBy(*keys).agg(F.min("idx").alias("_first_idx"))
     # rows that can reach a shown row's frame: a bounded tail of each series
     tail = j.join(first_shown, list(keys)).where(F.col("idx") > F.col("_first_idx") - n)
-    v = F.when(~F.isnan("value"), F.col("value"))
-    out = tail.withColumn("mean_value", F.avg(v).over(frame))
+    v = F.when(~F.isnan(F.col("value").cast("double")), F.col("value"))
+    # sum/count rather than avg: integral series keep an exact sum
+    out = tail.withColumn("mean_value", F.sum(v).over(frame).cast("double") / F.count(v).over(frame).cast("double"))
     return out.where(F.col("elapsed_us") >= lo).select(*keys, "idx", "elapsed_us", "value", "mean_value")
 
 

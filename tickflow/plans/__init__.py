@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     "tickflow.plans.stream_queries",
     "tickflow.plans.host_queries",
+    "tickflow.plans.series_queries",
 ]
 
 

@@ -28,18 +28,62 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = portable_round_sql(sql)
         return fn
 
     return deco
 
 
+# Rounding that both engines evaluate with the same IEEE operations: floor(x·10^d + 0.5)/10^d.
+# Engine ``round`` functions differ (decimal text vs binary value, half-up vs half-even), which
+# flips last digits of ties and of large magnitudes.
+def fround(col, places: int = 6):
+    c = F.col(col) if isinstance(col, str) else col
+    scale = float(10**places)
+    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), c).otherwise(F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale))
+
+
+def _sql_fround(expr: str, places: str) -> str:
+    scale = f"1e{int(places)}"
+    return f"(CASE WHEN isnan(({expr})) OR isinf(({expr})) THEN ({expr}) ELSE floor(({expr}) * {scale} + 0.5) / {scale} END)"
+
+
+def portable_round_sql(sql: str) -> str:
+    """Rewrite every ``round(expr, d)`` of an oracle query into the portable form."""
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i : j + 6])
+            i = j + 6
+            continue
+        depth, k, comma = 1, j + 6, -1
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        if comma < 0:
+            out.append(sql[i:k])
+        else:
+            expr, places = sql[j + 6 : comma], sql[comma + 1 : k - 1].strip()
+            out.append(sql[i:j] + _sql_fround(portable_round_sql(expr), places))
+        i = k
+
+
 def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every double column (aggregates whose summation order is engine-specific)."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name), places).alias(f.name))
+            cols.append(fround(F.col(f.name), places).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
