@@ -8,6 +8,7 @@ _MODULES = [
     "tickflow.plans.stream_queries",
     "tickflow.plans.host_queries",
     "tickflow.plans.series_queries",
+    "tickflow.plans.report_queries",
 ]
 
 
