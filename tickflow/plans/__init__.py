@@ -9,6 +9,7 @@ _MODULES = [
     "tickflow.plans.host_queries",
     "tickflow.plans.series_queries",
     "tickflow.plans.report_queries",
+    "tickflow.plans.io_queries",
 ]
 
 
