@@ -39,8 +39,13 @@ HOUR_US = 3600 * 1000000
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The driver's events table plus the derived columns every projection uses, computed once
+    per row: ``k`` (from the JSON props), ``cents`` and ``us``."""
     prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.withColumn("k", F.get_json_object(F.col("props"), "$.k").cast("int")).withColumn(
+        "cents", F.round(F.col("value") * 100).cast("long")
+    ).withColumn("us", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
 
 
 def us_col(ts: str = "ts") -> Column:
@@ -49,11 +54,11 @@ def us_col(ts: str = "ts") -> Column:
 
 
 def k_col() -> Column:
-    return F.get_json_object(F.col("props"), "$.k").cast("int")
+    return F.col("k")
 
 
 def cents_col() -> Column:
-    return F.round(F.col("value") * 100).cast("long")
+    return F.col("cents")
 
 
 def compression_col(topic: str = "event_type") -> Column:
@@ -198,7 +203,8 @@ def metrics_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = k_col().cast("double")
     v = F.col("value")
     full = F.array(v, k, v * 2, F.lit(1.5), F.col("event_id").cast("double"), F.lit(0.0), F.lit(0.0), F.lit(0.0), v * 3)
-    data = F.when(F.col("event_id") % 13 == 0, F.slice(full, 1, 6)).otherwise(full)
+    e = e.withColumn("_full", full)
+    data = F.when(F.col("event_id") % 13 == 0, F.slice(F.col("_full"), 1, 6)).otherwise(F.col("_full"))
     return e.select(
         F.lit(RUN_ID).alias("run_id"),
         F.col("event_id").alias("seq"),
@@ -223,6 +229,8 @@ def system_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = (
         F.when(m == 1, F.lit(47)).when(m == 2, F.lit(46)).when(m == 3, F.lit(7)).when(m == 4, F.lit(6)).when(m == 5, F.lit(0))
     )
+    e = e.withColumn("_full", full).withColumn("_cut", cut)
+    full, cut = F.col("_full"), F.col("_cut")
     data = F.when(cut.isNull(), full).when(cut == 0, F.array().cast("array<double>")).otherwise(F.slice(full, 1, cut))
     return e.select(
         F.lit(RUN_ID).alias("run_id"),
