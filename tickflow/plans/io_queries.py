@@ -129,3 +129,27 @@ def q_report_tables_sink(spark, sf):
         t = spark.read.parquet(f"{path}/{name}").select("run_id", "topic", F.lit(name).alias("table"), F.col("ord"))
         out = t if out is None else out.unionByName(t)
     return out
+
+
+@query("latest_labels_stream", ORACLES.get("latest_by_key"))
+def q_latest_labels_stream(spark, sf):
+    """X7 + X5: latest slot labels maintained by a streaming aggregation over the diagnostics
+    replayed as a file stream; each trigger overwrites the snapshot (foreachBatch)."""
+    from tickflow.functions.scalars import slot_from_key
+    from tickflow.operators.diagnostics import explode_kv, routed
+
+    src = sinks.scratch_path(spark, "diagnostics")
+    fx.diagnostics(spark, sf).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    stream = spark.readStream.schema(schema).parquet(src)
+    kv = explode_kv(routed(stream, exact=True).where(F.col("route") == "system"), ["run_id", "diag_seq"])
+    kv = kv.withColumn("_s", slot_from_key("key")).where(F.col("_s").isNotNull()).select(
+        "run_id", F.col("_s.slot").alias("slot"), F.col("_s.field").alias("field"), "value", "ts_us", "diag_seq", "pos"
+    )
+    out = sinks.scratch_path(spark, "labels")
+    q = (
+        live.latest_labels(kv).writeStream.outputMode("complete").foreachBatch(live.snapshot_writer(out))
+        .option("checkpointLocation", sinks.scratch_path(spark, "labels-ckpt")).trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return spark.read.parquet(out).select("run_id", "slot", "field", "value")

@@ -320,3 +320,21 @@ def q_tumbling_windows(spark, sf):
     from tickflow.operators.align import tumbling_counts
 
     return tumbling_counts(fx.messages(spark, sf), fx.BASE_US, 1)
+
+
+@query(
+    "recommendations",
+    _RATED_SQL.replace(
+        "{body}",
+        """SELECT run_id, topic, coalesce(nullif(array_to_string(list_filter([
+     CASE WHEN average_hz < 10 THEN 'Consider optimizing point cloud processing to improve frequency' END,
+     CASE WHEN average_ms > 50 THEN 'High jitter detected - check for system load or network issues' END,
+     CASE WHEN average_mbps > 100 THEN 'High bandwidth usage - consider data compression or reduced resolution' END],
+     lambda x: x IS NOT NULL), '; '), ''), 'System performing within normal parameters') AS recommendations
+FROM stream_summary""",
+    ),
+)
+def q_recommendations(spark, sf):
+    s = stats.stream_summary(_ticks(spark, sf))
+    recs = rules.recommendations("average_hz", "average_ms", "average_mbps")
+    return s.select(*K, F.array_join(recs, "; ").alias("recommendations"))

@@ -135,8 +135,9 @@ def checkpoint_partials(stream: DataFrame, interval_s: int, watermark: str, keys
 
 
 def latest_labels(kv_stream: DataFrame, keys: Sequence[str] = ("run_id", "slot", "field")) -> DataFrame:
-    """Latest label per slot field (update output mode)."""
-    return kv_stream.groupBy(*keys).agg(F.max_by("value", "ts_us").alias("value"))
+    """Latest label per slot field (update / complete output mode); ties on time go to the
+    later status and the later position inside it."""
+    return kv_stream.groupBy(*keys).agg(F.max_by("value", F.struct("ts_us", "diag_seq", "pos")).alias("value"))
 
 
 def snapshot_writer(path: str, fmt: str = "parquet"):
