@@ -50,39 +50,53 @@ def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState, n: int) -> Itera
     L = len(t)
     first_global = total - len(tt)  # global index of combined position 0
     pos = np.arange(L - k, L)
-    g = first_global + pos
+    g = (first_global + pos).astype(np.int64)
     d = np.zeros(L, dtype=object)
     d[1:] = t[1:] - t[:-1]
     cd2 = np.cumsum(d * d)
     cs = np.concatenate([[0], np.cumsum(s)]).astype(object)
     cp = np.concatenate([[0], np.cumsum(p)]).astype(object)
-    rows = []
-    for j, (pp, gg) in enumerate(zip(pos, g)):
-        n_int = min(int(gg), n)
-        hz = jit = None
-        if n_int > 0:
-            span = int(t[pp] - t[pp - n_int])
-            sq = int(cd2[pp] - cd2[pp - n_int])
-            hz = float("inf") if span == 0 else float(n_int) * 1e6 / float(span)
-            jit = float(np.sqrt(float(n_int * sq - span * span) / float(n_int * n_int))) / 1000.0
-        n_ts = min(int(gg) + 1, n)
-        span_ts = int(t[pp] - t[pp - n_ts + 1])
-        size_w = int(cs[pp + 1] - cs[pp + 1 - n_ts])
-        pts_w = int(cp[pp + 1] - cp[pp + 1 - n_ts])
-        tot_b = tb + int(cs[pp + 1] - cs[L - k])
-        tot_p = tp + int(cp[pp + 1] - cp[L - k])
-        rows.append(
-            (
-                key[0], key[1], int(new["seq"].iloc[j]), int(gg), int(t[pp]), hz, jit,
-                float(n_ts) * 1e6 / float(span_ts) if span_ts > 0 else None,
-                float(size_w) * 8.0 / float(span_ts) if span_ts > 0 else None,
-                float(size_w) / float(n_ts) / 1024.0,
-                float(pts_w) / float(n_ts),
-                int(gg) + 1,
-                float(tot_b) / 1e6,
-                float(tot_p) / 1e6,
-            )
-        )
+    # all new rows at once: positions of the frame starts, exact integer sums, then floats
+    n_int = np.minimum(g, n)
+    has = n_int > 0
+    lo = pos - n_int
+    span = (t[pos] - t[lo]).astype(object)
+    sq = (cd2[pos] - cd2[lo]).astype(object)
+    hz = np.full(k, np.nan)
+    jit = np.full(k, np.nan)
+    ni = n_int.astype(np.int64)
+    span_f = np.array([float(x) for x in span])
+    var_num = np.array([float(a * b - c * c) for a, b, c in zip(ni.tolist(), sq.tolist(), span.tolist())])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        hz = np.where(has, np.where(span_f == 0, np.inf, ni.astype(float) * 1e6 / span_f), np.nan)
+        jit = np.where(has, np.sqrt(var_num / (ni * ni).astype(float)) / 1000.0, np.nan)
+    n_ts = np.minimum(g + 1, n).astype(np.int64)
+    span_ts = np.array([float(x) for x in (t[pos] - t[pos - n_ts + 1])])
+    size_w = np.array([float(x) for x in (cs[pos + 1] - cs[pos + 1 - n_ts])])
+    pts_w = np.array([float(x) for x in (cp[pos + 1] - cp[pos + 1 - n_ts])])
+    tot_b = np.array([float(tb + x) for x in (cs[pos + 1] - cs[L - k])])
+    tot_p = np.array([float(tp + x) for x in (cp[pos + 1] - cp[L - k])])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        avg_hz = np.where(span_ts > 0, n_ts.astype(float) * 1e6 / span_ts, np.nan)
+        bw = np.where(span_ts > 0, size_w * 8.0 / span_ts, np.nan)
+    out = pd.DataFrame(
+        {
+            "run_id": key[0],
+            "topic": key[1],
+            "seq": new["seq"].to_numpy(dtype=np.int64),
+            "idx": g.astype(np.int64),
+            "arrival_us": new["arrival_us"].to_numpy(dtype=np.int64),
+            "current_hz": pd.Series(hz).where(has, None),
+            "jitter_ms": pd.Series(jit).where(has, None),
+            "avg_hz": pd.Series(avg_hz).where(span_ts > 0, None),
+            "bandwidth_mbps": pd.Series(bw).where(span_ts > 0, None),
+            "avg_message_size_kb": size_w / n_ts.astype(float) / 1024.0,
+            "avg_points_per_message": pts_w / n_ts.astype(float),
+            "total_messages": (g + 1).astype(np.int64),
+            "total_mb": tot_b / 1e6,
+            "total_points_millions": tot_p / 1e6,
+        }
+    )
     keep = n + 1
     state.update(
         (
@@ -95,11 +109,7 @@ def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState, n: int) -> Itera
             [int(x) for x in p[-keep:]],
         )
     )
-    yield pd.DataFrame.from_records(
-        rows,
-        columns=["run_id", "topic", "seq", "idx", "arrival_us", "current_hz", "jitter_ms", "avg_hz", "bandwidth_mbps",
-                 "avg_message_size_kb", "avg_points_per_message", "total_messages", "total_mb", "total_points_millions"],
-    )
+    yield out
 
 
 def live_gauges(stream: DataFrame, n: int = WINDOW_SIZE, keys: Sequence[str] = ("run_id", "topic")) -> DataFrame:
