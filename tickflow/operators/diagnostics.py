@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickflow.functions.rules import route_status
@@ -18,13 +18,23 @@ def explode_kv(diag: DataFrame, keys: Sequence[str] = ("run_id", "diag_seq")) ->
     )
 
 
+def last_wins(values: Column | str = "values") -> Column:
+    """Keep, per key, only the last entry of a key/value list (duplicate keys: last wins).
+
+    Evaluated inside each status row (a status holds all its pairs), so no shuffle is needed;
+    the session-wide map dedup policy is left alone."""
+    v = F.col(values) if isinstance(values, str) else values
+    return F.filter(v, lambda x, i: ~F.exists(F.slice(v, i + 2, F.size(v)), lambda y: y["key"] == x["key"]))
+
+
 def parse_kv(diag: DataFrame, keys: Sequence[str] = ("run_id", "diag_seq")) -> DataFrame:
     """Per status and key, the last value (duplicate keys: last wins), as number when it
-    reads as a float, else kept as text. Grouped by (status, key): bounded groups."""
-    kv = explode_kv(diag, keys)
-    last = kv.groupBy(*keys, "key").agg(F.max_by(F.col("value"), F.col("pos")).alias("value"))
+    reads as a float, else kept as text. Row-local: dedup inside the list, then explode."""
+    kv = diag.select(*keys, F.explode(last_wins("values")).alias("kv")).select(
+        *keys, F.col("kv.key").alias("key"), F.col("kv.value").alias("value")
+    )
     num = parse_number("value")
-    return last.select(*keys, "key", num.alias("num"), F.when(num.isNull(), F.col("value")).alias("text"))
+    return kv.select(*keys, "key", num.alias("num"), F.when(num.isNull(), F.col("value")).alias("text"))
 
 
 def routed(diag: DataFrame, exact: bool = False) -> DataFrame:
