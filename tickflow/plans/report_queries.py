@@ -176,7 +176,22 @@ def q_performance_targets(spark, sf):
     return round_doubles(report.performance_targets(_report(spark, sf)))
 
 
-@query("system_table")
+_ZONE_LONG = """SELECT run_id, 'cpu' AS zone, zone_cpu_millic / 1000e0 AS celsius FROM system_samples WHERE zone_cpu_millic IS NOT NULL UNION ALL SELECT run_id, 'gpu' AS zone, zone_gpu_millic / 1000e0 AS celsius FROM system_samples WHERE zone_gpu_millic IS NOT NULL UNION ALL SELECT run_id, 'aux' AS zone, zone_aux_millic / 1000e0 AS celsius FROM system_samples WHERE zone_aux_millic IS NOT NULL UNION ALL SELECT run_id, 'ao' AS zone, zone_ao_millic / 1000e0 AS celsius FROM system_samples WHERE zone_ao_millic IS NOT NULL UNION ALL SELECT run_id, 'pmic' AS zone, zone_pmic_millic / 1000e0 AS celsius FROM system_samples WHERE zone_pmic_millic IS NOT NULL UNION ALL SELECT run_id, 'tboard' AS zone, zone_tboard_millic / 1000e0 AS celsius FROM system_samples WHERE zone_tboard_millic IS NOT NULL UNION ALL SELECT run_id, 'tdiode' AS zone, zone_tdiode_millic / 1000e0 AS celsius FROM system_samples WHERE zone_tdiode_millic IS NOT NULL"""
+
+
+@query(
+    "system_table",
+    _rsql(
+        f"""SELECT run_id, topic, ord, resource, round(average, 6) AS average, round("min", 6) AS "min", round("max", 6) AS "max" FROM (
+  SELECT run_id, topic, 0 AS ord, 'CPU Usage (%)' AS resource, cpu_average_percent AS average, cpu_min_percent AS "min", cpu_max_percent AS "max" FROM report
+  UNION ALL SELECT run_id, topic, 1, 'Memory Usage (%)', memory_average_percent, memory_min_percent, memory_max_percent FROM report
+  UNION ALL SELECT run_id, topic, 2, 'CPU Temperature (°C)', temperature_average_celsius, temperature_min_celsius, temperature_max_celsius
+            FROM report WHERE temperature_average_celsius IS NOT NULL
+  UNION ALL SELECT r.run_id, r.topic, 100, upper(z.zone), z.a, z.mn, z.mx FROM report r JOIN (
+            SELECT run_id, zone, avg(celsius) AS a, min(celsius) AS mn, max(celsius) AS mx FROM ({_ZONE_LONG}) GROUP BY run_id, zone) z USING (run_id)
+  UNION ALL SELECT run_id, topic, 200, 'Total Samples', CAST(system_samples AS DOUBLE), NULL, NULL FROM report)"""
+    ),
+)
 def q_system_table(spark, sf):
     return round_doubles(report.system_table(_report(spark, sf, with_zones=True)))
 
@@ -186,7 +201,14 @@ def q_run_info_table(spark, sf):
     return report.run_info_table(_report(spark, sf))
 
 
-@query("run_metadata")
+@query(
+    "run_metadata",
+    _rsql(
+        """SELECT run_id, topic, strftime(make_timestamp(start_us + CAST(duration_seconds * 1e6 AS BIGINT)), '%Y%m%d_%H%M%S') AS timestamp,
+  duration_seconds, performance_rating, stability_rating, CAST(17 AS BIGINT) AS outputs
+FROM report JOIN runs USING (run_id, topic)"""
+    ),
+)
 def q_run_metadata(spark, sf):
     r = _report(spark, sf)
     outputs = report.metrics_table(r).select(*K)  # one output row per table line

@@ -145,18 +145,39 @@ def q_checkpoint_label(spark, sf):
 ROLES = {"hz": "view", "jitter": "click", "bandwidth": "purchase", "cpu": "signup", "memory": "error"}
 
 
-@query("checkpoint_report")
+_CKPT_REPORT_SQL = _sql(
+    """SELECT run_id, checkpoint, printf('Day%.1f', end_us / 86400e6) AS label, end_us / 1e6 AS duration_s, is_final,
+  round(coalesce(hz, 0), 6) AS hz_avg, round(coalesce(jit, 0), 6) AS jitter_avg,
+  CASE WHEN coalesce(hz, 0) >= 20 THEN 'Excellent' WHEN coalesce(hz, 0) >= 10 THEN 'Good' WHEN coalesce(hz, 0) >= 5 THEN 'Fair' ELSE 'Poor' END AS performance_rating,
+  CASE WHEN coalesce(jit, 0) <= 10 THEN 'Excellent' WHEN coalesce(jit, 0) <= 25 THEN 'Good' WHEN coalesce(jit, 0) <= 50 THEN 'Fair' ELSE 'Poor' END AS stability_rating,
+  coalesce(nullif(array_to_string(list_filter([
+     CASE WHEN coalesce(hz, 0) < 10 THEN 'Consider optimizing point cloud processing to improve frequency' END,
+     CASE WHEN coalesce(jit, 0) > 50 THEN 'High jitter detected - check for system load or network issues' END,
+     CASE WHEN bw > 100 THEN 'High bandwidth usage - consider data compression or reduced resolution' END,
+     CASE WHEN cpu > 80 THEN 'High CPU usage - consider performance optimization or hardware upgrade' END,
+     CASE WHEN mem > 80 THEN 'High memory usage - check for memory leaks or increase system RAM' END],
+     lambda x: x IS NOT NULL), '; '), ''), 'System performing within normal parameters') AS recommendations
+FROM (SELECT run_id, checkpoint, end_us, is_final,
+        max(CASE WHEN series = 'view' THEN avg END) AS hz, max(CASE WHEN series = 'click' THEN avg END) AS jit,
+        max(CASE WHEN series = 'purchase' THEN avg END) AS bw, max(CASE WHEN series = 'signup' THEN avg END) AS cpu,
+        max(CASE WHEN series = 'error' THEN avg END) AS mem
+      FROM ckpt GROUP BY run_id, checkpoint, end_us, is_final)""",
+    _CKPT_SQL.replace("FROM series_runs)", "FROM (SELECT run_id, series, max(duration_s) OVER (PARTITION BY run_id) AS duration_s FROM series_runs))"),
+)
+
+
+@query("checkpoint_report", _CKPT_REPORT_SQL)
 def q_checkpoint_report(spark, sf):
     runs = _series_runs(spark, sf)
     run_len = runs.groupBy("run_id").agg(F.max("duration_s").alias("duration_s"))
     same = runs.select("run_id", "series").join(run_len, "run_id")
     c = stats.cumulative_checkpoints(_series(spark, sf), same, CHECKPOINT_S)
     r = stats.checkpoint_report(c, ROLES)
-    return r.select(
+    return round_doubles(r.select(
         "run_id", "checkpoint", "label", "duration_s", "is_final",
-        F.col("hz.avg").alias("hz_avg"), F.col("jitter.avg").alias("jitter_avg"),
+        F.coalesce(F.col("hz.avg"), F.lit(0.0)).alias("hz_avg"), F.coalesce(F.col("jitter.avg"), F.lit(0.0)).alias("jitter_avg"),
         "performance_rating", "stability_rating", F.array_join("recommendations", "; ").alias("recommendations"),
-    )
+    ))
 
 
 _BIN = f"""CASE WHEN idx < (n // {DOWNSAMPLE_POINTS // 2} + 1) * (n % {DOWNSAMPLE_POINTS // 2})
