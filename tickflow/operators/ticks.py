@@ -76,17 +76,20 @@ def sample_at_ticks(
     keys: Sequence[str] = STREAM_KEYS,
     cols: Sequence[str] = GAUGE_COLS,
 ) -> DataFrame:
-    """Gauge values at every tick = the last message row with arrival <= tick, plus the
-    per-tick message/byte/point deltas. Ticks before the first message carry NULL gauges."""
+    """Gauge values at every tick = the last message row with arrival <= tick.
+    Ticks before the first message carry NULL gauges.
+
+    Only the last message of each tick matters. When the gauges come from
+    :func:`message_gauges` (``block`` column present) that row is found with ``lead`` inside
+    the existing (key, block) partitions, already sorted by idx: no new shuffle or sort, and
+    the per-tick aggregate then sees about one row per tick instead of every message."""
     ctx = runs.select(*keys, "start_us", "tick_rate_hz", F.floor(F.col("duration_s") * F.col("tick_rate_hz")).cast("long").alias("_nt"))
     g = gauges.join(ctx, list(keys)).withColumn("tick", message_tick())
     g = g.where(F.col("tick") <= F.col("_nt"))
-    per_tick = g.groupBy(*keys, "tick").agg(
-        F.count(F.lit(1)).alias("d_messages"),
-        F.sum("size").alias("d_bytes"),
-        F.sum("points").alias("d_points"),
-        F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("idx")).alias("_g"),
-    )
+    if "block" in gauges.columns:
+        g = g.withColumn("_nxt", F.lead("tick").over(Window.partitionBy(*keys, "block").orderBy("idx")))
+        g = g.where(F.col("_nxt").isNull() | (F.col("_nxt") != F.col("tick")))
+    per_tick = g.groupBy(*keys, "tick").agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("idx")).alias("_g"))
     grid = tick_grid(runs, keys)
     t = grid.join(per_tick, [*keys, "tick"], "left")
     upto = Window.partitionBy(*keys).orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
@@ -97,9 +100,6 @@ def sample_at_ticks(
         tick_us().alias("tick_us"),
         "start_us",
         "tick_rate_hz",
-        F.coalesce(F.col("d_messages"), F.lit(0)).alias("d_messages"),
-        F.coalesce(F.col("d_bytes"), F.lit(0)).alias("d_bytes"),
-        F.coalesce(F.col("d_points"), F.lit(0)).alias("d_points"),
         *[F.col(f"_g.{c}").alias(c) for c in cols],
     )
 
@@ -127,12 +127,14 @@ def tick_metrics(
     grp = F.when(tick <= r0, F.lit(0).cast("long")).otherwise(F.lit(1) + F.floor((tick - 1 - r0) / c).cast("long"))
     last_reset = F.when(tick <= r0, F.lit(0).cast("long")).otherwise(r0 + F.floor((tick - 1 - r0) / c).cast("long") * c)
     t = t.withColumn("_grp", grp).withColumn("_lr", last_reset)
+    # counters since the last reset = cumulative totals now minus at the reset tick; the tick
+    # before a group's first tick is its reset tick (tick 0 → 0 for group 0)
+    by_tick = Window.partitionBy(*keys).orderBy("tick")
     in_group = Window.partitionBy(*keys, "_grp").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
-    t = (
-        t.withColumn("_tm", F.sum("d_messages").over(in_group))
-        .withColumn("_tb", F.sum("d_bytes").over(in_group))
-        .withColumn("_tp", F.sum("d_points").over(in_group))
-    )
+    pairs = (("total_messages", "_tm"), ("total_bytes", "_tb"), ("total_points", "_tp"))
+    # one select per window spec, so each spec is one Window operator (one sort each)
+    t = t.select("*", *[F.coalesce(F.lag(F.coalesce(F.col(src), F.lit(0)), 1).over(by_tick), F.lit(0)).alias(f"{dst}_prev") for src, dst in pairs])
+    t = t.select("*", *[(F.coalesce(F.col(src), F.lit(0)) - F.first(f"{dst}_prev").over(in_group)).alias(dst) for src, dst in pairs])
     t = t.where(tick >= F.col("_f"))
     window_s = (tick - F.col("_lr")).cast("double") * step / F.lit(1e6)
     elapsed_s = tick.cast("double") * step / F.lit(1e6)

@@ -69,7 +69,9 @@ def message_gauges(
 
     Columns: interval_us (W1); n_intervals, current_hz, jitter_ms, min/max_interval_ms (W2);
     n_stamps, avg_hz, bandwidth_mbps (W3); avg_message_size_kb, avg_points_per_message (W4);
-    total_messages, total_bytes, total_mb, total_points, total_points_millions (W5).
+    total_messages, total_bytes, total_mb, total_points, total_points_millions (W5); ``block``
+    is the index block the row was evaluated in (rows come out hash-partitioned by
+    (keys, block) and sorted by idx inside it, which :func:`ticks.sample_at_ticks` reuses).
     """
     if n < 1:
         raise ValueError("window size must be >= 1")
@@ -140,6 +142,7 @@ def message_gauges(
         (F.col("cum_size").cast("double") / F.lit(1e6)).alias("total_mb"),
         F.col("cum_points").alias("total_points"),
         (F.col("cum_points").cast("double") / F.lit(1e6)).alias("total_points_millions"),
+        F.col("_blk").alias("block"),
     )
     return out
 
@@ -244,11 +247,12 @@ def first_seen_zero(top: DataFrame, value_col: str = "cpu_percent", keys: Sequen
     """A process's CPU reads 0.0 the first time it enters the top-N and after every
     absence (the per-process cache only keeps current top-N members). Run after W10.
 
-    Partitioned by (run, host, pid): one process's samples, not a whole host."""
-    w = Window.partitionBy(*keys, "pid").orderBy(sample_col)
-    prev = F.lag(sample_col).over(w)
-    seen = prev.isNotNull() & (prev == F.col(sample_col) - 1)
-    return top.withColumn(f"{value_col}_reported", F.when(seen, F.col(value_col)).otherwise(F.lit(0.0)))
+    "Was it in the previous sample's top-N?" is an equi-join of the ranked rows with themselves
+    shifted by one sample on (run, host, pid, sample): no ordering per process, so a process
+    present in every sample of a long run is not one task."""
+    prev = top.select(*keys, "pid", (F.col(sample_col) + 1).alias(sample_col), F.lit(True).alias("_seen"))
+    j = top.join(prev, [*keys, "pid", sample_col], "left")
+    return j.withColumn(f"{value_col}_reported", F.when(F.col("_seen"), F.col(value_col)).otherwise(F.lit(0.0))).drop("_seen")
 
 
 def live_window(series: DataFrame, window_seconds: int = 60, keys: Sequence[str] = ("run_id", "series"),
