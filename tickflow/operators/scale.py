@@ -66,10 +66,12 @@ def dense_index(
     joined = bucketed.join(offsets, [*keys, "_bkt"], "inner")
     inside = Window.partitionBy(*keys, "_bkt").orderBy(order_col)
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
-    out = joined.withColumn(idx_col, F.col("_off") + F.row_number().over(inside) - 1)
-    for c in cumulative:
-        out = out.withColumn(f"cum_{c}", F.col(f"_off_{c}") + F.sum(c).over(running))
-    return out.drop("_bkt", "_off", *[f"_off_{c}" for c in cumulative])
+    # one projection (each DataFrame call re-analyses the whole plan)
+    return joined.select(
+        *[c for c in df.columns],
+        (F.col("_off") + F.row_number().over(inside) - 1).alias(idx_col),
+        *[(F.col(f"_off_{c}") + F.sum(c).over(running)).alias(f"cum_{c}") for c in cumulative],
+    )
 
 
 def halo_blocks(
@@ -85,15 +87,12 @@ def halo_blocks(
     emitted into the next block with ``_halo = true``. Costs one extra halo/block_rows of data."""
     if halo > block_rows:
         raise ValueError("halo must not exceed block_rows")
-    idx = F.col(idx_col)
     blk = F.expr(f"`{idx_col}` div {int(block_rows)}")
     pos = F.expr(f"`{idx_col}` % {int(block_rows)}")
     targets = F.when(pos >= block_rows - halo, F.array(blk, blk + 1)).otherwise(F.array(blk))
-    return (
-        df.withColumn(block_col, F.explode(targets))
-        .withColumn(halo_col, F.col(block_col) != blk)
-        .withColumn(block_col, F.col(block_col).cast("long"))
-        .withColumn(idx_col, idx)
+    exploded = df.select("*", F.explode(targets).alias("_tb"))
+    return exploded.select(
+        *[c for c in df.columns], F.col("_tb").cast("long").alias(block_col), (F.col("_tb") != blk).alias(halo_col)
     )
 
 
@@ -123,23 +122,20 @@ def sliding_min_max(
     suf = by_chunk.orderBy(F.col(idx_col).desc()).rowsBetween(Window.unboundedPreceding, 0)
     step = Window.partitionBy(*part_keys).orderBy(idx_col)
     v = F.col(value_col)
-    out = (
-        with_chunk.withColumn("_pmin", F.min(v).over(pre))
-        .withColumn("_pmax", F.max(v).over(pre))
-        .withColumn("_smin", F.min(v).over(suf))
-        .withColumn("_smax", F.max(v).over(suf))
+    cols = list(df.columns)
+    if n == 1:
+        return df.select(*cols, v.alias(min_col), v.alias(max_col))
+    out = with_chunk.select("*", F.min(v).over(pre).alias("_pmin"), F.max(v).over(pre).alias("_pmax"))
+    out = out.select("*", F.min(v).over(suf).alias("_smin"), F.max(v).over(suf).alias("_smax"))
+    # the suffix value at i-n+1 belongs to the chunk before i's chunk unless i closes a chunk
+    lag_smin = F.lag("_smin", n - 1).over(step)
+    lag_smax = F.lag("_smax", n - 1).over(step)
+    own_chunk_start = F.expr(f"`{idx_col}` % {int(n)}") == n - 1
+    return out.select(
+        *cols,
+        F.when(own_chunk_start, F.col("_pmin")).otherwise(F.least(F.col("_pmin"), lag_smin)).alias(min_col),
+        F.when(own_chunk_start, F.col("_pmax")).otherwise(F.greatest(F.col("_pmax"), lag_smax)).alias(max_col),
     )
-    if n > 1:
-        # Suffix value at i-n+1 belongs to the chunk before i's chunk unless i closes a chunk.
-        lag_smin = F.lag("_smin", n - 1).over(step)
-        lag_smax = F.lag("_smax", n - 1).over(step)
-        own_chunk_start = F.expr(f"`{idx_col}` % {int(n)}") == n - 1
-        out = out.withColumn(
-            min_col, F.when(own_chunk_start, F.col("_pmin")).otherwise(F.least(F.col("_pmin"), lag_smin))
-        ).withColumn(max_col, F.when(own_chunk_start, F.col("_pmax")).otherwise(F.greatest(F.col("_pmax"), lag_smax)))
-    else:
-        out = out.withColumn(min_col, v).withColumn(max_col, v)
-    return out.drop("_chk", "_pmin", "_pmax", "_smin", "_smax")
 
 
 def blocked_running_sum(

@@ -20,11 +20,10 @@ STREAM_KEYS = ("run_id", "topic")
 
 def _kv(c: str, rounded: bool, places: int = 3) -> Column:
     """A published metric as the analyzer reads it back: missing → 0.0, text-rounded."""
-    x = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    x = f"coalesce(CAST(`{c}` AS DOUBLE), 0D)"
     if not rounded:
-        return x
-    scale = float(10**places)
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale))
+        return F.expr(x)
+    return F.expr(f"CASE WHEN isnan({x}) OR abs({x}) = double('inf') THEN {x} ELSE floor({x} * 1e{places}D + 0.5D) / 1e{places}D END")
 
 
 def population_std(col: Column) -> Column:
@@ -61,9 +60,12 @@ def stream_summary(ticks: DataFrame, keys: Sequence[str] = STREAM_KEYS, rounded:
 def with_ratings(summary: DataFrame) -> DataFrame:
     """F7/F8/F9 on a stream summary (system block absent → its rules are skipped)."""
     has = F.col("samples") > 0
-    return summary.withColumn("performance_rating", rules.performance_rating("average_hz", has)).withColumn(
-        "stability_rating", rules.stability_rating("average_ms", has)
-    ).withColumn("recommendations", rules.recommendations("average_hz", "average_ms", "average_mbps"))
+    return summary.select(
+        "*",
+        rules.performance_rating("average_hz", has).alias("performance_rating"),
+        rules.stability_rating("average_ms", has).alias("stability_rating"),
+        rules.recommendations("average_hz", "average_ms", "average_mbps").alias("recommendations"),
+    )
 
 
 # ---------------------------------------------------------------------------------------

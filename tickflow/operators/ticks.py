@@ -84,23 +84,25 @@ def sample_at_ticks(
     the existing (key, block) partitions, already sorted by idx: no new shuffle or sort, and
     the per-tick aggregate then sees about one row per tick instead of every message."""
     ctx = runs.select(*keys, "start_us", "tick_rate_hz", F.floor(F.col("duration_s") * F.col("tick_rate_hz")).cast("long").alias("_nt"))
-    g = gauges.join(ctx, list(keys)).withColumn("tick", message_tick())
-    g = g.where(F.col("tick") <= F.col("_nt"))
-    if "block" in gauges.columns:
-        g = g.withColumn("_nxt", F.lead("tick").over(Window.partitionBy(*keys, "block").orderBy("idx")))
-        g = g.where(F.col("_nxt").isNull() | (F.col("_nxt") != F.col("tick")))
+    blocked = "block" in gauges.columns
+    need = [*keys, "idx", *[c for c in cols if c not in keys and c != "idx"], *(["block"] if blocked else [])]
+    g = gauges.select(*need).join(ctx, list(keys)).select(*need, message_tick().alias("tick"), "_nt")
+    if blocked:
+        g = g.select("*", F.lead("tick").over(Window.partitionBy(*keys, "block").orderBy("idx")).alias("_nxt"))
+        g = g.where((F.col("tick") <= F.col("_nt")) & (F.col("_nxt").isNull() | (F.col("_nxt") != F.col("tick"))))
+    else:
+        g = g.where(F.col("tick") <= F.col("_nt"))
     per_tick = g.groupBy(*keys, "tick").agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("idx")).alias("_g"))
-    grid = tick_grid(runs, keys)
-    t = grid.join(per_tick, [*keys, "tick"], "left")
+    t = tick_grid(runs, keys).join(per_tick, [*keys, "tick"], "left")
     upto = Window.partitionBy(*keys).orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("_g", F.last("_g", ignorenulls=True).over(upto))
+    filled = F.last("_g", ignorenulls=True).over(upto)
     return t.select(
         *keys,
         "tick",
         tick_us().alias("tick_us"),
         "start_us",
         "tick_rate_hz",
-        *[F.col(f"_g.{c}").alias(c) for c in cols],
+        *[filled.getField(c).alias(c) for c in cols],
     )
 
 
@@ -119,14 +121,14 @@ def tick_metrics(
     gauges = message_gauges(msgs, n, keys, **kw)
     t = sample_at_ticks(gauges, runs, keys)
     published = F.coalesce(F.col("total_messages"), F.lit(0)) >= 2
-    t = t.withColumn("_f", F.min(F.when(published, F.col("tick"))).over(Window.partitionBy(*keys)))
+    t = t.select("*", F.min(F.when(published, F.col("tick"))).over(Window.partitionBy(*keys)).alias("_f"))
     step = _step_us()
     c = F.ceil(F.lit(reset_s * 1e6) / step).cast("long")
     r0 = F.greatest(F.col("_f"), c)
     tick = F.col("tick")
     grp = F.when(tick <= r0, F.lit(0).cast("long")).otherwise(F.lit(1) + F.floor((tick - 1 - r0) / c).cast("long"))
     last_reset = F.when(tick <= r0, F.lit(0).cast("long")).otherwise(r0 + F.floor((tick - 1 - r0) / c).cast("long") * c)
-    t = t.withColumn("_grp", grp).withColumn("_lr", last_reset)
+    t = t.select("*", grp.alias("_grp"), last_reset.alias("_lr"))
     # counters since the last reset = cumulative totals now minus at the reset tick; the tick
     # before a group's first tick is its reset tick (tick 0 → 0 for group 0)
     by_tick = Window.partitionBy(*keys).orderBy("tick")

@@ -84,17 +84,19 @@ def message_gauges(
 
     t = F.col("arrival_us")
     idx = F.col("idx")
-    b = b.withColumn("interval_us", t - F.lag(t, 1).over(w))
+    # few DataFrame calls: every call re-analyses the (large) plan
+    b = b.select("*", (t - F.lag(t, 1).over(w)).alias("interval_us"))
     x = F.col("interval_us").cast(DEC)
-    b = (
-        b.withColumn("_cs2", F.sum(x * x).over(run))
-        .withColumn("_t0", F.first(t).over(run))
-        .withColumn("_tn", F.lag(t, n).over(w))
-        .withColumn("_tn1", F.lag(t, n - 1).over(w) if n > 1 else t)
-        .withColumn("_cs2n", F.lag("_cs2", n).over(w))
-        .withColumn("_csz", F.lag("cum_size", n).over(w))
-        .withColumn("_cpt", F.lag("cum_points", n).over(w))
+    b = b.select(
+        "*",
+        F.sum(x * x).over(run).alias("_cs2"),
+        F.first(t).over(run).alias("_t0"),
+        F.lag(t, n).over(w).alias("_tn"),
+        (F.lag(t, n - 1).over(w) if n > 1 else t).alias("_tn1"),
+        F.lag("cum_size", n).over(w).alias("_csz"),
+        F.lag("cum_points", n).over(w).alias("_cpt"),
     )
+    b = b.select("*", F.lag("_cs2", n).over(w).alias("_cs2n"))
     if with_min_max:
         b = sliding_min_max(b, part, "idx", "interval_us", n, min_col="_imin", max_col="_imax")
     b = b.where(~F.col("_halo"))

@@ -38,9 +38,12 @@ def query(name: str, sql: str | None = None):
 # Engine ``round`` functions differ (decimal text vs binary value, half-up vs half-even), which
 # flips last digits of ties and of large magnitudes.
 def fround(col, places: int = 6):
-    c = F.col(col) if isinstance(col, str) else col
+    if isinstance(col, str):
+        # one SQL expression: a single call to the JVM instead of one per operator
+        c = f"`{col}`"
+        return F.expr(f"CASE WHEN isnan({c}) OR abs({c}) = double('inf') THEN {c} ELSE floor({c} * 1e{places}D + 0.5D) / 1e{places}D END")
     scale = float(10**places)
-    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), c).otherwise(F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale))
+    return F.when(F.isnan(col) | (F.abs(col) == float("inf")), col).otherwise(F.floor(col * F.lit(scale) + F.lit(0.5)) / F.lit(scale))
 
 
 def _sql_fround(expr: str, places: str) -> str:
@@ -78,12 +81,16 @@ def portable_round_sql(sql: str) -> str:
         i = k
 
 
-def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every double column (aggregates whose summation order is engine-specific)."""
+def round_doubles(df: DataFrame, places: int = 6, text_arrays: dict[str, str] | None = None) -> DataFrame:
+    """Round every double column (aggregates whose summation order is engine-specific) and
+    join the listed string arrays with their separator, in one projection."""
+    text_arrays = text_arrays or {}
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(fround(F.col(f.name), places).alias(f.name))
+        if f.name in text_arrays:
+            cols.append(F.array_join(F.col(f.name), text_arrays[f.name]).alias(f.name))
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            cols.append(fround(f.name, places).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

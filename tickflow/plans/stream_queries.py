@@ -18,8 +18,7 @@ K = ["run_id", "topic"]
 def stream_summary_rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ticks.tick_metrics(fx.messages(spark, sf_dir), fx.runs(spark, sf_dir))
     s = stats.with_ratings(stats.stream_summary(t))
-    s = s.withColumn("recommendations", F.array_join("recommendations", "; "))
-    return round_doubles(s)
+    return round_doubles(s, text_arrays={"recommendations": "; "})
 
 
 STREAM_SUMMARY_SQL = O.with_ctes(

@@ -43,9 +43,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     per row: ``k`` (from the JSON props), ``cents`` and ``us``."""
     prepare(spark)
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.withColumn("k", F.get_json_object(F.col("props"), "$.k").cast("int")).withColumn(
-        "cents", F.round(F.col("value") * 100).cast("long")
-    ).withColumn("us", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
+    return e.select(
+        "*",
+        F.get_json_object(F.col("props"), "$.k").cast("int").alias("k"),
+        F.round(F.col("value") * 100).cast("long").alias("cents"),
+        F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("us"),
+    )
 
 
 def us_col(ts: str = "ts") -> Column:
