@@ -36,6 +36,15 @@ def positive_only(v: Column | str) -> Column:
     return F.when(c > 0, c)
 
 
+# F4 -----------------------------------------------------------------------------------------
+def within_duration(df, runs, keys=("run_id", "topic"), time_col: str = "arrival_us"):
+    """rows whose elapsed time since the run start is below the configured duration
+    (the analysis window). ``runs`` is one row per key: joined by AQE's measured strategy."""
+    j = df.join(runs.select(*keys, "start_us", "duration_s"), list(keys))
+    elapsed = (F.col(time_col) - F.col("start_us")).cast("double") / F.lit(1e6)
+    return j.where(elapsed < F.col("duration_s")).drop("start_us", "duration_s")
+
+
 # F5 -----------------------------------------------------------------------------------------
 def stream_level(hz: Column | str = "current_hz", jitter: Column | str = "jitter_ms") -> Column:
     """struct(level, message): low frequency first, then high jitter, else OK."""

@@ -115,12 +115,13 @@ def sliding_min_max(
     running frames. ``part_keys`` must already hold every row back to i-n (halo blocks).
     Nulls are skipped, as in SQL aggregates.
     """
-    chunk = F.expr(f"`{idx_col}` div {int(n)}")
-    with_chunk = df.withColumn("_chk", chunk)
+    # ``_chk`` (idx div n) may already be present: callers that order their own windows by
+    # (_chk, idx) share one sort with the prefix and lag windows here
+    with_chunk = df if "_chk" in df.columns else df.select("*", F.expr(f"`{idx_col}` div {int(n)}").alias("_chk"))
     by_chunk = Window.partitionBy(*part_keys, "_chk")
     pre = by_chunk.orderBy(F.col(idx_col)).rowsBetween(Window.unboundedPreceding, 0)
     suf = by_chunk.orderBy(F.col(idx_col).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    step = Window.partitionBy(*part_keys).orderBy(idx_col)
+    step = Window.partitionBy(*part_keys).orderBy("_chk", idx_col)
     v = F.col(value_col)
     cols = list(df.columns)
     if n == 1:

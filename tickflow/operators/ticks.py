@@ -119,6 +119,8 @@ def tick_metrics(
     Combines W1-W5 (per message), J3 (tick sampling), W6 (overall rates since the run start)
     and W7 (resettable throughput)."""
     gauges = message_gauges(msgs, n, keys, **kw)
+    if "min_interval_ms" not in gauges.columns:  # with_min_max=False: the summaries skip them
+        gauges = gauges.select("*", F.lit(None).cast("double").alias("min_interval_ms"), F.lit(None).cast("double").alias("max_interval_ms"))
     t = sample_at_ticks(gauges, runs, keys)
     published = F.coalesce(F.col("total_messages"), F.lit(0)) >= 2
     t = t.select("*", F.min(F.when(published, F.col("tick"))).over(Window.partitionBy(*keys)).alias("_f"))

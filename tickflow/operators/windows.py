@@ -77,9 +77,11 @@ def message_gauges(
         raise ValueError("window size must be >= 1")
     block_rows = _round_up(max(block_rows, n), n)
     m = indexed_messages(msgs, keys, bucket_width=bucket_width)
-    b = halo_blocks(m, "idx", block_rows=block_rows, halo=n)
+    b = halo_blocks(m, "idx", block_rows=block_rows, halo=n).select("*", F.expr(f"idx div {int(n)}").alias("_chk"))
     part = [*keys, "_blk"]
-    w = Window.partitionBy(*part).orderBy("idx")
+    # ordered by (chunk, idx) — the same order as idx — so the sliding min/max windows below
+    # reuse this sort
+    w = Window.partitionBy(*part).orderBy("_chk", "idx")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
 
     t = F.col("arrival_us")

@@ -15,7 +15,7 @@ K = ["run_id", "topic"]
 
 
 def _report(spark, sf, with_zones: bool = False):
-    t = ticks.tick_metrics(fx.messages(spark, sf), fx.runs(spark, sf))
+    t = ticks.tick_metrics(fx.messages(spark, sf), fx.runs(spark, sf), with_min_max=False)
     stream = stats.stream_summary(t)
     samples = fx.system_samples(spark, sf)
     system = processes.system_summary(samples)

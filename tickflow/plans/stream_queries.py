@@ -15,8 +15,13 @@ from tickflow.sources import fixtures as fx
 K = ["run_id", "topic"]
 
 
+def summary_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tick metrics for the run summaries, which do not read the interval min/max."""
+    return ticks.tick_metrics(fx.messages(spark, sf_dir), fx.runs(spark, sf_dir), with_min_max=False)
+
+
 def stream_summary_rated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = ticks.tick_metrics(fx.messages(spark, sf_dir), fx.runs(spark, sf_dir))
+    t = summary_ticks(spark, sf_dir)
     s = stats.with_ratings(stats.stream_summary(t))
     return round_doubles(s, text_arrays={"recommendations": "; "})
 
@@ -131,15 +136,10 @@ WHERE CAST(m.arrival_us - r.start_us AS DOUBLE) / 1e6 < r.duration_s GROUP BY m.
     ),
 )
 def q_within_duration(spark, sf):
-    m = fx.messages(spark, sf).join(fx.runs(spark, sf), K)
-    kept = m.where(rules_within_duration())
+    kept = rules.within_duration(fx.messages(spark, sf), fx.runs(spark, sf), K)
     return kept.groupBy(*K).agg(F.count(F.lit(1)).alias("kept"), F.max("seq").alias("last_seq"))
 
 
-def rules_within_duration():
-    return elapsed_seconds("arrival_us", "start_us") < F.col("duration_s")
-
-
 @query("inter_arrival", _gauges_sql("SELECT run_id, topic, seq, idx, arrival_us, interval_us FROM gauges"))
 def q_inter_arrival(spark, sf):
     return windows.inter_arrival(fx.messages(spark, sf))
@@ -256,7 +256,7 @@ FROM stream_summary""",
     ),
 )
 def q_performance_rating(spark, sf):
-    s = stats.stream_summary(_ticks(spark, sf))
+    s = stats.stream_summary(summary_ticks(spark, sf))
     return round_doubles(s.select(*K, "average_hz", rules.performance_rating("average_hz").alias("performance_rating")))
 
 
@@ -270,7 +270,7 @@ FROM stream_summary""",
     ),
 )
 def q_stability_rating(spark, sf):
-    s = stats.stream_summary(_ticks(spark, sf))
+    s = stats.stream_summary(summary_ticks(spark, sf))
     return round_doubles(s.select(*K, "average_ms", rules.stability_rating("average_ms").alias("stability_rating")))
 
 
@@ -282,7 +282,7 @@ def q_stability_rating(spark, sf):
     ),
 )
 def q_population_std(spark, sf):
-    t = _ticks(spark, sf)
+    t = summary_ticks(spark, sf)
     return round_doubles(
         t.groupBy(*K).agg(
             stats.population_std(F.col("current_hz")).alias("std_hz"),
@@ -334,6 +334,6 @@ FROM stream_summary""",
     ),
 )
 def q_recommendations(spark, sf):
-    s = stats.stream_summary(_ticks(spark, sf))
+    s = stats.stream_summary(summary_ticks(spark, sf))
     recs = rules.recommendations("average_hz", "average_ms", "average_mbps")
     return s.select(*K, F.array_join(recs, "; ").alias("recommendations"))
