@@ -442,3 +442,29 @@ def q_encode_system_vector(spark, sf):
     v = fx.system_vectors(spark, sf).where(F.size("data") >= 47).select("run_id", "seq", decode_system_vector("data").alias("d"))
     base = [F.col(f"d.{n}") for n in SYSTEM_BASE]
     return v.select("run_id", "seq", encode_system_vector(base, F.col("d.slots"), F.col("d.zones")).alias("data"))
+
+
+@query(
+    "zone_kv_summary",
+    _diag_sql(
+        f"""SELECT run_id, zone, count(*) AS samples, round(avg(celsius), 6) AS average_celsius, round(max(celsius), 6) AS max_celsius,
+  round(min(celsius), 6) AS min_celsius
+FROM (SELECT run_id, regexp_extract(key, '^jetson_(.*)_temp_c$', 1) AS zone,
+             CASE WHEN regexp_full_match(value, '{_NUM_RE}') THEN TRY_CAST(trim(value) AS DOUBLE) END AS celsius
+      FROM (SELECT run_id, diag_seq, key, arg_max(value, pos) AS value FROM kv
+            WHERE contains(name, 'System Resources') GROUP BY run_id, diag_seq, key)
+      WHERE regexp_full_match(key, '^jetson_.*_temp_c$'))
+WHERE celsius IS NOT NULL GROUP BY run_id, zone"""
+    ),
+)
+def q_zone_kv_summary(spark, sf):
+    """A4 from the diagnostics: per discovered ``jetson_<zone>_temp_c`` key, stats over all values."""
+    z = diagnostics.zone_values(fx.diagnostics(spark, sf))
+    return round_doubles(
+        z.groupBy("run_id", "zone").agg(
+            F.count(F.lit(1)).alias("samples"),
+            F.avg("celsius").alias("average_celsius"),
+            F.max("celsius").alias("max_celsius"),
+            F.min("celsius").alias("min_celsius"),
+        )
+    )
