@@ -273,3 +273,56 @@ def test_thermal_all_negative_day(spark):
     df = spark.createDataFrame([Row(day="d", temp_c=-5.0, arm_hz=-1.0), Row(day="d", temp_c=-3.0, arm_hz=-2.0)])
     r = thermal_clock_summary(df).first()
     assert r.max_temp_c == 0.0 and r.avg_temp_c == -4.0
+
+
+# --- more tick edges (FIXTURES F10) ------------------------------------------------------------
+def test_message_on_tick_instant_is_seen(spark):
+    # messages exactly at tick 1 and tick 2 instants: tick 2 sees both → first published tick is 2
+    arr = [B + 500_000, B + 1_000_000]
+    got = ticks.tick_metrics(_msgs(spark, arr), _runs(spark, 3.0), n=10).orderBy("tick").collect()
+    assert got[0].tick == 2 and got[0].total_messages == 2
+
+
+def test_first_messages_after_several_ticks(spark):
+    arr = [B + 3_200_000 + i * 100_000 for i in range(3)]
+    got = ticks.tick_metrics(_msgs(spark, arr), _runs(spark, 6.0), n=10).orderBy("tick").collect()
+    # messages at 3.2, 3.3, 3.4 s all belong to tick 7 (3.5 s), the first tick with >= 2 messages;
+    # no reset happened before it, so its throughput spans the 3.5 s since the run start
+    assert got[0].tick == 7 and got[0].total_messages == 3
+    assert math.isclose(got[0].messages_per_second, 3 / 3.5)
+    # tick 7 spans >= 1 s, so it resets (R0 = 7); tick 8 counts the 0.5 s since then: no messages
+    assert got[1].tick == 8 and got[1].messages_per_second == 0.0
+
+
+def test_wall_clock_stepping_back(spark):
+    # arrival order is the sequence; a clock step back gives a negative interval, as in the source
+    arr = [B, B + 100_000, B + 50_000, B + 150_000]
+    g = windows.message_gauges(_msgs(spark, arr), 3).orderBy("seq").collect()
+    assert [r.interval_us for r in g] == [None, 100_000, -50_000, 100_000]
+    assert math.isclose(g[3].current_hz, 3 * 1e6 / 150_000)
+
+
+# --- J1 against the sequential acceptance rule ------------------------------------------------
+def _zip_model(metric_times, sys_times):
+    events = sorted([(t, 0, i) for i, t in enumerate(metric_times)] + [(t, 1, i) for i, t in enumerate(sys_times)])
+    seen, acc, pairs = 0, 0, []
+    for t, kind, i in events:
+        if kind == 0:
+            seen += 1
+        elif acc < seen:
+            acc += 1
+            pairs.append((acc, sorted(metric_times)[acc - 1], i))
+    return pairs
+
+
+@pytest.mark.parametrize("seed", [7, 8, 9])
+def test_positional_zip_model(spark, seed):
+    from tickflow.operators.align import positional_zip
+
+    rnd = random.Random(seed)
+    mt = sorted(rnd.sample(range(0, 100_000_000, 7), 40))
+    st = sorted(rnd.sample(range(1, 100_000_000, 11), 50))
+    m = spark.createDataFrame([Row(run_id="r", seq=i, elapsed_us=t) for i, t in enumerate(mt)])
+    s = spark.createDataFrame([Row(run_id="r", seq=i, elapsed_us=t) for i, t in enumerate(st)])
+    got = sorted((r.k, r.metrics_time, r.sys_seq) for r in positional_zip(m, s, bucket_width=8).collect())
+    assert got == _zip_model(mt, st)
