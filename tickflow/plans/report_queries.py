@@ -9,11 +9,13 @@ from tickflow.operators import processes, report, stats, ticks
 from tickflow.plans import oracle as O
 from tickflow.plans.host_queries import _SENSOR_MEAN_SQL, _ZONE_MEAN_SQL, _cpu_temp
 from tickflow.plans.registry import query, round_doubles
+from tickflow.session import per_session
 from tickflow.sources import fixtures as fx
 
 K = ["run_id", "topic"]
 
 
+@per_session
 def _report(spark, sf, with_zones: bool = False):
     t = ticks.tick_metrics(fx.messages(spark, sf), fx.runs(spark, sf), with_min_max=False)
     stream = stats.stream_summary(t)

@@ -10,11 +10,13 @@ from tickflow.functions.scalars import convert_units, elapsed_seconds, message_s
 from tickflow.operators import stats, ticks, windows
 from tickflow.plans import oracle as O
 from tickflow.plans.registry import query, round_doubles
+from tickflow.session import per_session
 from tickflow.sources import fixtures as fx
 
 K = ["run_id", "topic"]
 
 
+@per_session
 def summary_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tick metrics for the run summaries, which do not read the interval min/max."""
     return ticks.tick_metrics(fx.messages(spark, sf_dir), fx.runs(spark, sf_dir), with_min_max=False)
@@ -183,6 +185,7 @@ def q_progress_every_k(spark, sf):
 # ---------------------------------------------------------------------------------------
 # Ticks (J3, W6, W7, F5, F15, P4) and report pieces
 # ---------------------------------------------------------------------------------------
+@per_session
 def _ticks(spark, sf):
     return ticks.tick_metrics(fx.messages(spark, sf), fx.runs(spark, sf))
 

@@ -58,3 +58,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def per_session(fn):
+    """Memoise a ``(spark, sf_dir, *args) -> DataFrame`` builder per Spark application.
+
+    A DataFrame is an immutable plan: handing the same object to several queries skips only the
+    Python-side construction and analysis, every action still runs the whole plan."""
+    cache: dict = {}
+
+    def wrapper(spark, sf_dir, *args, **kwargs):
+        prepare(spark)
+        key = (spark.sparkContext.applicationId, sf_dir, args, tuple(sorted(kwargs.items())))
+        if key not in cache:
+            cache[key] = fn(spark, sf_dir, *args, **kwargs)
+        return cache[key]
+
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    wrapper.__wrapped__ = fn
+    return wrapper

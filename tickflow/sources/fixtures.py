@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickflow.operators.scale import dense_index
-from tickflow.session import prepare
+from tickflow.session import per_session, prepare
 
 # ---------------------------------------------------------------------------------------
 # Fixed values of the projection (FIXTURES.md)
@@ -38,6 +38,7 @@ RUN_ID = "run-1"
 HOUR_US = 3600 * 1000000
 
 
+@per_session
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver's events table plus the derived columns every projection uses, computed once
     per row: ``k`` (from the JSON props), ``cents`` and ``us``."""
@@ -72,6 +73,7 @@ def compression_col(topic: str = "event_type") -> Column:
     return expr.cast("long")
 
 
+@per_session
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """point-cloud message log, one row per message."""
     e = events(spark, sf_dir)
@@ -97,6 +99,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one row per (run, topic): start, configured duration and tick rate."""
     topics = events(spark, sf_dir).select(F.col("event_type").alias("topic")).distinct()
@@ -112,6 +115,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 ZONE_COLS = [f"zone_{z}_millic" for z in ("cpu", "gpu", "aux", "ao", "pmic", "tboard", "tdiode")]
 
 
+@per_session
 def system_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """host samples at 1 Hz from the ``view`` events."""
     e = events(spark, sf_dir).where(F.col("event_type") == "view").withColumn("host", F.lit("h0"))
@@ -140,6 +144,7 @@ def system_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def process_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """per-process rows per host sample (h0: 4-hour samples, h1: 1-hour samples)."""
     e = events(spark, sf_dir).select("user_id", us_col().alias("us"), cents_col().alias("cents"))
@@ -167,6 +172,7 @@ def process_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """diagnostic statuses with key/value lists (duplicate keys and odd numbers included)."""
     e = events(spark, sf_dir)
@@ -200,6 +206,7 @@ def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def metrics_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positional metrics vectors, cut to 6 values on every 13th event."""
     e = events(spark, sf_dir)
@@ -216,6 +223,7 @@ def metrics_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def system_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positional system vectors: 7 base + 20 interleaved slots + 7 zones = 54 values,
     cut to 47, 46, 7, 6 or 0 values when ``event_id % 17`` is 1..5."""
@@ -243,6 +251,7 @@ def system_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """recorded series in long form, one series per event type; every 11th value NaN."""
     m = messages(spark, sf_dir).select("run_id", F.col("topic").alias("series"), "seq", "arrival_us")
@@ -258,6 +267,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def thermal_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day rows of temperature and ARM clock from the ``error`` events."""
     e = events(spark, sf_dir).where(F.col("event_type") == "error")
@@ -269,6 +279,7 @@ def thermal_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Journal lines with priority."""
     e = events(spark, sf_dir)
