@@ -202,7 +202,7 @@ def q_positional_zip(spark, sf):
 # Processes
 # ---------------------------------------------------------------------------------------
 _TOP_SQL = """top AS (
-  SELECT *, row_number() OVER (PARTITION BY run_id, host, sample_seq ORDER BY rss_bytes DESC, pid ASC) AS rank
+  SELECT *, CAST(row_number() OVER (PARTITION BY run_id, host, sample_seq ORDER BY rss_bytes DESC, pid ASC) AS INTEGER) AS rank
   FROM process_samples QUALIFY rank <= 20)"""
 
 
@@ -231,7 +231,7 @@ _PAD_SQL = """padded AS (
                   WHEN t.pid > 0 THEN 'PID:' || CAST(t.pid AS VARCHAR) ELSE '' END, '') AS display_name,
     coalesce(CAST(t.rss_bytes AS DOUBLE) / 1048576e0, 0e0) AS memory_mb, coalesce(t.cpu_percent, 0e0) AS cpu_percent,
     coalesce(substr(t.cmdline, 1, 200), '') AS cmdline, coalesce(t.exe, '') AS exe, coalesce(t.cwd, '') AS cwd
-  FROM (SELECT DISTINCT run_id, host, sample_seq, unnest(range(1, 21)) AS rank FROM top) g
+  FROM (SELECT DISTINCT run_id, host, sample_seq, CAST(unnest(range(1, 21)) AS INTEGER) AS rank FROM top) g
   LEFT JOIN top t USING (run_id, host, sample_seq, rank))"""
 
 

@@ -46,8 +46,8 @@ def q_live_gauges(spark, sf):
         O.EV,
         O.MESSAGES,
         body="""SELECT run_id, topic, (arrival_us // 1000000) * 1000000 AS window_start_us, count(*) AS messages,
-  sum(CASE WHEN data_len > 0 THEN data_len ELSE CAST(width AS BIGINT) * height * point_step END) AS bytes,
-  sum(CAST(width AS BIGINT) * height) AS points
+  CAST(sum(CASE WHEN data_len > 0 THEN data_len ELSE CAST(width AS BIGINT) * height * point_step END) AS BIGINT) AS bytes,
+  CAST(sum(CAST(width AS BIGINT) * height) AS BIGINT) AS points
 FROM messages GROUP BY run_id, topic, (arrival_us // 1000000) * 1000000
 HAVING (arrival_us // 1000000) * 1000000 + 1000000 <= (SELECT max(arrival_us) FROM messages) - 10000000""",
     ),

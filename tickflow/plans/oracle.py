@@ -203,7 +203,7 @@ DIAGNOSTICS = f"""diagnostics AS (
           {{'key': 'odd', 'value': ({_ODD})[k % 8 + 1]}}] AS "values"
   FROM ev),
 kv AS (
-  SELECT run_id, diag_seq, ts_us, name, p.pos - 1 AS pos, p.kv.key AS key, p.kv.value AS value
+  SELECT run_id, diag_seq, ts_us, name, CAST(p.pos - 1 AS INTEGER) AS pos, p.kv.key AS key, p.kv.value AS value
   FROM diagnostics, LATERAL (SELECT unnest(generate_series(1, len("values"))) AS pos, unnest("values") AS kv) p)"""
 
 _FULL_M = "[value, CAST(k AS DOUBLE), value * 2, 1.5e0, CAST(event_id AS DOUBLE), 0e0, 0e0, 0e0, value * 3]"

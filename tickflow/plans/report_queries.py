@@ -136,7 +136,7 @@ _MT = report.METRICS_TABLE_ROWS
     "metrics_table",
     _rsql(
         "SELECT run_id, topic, ord, metric, round(value, 6) AS value, unit FROM report, LATERAL (SELECT "
-        + f"unnest(range(0, {len(_MT)})) AS ord, "
+        + f"CAST(unnest(range(0, {len(_MT)})) AS INTEGER) AS ord, "
         + "unnest([" + ", ".join(f"'{m}'" for m, _, _ in _MT) + "]) AS metric, "
         + "unnest([" + ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0e0)" for _, c, _ in _MT) + "]) AS value, "
         + "unnest([" + ", ".join(f"'{u}'" for _, _, u in _MT) + "]) AS unit)"

@@ -262,7 +262,7 @@ def q_scale_time_axis(spark, sf):
 
 # process slots by rank (A7) and labels (J4), from the padded top-N of F4
 _SLOTS_SQL = """top AS (
-  SELECT *, row_number() OVER (PARTITION BY run_id, host, sample_seq ORDER BY rss_bytes DESC, pid ASC) AS rank
+  SELECT *, CAST(row_number() OVER (PARTITION BY run_id, host, sample_seq ORDER BY rss_bytes DESC, pid ASC) AS INTEGER) AS rank
   FROM process_samples QUALIFY rank <= 20),
 labels AS (
   SELECT run_id, host, rank - 1 AS slot, arg_max(name, sample_seq) AS name FROM top GROUP BY ALL),
@@ -371,7 +371,7 @@ _VERDICT = " OR ".join(f"contains(lower(line), '{p}')" for p in ["oom", "out of
 
 @query(
     "health_verdict",
-    _health_sql(f"SELECT day, bool_or({_VERDICT}) AS unhealthy, sum(CASE WHEN {_VERDICT} THEN 1 ELSE 0 END) AS bad_lines FROM log_lines GROUP BY day"),
+    _health_sql(f"SELECT day, bool_or({_VERDICT}) AS unhealthy, CAST(sum(CASE WHEN {_VERDICT} THEN 1 ELSE 0 END) AS BIGINT) AS bad_lines FROM log_lines GROUP BY day"),
 )
 def q_health_verdict(spark, sf):
     return health.health_verdict(_logs(spark, sf))

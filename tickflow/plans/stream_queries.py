@@ -313,8 +313,8 @@ def q_silent_topics(spark, sf):
     "tumbling_windows",
     _sql(
         """SELECT run_id, topic, (arrival_us - 1704067200000000) // 1000000 AS window_s, count(*) AS messages,
-  sum(CASE WHEN data_len > 0 THEN data_len ELSE CAST(width AS BIGINT) * height * point_step END) AS bytes,
-  sum(CAST(width AS BIGINT) * height) AS points
+  CAST(sum(CASE WHEN data_len > 0 THEN data_len ELSE CAST(width AS BIGINT) * height * point_step END) AS BIGINT) AS bytes,
+  CAST(sum(CAST(width AS BIGINT) * height) AS BIGINT) AS points
 FROM messages GROUP BY ALL"""
     ),
 )
