@@ -47,6 +47,7 @@ def test_oracle_parity(spark, duck, name):
 
     res = compare(spark, name, SF_MID if FULL else SF_SMALL, duck)
     assert res.get("cols_match"), res
+    assert res.get("types_match"), res
     assert res.get("match"), res
 
 

@@ -70,6 +70,10 @@ def compare(spark, name: str, sf_dir: str, con, show: int = 5) -> dict:
     res["duck_rows"] = len(drows)
     res["duck_s"] = round(time.time() - t1, 2)
     res["cols_match"] = sorted(scols) == sorted(dcols)
+    dtypes = {d[0]: str(d[1]) for d in cur.description}
+    spark_types = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+    same = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "DOUBLE[]": "array<double>"}
+    res["types_match"] = all(same.get(dtypes[c], dtypes[c]) == spark_types.get(c) for c in dcols)
     if not res["cols_match"]:
         res["spark_only"] = sorted(set(scols) - set(dcols))
         res["duck_only"] = sorted(set(dcols) - set(scols))
