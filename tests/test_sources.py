@@ -81,7 +81,9 @@ def test_thermal_csv_empty_day(spark):
 def test_sinks_skip_empty_and_append(spark):
     d = _tmp()
     empty = spark.createDataFrame([], "run_id string, checkpoint long, v double")
-    assert sinks.write_checkpoints(empty, os.path.join(d, "c")) is False
+    sinks.write_checkpoints(empty, os.path.join(d, "c"))
+    assert not [x for x in os.listdir(os.path.join(d, "c")) if x.startswith("run_id=")]
+    assert sinks.write_series_snapshot(spark.createDataFrame([], "run_id string, v double"), os.path.join(d, "s")) is False
     one = spark.createDataFrame([Row(run_id="r", checkpoint=1, v=1.0)])
     assert sinks.write_checkpoints(one, os.path.join(d, "c"))
     assert sinks.write_checkpoints(one.withColumn("checkpoint", F.lit(2).cast("long")), os.path.join(d, "c"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,16 +22,20 @@ def write_series_snapshot(series: DataFrame, path: str) -> bool:
 
     Written as JSON lines partitioned by run (one row per sample), not as one document per
     run: a whole run in one document would pass an unbounded group through one task."""
-    if not series.head(1):
-        return False
-    series.write.mode("overwrite").partitionBy("run_id").json(path)
-    return True
+    # persisted so the emptiness probe and the write share one evaluation of the plan
+    series = series.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if not series.head(1):
+            return False
+        series.write.mode("overwrite").partitionBy("run_id").json(path)
+        return True
+    finally:
+        series.unpersist()
 
 
 def write_checkpoints(checkpoints: DataFrame, path: str) -> bool:
-    """One folder per (run, checkpoint), appended, never overwritten; empty → skipped."""
-    if not checkpoints.head(1):
-        return False
+    """One folder per (run, checkpoint), appended, never overwritten; an empty input adds no
+    partition folder (no probe job: appending nothing writes no data files)."""
     checkpoints.write.mode("append").partitionBy("run_id", "checkpoint").parquet(path)
     return True
 
