@@ -78,3 +78,26 @@ def per_session(fn):
     wrapper.__doc__ = fn.__doc__
     wrapper.__wrapped__ = fn
     return wrapper
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tickflow`` importable in the Python workers (needed by the pandas-backed streaming
+    operator): the package is zipped into the shared checkpoint folder and added with
+    ``addPyFile``, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+    import uuid
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(checkpoint_dir(spark).replace("file:", ""), f"tickflow-py-{uuid.uuid4().hex[:8]}")
+    if "://" in target:  # remote storage: stage locally, Spark distributes the file
+        target = os.path.join(tempfile.mkdtemp(prefix="tickflow-py-"), "tickflow")
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    archive = shutil.make_archive(target, "zip", root_dir=os.path.dirname(pkg_dir), base_dir="tickflow")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)

@@ -115,6 +115,9 @@ def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState, n: int) -> Itera
 def live_gauges(stream: DataFrame, n: int = WINDOW_SIZE, keys: Sequence[str] = ("run_id", "topic")) -> DataFrame:
     """Per-message last-N gauges on a message stream (same values as the batch
     :func:`tickflow.operators.windows.message_gauges`)."""
+    from tickflow.session import ship_package
+
+    ship_package(stream.sparkSession)
     src = stream.select(*keys, "seq", "arrival_us", message_size().alias("size"), point_count().alias("points"))
 
     def fn(key, pdfs, state):
