@@ -130,7 +130,15 @@ def q_series_snapshot(spark, sf):
     return back.select("run_id", "series", "idx", "elapsed_us", "value")
 
 
-@query("report_tables_sink")
+@query(
+    "report_tables_sink",
+    O.with_ctes(
+        O.EV,
+        O.RUNS,
+        body="""SELECT run_id, topic, t.tbl AS "table", CAST(t.ord AS INTEGER) AS ord FROM runs, LATERAL (
+  SELECT 'summary' AS tbl, unnest(range(0, 4)) AS ord UNION ALL SELECT 'metrics', unnest(range(0, 17))) t""",
+    ),
+)
 def q_report_tables_sink(spark, sf):
     """The report tables written as parquet, read back with their names."""
     path = sinks.scratch_path(spark, "tables")

@@ -198,7 +198,17 @@ def q_system_table(spark, sf):
     return round_doubles(report.system_table(_report(spark, sf, with_zones=True)))
 
 
-@query("run_info_table")
+@query(
+    "run_info_table",
+    _rsql(
+        """SELECT r.run_id, r.topic, ord, label, value FROM report r JOIN runs USING (run_id, topic), LATERAL (
+  SELECT unnest([0, 1, 2, 3, 4]) AS ord,
+         unnest(['Test Start Time', 'Test End Time', 'Duration (seconds)', 'Performance Rating', 'Stability Rating']) AS label,
+         unnest([strftime(make_timestamp(runs.start_us), '%Y-%m-%dT%H:%M:%S'),
+                 strftime(make_timestamp(runs.start_us + CAST(r.duration_seconds * 1e6 AS BIGINT)), '%Y-%m-%dT%H:%M:%S'),
+                 CAST(r.duration_seconds AS VARCHAR), coalesce(r.performance_rating, 'N/A'), coalesce(r.stability_rating, 'N/A')]) AS value)"""
+    ),
+)
 def q_run_info_table(spark, sf):
     return report.run_info_table(_report(spark, sf))
 
