@@ -36,9 +36,11 @@ def top_processes(procs: DataFrame, n: int = TOP_SLOTS) -> DataFrame:
 def pad_slots(top: DataFrame, n: int = TOP_SLOTS) -> DataFrame:
     """Exactly n slots per sample; missing slots are '' / pid 0 / 0.0 MB / 0.0 %.
 
-    The slot grid comes from exploding ``sequence(1, n)`` per sample (a generator, no join
-    with a separate range table), then a left join with the ranked rows."""
-    samples = top.select(*SAMPLE_KEYS).distinct()
+    The slot grid comes from exploding ``sequence(1, n)`` per sample, taken from its rank-1 row
+    (a generator, no distinct and no join with a separate range table), then a left join with
+    the ranked rows."""
+    # every sample with at least one process has exactly one rank-1 row: no distinct needed
+    samples = top.where(F.col("rank") == 1).select(*SAMPLE_KEYS)
     grid = samples.select(*SAMPLE_KEYS, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rank"))
     j = grid.join(top, [*SAMPLE_KEYS, "rank"], "left")
     return j.select(
