@@ -28,6 +28,20 @@ def thermal_clock_summary(csv: DataFrame) -> DataFrame:
     )
 
 
+def thermal_day_status(expected_days: DataFrame, csv: DataFrame) -> DataFrame:
+    """A10 per expected day: the summary when the day has rows, else status ``no data``
+    (a day whose file is missing is reported by the reader as ``no CSV``)."""
+    summary = thermal_clock_summary(csv)
+    j = expected_days.select("day").distinct().join(summary, "day", "left")
+    return j.select(
+        "day",
+        F.when(F.col("rows").isNull(), F.lit("no data")).otherwise(F.lit("ok")).alias("status"),
+        F.coalesce(F.col("rows"), F.lit(0)).alias("rows"),
+        "avg_temp_c",
+        "max_temp_c",
+    )
+
+
 def log_pattern_report(logs: DataFrame, patterns: list[str] = LOG_FAILURE_PATTERNS) -> DataFrame:
     """Per day and failure pattern, the number of lines containing it (any case).
     The pattern list is a literal array exploded per line, so the work is one pass plus a

@@ -332,6 +332,21 @@ def q_thermal_clock_summary(spark, sf):
     return round_doubles(health.thermal_clock_summary(t))
 
 
+@query(
+    "thermal_day_status",
+    _health_sql(
+        """SELECT d.day, CASE WHEN t.n IS NULL THEN 'no data' ELSE 'ok' END AS status, coalesce(t.n, 0) AS rows,
+  round(t.a, 6) AS avg_temp_c, round(t.m, 6) AS max_temp_c
+FROM (SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events) d
+LEFT JOIN (SELECT day, count(*) AS n, avg(temp_c) AS a, greatest(max(temp_c), 0e0) AS m FROM thermal_csv GROUP BY day) t USING (day)"""
+    ),
+)
+def q_thermal_day_status(spark, sf):
+    days = fx.events(spark, sf).select(F.date_format(F.to_date("ts"), "yyyy-MM-dd").alias("day"))
+    t = fx.thermal_csv(spark, sf).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return round_doubles(health.thermal_day_status(days, t))
+
+
 _PATTERNS = "['oom', 'out of memory', 'watchdog', 'segfault', 'backtrace', 'panic', 'GPU hang', 'I/O error', 'fatal', 'emergency']"
 
 
