@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tickflow.operators import windows
 from tickflow.sources import fixtures as fx
-from tickflow.sources import readers
 from tickflow.streaming import live
 
 from conftest import SF_SMALL

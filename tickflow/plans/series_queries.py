@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickflow.functions import rules
 from tickflow.functions.scalars import checkpoint_label, time_axis_divisor, time_axis_unit
-from tickflow.operators import align, health, processes, stats, windows
+from tickflow.operators import align, health, stats, windows
 from tickflow.plans import oracle as O
 from tickflow.plans.registry import query, round_doubles
 from tickflow.sources import fixtures as fx
