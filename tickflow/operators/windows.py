@@ -103,50 +103,47 @@ def message_gauges(
         b = sliding_min_max(b, part, "idx", "interval_us", n, min_col="_imin", max_col="_imax")
     b = b.where(~F.col("_halo"))
 
-    # W2 over the last n intervals (row i carries the interval ending at i)
-    n_int = F.least(idx, F.lit(n)).cast("long")
-    span_int = F.when(idx >= n, t - F.col("_tn")).otherwise(t - F.col("_t0"))
-    sumsq = F.coalesce(F.col("_cs2"), F.lit(0).cast(DEC)) - F.coalesce(F.col("_cs2n"), F.lit(0).cast(DEC))
-    var_num = (n_int.cast(DEC) * sumsq - span_int.cast(DEC) * span_int.cast(DEC)).cast("double")
-    var_us2 = var_num / (n_int * n_int).cast("double")
-    # W3 over the last n timestamps
-    n_ts = F.least(idx + 1, F.lit(n)).cast("long")
-    span_ts = F.when(idx >= n - 1, t - F.col("_tn1")).otherwise(t - F.col("_t0"))
-    size_w = F.col("cum_size") - F.coalesce(F.col("_csz"), F.lit(0))
-    points_w = F.col("cum_points") - F.coalesce(F.col("_cpt"), F.lit(0))
-
+    # The per-row formulas as SQL expressions (one JVM call each instead of one per operator).
+    # W2 over the last n intervals (row i carries the interval ending at i); W3 over the last n
+    # timestamps; frame sums are differences of running sums.
+    n_int = f"CAST(least(idx, {n}) AS BIGINT)"
+    span_int = f"(CASE WHEN idx >= {n} THEN arrival_us - _tn ELSE arrival_us - _t0 END)"
+    zero = f"CAST(0 AS {DEC})"
+    sumsq = f"(coalesce(_cs2, {zero}) - coalesce(_cs2n, {zero}))"
+    var_us2 = (
+        f"(CAST(CAST({n_int} AS {DEC}) * {sumsq} - CAST({span_int} AS {DEC}) * CAST({span_int} AS {DEC}) AS DOUBLE)"
+        f" / CAST({n_int} * {n_int} AS DOUBLE))"
+    )
+    n_ts = f"CAST(least(idx + 1, {n}) AS BIGINT)"
+    span_ts = f"(CASE WHEN idx >= {n - 1} THEN arrival_us - _tn1 ELSE arrival_us - _t0 END)"
+    size_w = "(cum_size - coalesce(_csz, 0))"
+    points_w = "(cum_points - coalesce(_cpt, 0))"
+    exprs = {
+        "n_intervals": n_int,
+        "current_hz": f"CASE WHEN {n_int} > 0 THEN CASE WHEN {span_int} = 0 THEN double('inf') "
+        f"ELSE CAST({n_int} AS DOUBLE) * 1000000D / CAST({span_int} AS DOUBLE) END END",
+        "jitter_ms": f"CASE WHEN {n_int} > 0 THEN sqrt({var_us2}) / 1000D END",
+    }
+    if with_min_max:
+        exprs["min_interval_ms"] = "CAST(_imin AS DOUBLE) / 1000D"
+        exprs["max_interval_ms"] = "CAST(_imax AS DOUBLE) / 1000D"
+    exprs.update(
+        {
+            "n_stamps": n_ts,
+            "avg_hz": f"CASE WHEN {span_ts} > 0 THEN CAST({n_ts} AS DOUBLE) * 1000000D / CAST({span_ts} AS DOUBLE) END",
+            "bandwidth_mbps": f"CASE WHEN {span_ts} > 0 THEN CAST({size_w} AS DOUBLE) * 8D / CAST({span_ts} AS DOUBLE) END",
+            "avg_message_size_kb": f"CAST({size_w} AS DOUBLE) / CAST({n_ts} AS DOUBLE) / 1024D",
+            "avg_points_per_message": f"CAST({points_w} AS DOUBLE) / CAST({n_ts} AS DOUBLE)",
+            "total_messages": "idx + 1",
+            "total_bytes": "cum_size",
+            "total_mb": "CAST(cum_size AS DOUBLE) / 1000000D",
+            "total_points": "cum_points",
+            "total_points_millions": "CAST(cum_points AS DOUBLE) / 1000000D",
+            "block": "_blk",
+        }
+    )
     out = b.select(
-        *keys,
-        "seq",
-        "idx",
-        "arrival_us",
-        "size",
-        "points",
-        "interval_us",
-        n_int.alias("n_intervals"),
-        F.when(n_int > 0, F.when(span_int == 0, F.lit(INF)).otherwise(n_int.cast("double") * F.lit(1e6) / span_int.cast("double"))).alias(
-            "current_hz"
-        ),
-        F.when(n_int > 0, F.sqrt(var_us2) / F.lit(1000.0)).alias("jitter_ms"),
-        *(
-            [
-                (F.col("_imin").cast("double") / F.lit(1000.0)).alias("min_interval_ms"),
-                (F.col("_imax").cast("double") / F.lit(1000.0)).alias("max_interval_ms"),
-            ]
-            if with_min_max
-            else []
-        ),
-        n_ts.alias("n_stamps"),
-        F.when(span_ts > 0, n_ts.cast("double") * F.lit(1e6) / span_ts.cast("double")).alias("avg_hz"),
-        F.when(span_ts > 0, size_w.cast("double") * F.lit(8.0) / span_ts.cast("double")).alias("bandwidth_mbps"),
-        (size_w.cast("double") / n_ts.cast("double") / F.lit(1024.0)).alias("avg_message_size_kb"),
-        (points_w.cast("double") / n_ts.cast("double")).alias("avg_points_per_message"),
-        (idx + 1).alias("total_messages"),
-        F.col("cum_size").alias("total_bytes"),
-        (F.col("cum_size").cast("double") / F.lit(1e6)).alias("total_mb"),
-        F.col("cum_points").alias("total_points"),
-        (F.col("cum_points").cast("double") / F.lit(1e6)).alias("total_points_millions"),
-        F.col("_blk").alias("block"),
+        *keys, "seq", "idx", "arrival_us", "size", "points", "interval_us", *[F.expr(e).alias(name) for name, e in exprs.items()]
     )
     return out
 
