@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickflow.functions.rules import stream_level
+from tickflow import schemas as S
 from tickflow.operators.windows import STREAM_KEYS, message_gauges
 from tickflow.schemas import RESET_SECONDS, WINDOW_SIZE
 
@@ -140,10 +140,28 @@ def tick_metrics(
     t = t.select("*", *[F.coalesce(F.lag(F.coalesce(F.col(src), F.lit(0)), 1).over(by_tick), F.lit(0)).alias(f"{dst}_prev") for src, dst in pairs])
     t = t.select("*", *[(F.coalesce(F.col(src), F.lit(0)) - F.first(f"{dst}_prev").over(in_group)).alias(dst) for src, dst in pairs])
     t = t.where(tick >= F.col("_f"))
-    window_s = (tick - F.col("_lr")).cast("double") * step / F.lit(1e6)
-    elapsed_s = tick.cast("double") * step / F.lit(1e6)
-    pps = F.col("_tp").cast("double") / window_s
-    lvl = stream_level("current_hz", "jitter_ms")
+    # per-tick formulas as SQL expressions (one JVM call each); the level rule is F5
+    step_sql = "(1000000D / tick_rate_hz)"
+    window_s = f"(CAST(tick - _lr AS DOUBLE) * {step_sql} / 1000000D)"
+    elapsed_s = f"(CAST(tick AS DOUBLE) * {step_sql} / 1000000D)"
+    pps = f"(CAST(_tp AS DOUBLE) / {window_s})"
+    low, jit = "coalesce(current_hz, 0D) < 5", "coalesce(jitter_ms, 0D) > 50"
+    exprs = {
+        "overall_avg_hz": f"CAST(total_messages AS DOUBLE) / {elapsed_s}",
+        "overall_bandwidth_mbps": f"CAST(total_bytes AS DOUBLE) / {elapsed_s} * 8D / 1000000D",
+        "total_messages": "total_messages",
+        "total_mb": "CAST(total_bytes AS DOUBLE) / 1000000D",
+        "avg_message_size_kb": "avg_message_size_kb",
+        "messages_per_second": f"CAST(_tm AS DOUBLE) / {window_s}",
+        "mbytes_per_second": f"CAST(_tb AS DOUBLE) / {window_s} / 1000000D",
+        "points_per_second": pps,
+        "kpoints_per_second": f"{pps} / 1000D",
+        "avg_points_per_message": "avg_points_per_message",
+        "total_points_millions": "CAST(total_points AS DOUBLE) / 1000000D",
+        "level": f"CASE WHEN {low} THEN {S.LEVEL_WARN} WHEN {jit} THEN {S.LEVEL_WARN} ELSE {S.LEVEL_OK} END",
+        "message": f"CASE WHEN {low} THEN '{S.MSG_LOW_FREQUENCY}' WHEN {jit} THEN '{S.MSG_HIGH_JITTER}' ELSE '{S.MSG_OPERATING_NORMALLY}' END",
+        "last_arrival_us": "arrival_us",
+    }
     return t.select(
         *keys,
         "tick",
@@ -154,20 +172,7 @@ def tick_metrics(
         "max_interval_ms",
         "avg_hz",
         "bandwidth_mbps",
-        (F.col("total_messages").cast("double") / elapsed_s).alias("overall_avg_hz"),
-        (F.col("total_bytes").cast("double") / elapsed_s * F.lit(8.0) / F.lit(1e6)).alias("overall_bandwidth_mbps"),
-        "total_messages",
-        (F.col("total_bytes").cast("double") / F.lit(1e6)).alias("total_mb"),
-        "avg_message_size_kb",
-        (F.col("_tm").cast("double") / window_s).alias("messages_per_second"),
-        (F.col("_tb").cast("double") / window_s / F.lit(1e6)).alias("mbytes_per_second"),
-        pps.alias("points_per_second"),
-        (pps / F.lit(1000.0)).alias("kpoints_per_second"),
-        "avg_points_per_message",
-        (F.col("total_points").cast("double") / F.lit(1e6)).alias("total_points_millions"),
-        lvl["level"].alias("level"),
-        lvl["message"].alias("message"),
-        (F.col("arrival_us")).alias("last_arrival_us"),
+        *[F.expr(e).alias(name) for name, e in exprs.items()],
     )
 
 
