@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tickflow.functions import rules
 from tickflow.functions.scalars import format_value
-from tickflow.schemas import RATING_NO_DATA
+from tickflow.schemas import RATING_NO_DATA, TEXT_SUMMARY_TITLE
 
 KEYS = ("run_id", "topic")
 
@@ -283,7 +283,7 @@ def text_summary(report: DataFrame) -> DataFrame:
     f2 = lambda c: F.format_string("%.2f", F.col(c))
     lines = [
         F.lit("=" * 60),
-        F.lit("LIDAR BENCHMARK SUMMARY"),
+        F.lit(TEXT_SUMMARY_TITLE),
         F.lit("=" * 60),
         F.lit("Frequency Performance:"),
         F.concat(F.lit("  Average: "), f2("average_hz"), F.lit(" Hz")),

@@ -71,6 +71,9 @@ MSG_MEMORY_CRITICAL = "Memory usage critical"
 MSG_MEMORY_HIGH = "High memory usage"
 MSG_SYSTEM_NORMAL = "System resources normal"
 
+# Title line of the console summary block.
+TEXT_SUMMARY_TITLE = "LIDAR BENCHMARK SUMMARY"
+
 # Ratings.
 RATING_EXCELLENT, RATING_GOOD, RATING_FAIR, RATING_POOR, RATING_NO_DATA = (
     "Excellent",
