@@ -46,13 +46,14 @@ def build_report(
     has = F.col("samples") > 0
     cpu = F.col("cpu_average_percent") if system is not None else None
     mem = F.col("memory_average_percent") if system is not None else None
-    return (
-        r.withColumn("performance_rating", rules.performance_rating("average_hz", has))
-        .withColumn("stability_rating", rules.stability_rating("average_ms", has))
-        .withColumn("recommendations", rules.recommendations("average_hz", "average_ms", "average_mbps", cpu, mem))
-        .withColumn("start_time", F.timestamp_micros("start_us"))
-        .withColumn("end_time", F.timestamp_micros(F.col("start_us") + (F.col("duration_s") * F.lit(1e6)).cast("long")))
-        .withColumnRenamed("duration_s", "duration_seconds")
+    return r.select(
+        *[c for c in r.columns if c != "duration_s"],
+        F.col("duration_s").alias("duration_seconds"),
+        rules.performance_rating("average_hz", has).alias("performance_rating"),
+        rules.stability_rating("average_ms", has).alias("stability_rating"),
+        rules.recommendations("average_hz", "average_ms", "average_mbps", cpu, mem).alias("recommendations"),
+        F.timestamp_micros("start_us").alias("start_time"),
+        F.timestamp_micros(F.col("start_us") + (F.col("duration_s") * F.lit(1e6)).cast("long")).alias("end_time"),
     )
 
 
