@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickflow.llm import hash_ring, quality, url_filter
+from tickflow.llm import hash_ring, prefix_bpe, quality, token_count, url_filter, warc
 from tickflow.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,12 +35,30 @@ def _op1(spark, table):
     return url_filter.judge(spark, table("pages"))
 
 
+@_query("op2_token_counts")
+def _op2(spark, table):
+    """Token counts of every whole text by the SentencePiece model."""
+    return token_count.token_counts(table("documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query("op4_prefix_bpe")
+def _op4(spark, table):
+    """Byte-level BPE of every whole text and back."""
+    return prefix_bpe.round_trip(table("documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @_query("op6_hash_ring")
 def _op6(spark, table):
     """Rows into shards 0 to 7 by a consistent-hash ring with bounded loads."""
     return hash_ring.sharded(spark, table("documents"))
 
 
+@_query("op7_warc", warc.ORACLE_SQL)
+def _op7(spark, table):
+    """Every page through Zstandard WARC archives and back."""
+    return warc.archived(spark, table("pages"))
+
+
 @_query("op8_quality_ledger", quality.ORACLE_SQL)
 def _op8(spark, table):
     """Rule bitmask ledger of every document and the production policy's verdict."""
