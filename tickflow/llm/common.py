@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,7 +152,7 @@ def _join(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
 def sliced(batch: pa.RecordBatch, name: str, limit: int = 4_000_000):
     """Cut a batch into runs of rows whose texts hold about `limit` bytes together (a longer
     text stands alone), so that what a task holds at once is bounded by bytes, not rows."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(name)), 0)).astype(np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(name)), 0)).astype(np.int64)
     ends = np.cumsum(size)
     at = 0
     while at < len(size):

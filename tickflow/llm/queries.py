@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickflow.llm import hash_ring, prefix_bpe, quality, token_count, url_filter, warc
+from tickflow.llm import hash_ring, jaccard_join, prefix_bpe, quality, token_count, url_filter, warc
 from tickflow.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,12 @@ def _op4(spark, table):
     return prefix_bpe.round_trip(table("documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@_query("op5_jaccard_join", jaccard_join.ORACLE_SQL)
+def _op5(spark, table):
+    """Components of documents with Jaccard similarity >= 0.85 on 4-word shingles."""
+    return jaccard_join.linked(spark, table("documents"))
+
+
 @_query("op6_hash_ring")
 def _op6(spark, table):
     """Rows into shards 0 to 7 by a consistent-hash ring with bounded loads."""

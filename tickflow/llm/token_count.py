@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,7 +122,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = OVER_LIMIT) -> D
         for batch in batches:
             for piece in sliced(batch, "text", 2_000_000):
                 texts = piece.column("text")
-                n_bytes = pa.compute.binary_length(texts).cast(pa.int64())
+                n_bytes = pc.binary_length(texts).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), n_bytes, pa.array(count(texts.to_pylist()), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
