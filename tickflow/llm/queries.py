@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickflow.llm import hash_ring, jaccard_join, prefix_bpe, quality, token_count, url_filter, warc
+from tickflow.llm import hash_ring, jaccard_join, langid, prefix_bpe, quality, substring_dedup, token_count, url_filter, warc
 from tickflow.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,15 @@ def _op7(spark, table):
 def _op8(spark, table):
     """Rule bitmask ledger of every document and the production policy's verdict."""
     return quality.rated(table("documents"))
+
+
+@_query("op9_langid")
+def _op9(spark, table):
+    """Language of every whole text by a linear-chain conditional random field."""
+    return langid.identified(table("documents"))
+
+
+@_query("op10_substring_dedup", substring_dedup.ORACLE_SQL)
+def _op10(spark, table):
+    """Words left of every text when windows that a smaller doc_id has go."""
+    return substring_dedup.removed(table("documents"))
