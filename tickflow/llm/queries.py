@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickflow.llm import hash_ring, jaccard_join, langid, prefix_bpe, quality, substring_dedup, token_count, url_filter, warc
+from tickflow.llm import decontaminate, hash_ring, jaccard_join, langid, prefix_bpe, quality, substring_dedup, token_count, url_filter, warc
 from tickflow.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,12 @@ def _op2(spark, table):
     return token_count.token_counts(table("documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@_query("op3_decontaminate")
+def _op3(spark, table):
+    """Benchmark items found in documents by SimHash windows and exact similarity."""
+    return decontaminate.leaks(spark, table("documents"), table("benchmark"))
+
+
 @_query("op4_prefix_bpe")
 def _op4(spark, table):
     """Byte-level BPE of every whole text and back."""
