@@ -135,7 +135,7 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` whose text holds no item."""
-    found = find(spark, docs, items).select(F.col("doc_id").alias("leak_doc"), F.col("tid").alias("leak_tid")).distinct()
+    found = written(spark, find(spark, docs, items).select(F.col("doc_id").alias("leak_doc"), F.col("tid").alias("leak_tid")).distinct(), "dc-found")
     names = docs.columns
     rows = docs.select(column(docs, "doc_id").alias("leak_key"), F.xxhash64(column(docs, "text")).alias("leak_text"), *[column(docs, n).alias(f"_{i}") for i, n in enumerate(names)])
     rows = rows.join(found, F.col("leak_key").eqNullSafe(F.col("leak_doc")) & (F.col("leak_text") == F.col("leak_tid")), "left_anti")

@@ -242,23 +242,47 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         names = np.array([*model.labels, UNKNOWN], object)
         for batch in batches:
             for piece in sliced(batch, "text", 2_000_000):
-                texts = piece.column("text")
-                lang, score = np.full(len(texts), len(model.labels)), np.zeros(len(texts))
-                if model.labels and texts.null_count < len(texts):
-                    f = Features(texts)
-                    gamma = forward_backward(model.emissions(f), model.transitions, f.resets())
-                    total = np.concatenate([np.zeros((1, len(model.labels))), np.cumsum(gamma, axis=0)])
-                    bounds = f.words.bounds
-                    share = total[bounds[1:]] - total[bounds[:-1]]
-                    n = np.diff(bounds)
-                    some = n > 0
-                    lang[some] = np.round(share[some], 9).argmax(axis=1)
-                    score[some] = np.clip(share[some].max(axis=1) / n[some], 0, 1)
+                lang, score = _scores(piece.column("text"), model)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(names[lang], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of `docs`, all columns, whose text has a letter and a language of score >= least
+    (a model without labels rejects letterless texts only)."""
+    names = docs.columns
+    text = column(docs, "text")
+    rows = docs.select(*[column(docs, n).alias(f"_{i}") for i, n in enumerate(names)], F.when(text.rlike("\\p{L}"), text).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            for piece in sliced(batch, "text", 2_000_000):
+                keep = np.asarray(piece.column("text").is_valid())
+                if model.labels:
+                    _, score = _scores(piece.column("text"), model)
+                    keep = keep & (score >= least)
+                yield piece.select(range(len(names))).filter(pa.array(keep))
+
+    kept = rows.mapInArrow(run, rows.drop("text").schema)
+    return kept.select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)])
+
+
+def _scores(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the predicted label (len(labels): unknown) and score of each text."""
+    lang, score = np.full(len(texts), len(model.labels)), np.zeros(len(texts))
+    if model.labels and texts.null_count < len(texts):
+        f = Features(texts)
+        gamma = forward_backward(model.emissions(f), model.transitions, f.resets())
+        total = np.concatenate([np.zeros((1, len(model.labels))), np.cumsum(gamma, axis=0)])
+        bounds = f.words.bounds
+        share, n = total[bounds[1:]] - total[bounds[:-1]], np.diff(bounds)
+        some = n > 0
+        lang[some] = np.round(share[some], 9).argmax(axis=1)
+        score[some] = np.clip(share[some].max(axis=1) / n[some], 0, 1)
+    return lang, score
+
+
 def spans(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, first_word, n_words, lang of every run of words of one label (the most probable label
     of each word); texts without a letter have none."""

@@ -239,27 +239,39 @@ def coder(ranks_path: str, pattern: str) -> Coder:
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (array of int), decoded (binary) of every row."""
-    return _mapped(docs, ranks_path, pattern, "ids array<int>, decoded binary", lambda p, d: (np.frombuffer(p, "<i4").tolist(), d))
+    """doc_id, n_tokens, ids (array of int), decoded_sha256 of every row."""
+
+    def columns(packed: list[bytes], decoded: list[bytes]):
+        sizes = [len(p) // 4 for p in packed]
+        flat = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
+        return [pa.array(sizes, pa.int64()), ids, _sha256(decoded)]
+
+    return _mapped(docs, ranks_path, pattern, "n_tokens bigint, ids array<int>, decoded_sha256 string", columns)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """The query's digest: doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    digest = lambda b: hashlib.sha256(b).hexdigest()
-    return _mapped(docs, ranks_path, pattern, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", lambda p, d: (len(p) // 4, digest(p), digest(d)))
+
+    def columns(packed: list[bytes], decoded: list[bytes]):
+        return [pa.array([len(p) // 4 for p in packed], pa.int64()), _sha256(packed), _sha256(decoded)]
+
+    return _mapped(docs, ranks_path, pattern, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", columns)
+
+
+def _sha256(values: list[bytes]) -> pa.Array:
+    return pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())
 
 
-def _mapped(docs: DataFrame, ranks_path: str, pattern: str, fields: str, make) -> DataFrame:
+def _mapped(docs: DataFrame, ranks_path: str, pattern: str, fields: str, columns) -> DataFrame:
     rows = docs.select(column(docs, "doc_id").alias("doc_id"), F.coalesce(column(docs, "text"), F.lit("")).alias("text"))
-    kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
-    names, types = zip(*((n, kinds[k]) for n, k in (f.split() for f in fields.split(", "))))
+    names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches):
         code = coder(ranks_path, pattern)
         for batch in batches:
             for piece in sliced(batch, "text", 2_000_000):
-                out = [make(packed, code.decode(packed)) for packed in code.encode(piece.column("text").to_pylist())]
-                columns = [pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *columns], ["doc_id", *names])
+                packed = code.encode(piece.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *columns(packed, [code.decode(p) for p in packed])], ["doc_id", *names])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {fields}")
