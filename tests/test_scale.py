@@ -29,14 +29,24 @@ def test_rolling_mean_small_blocks(spark):
     _same(windows.rolling_mean_samples(s, n=60), windows.rolling_mean_samples(s, n=60, block_rows=64, bucket_width=16))
 
 
-def test_asof_small_time_blocks(spark):
+def test_asof_small_blocks(spark):
     m = fx.messages(spark, SF_SMALL).select("run_id", "topic", "seq", "arrival_us").cache()
-    s = fx.system_samples(spark, SF_SMALL).cache()
+    s = fx.system_samples(spark, SF_SMALL).where("host = 'view'").cache()
     big = align.align_asof(m, s, ["run_id"], "arrival_us", "sample_us", ["sample_seq"])
-    small = align.align_asof(m, s, ["run_id"], "arrival_us", "sample_us", ["sample_seq"], block_us=5_000_000)
+    small = align.align_asof(m, s, ["run_id"], "arrival_us", "sample_us", ["sample_seq"], block_rows=50, bucket_us=5_000_000)
     _same(big, small)
 
 
+def test_asof_blocks_grow_with_the_rows(spark):
+    """A busy key gets as many blocks as its rows need."""
+    counts = []
+    for n in (1000, 10000):
+        df = spark.range(n).select(F.lit("r").alias("run_id"), F.col("id").alias("t"))
+        blocks = scale.dense_index(df, ["run_id"], "t", bucket_width=2 * align.ASOF_BUCKET_US, idx_col="_pos").select(F.expr("_pos div 100")).distinct().count()
+        counts.append(blocks)
+    assert counts == [10, 100]
+
+
 def test_blocked_carry_forward_equals_window(spark):
     df = spark.range(0, 3000).select(
         (F.col("id") % 3).alias("k"), F.col("id").alias("o"), F.when(F.col("id") % 17 == 0, F.col("id")).alias("v")

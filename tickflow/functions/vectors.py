@@ -61,5 +61,5 @@ def decode_system_vector(data: Column | str = "data") -> Column:
             F.when(has_slots, F.get(d, i * 2 + 8)).otherwise(nan).alias("cpu_percent"),
         ),
     )
-    zones = F.when(n > SYSTEM_VECTOR_MIN_LEN, F.slice(d, SYSTEM_VECTOR_MIN_LEN + 1, 64)).otherwise(F.array().cast("array<double>"))
+    zones = F.when(n > SYSTEM_VECTOR_MIN_LEN, F.slice(d, F.lit(SYSTEM_VECTOR_MIN_LEN + 1), n - SYSTEM_VECTOR_MIN_LEN)).otherwise(F.array().cast("array<double>"))
     return F.struct(*base, slots.alias("slots"), zones.alias("zones"))

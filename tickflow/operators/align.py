@@ -1,7 +1,7 @@
 """Alignment and context joins (J1, J2, J4-J8, tumbling counts).
 
 The as-of alignment is a union of both sides ordered by time and a last-non-null fill, done
-in time blocks (:func:`tickflow.operators.scale.blocked_carry_forward`) so that one busy key
+in blocks of rows (:func:`tickflow.operators.scale.blocked_carry_forward`) so that one busy key
 is spread over many tasks. Catalyst's private as-of join is not used (it rewrites into a join
 plus aggregate over all candidate pairs).
 """
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tickflow.operators.scale import DEFAULT_BUCKET_WIDTH, blocked_carry_forward, dense_index
 
-ASOF_BLOCK_US = 3600 * 1000000  # one hour of µs per block
+ASOF_BLOCK_ROWS = 1 << 16
+ASOF_BUCKET_US = 1000000  # rows are ranked inside a second, then cut into blocks by row number
 
 
 def align_asof(
@@ -27,14 +28,16 @@ def align_asof(
     right_cols: Sequence[str],
     *,
     tolerance_us: int | None = None,
-    block_us: int = ASOF_BLOCK_US,
+    block_rows: int = ASOF_BLOCK_ROWS,
+    bucket_us: int = ASOF_BUCKET_US,
     prefix: str = "r_",
 ) -> DataFrame:
     """For each left row, the latest right row with ``right_time <= left_time`` in ``by``.
 
     Right columns come back as ``r_<name>`` plus ``r_time``; NULL when no right row precedes or
     when it is older than ``tolerance_us``. Both times are µs longs. A right row at the same
-    instant as a left row is visible to it."""
+    instant as a left row is visible to it. The union of both sides is numbered in time order and
+    filled in blocks of ``block_rows`` rows, so a busy key has as many blocks as its rows need."""
     payload = F.struct(F.col(right_time).alias("time"), *[F.col(c).alias(c) for c in right_cols])
     lpayload = F.struct(*[F.col(c) for c in left.columns])
     rside = right.select(
@@ -44,7 +47,8 @@ def align_asof(
         *by, (F.col(left_time) * 2 + 1).alias("_ord"), F.lit(None).cast(rside.schema["_r"].dataType).alias("_r"), lpayload.alias("_l")
     )
     # left rows carry themselves through the fill: no row ids, no join back
-    filled = blocked_carry_forward(rside.unionByName(lside), by, "_ord", "_r", block_width=2 * block_us)
+    numbered = dense_index(rside.unionByName(lside), by, "_ord", bucket_width=2 * bucket_us, idx_col="_pos")
+    filled = blocked_carry_forward(numbered, by, "_pos", "_r", block_width=block_rows)
     out = filled.where(F.col("_l").isNotNull())
     r = F.col("_r")
     keep = F.lit(True) if tolerance_us is None else (F.col(f"_l.{left_time}") - r["time"] <= tolerance_us)

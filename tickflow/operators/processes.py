@@ -110,9 +110,11 @@ def system_summary(samples: DataFrame, keys: Sequence[str] = HOST_KEYS) -> DataF
 
 
 def temperature_summary(samples: DataFrame, temp_col: str = "cpu_temp_c", keys: Sequence[str] = HOST_KEYS) -> DataFrame:
-    """A4: avg/max/min of the CPU temperature over values > 0 only; no row when none."""
+    """A4: avg/max/min of the CPU temperature over values > 0 only (and their number); no row
+    when none."""
     t = samples.where(F.col(temp_col) > 0)
     return t.groupBy(*keys).agg(
+        F.count(temp_col).alias("samples"),
         F.avg(temp_col).alias("temperature_average_celsius"),
         F.max(temp_col).alias("temperature_max_celsius"),
         F.min(temp_col).alias("temperature_min_celsius"),
@@ -120,8 +122,10 @@ def temperature_summary(samples: DataFrame, temp_col: str = "cpu_temp_c", keys:
 
 
 def zone_summary(zone_long: DataFrame, keys: Sequence[str] = HOST_KEYS) -> DataFrame:
-    """A4: per discovered zone avg/max/min over all its values. Input: (keys, zone, celsius)."""
+    """A4: per discovered zone avg/max/min over all its values (and their number). Input: (keys,
+    zone, celsius)."""
     return zone_long.groupBy(*keys, "zone").agg(
+        F.count("celsius").alias("samples"),
         F.avg("celsius").alias("average_celsius"),
         F.max("celsius").alias("max_celsius"),
         F.min("celsius").alias("min_celsius"),

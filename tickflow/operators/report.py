@@ -28,16 +28,16 @@ def build_report(
     """Stream summary (A1) + host summary (A3) + temperature (A4) + ratings (F7, F8) +
     recommendations (F9) + start / end / configured duration, one row per (run, topic).
 
-    ``system`` / ``temperature`` / ``zones`` are per run (host rows are averaged over hosts
-    only when a run has several; here a run has one host). Missing blocks stay NULL and their
-    recommendation rules are skipped."""
+    ``system`` / ``temperature`` / ``zones`` have a row per host (and zone); a run's hosts are
+    taken together first: averages weighted by samples, largest and smallest values. Missing
+    blocks stay NULL and their recommendation rules are skipped."""
     r = stream.join(runs.select(*KEYS, "start_us", "duration_s"), list(KEYS), "left")
     if system is not None:
-        r = r.join(system.drop("host").withColumnRenamed("samples", "system_samples"), "run_id", "left")
+        r = r.join(_over_hosts(system, ["run_id"]).withColumnRenamed("samples", "system_samples"), "run_id", "left")
     if temperature is not None:
-        r = r.join(temperature.drop("host"), "run_id", "left")
+        r = r.join(_over_hosts(temperature, ["run_id"]).drop("samples"), "run_id", "left")
     if zones is not None:
-        zmap = zones.groupBy("run_id").agg(
+        zmap = _over_hosts(zones, ["run_id", "zone"]).groupBy("run_id").agg(
             F.map_from_entries(
                 F.collect_list(F.struct("zone", F.struct("average_celsius", "max_celsius", "min_celsius")))
             ).alias("jetson_temperatures")
@@ -57,6 +57,18 @@ def build_report(
     )
 
 
+def _over_hosts(summary: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per `keys` from a summary per host: its ``samples`` add up and weigh the averages."""
+    total = F.sum("samples")
+    out = []
+    for c in summary.columns:
+        if "average" in c:
+            out.append((F.sum(F.col(c) * F.col("samples")) / total).alias(c))
+        elif "max" in c or "min" in c:
+            out.append((F.max(c) if "max" in c else F.min(c)).alias(c))
+    return summary.groupBy(*keys).agg(total.alias("samples"), *out)
+
+
 def nested_report(report: DataFrame) -> DataFrame:
     """D7 shape of :func:`build_report` rows (for the JSON sink)."""
     cols = set(report.columns)
@@ -252,7 +264,8 @@ def performance_targets(report: DataFrame, spec_kpoints_per_sec: float | None =
 
 
 def run_metadata(report: DataFrame, outputs: DataFrame | None = None) -> DataFrame:
-    """Timestamp, duration, both ratings (``N/A`` default) and the real output count."""
+    """Timestamp, duration, both ratings (``N/A`` default) and the number of outputs, given
+    as rows (run_id, topic, output) of whatever was written for the report."""
     out = report.select(
         *KEYS,
         F.date_format("end_time", "yyyyMMdd_HHmmss").alias("timestamp"),
@@ -261,7 +274,7 @@ def run_metadata(report: DataFrame, outputs: DataFrame | None = None) -> DataFra
         F.coalesce("stability_rating", F.lit("N/A")).alias("stability_rating"),
     )
     if outputs is not None:
-        counts = outputs.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("outputs"))
+        counts = outputs.groupBy(*KEYS).agg(F.countDistinct("output").alias("outputs"))
         out = out.join(counts, list(KEYS), "left").withColumn("outputs", F.coalesce("outputs", F.lit(0)))
     return out
 

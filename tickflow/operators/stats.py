@@ -23,7 +23,8 @@ def _kv(c: str, rounded: bool, places: int = 3) -> Column:
     x = f"coalesce(CAST(`{c}` AS DOUBLE), 0D)"
     if not rounded:
         return F.expr(x)
-    return F.expr(f"CASE WHEN isnan({x}) OR abs({x}) = double('inf') THEN {x} ELSE floor({x} * 1e{places}D + 0.5D) / 1e{places}D END")
+    exact = float(1 << 53) / 10**places  # beyond it a double has no digit to round
+    return F.expr(f"CASE WHEN isnan({x}) OR abs({x}) >= {exact!r}D THEN {x} ELSE floor({x} * 1e{places}D + 0.5D) / 1e{places}D END")
 
 
 def population_std(col: Column) -> Column:
@@ -139,7 +140,9 @@ def cumulative_checkpoints(
     value_col: str = "value",
 ) -> DataFrame:
     """At every checkpoint k·interval (and once at the run end when the duration is not a
-    multiple) statistics over all samples with elapsed <= the checkpoint, NaN skipped.
+    multiple) statistics over all samples with elapsed <= the checkpoint, NaN skipped. Samples
+    after the run's end belong to no checkpoint. The variance is taken around the series' mean,
+    so a large offset doesn't cancel it.
 
     Partials (n, Σ, Σ², min, max) per interval bucket first; the cumulative step is a running
     window over the bucket table, which has one row per interval per series. ``runs`` gives
@@ -147,16 +150,20 @@ def cumulative_checkpoints(
     iv = int(round(interval_s * 1e6))
     v = valid(F.col(value_col))
     b = F.expr(f"CAST(ceil(elapsed_us / {iv}D) AS BIGINT)")
-    parts = series.groupBy(*keys, b.alias("bucket")).agg(
+    dur = runs.select(*run_keys, (F.col("duration_s") * F.lit(1e6)).cast("long").alias("_dur_us"))
+    series = series.join(dur, list(run_keys)).where(F.col("elapsed_us") <= F.col("_dur_us"))
+    centre = series.groupBy(*keys).agg(F.coalesce(F.avg(F.when(F.abs(v) < float("inf"), v)), F.lit(0.0)).alias("_c"))
+    series = series.join(centre, list(keys))
+    shifted = v - F.col("_c")
+    parts = series.groupBy(*keys, b.alias("bucket"), "_c").agg(
         F.count(F.lit(1)).alias("_cnt"),
         F.count(v).alias("_n"),
-        F.sum(v).alias("_s"),
-        F.sum(v * v).alias("_s2"),
+        F.sum(shifted).alias("_s"),
+        F.sum(shifted * shifted).alias("_s2"),
         F.min(v).alias("_mn"),
         F.max(v).alias("_mx"),
         F.max("elapsed_us").alias("_last_us"),
     )
-    dur = runs.select(*run_keys, (F.col("duration_s") * F.lit(1e6)).cast("long").alias("_dur_us"))
     n_full = F.expr(f"_dur_us div {iv}")
     grid = dur.select(
         *run_keys,
@@ -173,8 +180,8 @@ def cumulative_checkpoints(
     # one window over (series) ordered by (bucket, grid-after-data)
     g = grid.select(*run_keys, F.col("checkpoint").alias("bucket"), "checkpoint", "end_us", "is_final")
     p = parts.select(*keys, "bucket", F.lit(None).cast("long").alias("checkpoint"), F.lit(None).cast("long").alias("end_us"),
-                     F.lit(None).cast("boolean").alias("is_final"), "_cnt", "_n", "_s", "_s2", "_mn", "_mx", "_last_us")
-    for c, t in (("_cnt", "long"), ("_n", "long"), ("_s", "double"), ("_s2", "double"), ("_mn", "double"), ("_mx", "double"), ("_last_us", "long")):
+                     F.lit(None).cast("boolean").alias("is_final"), "_c", "_cnt", "_n", "_s", "_s2", "_mn", "_mx", "_last_us")
+    for c, t in (("_c", "double"), ("_cnt", "long"), ("_n", "long"), ("_s", "double"), ("_s2", "double"), ("_mn", "double"), ("_mx", "double"), ("_last_us", "long")):
         g = g.withColumn(c, F.lit(None).cast(t))
     u = p.unionByName(g)
     w = Window.partitionBy(*keys).orderBy("bucket", F.col("checkpoint").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
@@ -190,6 +197,7 @@ def cumulative_checkpoints(
         F.min("_mn").over(w).alias("_cmn"),
         F.max("_mx").over(w).alias("_cmx"),
         F.max("_last_us").over(w).alias("last_elapsed_us"),
+        F.last("_c", ignorenulls=True).over(w).alias("_c"),
     ).where(F.col("checkpoint").isNotNull())
     n = F.col("valid").cast("double")
     mean = F.col("_cs") / n
@@ -201,7 +209,7 @@ def cumulative_checkpoints(
         "is_final",
         "samples",
         "valid",
-        F.when(F.col("valid") > 0, mean).otherwise(F.lit(0.0)).alias("avg"),
+        F.when(F.col("valid") > 0, F.col("_c") + mean).otherwise(F.lit(0.0)).alias("avg"),
         F.coalesce(F.col("_cmn"), F.lit(0.0)).alias("min"),
         F.coalesce(F.col("_cmx"), F.lit(0.0)).alias("max"),
         F.when(F.col("valid") > 0, F.sqrt(var)).otherwise(F.lit(0.0)).alias("std"),
@@ -212,15 +220,16 @@ def cumulative_checkpoints(
 def checkpoint_report(checkpoints: DataFrame, roles: dict[str, str], keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """One row per (run, checkpoint) with the stats of the role series (hz, jitter, …)
     as structs, the long-run ratings (empty = 0 Hz → Poor, 0 ms → Excellent) and the
-    recommendations. ``roles`` maps role → series name."""
-    inverse = {v: k for k, v in roles.items()}
-    role = F.create_map(*[x for s, r in inverse.items() for x in (F.lit(s), F.lit(r))])[F.col("series")]
-    c = checkpoints.withColumn("role", role).where(F.col("role").isNotNull())
+    recommendations. ``roles`` maps role → series name; a series may have several roles. The
+    duration is the last elapsed time that any role's series has reached."""
+    plays = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(s).alias("of")) for r, s in sorted(roles.items())])
+    c = checkpoints.withColumn("_r", F.explode(plays)).where(F.col("_r.of") == F.col("series")).withColumn("role", F.col("_r.role"))
+    last = c.groupBy(*keys, "checkpoint").agg(F.max("last_elapsed_us").alias("_last"))
     stat = F.struct("samples", "valid", "avg", "min", "max", "std")
     wide = c.groupBy(*keys, "checkpoint", "end_us", "is_final").pivot("role", sorted(roles)).agg(F.first(stat))
     hz = F.coalesce(F.col("hz.avg"), F.lit(0.0)) if "hz" in roles else F.lit(0.0)
     jit = F.coalesce(F.col("jitter.avg"), F.lit(0.0)) if "jitter" in roles else F.lit(0.0)
-    out = wide.withColumn("duration_s", F.col("end_us").cast("double") / F.lit(1e6))
+    out = wide.join(last, [*keys, "checkpoint"]).withColumn("duration_s", F.col("_last").cast("double") / F.lit(1e6)).drop("_last")
     out = out.withColumn("label", F.format_string("Day%.1f", F.col("end_us").cast("double") / F.lit(86400e6)))
     out = out.withColumn("performance_rating", rules.performance_rating(hz)).withColumn("stability_rating", rules.stability_rating(jit))
     rec = rules.recommendations(

@@ -52,13 +52,13 @@ _SENSOR_MEAN_SQL = (
     "rolling_mean_samples",
     _sys_sql(
         """SELECT run_id, host, sample_seq,
-  round(avg(coalesce(cpu_percent, 0)) OVER w, 6) AS cpu_percent_avg,
-  round(avg(coalesce(memory_percent, 0)) OVER w, 6) AS memory_percent_avg
+  round(avg(coalesce(cpu_percent, 0)) OVER w, 8) AS cpu_percent_avg,
+  round(avg(coalesce(memory_percent, 0)) OVER w, 8) AS memory_percent_avg
 FROM system_samples WINDOW w AS (PARTITION BY run_id, host ORDER BY sample_seq ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"""
     ),
 )
 def q_rolling_mean_samples(spark, sf):
-    return round_doubles(windows.rolling_mean_samples(fx.system_samples(spark, sf), n=60))
+    return round_doubles(windows.rolling_mean_samples(fx.system_samples(spark, sf), n=60), 8)  # at 6 digits means of cents tie
 
 
 @query(
@@ -114,7 +114,7 @@ def q_sensor_mean_temperature(spark, sf):
 @query(
     "temperature_summary",
     _sys_sql(
-        f"""SELECT run_id, host, round(avg(t), 6) AS temperature_average_celsius, round(max(t), 6) AS temperature_max_celsius,
+        f"""SELECT run_id, host, count(*) AS samples, round(avg(t), 6) AS temperature_average_celsius, round(max(t), 6) AS temperature_max_celsius,
   round(min(t), 6) AS temperature_min_celsius
 FROM (SELECT run_id, host, coalesce({_ZONE_MEAN_SQL}, {_SENSOR_MEAN_SQL}) AS t FROM system_samples) WHERE t > 0
 GROUP BY run_id, host"""
@@ -134,7 +134,7 @@ _ZONE_LONG_SQL = " UNION ALL ".join(
 @query(
     "zone_summary",
     _sys_sql(
-        f"""SELECT run_id, host, zone, round(avg(celsius), 6) AS average_celsius, round(max(celsius), 6) AS max_celsius,
+        f"""SELECT run_id, host, zone, count(*) AS samples, round(avg(celsius), 6) AS average_celsius, round(max(celsius), 6) AS max_celsius,
   round(min(celsius), 6) AS min_celsius FROM ({_ZONE_LONG_SQL}) GROUP BY run_id, host, zone"""
     ),
 )
@@ -166,13 +166,13 @@ def q_normalise_cpu(spark, sf):
         O.SYSTEM_SAMPLES,
         body="""SELECT m.run_id, m.topic, m.seq, m.arrival_us, s.sample_us AS r_time, s.sample_seq AS r_sample_seq,
   s.cpu_percent AS r_cpu_percent, s.memory_percent AS r_memory_percent
-FROM messages m ASOF LEFT JOIN system_samples s ON m.run_id = s.run_id AND m.arrival_us >= s.sample_us""",
+FROM messages m ASOF LEFT JOIN system_samples s ON m.run_id = s.run_id AND m.topic = s.host AND m.arrival_us >= s.sample_us""",
     ),
 )
 def q_align_asof(spark, sf):
     m = fx.messages(spark, sf).select("run_id", "topic", "seq", "arrival_us")
-    s = fx.system_samples(spark, sf)
-    return align.align_asof(m, s, ["run_id"], "arrival_us", "sample_us", ["sample_seq", "cpu_percent", "memory_percent"])
+    s = fx.system_samples(spark, sf).withColumnRenamed("host", "topic")  # each topic's own host
+    return align.align_asof(m, s, ["run_id", "topic"], "arrival_us", "sample_us", ["sample_seq", "cpu_percent", "memory_percent"])
 
 
 @query(
@@ -181,21 +181,21 @@ def q_align_asof(spark, sf):
         O.EV,
         O.METRICS_VECTORS,
         O.SYSTEM_SAMPLES,
-        body=f"""SELECT run_id, k, metrics_time, sys_seq, sys_time FROM (
-  SELECT z.run_id, z.a_n AS k, z.sys_seq, z.sys_time, z.a_n > coalesce(lag(z.a_n) OVER (PARTITION BY z.run_id ORDER BY z.n), 0) AS accepted
-  FROM (SELECT *, n + least(0, min(t_n - n) OVER (PARTITION BY run_id ORDER BY n ROWS UNBOUNDED PRECEDING)) AS a_n
-        FROM (SELECT s.run_id, s.sample_seq AS sys_seq, s.sample_us - {fx.BASE_US} AS sys_time,
-                     row_number() OVER (PARTITION BY s.run_id ORDER BY s.sample_seq) AS n,
-                     (SELECT count(*) FROM metrics_vectors mv WHERE mv.run_id = s.run_id AND mv.elapsed_us <= s.sample_us - {fx.BASE_US}) AS t_n
+        body=f"""SELECT run_id, host, k, metrics_time, sys_seq, sys_time FROM (
+  SELECT z.run_id, z.host, z.a_n AS k, z.sys_seq, z.sys_time, z.a_n > coalesce(lag(z.a_n) OVER (PARTITION BY z.run_id, z.host ORDER BY z.n), 0) AS accepted
+  FROM (SELECT *, n + least(0, min(t_n - n) OVER (PARTITION BY run_id, host ORDER BY n ROWS UNBOUNDED PRECEDING)) AS a_n
+        FROM (SELECT s.run_id, s.host, s.sample_seq AS sys_seq, s.sample_us - {fx.BASE_US} AS sys_time,
+                     row_number() OVER (PARTITION BY s.run_id, s.host ORDER BY s.sample_seq) AS n,
+                     (SELECT count(*) FROM metrics_vectors mv WHERE mv.run_id = s.run_id AND mv.host = s.host AND mv.elapsed_us <= s.sample_us - {fx.BASE_US}) AS t_n
               FROM system_samples s)) z) a
-JOIN (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS k, elapsed_us AS metrics_time FROM metrics_vectors) m
-USING (run_id, k) WHERE accepted""",
+JOIN (SELECT run_id, host, row_number() OVER (PARTITION BY run_id, host ORDER BY seq) AS k, elapsed_us AS metrics_time FROM metrics_vectors) m
+USING (run_id, host, k) WHERE accepted""",
     ),
 )
 def q_positional_zip(spark, sf):
-    mv = fx.metrics_vectors(spark, sf).select("run_id", "seq", "elapsed_us")
-    ss = fx.system_samples(spark, sf).select("run_id", F.col("sample_seq").alias("seq"), (F.col("sample_us") - F.lit(fx.BASE_US)).alias("elapsed_us"))
-    return align.positional_zip(mv, ss, ["run_id"], "elapsed_us", "seq")
+    mv = fx.metrics_vectors(spark, sf).select("run_id", "host", "seq", "elapsed_us")
+    ss = fx.system_samples(spark, sf).select("run_id", "host", F.col("sample_seq").alias("seq"), (F.col("sample_us") - F.lit(fx.BASE_US)).alias("elapsed_us"))
+    return align.positional_zip(mv, ss, ["run_id", "host"], "elapsed_us", "seq")
 
 
 # ---------------------------------------------------------------------------------------

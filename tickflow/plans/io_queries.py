@@ -100,9 +100,9 @@ def q_checkpoints_sink(spark, sf):
 
 @query("thermal_csv_roundtrip", ORACLES.get("thermal_clock_summary"))
 def q_thermal_csv_roundtrip(spark, sf):
-    """Day CSV files (header, ts, label, temp, clock) read back by position → A10."""
+    """Day CSV files (header, time, temperature, clock) read back by position → A10."""
     path = sinks.scratch_path(spark, "thermal")
-    t = fx.thermal_csv(spark, sf).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), F.lit("tegra").alias("label"), "temp_c", "arm_hz")
+    t = fx.thermal_csv(spark, sf).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "temp_c", "arm_hz")
     t.write.option("header", True).csv(path)
     back = readers.read_thermal_csv(spark, path).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
     return round_doubles(health.thermal_clock_summary(back))

@@ -167,15 +167,15 @@ _ZONE_SQL = ",\n         ".join(
 )
 
 SYSTEM_SAMPLES = f"""system_samples AS (
-  SELECT 'run-1' AS run_id, 'h0' AS host, row_number() OVER (ORDER BY event_id) AS sample_seq,
-         {BASE_US} + row_number() OVER (ORDER BY event_id) * 1000000 AS sample_us,
+  SELECT 'run-1' AS run_id, event_type AS host, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS sample_seq,
+         {BASE_US} + row_number() OVER (PARTITION BY event_type ORDER BY event_id) * 1000000 AS sample_us,
          least(value, 100e0) AS cpu_percent, CAST(k AS DOUBLE) AS memory_percent,
          CAST(event_id % 5 AS INTEGER) AS cpu_count,
          {_ZONE_SQL},
          [{{'grp': 'coretemp', 'label': 'CPU 0', 'current': 40e0 + k / 10e0}},
           {{'grp': 'coretemp', 'label': 'Core 1', 'current': 41e0}},
           {{'grp': 'cpu_thermal', 'label': '', 'current': 39e0 + k / 10e0}}] AS sensors
-  FROM ev WHERE event_type = 'view')"""
+  FROM ev)"""
 
 PROCESS_SAMPLES = f"""proc_groups AS (
   SELECT 'h0' AS host, (us - {BASE_US}) // {4 * 3600 * 1000000} AS sample_seq, user_id, sum(cents) AS sc, count(*) AS n
@@ -208,7 +208,7 @@ kv AS (
 
 _FULL_M = "[value, CAST(k AS DOUBLE), value * 2, 1.5e0, CAST(event_id AS DOUBLE), 0e0, 0e0, 0e0, value * 3]"
 METRICS_VECTORS = f"""metrics_vectors AS (
-  SELECT 'run-1' AS run_id, event_id AS seq, event_id * 500000 AS elapsed_us,
+  SELECT 'run-1' AS run_id, event_type AS host, event_id AS seq, event_id * 500000 AS elapsed_us,
          CASE WHEN event_id % 13 = 0 THEN ({_FULL_M})[1:6] ELSE {_FULL_M} END AS data
   FROM ev)"""
 
@@ -219,7 +219,8 @@ _FULL_S = f"[{_BASE_S}, {_SLOTS_S}, {_ZONES_S}]"
 SYSTEM_VECTORS = f"""system_vectors AS (
   SELECT 'run-1' AS run_id, event_id AS seq, event_id * 500000 AS elapsed_us,
          CASE event_id % 17 WHEN 1 THEN ({_FULL_S})[1:47] WHEN 2 THEN ({_FULL_S})[1:46] WHEN 3 THEN ({_FULL_S})[1:7]
-              WHEN 4 THEN ({_FULL_S})[1:6] WHEN 5 THEN CAST([] AS DOUBLE[]) ELSE {_FULL_S} END AS data
+              WHEN 4 THEN ({_FULL_S})[1:6] WHEN 5 THEN CAST([] AS DOUBLE[])
+              WHEN 6 THEN list_concat({_FULL_S}, list_transform(range(73), lambda i: value + 0.5e0)) ELSE {_FULL_S} END AS data
   FROM ev)"""
 
 SERIES = f"""series AS (
@@ -237,7 +238,7 @@ SERIES_RUNS = f"""series_runs AS (
 _PHRASES = "[" + ", ".join(f"'{p}'" for p in LOG_PHRASES) + "]"
 THERMAL_CSV = """thermal_csv AS (
   SELECT ts, value AS temp_c, 1.5e9 + k * 1e6 AS arm_hz, CAST(CAST(ts AS DATE) AS VARCHAR) AS day
-  FROM ev WHERE event_type = 'error')"""
+  FROM ev)"""
 LOG_LINES = f"""log_lines AS (
   SELECT event_id AS line_no, us AS ts_us, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, k % 8 AS priority,
          ({_PHRASES})[k % 12 + 1] AS line

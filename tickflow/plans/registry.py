@@ -36,19 +36,23 @@ def query(name: str, sql: str | None = None):
 
 # Rounding that both engines evaluate with the same IEEE operations: floor(x·10^d + 0.5)/10^d.
 # Engine ``round`` functions differ (decimal text vs binary value, half-up vs half-even), which
-# flips last digits of ties and of large magnitudes.
+# flips last digits of ties and of large magnitudes. From 2^53/10^d on a double has no such digit
+# (and floor, a bigint in Spark, would saturate): the value stays as it is.
+EXACT = float(1 << 53)
+
+
 def fround(col, places: int = 6):
     if isinstance(col, str):
         # one SQL expression: a single call to the JVM instead of one per operator
         c = f"`{col}`"
-        return F.expr(f"CASE WHEN isnan({c}) OR abs({c}) = double('inf') THEN {c} ELSE floor({c} * 1e{places}D + 0.5D) / 1e{places}D END")
+        return F.expr(f"CASE WHEN isnan({c}) OR abs({c}) >= {EXACT / 10**places!r}D THEN {c} ELSE floor({c} * 1e{places}D + 0.5D) / 1e{places}D END")
     scale = float(10**places)
-    return F.when(F.isnan(col) | (F.abs(col) == float("inf")), col).otherwise(F.floor(col * F.lit(scale) + F.lit(0.5)) / F.lit(scale))
+    return F.when(F.isnan(col) | (F.abs(col) >= EXACT / scale), col).otherwise(F.floor(col * F.lit(scale) + F.lit(0.5)) / F.lit(scale))
 
 
 def _sql_fround(expr: str, places: str) -> str:
     scale = f"1e{int(places)}"
-    return f"(CASE WHEN isnan(({expr})) OR isinf(({expr})) THEN ({expr}) ELSE floor(({expr}) * {scale} + 0.5) / {scale} END)"
+    return f"(CASE WHEN isnan(({expr})) OR abs(({expr})) >= {EXACT / 10 ** int(places)!r}::DOUBLE THEN ({expr}) ELSE floor(({expr}) * {scale} + 0.5) / {scale} END)"
 
 
 def portable_round_sql(sql: str) -> str:

@@ -217,13 +217,18 @@ def q_run_info_table(spark, sf):
     "run_metadata",
     _rsql(
         """SELECT run_id, topic, strftime(make_timestamp(start_us + CAST(duration_seconds * 1e6 AS BIGINT)), '%Y%m%d_%H%M%S') AS timestamp,
-  duration_seconds, performance_rating, stability_rating, CAST(17 AS BIGINT) AS outputs
+  duration_seconds, performance_rating, stability_rating, CAST(5 AS BIGINT) AS outputs
 FROM report JOIN runs USING (run_id, topic)"""
     ),
 )
 def q_run_metadata(spark, sf):
     r = _report(spark, sf)
-    outputs = report.metrics_table(r).select(*K)  # one output row per table line
+    tables = {"summary": report.summary_table(r), "run_info": report.run_info_table(r), "metrics": report.metrics_table(r),
+              "system": report.system_table(_report(spark, sf, with_zones=True)), "targets": report.performance_targets(r)}
+    outputs = None  # what the tables sink writes: (run_id, topic, table)
+    for name, t in tables.items():
+        t = t.select(*K, F.lit(name).alias("output"))
+        outputs = t if outputs is None else outputs.unionByName(t)
     return report.run_metadata(r, outputs)
 
 

@@ -117,7 +117,7 @@ ckpt AS (
          coalesce(stddev_pop(CASE WHEN isnan(s.value) THEN NULL ELSE s.value END), 0) AS std,
          coalesce(max(s.elapsed_us), 0) AS last_elapsed_us
   FROM grid g LEFT JOIN series s ON s.run_id = g.run_id AND s.series = g.series
-       AND CAST(ceil(s.elapsed_us / {float(CHECKPOINT_S * 1e6)}) AS BIGINT) <= g.checkpoint
+       AND s.elapsed_us <= least(g.checkpoint * {int(CHECKPOINT_S * 1e6)}, g.dur_us)
   GROUP BY g.run_id, g.series, g.checkpoint, g.dur_us)"""
 
 
@@ -142,12 +142,13 @@ def q_checkpoint_label(spark, sf):
     return c.select(*K, "checkpoint", checkpoint_label(F.col("end_us") / F.lit(86400e6)).alias("label"))
 
 
-ROLES = {"hz": "view", "jitter": "click", "bandwidth": "purchase", "cpu": "signup", "memory": "error"}
+ROLES = {"hz": "view", "jitter": "click", "bandwidth": "purchase", "throughput": "click", "cpu": "signup", "memory": "error", "temperature": "view"}
+_ROLE_STATS = ["avg", "min", "max", "std", "samples"]
 
 
 _CKPT_REPORT_SQL = _sql(
-    """SELECT run_id, checkpoint, printf('Day%.1f', end_us / 86400e6) AS label, end_us / 1e6 AS duration_s, is_final,
-  round(coalesce(hz, 0), 6) AS hz_avg, round(coalesce(jit, 0), 6) AS jitter_avg,
+    """SELECT run_id, checkpoint, printf('Day%.1f', end_us / 86400e6) AS label, last_us / 1e6 AS duration_s, is_final,
+  """ + ",\n  ".join(f"{c if s == 'samples' else f'round({c}, 6)'} AS {c}" for r in ROLES for s in _ROLE_STATS for c in [f"{r}_{s}"]) + """,
   CASE WHEN coalesce(hz, 0) >= 20 THEN 'Excellent' WHEN coalesce(hz, 0) >= 10 THEN 'Good' WHEN coalesce(hz, 0) >= 5 THEN 'Fair' ELSE 'Poor' END AS performance_rating,
   CASE WHEN coalesce(jit, 0) <= 10 THEN 'Excellent' WHEN coalesce(jit, 0) <= 25 THEN 'Good' WHEN coalesce(jit, 0) <= 50 THEN 'Fair' ELSE 'Poor' END AS stability_rating,
   coalesce(nullif(array_to_string(list_filter([
@@ -160,7 +161,8 @@ _CKPT_REPORT_SQL = _sql(
 FROM (SELECT run_id, checkpoint, end_us, is_final,
         max(CASE WHEN series = 'view' THEN avg END) AS hz, max(CASE WHEN series = 'click' THEN avg END) AS jit,
         max(CASE WHEN series = 'purchase' THEN avg END) AS bw, max(CASE WHEN series = 'signup' THEN avg END) AS cpu,
-        max(CASE WHEN series = 'error' THEN avg END) AS mem
+        max(CASE WHEN series = 'error' THEN avg END) AS mem, max(last_elapsed_us) AS last_us,
+        """ + ", ".join(f"coalesce(max(CASE WHEN series = '{v}' THEN {s} END), 0) AS {r}_{s}" for r, v in ROLES.items() for s in _ROLE_STATS) + """
       FROM ckpt GROUP BY run_id, checkpoint, end_us, is_final)""",
     _CKPT_SQL.replace("FROM series_runs)", "FROM (SELECT run_id, series, max(duration_s) OVER (PARTITION BY run_id) AS duration_s FROM series_runs))"),
 )
@@ -175,7 +177,7 @@ def q_checkpoint_report(spark, sf):
     r = stats.checkpoint_report(c, ROLES)
     return round_doubles(r.select(
         "run_id", "checkpoint", "label", "duration_s", "is_final",
-        F.coalesce(F.col("hz.avg"), F.lit(0.0)).alias("hz_avg"), F.coalesce(F.col("jitter.avg"), F.lit(0.0)).alias("jitter_avg"),
+        *[F.coalesce(F.col(f"{r}.{s}"), F.lit(0)).alias(f"{r}_{s}") for r in ROLES for s in _ROLE_STATS],
         "performance_rating", "stability_rating", F.array_join("recommendations", "; ").alias("recommendations"),
     ))
 

@@ -196,7 +196,6 @@ SERIES = T.StructType(
 THERMAL_CSV = T.StructType(
     [
         T.StructField("ts", T.StringType()),
-        T.StructField("label", T.StringType()),
         T.StructField("temp_c", T.DoubleType()),
         T.StructField("arm_hz", T.DoubleType()),
     ]

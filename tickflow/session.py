@@ -47,12 +47,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; it is read from the session and only
-    set here when absent (local tests), to a fresh folder.
+    The cluster names it in ``spark.checkpoint.dir``. Without that setting only a local session
+    (tests) gets a fresh folder; on a cluster a guessed path would be another disk on each host.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    if not path and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="tickflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
@@ -80,24 +82,21 @@ def per_session(fn):
     return wrapper
 
 
-_SHIPPED: set = set()
+_SHIPPED: dict = {}
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``tickflow`` importable in the Python workers (needed by the pandas-backed streaming
-    operator): the package is zipped into the shared checkpoint folder and added with
-    ``addPyFile``, once per application."""
+    operator): the driver zips the package and hands it out with ``addPyFile``, once per
+    application."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
     import shutil
-    import uuid
 
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(checkpoint_dir(spark).replace("file:", ""), f"tickflow-py-{uuid.uuid4().hex[:8]}")
-    if "://" in target:  # remote storage: stage locally, Spark distributes the file
-        target = os.path.join(tempfile.mkdtemp(prefix="tickflow-py-"), "tickflow")
-    os.makedirs(os.path.dirname(target), exist_ok=True)
-    archive = shutil.make_archive(target, "zip", root_dir=os.path.dirname(pkg_dir), base_dir="tickflow")
+    # the driver serves the file itself, so a folder of its own is the right place; kept until exit
+    folder = tempfile.TemporaryDirectory(prefix="tickflow-py-")
+    archive = shutil.make_archive(os.path.join(folder.name, "tickflow"), "zip", root_dir=os.path.dirname(pkg_dir), base_dir="tickflow")
     spark.sparkContext.addPyFile(archive)
-    _SHIPPED.add(app)
+    _SHIPPED[app] = folder

@@ -73,17 +73,21 @@ def compression_col(topic: str = "event_type") -> Column:
     return expr.cast("long")
 
 
+def _arrival_us() -> Column:
+    """Exact integer division of the µs offset by the topic's compression factor."""
+    factor = " ".join(f"WHEN '{t}' THEN {c}" for t, c in COMPRESSION.items())
+    return F.expr(
+        f"{BASE_US} + (timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) - {BASE_US})"
+        f" div (CASE event_type {factor} END)"
+    )
+
+
 @per_session
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """point-cloud message log, one row per message."""
     e = events(spark, sf_dir)
     width = (F.lit(10) * (k_col() + 1)).cast("int")
-    # exact integer division of the µs offset by the topic's compression factor
-    factor = " ".join(f"WHEN '{t}' THEN {c}" for t, c in COMPRESSION.items())
-    arrival = F.expr(
-        f"{BASE_US} + (timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) - {BASE_US})"
-        f" div (CASE event_type {factor} END)"
-    )
+    arrival = _arrival_us()
     return e.select(
         F.lit(RUN_ID).alias("run_id"),
         F.col("event_type").alias("topic"),
@@ -117,8 +121,8 @@ ZONE_COLS = [f"zone_{z}_millic" for z in ("cpu", "gpu", "aux", "ao", "pmic", "tb
 
 @per_session
 def system_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """host samples at 1 Hz from the ``view`` events."""
-    e = events(spark, sf_dir).where(F.col("event_type") == "view").withColumn("host", F.lit("h0"))
+    """host samples at 1 Hz, one host per event type."""
+    e = events(spark, sf_dir).withColumn("host", F.col("event_type"))
     e = e.withColumn("run_id", F.lit(RUN_ID))
     indexed = dense_index(e, ["run_id", "host"], "event_id", idx_col="_i")
     k = k_col()
@@ -217,6 +221,7 @@ def metrics_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.when(F.col("event_id") % 13 == 0, F.slice(F.col("_full"), 1, 6)).otherwise(F.col("_full"))
     return e.select(
         F.lit(RUN_ID).alias("run_id"),
+        F.col("event_type").alias("host"),
         F.col("event_id").alias("seq"),
         (F.col("event_id") * 500000).alias("elapsed_us"),
         data.alias("data"),
@@ -226,7 +231,7 @@ def metrics_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @per_session
 def system_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positional system vectors: 7 base + 20 interleaved slots + 7 zones = 54 values,
-    cut to 47, 46, 7, 6 or 0 values when ``event_id % 17`` is 1..5."""
+    cut to 47, 46, 7, 6 or 0 values when ``event_id % 17`` is 1..5, and with 80 zones when it is 6."""
     e = events(spark, sf_dir)
     k = k_col().cast("double")
     v = F.col("value")
@@ -242,7 +247,8 @@ def system_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     e = e.withColumn("_full", full).withColumn("_cut", cut)
     full, cut = F.col("_full"), F.col("_cut")
-    data = F.when(cut.isNull(), full).when(cut == 0, F.array().cast("array<double>")).otherwise(F.slice(full, 1, cut))
+    many = F.concat(full, F.array_repeat(v + F.lit(0.5), 73))
+    data = F.when(m == 6, many).when(cut.isNull(), full).when(cut == 0, F.array().cast("array<double>")).otherwise(F.slice(full, 1, cut))
     return e.select(
         F.lit(RUN_ID).alias("run_id"),
         F.col("event_id").alias("seq"),
@@ -254,10 +260,10 @@ def system_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @per_session
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """recorded series in long form, one series per event type; every 11th value NaN."""
-    m = messages(spark, sf_dir).select("run_id", F.col("topic").alias("series"), "seq", "arrival_us")
-    vals = events(spark, sf_dir).select(F.col("event_id").alias("seq"), "value")
-    joined = m.join(vals, "seq")
-    indexed = dense_index(joined, ["run_id", "series"], "seq")
+    e = events(spark, sf_dir).select(
+        F.lit(RUN_ID).alias("run_id"), F.col("event_type").alias("series"), F.col("event_id").alias("seq"), _arrival_us().alias("arrival_us"), "value"
+    )
+    indexed = dense_index(e, ["run_id", "series"], "seq")
     return indexed.select(
         "run_id",
         "series",
@@ -269,8 +275,8 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @per_session
 def thermal_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Day rows of temperature and ARM clock from the ``error`` events."""
-    e = events(spark, sf_dir).where(F.col("event_type") == "error")
+    """Day rows of temperature and ARM clock."""
+    e = events(spark, sf_dir)
     return e.select(
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("value").alias("temp_c"),

@@ -169,7 +169,8 @@ def read_report_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_thermal_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Day files of temperature and ARM clock; header skipped, values by position 2 and 3."""
+    """Day files of temperature and ARM clock; header skipped; the second and
+    third fields are the values."""
     return spark.read.schema(S.THERMAL_CSV).option("header", True).csv(path).select(
         F.to_timestamp("ts").alias("ts"), "temp_c", "arm_hz", F.to_date(F.to_timestamp("ts")).alias("day")
     )
