@@ -127,10 +127,27 @@ def stamp_text(ts: Column | str) -> Column:
 
 
 # P21 --------------------------------------------------------------------------------------
+def fixed_text(col: Column | str, places: int = 2) -> Column:
+    """A double with so many decimals, made from integers (halves go away from zero), so that
+    any engine gives the same text; ``nan`` and ``inf`` by name."""
+    x = _c(col).cast("double")
+    one = 10**places
+    units = F.floor(F.abs(x) * F.lit(float(one)) + F.lit(0.5)).cast("bigint")
+    sign = F.when((x < 0) & (units > 0), F.lit("-")).otherwise(F.lit(""))
+    whole = (units - units % one) / F.lit(one)
+    text = F.concat(sign, whole.cast("decimal(20,0)").cast("string"))
+    if places:
+        text = F.concat(text, F.lit("."), F.lpad((units % one).cast("string"), places, "0"))
+    wide = F.abs(x) >= float(1 << 53) / one  # no such decimals any more
+    return F.when(F.isnan(x), F.lit("nan")).when(F.abs(x) == float("inf"), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf"))).when(
+        wide, F.format_string(f"%.{places}f", x)
+    ).otherwise(text)
+
+
 def format_value(col: Column | str, places: int = 2, na_when_null: bool = True) -> Column:
     """Fixed decimals for display; ``N/A`` when there is no valid value."""
     c = _c(col)
-    text = F.format_string(f"%.{places}f", c.cast("double"))
+    text = fixed_text(c, places)
     return F.when(c.isNull() | F.isnan(c.cast("double")), F.lit("N/A")).otherwise(text) if na_when_null else text
 
 
@@ -160,6 +177,7 @@ __all__ = [
     "time_axis_divisor",
     "checkpoint_label",
     "stamp_text",
+    "fixed_text",
     "format_value",
     "parse_number",
     "THERMAL_ZONES",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickflow.functions.rules import route_status
-from tickflow.functions.scalars import parse_number, slot_from_key, zone_from_key
+from tickflow.functions.scalars import fixed_text, parse_number, slot_from_key, zone_from_key
 
 
 def explode_kv(diag: DataFrame, keys: Sequence[str] = ("run_id", "diag_seq")) -> DataFrame:
@@ -56,3 +56,10 @@ def zone_values(diag: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame
     kv = parse_kv(routed(diag).where(F.col("route") == "system"), [*keys, "diag_seq"])
     z = kv.withColumn("zone", zone_from_key("key")).where(F.col("zone").isNotNull() & F.col("num").isNotNull())
     return z.select(*keys, "diag_seq", "zone", F.col("num").alias("celsius"))
+
+
+def format_kv(metrics: DataFrame, names: Sequence[str], places: int, keys: Sequence[str]) -> DataFrame:
+    """The named metrics as (keys, key, value) rows of text with fixed decimals (the streams
+    publish 3, the hosts 2); a missing metric is 0."""
+    kv = F.array(*[F.struct(F.lit(n).alias("key"), fixed_text(F.coalesce(F.col(n).cast("double"), F.lit(0.0)), places).alias("value")) for n in names])
+    return metrics.select(*keys, F.explode(kv).alias("_kv")).select(*keys, "_kv.key", "_kv.value")

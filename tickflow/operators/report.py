@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickflow.functions import rules
-from tickflow.functions.scalars import format_value
-from tickflow.schemas import RATING_NO_DATA, TEXT_SUMMARY_TITLE
+from tickflow.functions.scalars import fixed_text, format_value, truncate_text
+from tickflow.schemas import CMDLINE_MAX_CHARS, METRICS_TABLE_ROWS, PROCESS_TABLE_COLUMNS, RATING_NO_DATA, TEXT_SUMMARY_TITLE
 
 KEYS = ("run_id", "topic")
 
@@ -181,27 +181,6 @@ def run_info_table(report: DataFrame) -> DataFrame:
     return _stack(report, KEYS, rows, ["label", "value"])
 
 
-METRICS_TABLE_ROWS = [
-    ("Average Frequency", "average_hz", "Hz"),
-    ("Min Frequency", "min_hz", "Hz"),
-    ("Max Frequency", "max_hz", "Hz"),
-    ("Frequency Std Dev", "std_hz", "Hz"),
-    ("Average Jitter", "average_ms", "ms"),
-    ("Min Jitter", "min_ms", "ms"),
-    ("Max Jitter", "max_ms", "ms"),
-    ("Jitter Std Dev", "std_ms", "ms"),
-    ("Average Bandwidth", "average_mbps", "Mbps"),
-    ("Min Bandwidth", "min_mbps", "Mbps"),
-    ("Max Bandwidth", "max_mbps", "Mbps"),
-    ("Avg Messages/sec", "average_messages_per_sec", "msg/s"),
-    ("Avg MB/sec", "average_mbytes_per_sec", "MB/s"),
-    ("Avg K Points/sec", "average_kpoints_per_sec", "Kpts/s"),
-    ("Max K Points/sec", "max_kpoints_per_sec", "Kpts/s"),
-    ("Avg Points/Message", "average_points_per_message", "points"),
-    ("Total Samples", "samples", "count"),
-]
-
-
 def metrics_table(report: DataFrame) -> DataFrame:
     """The 17 real (metric, value, unit) rows; missing throughput → 0."""
     rows = [(m, F.coalesce(F.col(c).cast("double"), F.lit(0.0)), u) for m, c, u in METRICS_TABLE_ROWS]
@@ -229,23 +208,14 @@ def system_table(report: DataFrame) -> DataFrame:
 
 
 def top_process_table(slot_stats: DataFrame, keys: Sequence[str] = ("run_id", "host", "slot")) -> DataFrame:
-    """The per-slot statistics as 11 display columns, ``N/A`` where empty, unnamed slots
-    shown as ``Process i (no name)``."""
-    name = F.when(F.coalesce(F.col("name"), F.lit("")) == "", F.format_string("Process %d (no name)", F.col("slot") + 1)).otherwise(F.col("name"))
-    return slot_stats.select(
-        *keys,
-        (F.col("slot") + 1).alias("Rank"),
-        name.alias("Process Name"),
-        format_value("memory_avg_mb", 2).alias("Avg Memory (MB)"),
-        format_value("memory_max_mb", 2).alias("Max Memory (MB)"),
-        format_value("memory_min_mb", 2).alias("Min Memory (MB)"),
-        format_value("cpu_avg_percent", 2).alias("Avg CPU (%)"),
-        format_value("cpu_max_percent", 2).alias("Max CPU (%)"),
-        format_value("cpu_min_percent", 2).alias("Min CPU (%)"),
-        F.coalesce(F.col("memory_samples").cast("string"), F.lit("N/A")).alias("Samples"),
-        F.lit("N/A").alias("Command Line"),
-        F.lit("N/A").alias("Executable"),
-    )
+    """The per-slot statistics as display columns: ``N/A`` where nothing valid was measured,
+    unnamed slots as ``Process i (no name)``, the command line cut for display."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    number = F.concat(F.lit("Process "), (F.col("slot") + 1).cast("string"))
+    values = [PROCESS_TABLE_COLUMNS[5:8], PROCESS_TABLE_COLUMNS[8:]]
+    stats = [format_value(f"{what}_{f}", 2).alias(c) for cols, (what, unit) in zip(values, (("memory", "mb"), ("cpu", "percent"))) for c, f in zip(cols, (f"avg_{unit}", f"min_{unit}", f"max_{unit}"))]
+    made = [number, F.when(F.trim(text("name")) == "", F.concat(number, F.lit(" (no name)"))).otherwise(F.col("name")), truncate_text(text("cmdline"), CMDLINE_MAX_CHARS), text("exe"), text("cwd")]
+    return slot_stats.select(*keys, *[c.alias(n) for c, n in zip(made, PROCESS_TABLE_COLUMNS)], *stats)
 
 
 def performance_targets(report: DataFrame, spec_kpoints_per_sec: float | None = None) -> DataFrame:
@@ -293,20 +263,32 @@ def report_lines(nested: DataFrame) -> DataFrame:
 
 
 def text_summary(report: DataFrame) -> DataFrame:
-    """The fixed console summary block per report (averages, ranges, ratings, advice)."""
-    f2 = lambda c: F.format_string("%.2f", F.col(c))
+    """The console summary block per report: averages, ranges, throughput, host averages (when
+    the report has them), ratings, advice."""
+
+    def line(label: str, *parts) -> Column:
+        return F.concat(F.lit(f"  {label}: "), *[fixed_text(*p) if isinstance(p, tuple) else F.lit(p) for p in parts])
+
+    has = F.col("cpu_average_percent").isNotNull() if "cpu_average_percent" in report.columns else F.lit(False)
+    host = [F.lit("System Resources:"), line("CPU Average", ("cpu_average_percent", 1), "%"), line("Memory Average", ("memory_average_percent", 1), "%")]
     lines = [
         F.lit("=" * 60),
         F.lit(TEXT_SUMMARY_TITLE),
         F.lit("=" * 60),
         F.lit("Frequency Performance:"),
-        F.concat(F.lit("  Average: "), f2("average_hz"), F.lit(" Hz")),
-        F.concat(F.lit("  Range: "), f2("min_hz"), F.lit(" - "), f2("max_hz"), F.lit(" Hz")),
+        line("Average", ("average_hz", 2), " Hz"),
+        line("Range", ("min_hz", 2), " - ", ("max_hz", 2), " Hz"),
         F.lit("Jitter Analysis:"),
-        F.concat(F.lit("  Average: "), f2("average_ms"), F.lit(" ms")),
-        F.concat(F.lit("  Range: "), f2("min_ms"), F.lit(" - "), f2("max_ms"), F.lit(" ms")),
+        line("Average", ("average_ms", 2), " ms"),
+        line("Range", ("min_ms", 2), " - ", ("max_ms", 2), " ms"),
         F.lit("Bandwidth Usage:"),
-        F.concat(F.lit("  Average: "), f2("average_mbps"), F.lit(" Mbps")),
+        line("Average", ("average_mbps", 2), " Mbps"),
+        F.lit("Throughput Performance:"),
+        line("Messages/sec", ("average_messages_per_sec", 2)),
+        line("MB/sec", ("average_mbytes_per_sec", 2)),
+        line("Points/sec", ("average_kpoints_per_sec", 2), "K"),
+        line("Points/message", ("average_points_per_message", 0)),
+        *([F.when(has, h) for h in host] if "cpu_average_percent" in report.columns else []),
         F.lit("Overall Ratings:"),
         F.concat(F.lit("  Performance: "), F.coalesce("performance_rating", F.lit(RATING_NO_DATA))),
         F.concat(F.lit("  Stability: "), F.coalesce("stability_rating", F.lit(RATING_NO_DATA))),

@@ -85,6 +85,16 @@ def portable_round_sql(sql: str) -> str:
         i = k
 
 
+def sql_fixed(x: str, places: int, null: str = "'N/A'") -> str:
+    """DuckDB text of a double with fixed decimals, from integers; `null` for NULL and NaN."""
+    units = f"CAST(floor(abs({x}) * 1e{places} + 0.5) AS BIGINT)"
+    tail = f" || '.' || lpad(CAST({units} % {10**places} AS VARCHAR), {places}, '0')" if places else ""
+    return (
+        f"(CASE WHEN {x} IS NULL OR isnan({x}) THEN {null} WHEN isinf({x}) THEN CASE WHEN {x} > 0 THEN 'inf' ELSE '-inf' END "
+        f"ELSE CASE WHEN {x} < 0 AND {units} > 0 THEN '-' ELSE '' END || CAST({units} // {10**places} AS VARCHAR){tail} END)"
+    )
+
+
 def round_doubles(df: DataFrame, places: int = 6, text_arrays: dict[str, str] | None = None) -> DataFrame:
     """Round every double column (aggregates whose summation order is engine-specific) and
     join the listed string arrays with their separator, in one projection."""

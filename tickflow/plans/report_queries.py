@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickflow.functions.scalars import format_value
-from tickflow.operators import processes, report, stats, ticks
+from tickflow.operators import diagnostics, processes, report, stats, ticks
 from tickflow.plans import oracle as O
 from tickflow.plans.host_queries import _SENSOR_MEAN_SQL, _ZONE_MEAN_SQL, _cpu_temp
-from tickflow.plans.registry import query, round_doubles
+from tickflow.plans.registry import ORACLES, query, round_doubles, sql_fixed
+from tickflow.plans.series_queries import _SLOTS_SQL, _slot_inputs
+from tickflow.schemas import PROCESS_TABLE_COLUMNS, STREAM_KV_METRICS
 from tickflow.session import per_session
 from tickflow.sources import fixtures as fx
 
@@ -237,30 +239,72 @@ def q_report_lines(spark, sf):
     return report.report_lines(report.nested_report(round_doubles(_report(spark, sf, with_zones=True))))
 
 
-@query("text_summary")
+_LINE = "'=' || repeat('=', 59)"
+_TEXT_PARTS = [
+    _LINE, "'LIDAR BENCHMARK SUMMARY'", _LINE,
+    "'Frequency Performance:'", f"'  Average: ' || {sql_fixed('average_hz', 2)} || ' Hz'",
+    f"'  Range: ' || {sql_fixed('min_hz', 2)} || ' - ' || {sql_fixed('max_hz', 2)} || ' Hz'",
+    "'Jitter Analysis:'", f"'  Average: ' || {sql_fixed('average_ms', 2)} || ' ms'",
+    f"'  Range: ' || {sql_fixed('min_ms', 2)} || ' - ' || {sql_fixed('max_ms', 2)} || ' ms'",
+    "'Bandwidth Usage:'", f"'  Average: ' || {sql_fixed('average_mbps', 2)} || ' Mbps'",
+    "'Throughput Performance:'", f"'  Messages/sec: ' || {sql_fixed('average_messages_per_sec', 2)}",
+    f"'  MB/sec: ' || {sql_fixed('average_mbytes_per_sec', 2)}", f"'  Points/sec: ' || {sql_fixed('average_kpoints_per_sec', 2)} || 'K'",
+    f"'  Points/message: ' || {sql_fixed('average_points_per_message', 0)}",
+    "'System Resources:'", f"'  CPU Average: ' || {sql_fixed('cpu_average_percent', 1)} || '%'", f"'  Memory Average: ' || {sql_fixed('memory_average_percent', 1)} || '%'",
+    "'Overall Ratings:'", "'  Performance: ' || performance_rating", "'  Stability: ' || stability_rating",
+    "'Recommendations:'", "'  - ' || replace(recommendations, '; ', chr(10) || '  - ')", _LINE,
+]
+_ROUNDED_REPORT = "(SELECT run_id, topic, " + ", ".join(c if c in _INT_COLS else f"round({c}, 6) AS {c}" for c in _REPORT_COLS) + " FROM report)"
+
+
+@query("text_summary", _rsql(f"SELECT run_id, topic, concat_ws(chr(10), {', '.join(_TEXT_PARTS)}) AS text FROM {_ROUNDED_REPORT}"))
 def q_text_summary(spark, sf):
-    return report.text_summary(_report(spark, sf))
+    return report.text_summary(round_doubles(_report(spark, sf)))
 
 
-@query("top_process_table")
-def q_top_process_table(spark, sf):
-    from tickflow.plans.series_queries import _slot_inputs
+_PROCESS_STATS = ", ".join(
+    f"{sql_fixed(f'{f}({c})', 2)} AS \"{name}\""
+    for name, (f, c) in zip(PROCESS_TABLE_COLUMNS[5:], [(f, c) for c in ("memory_mb", "cpu_percent") for f in ("avg", "min", "max")])
+)
 
+
+@query(
+    "top_process_table",
+    O.with_ctes(
+        O.EV,
+        O.PROCESS_SAMPLES,
+        _SLOTS_SQL,
+        body=f"""SELECT s.run_id, s.host, s.slot, 'Process ' || CAST(s.slot + 1 AS VARCHAR) AS "Process #",
+  CASE WHEN trim(any_value(l.name)) = '' THEN 'Process ' || CAST(s.slot + 1 AS VARCHAR) || ' (no name)' ELSE any_value(l.name) END AS "Process Name",
+  left(any_value(l.cmdline), 200) AS "Command Line", any_value(l.exe) AS "Executable Path", any_value(l.cwd) AS "Working Dir", {_PROCESS_STATS}
+FROM slots s LEFT JOIN labels l USING (run_id, host, slot) GROUP BY s.run_id, s.host, s.slot""",
+    ),
+)
+def q_top_process_table(spark, sf):
     slots, labels = _slot_inputs(spark, sf)
     return report.top_process_table(stats.process_slot_stats(slots, labels, ["run_id", "host", "slot"]))
 
 
-@query("format_value")
+@query(
+    "format_value",
+    _rsql(
+        f"SELECT run_id, topic, {sql_fixed('average_hz', 2)} AS average_hz, {sql_fixed('cpu_average_percent', 1)} AS cpu, 'N/A' AS missing, "
+        f"CAST(samples AS VARCHAR) AS samples FROM {_ROUNDED_REPORT}"
+    ),
+)
 def q_format_value(spark, sf):
-    r = _report(spark, sf)
+    r = round_doubles(_report(spark, sf))
     return r.select(*K, format_value("average_hz", 2).alias("average_hz"), format_value("cpu_average_percent", 1).alias("cpu"),
-                    format_value(F.lit(None).cast("double"), 2).alias("missing"))
+                    format_value(F.lit(None).cast("double"), 2).alias("missing"), format_value("samples", 0).alias("samples"))
 
 
-@query("format_kv")
+@query(
+    "format_kv",
+    "WITH t AS (" + ORACLES["tick_metrics"] + ") SELECT run_id, topic, tick, kv.key AS key, kv.value AS value FROM (SELECT run_id, topic, tick, unnest(["
+    + ", ".join(f"{{'key': '{c}', 'value': {sql_fixed(f'coalesce(CAST({c} AS DOUBLE), 0e0)', 3, chr(39) + 'nan' + chr(39))}}}" for c in STREAM_KV_METRICS)
+    + "]) AS kv FROM t)",
+)
 def q_format_kv(spark, sf):
-    """Stream metrics to text with 3 decimals (system values use 2), as published."""
+    """Every stream metric to text with 3 decimals, as published."""
     t = ticks.tick_metrics(fx.messages(spark, sf), fx.runs(spark, sf))
-    kv = F.array(*[F.struct(F.lit(c).alias("key"), F.format_string("%.3f", F.col(c).cast("double")).alias("value")) for c in
-                   ["current_hz", "jitter_ms", "bandwidth_mbps", "total_messages", "messages_per_second", "kpoints_per_second"]])
-    return t.select(*K, "tick", F.explode(kv).alias("kv")).select(*K, "tick", "kv.key", "kv.value")
+    return diagnostics.format_kv(t, STREAM_KV_METRICS, 3, [*K, "tick"])

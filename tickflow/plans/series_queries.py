@@ -267,7 +267,8 @@ _SLOTS_SQL = """top AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY run_id, host, sample_seq ORDER BY rss_bytes DESC, pid ASC) AS INTEGER) AS rank
   FROM process_samples QUALIFY rank <= 20),
 labels AS (
-  SELECT run_id, host, rank - 1 AS slot, arg_max(name, sample_seq) AS name FROM top GROUP BY ALL),
+  SELECT run_id, host, rank - 1 AS slot, arg_max(name, sample_seq) AS name, arg_max(cmdline, sample_seq) AS cmdline,
+         arg_max(exe, sample_seq) AS exe, arg_max(cwd, sample_seq) AS cwd FROM top GROUP BY ALL),
 slots AS (
   SELECT t.run_id, t.host, t.sample_seq, t.rank - 1 AS slot, CAST(t.rss_bytes AS DOUBLE) / 1048576e0 AS memory_mb, t.cpu_percent
   FROM top t)"""
@@ -278,7 +279,7 @@ def _slot_inputs(spark, sf):
     slots = top.select("run_id", "host", "sample_seq", (F.col("rank") - 1).alias("slot"),
                        (F.col("rss_bytes").cast("double") / F.lit(1048576.0)).alias("memory_mb"), "cpu_percent")
     labels = top.groupBy("run_id", "host", (F.col("rank") - 1).alias("slot")).agg(
-        F.max_by("name", "sample_seq").alias("name")
+        *[F.max_by(c, "sample_seq").alias(c) for c in ("name", "cmdline", "exe", "cwd")]
     )
     return slots, labels
 
@@ -292,7 +293,7 @@ def _slot_inputs(spark, sf):
         body="""SELECT s.run_id, s.host, s.slot, count(memory_mb) AS memory_samples, round(avg(memory_mb), 6) AS memory_avg_mb,
   round(min(memory_mb), 6) AS memory_min_mb, round(max(memory_mb), 6) AS memory_max_mb, count(cpu_percent) AS cpu_samples,
   round(avg(cpu_percent), 6) AS cpu_avg_percent, round(min(cpu_percent), 6) AS cpu_min_percent, round(max(cpu_percent), 6) AS cpu_max_percent,
-  any_value(l.name) AS name
+  any_value(l.name) AS name, any_value(l.cmdline) AS cmdline, any_value(l.exe) AS exe, any_value(l.cwd) AS cwd
 FROM slots s LEFT JOIN labels l USING (run_id, host, slot) GROUP BY s.run_id, s.host, s.slot""",
     ),
 )

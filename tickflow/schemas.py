@@ -74,6 +74,42 @@ MSG_SYSTEM_NORMAL = "System resources normal"
 # Title line of the console summary block.
 TEXT_SUMMARY_TITLE = "LIDAR BENCHMARK SUMMARY"
 
+# Rows of the metrics table: label, report column, unit.
+METRICS_TABLE_ROWS = [
+    ("Average Frequency", "average_hz", "Hz"),
+    ("Min Frequency", "min_hz", "Hz"),
+    ("Max Frequency", "max_hz", "Hz"),
+    ("Frequency Std Dev", "std_hz", "Hz"),
+    ("Average Jitter", "average_ms", "ms"),
+    ("Min Jitter", "min_ms", "ms"),
+    ("Max Jitter", "max_ms", "ms"),
+    ("Jitter Std Dev", "std_ms", "ms"),
+    ("Average Bandwidth", "average_mbps", "Mbps"),
+    ("Min Bandwidth", "min_mbps", "Mbps"),
+    ("Max Bandwidth", "max_mbps", "Mbps"),
+    ("Avg Messages/sec", "average_messages_per_sec", "msg/s"),
+    ("Avg MB/sec", "average_mbytes_per_sec", "MB/s"),
+    ("Avg K Points/sec", "average_kpoints_per_sec", "Kpts/s"),
+    ("Max K Points/sec", "max_kpoints_per_sec", "Kpts/s"),
+    ("Avg Points/Message", "average_points_per_message", "points"),
+    ("Total Samples", "samples", "count"),
+]
+
+# Columns of the process table, in order.
+PROCESS_TABLE_COLUMNS = [
+    "Process #",
+    "Process Name",
+    "Command Line",
+    "Executable Path",
+    "Working Dir",
+    "Memory Avg (MB)",
+    "Memory Min (MB)",
+    "Memory Max (MB)",
+    "CPU Avg (%)",
+    "CPU Min (%)",
+    "CPU Max (%)",
+]
+
 # Ratings.
 RATING_EXCELLENT, RATING_GOOD, RATING_FAIR, RATING_POOR, RATING_NO_DATA = (
     "Excellent",
