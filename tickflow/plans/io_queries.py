@@ -82,7 +82,7 @@ def q_report_json_roundtrip(spark, sf):
     """S10 then S5."""
     path = sinks.scratch_path(spark, "report")
     sinks.write_report(report.nested_report(round_doubles(_report(spark, sf, with_zones=True))), path)
-    r = readers.read_report_json(spark, path)
+    r = readers.read_report_json(spark, path, lines=True)
     return r.select("run_id", "topic", F.col("metrics.samples").alias("samples"), F.col("metrics.frequency.average_hz").alias("average_hz"),
                     "cpu_average_percent", F.col("summary.performance_rating").alias("performance_rating"))
 

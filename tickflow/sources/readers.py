@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickflow import schemas as S
-from tickflow.schemas import TOP_SLOTS
 
 
 def _reader(spark: SparkSession, streaming: bool):
@@ -25,12 +25,13 @@ def read_samples(spark: SparkSession, path: str, streaming: bool = False) -> Dat
 
 
 def read_diagnostics(spark: SparkSession, paths: list[str], streaming: bool = False) -> DataFrame:
-    """S3: diagnostic statuses of several producers fanned into one table (duplicates kept)."""
+    """S3: diagnostic statuses of several producers fanned into one table (duplicates kept).
+    ``diag_seq`` names a status: its place in the files, or its time on a stream."""
     frames = [_reader(spark, streaming).schema(S.DIAGNOSTICS).parquet(p) for p in paths]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out
+    return out.withColumn("diag_seq", F.col("ts_us") if streaming else F.monotonically_increasing_id())
 
 
 SERIES_DOC = T.StructType(
@@ -45,46 +46,53 @@ SERIES_DOC = T.StructType(
 SERIES_NAMES = ["hz", "jitter", "bandwidth", "throughput", "cpu", "memory", "temperature"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+SERIES_ROWS = "run_id string, series string, slot int, idx bigint, elapsed_us bigint, value double"
+
+
+def _series_docs(spark: SparkSession, path: str) -> DataFrame | None:
+    """The documents with ``run_id`` (the file's path), None if there is no file."""
+    try:
+        docs = spark.read.schema(SERIES_DOC).option("multiLine", True).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return docs.withColumn("run_id", F.input_file_name())
 
 
 def read_series_json(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded-series documents (parallel lists) → long rows
-    ``(doc, series, slot, idx, elapsed_s, value)``. Lists may differ in length (a value
-    without a timestamp keeps a NULL time). A missing file gives an empty table.
-
-    Each document is exploded by position (``posexplode``), process lists by slot and position,
-    so the work is spread per document and per list."""
-    schema_out = "doc string, series string, slot int, idx long, elapsed_s double, value double"
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema_out)
-    docs = spark.read.schema(SERIES_DOC).option("multiLine", True).json(path).withColumn("doc", F.input_file_name())
-    ts = docs.select("doc", F.posexplode("timestamps").alias("idx", "elapsed_s"))
-    flat = docs.select(
-        "doc",
-        F.explode(F.array(*[F.struct(F.lit(n).alias("series"), F.col(n).alias("vals")) for n in SERIES_NAMES])).alias("s"),
-    ).select("doc", "s.series", F.lit(None).cast("int").alias("slot"), F.posexplode_outer("s.vals").alias("idx", "value"))
-    procs = []
-    for name, label in (("top_processes_memory", "process_memory"), ("top_processes_cpu", "process_cpu")):
-        procs.append(
-            docs.select("doc", F.posexplode(name).alias("slot", "vals"))
-            .select("doc", F.lit(label).alias("series"), F.col("slot").cast("int"), F.posexplode_outer("vals").alias("idx", "value"))
-        )
-    long = flat.unionByName(procs[0]).unionByName(procs[1]).where(F.col("idx").isNotNull())
-    return long.join(ts, ["doc", "idx"], "left").select("doc", "series", "slot", F.col("idx").cast("long"), "elapsed_s", "value")
+    """Recorded-series documents (parallel lists) → the long rows that the series operators take,
+    ``(run_id, series, slot, idx, elapsed_us, value)``; the slot is null but for process series.
+    Lists may differ in length (a value without a timestamp keeps a NULL time). A missing file
+    gives an empty table. A document is parsed once and its lists zipped with its timestamps."""
+    docs = _series_docs(spark, path)
+    if docs is None:
+        return spark.createDataFrame([], SERIES_ROWS)
+
+    def lists(name: str, col, slot) -> Column:
+        return F.struct(F.lit(name).alias("series"), slot.cast("int").alias("slot"), col.alias("vals"))
+
+    def per_slot(column: str, name: str) -> Column:
+        return F.transform(F.coalesce(F.col(column), F.array().cast("array<array<double>>")), lambda v, i: lists(name, v, i))
+
+    flat = F.array(*[lists(n, F.col(n), F.lit(None)) for n in SERIES_NAMES])
+    slots = F.concat(per_slot("top_processes_memory", "process_memory"), per_slot("top_processes_cpu", "process_cpu"))
+    rows = docs.select("run_id", "timestamps", F.explode(F.concat(flat, slots)).alias("s"))
+    rows = rows.select("run_id", "timestamps", "s.series", "s.slot", F.posexplode("s.vals").alias("idx", "value"))
+    elapsed = (F.get("timestamps", F.col("idx")) * F.lit(1e6)).cast("bigint")
+    return rows.select("run_id", "series", "slot", F.col("idx").cast("bigint").alias("idx"), elapsed.alias("elapsed_us"), "value")
 
 
 def read_series_labels(spark: SparkSession, path: str) -> DataFrame:
-    """The 20 slot label lists of a series document → (doc, slot, name, cmdline, exe, cwd)."""
-    docs = spark.read.schema(SERIES_DOC).option("multiLine", True).json(path).withColumn("doc", F.input_file_name())
+    """The slot label lists of a series document → (run_id, slot, name, cmdline, exe, cwd)."""
+    docs = _series_docs(spark, path)
+    if docs is None:
+        return spark.createDataFrame([], "run_id string, slot int, name string, cmdline string, exe string, cwd string")
     z = F.arrays_zip("top_processes_names", "top_processes_cmdlines", "top_processes_exes", "top_processes_cwds")
-    return docs.select("doc", F.posexplode(z).alias("slot", "l")).select(
-        "doc", "slot", F.col("l.top_processes_names").alias("name"), F.col("l.top_processes_cmdlines").alias("cmdline"),
+    return docs.select("run_id", F.posexplode(z).alias("slot", "l")).select(
+        "run_id", "slot", F.col("l.top_processes_names").alias("name"), F.col("l.top_processes_cmdlines").alias("cmdline"),
         F.col("l.top_processes_exes").alias("exe"), F.col("l.top_processes_cwds").alias("cwd"),
-    ).where(F.col("slot") < TOP_SLOTS)
+    )
 
 
 _CPU = T.StructType([T.StructField(n, T.DoubleType()) for n in ("average_percent", "max_percent", "min_percent")])
@@ -142,11 +150,13 @@ REPORT_DOC = T.StructType(
 )
 
 
-def read_report_json(spark: SparkSession, path: str) -> DataFrame:
+def read_report_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Run reports with the old key names tolerated: ``system_resources`` for
     ``system_stats``, ``analysis`` for ``summary``, and the flat average CPU / memory used when
-    the nested average is 0 or missing."""
-    r = spark.read.schema(REPORT_DOC).json(path)
+    the nested average is 0 or missing. A file holds one report (indented or not) or, with
+    ``lines``, one per line. A report that names no run or topic goes by its file's path."""
+    r = spark.read.schema(REPORT_DOC).option("multiLine", not lines).json(path)
+    r = r.withColumns({"run_id": F.coalesce("run_id", F.input_file_name()), "topic": F.coalesce("topic", F.lit(""))})
     sysb = F.coalesce(F.col("system_stats"), F.col("system_resources"))
     summ = F.coalesce(F.col("summary"), F.col("analysis"))
 
@@ -168,6 +178,24 @@ def read_report_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def flat_report(reports: DataFrame) -> DataFrame:
+    """The rows of :func:`read_report_json` with the columns that the report tables take (those of
+    ``operators.report.build_report``)."""
+    m, sysb = F.col("metrics"), F.col("system_stats")
+    fields = {"frequency": ("average_hz", "min_hz", "max_hz", "std_hz"), "jitter": ("average_ms", "min_ms", "max_ms", "std_ms"), "bandwidth": ("average_mbps", "min_mbps", "max_mbps")}
+    fields["throughput"] = tuple(f.name for f in reports.schema["metrics"].dataType["throughput"].dataType.fields)
+    cols = [m[block][name].alias(name) for block, names in fields.items() for name in names]
+    for block, what in (("cpu", "percent"), ("memory", "percent"), ("temperature", "celsius")):
+        for f in ("average", "max", "min"):
+            if not (f == "average" and what == "percent"):
+                cols.append(sysb[block][f"{f}_{what}"].alias(f"{block}_{f}_{what}"))
+    return reports.select(
+        "run_id", "topic", F.to_timestamp("start_time").alias("start_time"), F.to_timestamp("end_time").alias("end_time"), "duration_seconds",
+        m["samples"].alias("samples"), *cols, "cpu_average_percent", "memory_average_percent", sysb["samples"].alias("system_samples"),
+        sysb["jetson_temperatures"].alias("jetson_temperatures"), "summary.performance_rating", "summary.stability_rating", "summary.recommendations",
+    )
+
+
 def read_thermal_csv(spark: SparkSession, path: str) -> DataFrame:
     """Day files of temperature and ARM clock; header skipped; the second and
     third fields are the values."""
@@ -187,11 +215,13 @@ LOG_JSON = T.StructType(
 
 
 def read_log_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Journal export lines (one JSON object per line, the journal's own field names)."""
+    """Journal export lines (one JSON object per line, the journal's own field names).
+    ``line_no`` is a line's place in the files; on a stream, its time."""
     raw = _reader(spark, streaming).schema(LOG_JSON).json(path)
     us = F.col("__REALTIME_TIMESTAMP").cast("long")
     return raw.select(
         F.col("__CURSOR").alias("cursor"),
+        (us if streaming else F.monotonically_increasing_id()).alias("line_no"),
         us.alias("ts_us"),
         F.timestamp_micros(us).alias("ts"),
         F.date_format(F.timestamp_micros(us), "yyyy-MM-dd").alias("day"),
