@@ -25,11 +25,30 @@ def test_live_gauges_multi_batch(spark):
          .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
     got = spark.read.parquet(os.path.join(base, "out"))
+    assert got.agg(F.max("late_messages")).first()[0] == 0
+    got = got.drop("late_messages")
     exp = windows.message_gauges(msgs, 100).select(*got.columns)
     assert got.count() == exp.count()
     assert got.exceptAll(exp).count() == 0
 
 
+def test_live_gauges_count_late_rows(spark):
+    """Rows that come after later ones of their topic join no gauge but are counted."""
+    msgs = fx.messages(spark, SF_SMALL).where("topic = 'view'").orderBy("seq").limit(60).cache()
+    base = tempfile.mkdtemp(prefix="tickflow-late-")
+    src = os.path.join(base, "src")
+    order = [r.seq for r in msgs.select("seq").orderBy("seq").collect()]
+    early, late, rest = order[10:40], order[:10], order[40:]
+    for part in (early, late, rest):
+        msgs.where(F.col("seq").isin(part)).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(msgs.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (live.live_gauges(stream, 100).writeStream.format("parquet").option("path", os.path.join(base, "out"))
+         .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {r.seq: (r.total_messages, r.late_messages) for r in spark.read.parquet(os.path.join(base, "out")).collect()}
+    assert got == {**{s: (i + 1, 0) for i, s in enumerate(early)}, **{s: (31 + i, 10) for i, s in enumerate(rest)}}
+
+
 def test_checkpoint_partials_stream_equals_batch(spark):
     """Per-interval partials from the stream equal the batch partials of every closed window."""
     s = fx.series(spark, SF_SMALL).withColumn("ts", F.timestamp_micros(F.col("elapsed_us") + F.lit(fx.BASE_US)))

@@ -3,7 +3,8 @@
 * X1-X3 :func:`live_gauges` — last-N-row gauges per topic. Row frames are refused on streams,
   so the collector state (last N+1 arrivals, sizes, points and the running totals) is kept per
   (run, topic) with ``applyInPandasWithState``; each micro-batch is folded in seq order with
-  vectorised NumPy prefix sums. Rows at or before the last seen seq are late and dropped.
+  vectorised NumPy prefix sums. Rows at or before the last seen seq are late: they join no
+  gauge, and ``late_messages`` counts them.
 * X4 :func:`tumbling_rates` — built-in windowed counts with a watermark (append mode).
 * X5 :func:`snapshot_writer` — ``foreachBatch`` that overwrites the full current table.
 * X6 :func:`checkpoint_partials` — per-interval partials in append mode; roll up with
@@ -28,20 +29,22 @@ from tickflow.schemas import WINDOW_SIZE
 GAUGE_SCHEMA = (
     "run_id string, topic string, seq long, idx long, arrival_us long, current_hz double, jitter_ms double, "
     "avg_hz double, bandwidth_mbps double, avg_message_size_kb double, avg_points_per_message double, "
-    "total_messages long, total_mb double, total_points_millions double"
+    "total_messages long, total_mb double, total_points_millions double, late_messages long"
 )
-STATE_SCHEMA = "last_seq long, total long, total_bytes long, total_points long, tail_t array<long>, tail_s array<long>, tail_p array<long>"
+STATE_SCHEMA = "late long, last_seq long, total long, total_bytes long, total_points long, tail_t array<long>, tail_s array<long>, tail_p array<long>"
 
 
 def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState, n: int) -> Iterator[pd.DataFrame]:
     new = pd.concat(list(pdfs), ignore_index=True).sort_values("seq")
     if state.exists:
-        last_seq, total, tb, tp, tt, ts, tpts = state.get
+        late, last_seq, total, tb, tp, tt, ts, tpts = state.get
         tt, ts, tpts = list(tt), list(ts), list(tpts)
     else:
-        last_seq, total, tb, tp, tt, ts, tpts = -(2**62), 0, 0, 0, [], [], []
+        late, last_seq, total, tb, tp, tt, ts, tpts = 0, -(2**62), 0, 0, 0, [], [], []
+    late += int((new["seq"] <= last_seq).sum())
     new = new[new["seq"] > last_seq]
     if new.empty:
+        state.update((late, last_seq, total, tb, tp, tt, ts, tpts))
         return
     k = len(new)
     t = np.array(tt + new["arrival_us"].astype("int64").tolist(), dtype=object)
@@ -95,11 +98,13 @@ def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState, n: int) -> Itera
             "total_messages": (g + 1).astype(np.int64),
             "total_mb": tot_b / 1e6,
             "total_points_millions": tot_p / 1e6,
+            "late_messages": np.full(k, late, dtype=np.int64),
         }
     )
     keep = n + 1
     state.update(
         (
+            late,
             int(new["seq"].iloc[-1]),
             total + k,
             tb + int(sum(new["size"].astype("int64"))),
@@ -136,6 +141,16 @@ def tumbling_rates(stream: DataFrame, seconds: int = 1, watermark: str = "10 sec
     )
 
 
+def open_windows(messages: DataFrame, closed: DataFrame, seconds: int = 1, keys: Sequence[str] = ("run_id", "topic")) -> DataFrame:
+    """The windows that a bounded replay of ``messages`` has left open: those that
+    :func:`tumbling_rates` hasn't emitted when its source ended (a batch over the same rows)."""
+    whole = (
+        messages.groupBy(*keys, F.window("arrival_ts", f"{seconds} seconds").alias("window"))
+        .agg(F.count(F.lit(1)).alias("messages"), F.sum(message_size()).alias("bytes"), F.sum(point_count()).alias("points"))
+    )
+    return whole.join(closed.select(*keys, "window"), [*keys, "window"], "left_anti")
+
+
 def checkpoint_partials(stream: DataFrame, interval_s: int, watermark: str, keys: Sequence[str] = ("run_id", "series")) -> DataFrame:
     """Per-interval partials (n, Σ, Σ², min, max) of a series stream in append mode."""
     v = F.nanvl(F.col("value"), F.lit(None).cast("double"))
