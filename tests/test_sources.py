@@ -165,3 +165,5 @@ def test_sinks_skip_empty_and_append(spark):
     assert sinks.write_checkpoints(one, os.path.join(d, "c"))
     assert sinks.write_checkpoints(one.withColumn("checkpoint", F.lit(2).cast("long")), os.path.join(d, "c"))
     assert spark.read.parquet(os.path.join(d, "c")).count() == 2
+    assert sinks.write_checkpoints(one, os.path.join(d, "c"))  # again: replaced, not doubled
+    assert spark.read.parquet(os.path.join(d, "c")).count() == 2

@@ -279,30 +279,24 @@ def live_window(series: DataFrame, window_seconds: int = 60, keys: Sequence[str]
 def minmax_downsample(series: DataFrame, max_points: int = 8000, keys: Sequence[str] = ("run_id", "series")) -> DataFrame:
     """Series longer than ``max_points`` are cut by index into ``max_points // 2``
     near-equal bins (larger bins first, as an even array split) and only each bin's min and
-    max point (first occurrence) is kept; shorter series are kept whole. NaN points never
-    win a bin (documented deviation: the display drops them).
+    max point (first occurrence) is kept; shorter series are kept whole. A NaN wins only a bin
+    that has nothing else, with its first point. Not sorted: order by ``idx`` to draw.
 
-    Bins come from the dense index and the per-series length alone: a grouped aggregate on
-    (series, bin), no global sort."""
+    Bins come from the dense index and the per-series length alone (a short series has a bin
+    for each point): one grouped aggregate on (series, bin) that carries the two points."""
     lengths = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_len"))
     bins = max_points // 2
     j = series.join(lengths, list(keys))
-    q = F.expr(f"_len div {bins}")
-    r = F.expr(f"_len % {bins}")
-    big = (q + 1) * r  # rows in the first r bins of size q+1
-    bin_id = F.when(F.col("idx") < big, F.expr(f"idx div (_len div {bins} + 1)")).otherwise(
-        r + (F.col("idx") - big) / F.when(q > 0, q).otherwise(F.lit(1))
-    ).cast("long")
-    j = j.withColumn("_bin", bin_id)
-    long_series = j.where(F.col("_len") > max_points)
-    valid = long_series.where(~F.isnan("value"))
-    picked = valid.groupBy(*keys, "_bin").agg(
-        F.min(F.struct(F.col("value"), F.col("idx"))).alias("_lo"),
-        F.max(F.struct(F.col("value"), (-F.col("idx")).alias("nidx"))).alias("_hi"),
+    size = f"greatest(_len div {bins}, 1L)"
+    big = f"(_len div {bins} + 1) * (_len % {bins})"  # rows in the first bins, of one row more
+    bin_id = F.expr(
+        f"CASE WHEN _len <= {max_points} THEN idx WHEN idx < {big} THEN idx div (_len div {bins} + 1) ELSE _len % {bins} + (idx - {big}) div {size} END"
     )
-    lo = picked.select(*keys, F.col("_lo.idx").alias("idx"))
-    hi = picked.select(*keys, (-F.col("_hi.nidx")).alias("idx"))
-    kept = lo.unionByName(hi).dropDuplicates([*keys, "idx"])
-    out_long = long_series.join(kept, [*keys, "idx"], "left_semi")
-    out_short = j.where(F.col("_len") <= max_points)
-    return out_long.unionByName(out_short).select(*keys, "idx", "elapsed_us", "value")
+    v, nan = F.col("value"), F.isnan("value")
+    point = F.struct("idx", "elapsed_us", "value")
+    picked = j.groupBy(*keys, bin_id.alias("_bin")).agg(
+        F.min(F.struct(nan.alias("nan"), v.alias("v"), F.col("idx").alias("at"), point.alias("p")))["p"].alias("_lo"),
+        F.max(F.struct((~nan).alias("real"), v.alias("v"), (-F.col("idx")).alias("at"), point.alias("p")))["p"].alias("_hi"),
+    )
+    points = F.when(F.col("_lo.idx") == F.col("_hi.idx"), F.array("_lo")).otherwise(F.array("_lo", "_hi"))
+    return picked.select(*keys, F.explode(points).alias("_p")).select(*keys, "_p.idx", "_p.elapsed_us", "_p.value")

@@ -195,8 +195,8 @@ WHERE (SELECT count(*) FROM series t WHERE t.run_id = s.run_id AND t.series = s.
 UNION ALL
 SELECT s.run_id, s.series, s.idx, s.elapsed_us, s.value FROM series s JOIN (
   SELECT DISTINCT run_id, series, unnest([lo, hi]) AS idx FROM (
-    SELECT run_id, series, b, first(idx ORDER BY value, idx) AS lo, first(idx ORDER BY value DESC, idx) AS hi
-    FROM (SELECT *, {_BIN} AS b FROM (SELECT *, count(*) OVER (PARTITION BY run_id, series) AS n FROM series) WHERE n > {DOWNSAMPLE_POINTS} AND NOT isnan(value))
+    SELECT run_id, series, b, first(idx ORDER BY isnan(value), value, idx) AS lo, first(idx ORDER BY isnan(value), value DESC, idx) AS hi
+    FROM (SELECT *, {_BIN} AS b FROM (SELECT *, count(*) OVER (PARTITION BY run_id, series) AS n FROM series) WHERE n > {DOWNSAMPLE_POINTS})
     GROUP BY run_id, series, b)) k USING (run_id, series, idx)"""
     ),
 )

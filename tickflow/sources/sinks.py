@@ -34,9 +34,10 @@ def write_series_snapshot(series: DataFrame, path: str) -> bool:
 
 
 def write_checkpoints(checkpoints: DataFrame, path: str) -> bool:
-    """One folder per (run, checkpoint), appended, never overwritten; an empty input adds no
-    partition folder (no probe job: appending nothing writes no data files)."""
-    checkpoints.write.mode("append").partitionBy("run_id", "checkpoint").parquet(path)
+    """One folder per (run, checkpoint). Other checkpoints' folders are never touched; writing
+    a checkpoint again (a retry) replaces its own, so no row doubles. An empty input adds no
+    folder."""
+    checkpoints.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "checkpoint").parquet(path)
     return True
 
 
