@@ -161,15 +161,17 @@ def _marked(rows: DataFrame, width: int) -> DataFrame:
     texts = rows.select("doc_id", F.md5("text").alias("key")).where("doc_id is not null")
     firsts = texts.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = texts.join(firsts, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    # one exchange of the texts for all three uses: left joins only, so that no filter gets below it
+    # Each exchange below is read more than once. Spark makes it once if its uses are alike, so the
+    # texts meet left joins only and the keys are tested for null before, not by one of the joins.
     dealt = rows.repartition("doc_id").join(copies, "doc_id", "left")
     dealt = dealt.withColumn("copy", F.when(F.col("keys").isNull(), F.lit(False)).otherwise(F.array_contains("keys", F.md5("text")))).drop("keys")
 
-    index = _index(dealt, width).repartition("m")
+    index = _index(dealt, width).where("m is not null and doc_id is not null").repartition("m")
     shared = index.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m")
     lists = index.join(shared.hint("shuffle_hash"), "m").groupBy("doc_id").agg(F.collect_list("m").alias("ms"))
 
-    found = _candidates(dealt.join(lists, "doc_id", "left"), width).repartition("h1", "h2")
+    found = _candidates(dealt.join(lists, "doc_id", "left"), width)
+    found = found.where("h1 is not null and h2 is not null and doc_id is not null").repartition("h1", "h2")
     firsts = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
     gone = found.join(firsts.hint("shuffle_hash"), ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("h1").alias("gone"))
     return dealt.join(gone, "doc_id", "left")
