@@ -1,8 +1,9 @@
 """N-gram Jaccard join with filters under several global token orders.
 
 Two documents link when the Jaccard similarity of their sets of word shingles reaches num / den.
-In any global order of the shingles a linked pair shares one among the first
-n - ceil(t * n) + 1 of each set (its prefix), so a candidate must pass that test in every order.
+In any global order of the shingles a linked pair shares l shingles among the first
+n - ceil(t * n) + l of each set (its prefix; l is a twentieth of the smaller set), so a candidate
+must pass that test in every order.
 
 1. Sets. Documents of equal sets (copies) become one node, named by a 128-bit sum over the set.
 2. Orders. All orders put rare shingles first: the `hot` most frequent ones (counted in every task
@@ -11,7 +12,8 @@ n - ceil(t * n) + 1 of each set (its prefix), so a candidate must pass that test
    prefix only where a document has little else.
 3. Candidates of the first order, from an index of prefixes. If the first common shingle stands at
    places i and j, i + j shingles are in one set only, so i + j <= a + b - 2 * needed overlap.
-   A posting is kept if that can hold for it and the smallest place in its list.
+   A posting is kept if that can hold for it and the smallest place in its list, and a set only
+   while it has as many postings left as it must share.
 4. The other orders' prefixes are intersected for each candidate pair, and only then the sets, whose
    exact overlap decides.
 5. Instead of all pairs of a list, first each member against the member of smallest place (a star);
@@ -24,7 +26,7 @@ and is its own component; repeated rows are equal sets; rows of one doc_id are o
 without doc_id has component_id null and links nothing; empty tables give no rows. Only doc_id
 and text are read.
 
-Scale: a shuffle of the prefixes (15 % of the shingles at 0.85) and one of the texts that have a
+Scale: a shuffle of the prefixes (20 % of the shingles at 0.85) and one of the texts that have a
 posting left; both keyed by hashes. Broadcast: `hot` tokens with counts (2 MB by default).
 Every step is written to the shared folder.
 """
@@ -54,8 +56,16 @@ class Similarity:
     orders: int = 3
     hot: int = 1 << 17
 
+    def shared(self, n: str) -> str:
+        """Shingles that two sets of at least n share in their prefixes (SQL)."""
+        return f"greatest(1L, ({n} * {self.den - self.num} + {3 * self.den - 1}) div {3 * self.den})"
+
     def prefix(self, n: int) -> int:
-        return n - -(-self.num * n // self.den) + 1
+        return n - -(-self.num * n // self.den) + max(1, -(-n * (self.den - self.num) // (3 * self.den)))
+
+    def least(self, n: str) -> str:
+        """Size of the smallest set that can link to one of n (SQL)."""
+        return f"(({n} * {self.num} + {self.den - 1}) div {self.den})"
 
     def spare(self, a, b):
         """Shingles of either set that a linked pair may have alone (SQL over sizes a, b)."""
@@ -145,14 +155,18 @@ class Orders:
 
 
 def _prefix_rows(docs: DataFrame, orders: Orders) -> DataFrame:
-    """(sid, n, prefix) of every row under the first order."""
+    """(sid, n, prefix) under the first order of every set that a task meets (once a task, so that
+    copies don't pile up)."""
     k = orders.by.words
 
     def run(batches):
+        met: set[int] = set()
         for batch in batches:
             for piece in sliced(batch, "text"):
                 sets = shingle_sets(piece.column("text"), k)
                 s1, _ = set_sums(sets)
+                new = [i for i, s in enumerate(s1.tolist()) if len(sets[i]) and not (s in met or met.add(s))]
+                sets, s1 = [sets[i] for i in new], s1[new]
                 first = [orders.prefixes(s, [0])[0] for s in sets]
                 flat = np.concatenate(first) if first else np.zeros(0, U64)
                 yield pa.RecordBatch.from_arrays([as_long(s1), pa.array([len(s) for s in sets], pa.int32()), list_of_long(flat, [len(f) for f in first])], ["sid", "n", "prefix"])
@@ -183,9 +197,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, by: Similarity) -> DataFrame:
     side = lambda cols, s: sets.select(F.col("sid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols])
     others = [f"p{i}" for i in range(1, by.orders)]
     if others:
-        both = pairs.join(side(others, "a"), "a").join(side(others, "b"), "b")
+        both = pairs.join(side(["n", *others], "a"), "a").join(side(["n", *others], "b"), "b")
         for p in others:
-            both = both.where(F.arrays_overlap(f"{p}_a", f"{p}_b"))
+            both = both.where(F.size(F.array_intersect(f"{p}_a", f"{p}_b")) >= F.expr(by.shared("least(n_a, n_b)")))
         pairs = both.select("a", "b")
     both = pairs.join(side(["n", "tokens"], "a"), "a").join(side(["n", "tokens"], "b"), "b")
     both = both.withColumn("common", F.size(F.array_intersect("tokens_a", "tokens_b")))
@@ -200,11 +214,15 @@ def linked(spark: SparkSession, docs: DataFrame, by: Similarity = Similarity())
     hot = passed.where("token is not null").groupBy("token").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "token").limit(by.hot).toPandas()  # `hot` rows at most
     orders = Orders(by, hot["token"].to_numpy(np.int64).view(U64), hot["cnt"].to_numpy(np.int64))
 
-    # one row per distinct set, then its prefix as postings
-    prefixes = _prefix_rows(docs, orders).where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = prefixes.select("sid", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("pos", "sid", "n")).alias("pivot")).where("held > 1")
-    alive = postings.join(lists.hint("shuffle_hash"), "token").where(f"pos + pivot.pos <= ({by.den - by.num} * n) div {by.num}")
+    # postings of tokens that two sets hold in their prefixes
+    postings = _prefix_rows(docs, orders).select("sid", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
+    lists = postings.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("token")
+    alive = postings.join(lists.hint("shuffle_hash"), "token")
+    alive = written(spark, alive.select("token", "sid", "n", "pos").distinct(), "jj-postings")
+    enough = alive.groupBy("sid").agg(F.count(F.lit(1)).alias("left"), F.first("n").alias("n")).where(f"left >= {by.shared(by.least('n'))}").select("sid")
+    alive = written(spark, alive.join(enough, "sid", "left_semi"), "jj-postings")
+    lists = alive.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("pos", "sid", "n")).alias("pivot")).where("held > 1")
+    alive = alive.join(lists, "token").where(f"pos + pivot.pos <= ({by.den - by.num} * n) div {by.num}")
     alive = written(spark, alive.select("token", "sid", "n", "pos", F.col("pivot.sid").alias("psid"), F.col("pivot.n").alias("pn"), F.col("pivot.pos").alias("ppos")), "jj-postings")
 
     # the texts of the sets that have a posting left
@@ -243,7 +261,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, by: Similarity) -> DataFr
     """The rows of `docs` whose doc_id is the smallest of its component (one document of each group;
     rows without doc_id stay)."""
     out = linked(spark, docs, by)
-    dropped = out.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    dropped = written(spark, out.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), "jj-dropped")
     return docs.join(dropped, column(docs, "doc_id") == F.col("gone"), "left_anti")
 
 
