@@ -188,23 +188,23 @@ def metrics_table(report: DataFrame) -> DataFrame:
 
 
 def system_table(report: DataFrame) -> DataFrame:
-    """CPU, memory, temperature (when present), one row per zone (upper-cased), samples."""
-    rows = [
-        ("CPU Usage (%)", F.col("cpu_average_percent"), F.col("cpu_min_percent"), F.col("cpu_max_percent")),
-        ("Memory Usage (%)", F.col("memory_average_percent"), F.col("memory_min_percent"), F.col("memory_max_percent")),
-        ("CPU Temperature (°C)", F.col("temperature_average_celsius"), F.col("temperature_min_celsius"), F.col("temperature_max_celsius")),
-    ]
-    base = _stack(report.select("run_id", "topic", *[c for c in report.columns if c.startswith(("cpu_", "memory_", "temperature_"))]),
-                  KEYS, rows, ["resource", "average", "min", "max"]).where(F.col("average").isNotNull())
-    zones = report.select(*KEYS, F.explode_outer("jetson_temperatures").alias("zone", "t")).where(F.col("zone").isNotNull())
-    zrows = zones.select(
-        *KEYS, F.lit(100).alias("ord"), F.upper("zone").alias("resource"), F.col("t.average_celsius").alias("average"),
-        F.col("t.min_celsius").alias("min"), F.col("t.max_celsius").alias("max"),
+    """CPU, memory, temperature (when present), one row per zone (upper-cased), samples; one
+    array per report row, exploded once."""
+
+    def row(ord_: int, resource, *values) -> Column:
+        cells = zip(("average", "min", "max"), [v.cast("double") for v in values])
+        return F.struct(F.lit(ord_).alias("ord"), resource.alias("resource"), *[v.alias(n) for n, v in cells])
+
+    null = F.lit(None)
+    blocks = [("CPU Usage (%)", "cpu", "percent"), ("Memory Usage (%)", "memory", "percent"), ("CPU Temperature (°C)", "temperature", "celsius")]
+    base = [row(i, F.lit(label), *[F.col(f"{what}_{f}_{unit}") for f in ("average", "min", "max")]) for i, (label, what, unit) in enumerate(blocks)]
+    zones = F.map_entries(F.coalesce("jetson_temperatures", F.create_map().cast(report.schema["jetson_temperatures"].dataType)))
+    items = F.concat(
+        F.filter(F.array(*base), lambda r: r["average"].isNotNull()),
+        F.transform(zones, lambda z: row(100, F.upper(z["key"]), z["value"]["average_celsius"], z["value"]["min_celsius"], z["value"]["max_celsius"])),
+        F.array(row(200, F.lit("Total Samples"), F.col("system_samples"), null, null)),
     )
-    samples = report.select(*KEYS, F.lit(200).alias("ord"), F.lit("Total Samples").alias("resource"),
-                            F.col("system_samples").cast("double").alias("average"),
-                            F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max"))
-    return base.unionByName(zrows).unionByName(samples)
+    return report.select(*KEYS, F.explode(items).alias("_r")).select(*KEYS, "_r.*")
 
 
 def top_process_table(slot_stats: DataFrame, keys: Sequence[str] = ("run_id", "host", "slot")) -> DataFrame:

@@ -165,19 +165,24 @@ def _band(v: str, good: str, poor: str) -> str:
     return f"CASE WHEN {v} IS NULL THEN NULL WHEN {good} THEN 'good' WHEN {poor} THEN 'needs improvement' ELSE 'acceptable' END"
 
 
+SPEC_KPOINTS = 5.0  # a sensor's specified thousand points a second
+_PCT = f"(average_kpoints_per_sec / {SPEC_KPOINTS}e0 * 100e0)"
+
+
 @query(
     "performance_targets",
     _rsql(
         f"""SELECT run_id, topic, ord, metric, round(value, 6) AS value, band FROM report, LATERAL (
-  SELECT unnest([0, 1, 2, 3]) AS ord, unnest(['frequency_hz', 'jitter_ms', 'cpu_percent', 'temperature_c']) AS metric,
-         unnest([average_hz, average_ms, cpu_average_percent, temperature_average_celsius]) AS value,
+  SELECT unnest([0, 1, 2, 3, 4]) AS ord, unnest(['frequency_hz', 'jitter_ms', 'cpu_percent', 'temperature_c', 'throughput_pct_of_spec']) AS metric,
+         unnest([average_hz, average_ms, cpu_average_percent, temperature_average_celsius, {_PCT}]) AS value,
          unnest([{_band('average_hz', 'average_hz > 10', 'average_hz < 5')}, {_band('average_ms', 'average_ms < 25', 'average_ms > 50')},
                  {_band('cpu_average_percent', 'cpu_average_percent < 70', 'cpu_average_percent > 80')},
-                 {_band('temperature_average_celsius', 'temperature_average_celsius < 70', 'temperature_average_celsius > 80')}]) AS band)"""
+                 {_band('temperature_average_celsius', 'temperature_average_celsius < 70', 'temperature_average_celsius > 80')},
+                 {_band(_PCT, _PCT + ' > 80', _PCT + ' < 50')}]) AS band)"""
     ),
 )
 def q_performance_targets(spark, sf):
-    return round_doubles(report.performance_targets(_report(spark, sf)))
+    return round_doubles(report.performance_targets(_report(spark, sf), SPEC_KPOINTS))
 
 
 _ZONE_LONG = """SELECT run_id, 'cpu' AS zone, zone_cpu_millic / 1000e0 AS celsius FROM system_samples WHERE zone_cpu_millic IS NOT NULL UNION ALL SELECT run_id, 'gpu' AS zone, zone_gpu_millic / 1000e0 AS celsius FROM system_samples WHERE zone_gpu_millic IS NOT NULL UNION ALL SELECT run_id, 'aux' AS zone, zone_aux_millic / 1000e0 AS celsius FROM system_samples WHERE zone_aux_millic IS NOT NULL UNION ALL SELECT run_id, 'ao' AS zone, zone_ao_millic / 1000e0 AS celsius FROM system_samples WHERE zone_ao_millic IS NOT NULL UNION ALL SELECT run_id, 'pmic' AS zone, zone_pmic_millic / 1000e0 AS celsius FROM system_samples WHERE zone_pmic_millic IS NOT NULL UNION ALL SELECT run_id, 'tboard' AS zone, zone_tboard_millic / 1000e0 AS celsius FROM system_samples WHERE zone_tboard_millic IS NOT NULL UNION ALL SELECT run_id, 'tdiode' AS zone, zone_tdiode_millic / 1000e0 AS celsius FROM system_samples WHERE zone_tdiode_millic IS NOT NULL"""

@@ -1,6 +1,6 @@
 """Structured Streaming counterparts of the live metrics.
 
-* X1-X3 :func:`live_gauges` — last-N-row gauges per topic. Row frames are refused on streams,
+* X1 :func:`live_gauges` — last-N-row gauges per topic. Row frames are refused on streams,
   so the collector state (last N+1 arrivals, sizes, points and the running totals) is kept per
   (run, topic) with ``applyInPandasWithState``; each micro-batch is folded in seq order with
   vectorised NumPy prefix sums. Rows at or before the last seen seq are late: they join no
@@ -118,7 +118,7 @@ def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState, n: int) -> Itera
 
 
 def live_gauges(stream: DataFrame, n: int = WINDOW_SIZE, keys: Sequence[str] = ("run_id", "topic")) -> DataFrame:
-    """Per-message last-N gauges on a message stream (same values as the batch
+    """Per-message last-N gauges on a message stream (same values as the batch
     :func:`tickflow.operators.windows.message_gauges`)."""
     from tickflow.session import ship_package
 
