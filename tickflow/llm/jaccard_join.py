@@ -11,9 +11,9 @@ must pass that test in every order.
    is right, so the counts only decide the work: boilerplate that many documents hold gets into a
    prefix only where a document has little else.
 3. Candidates of the first order, from an index of prefixes. If the first common shingle stands at
-   places i and j, i + j shingles are in one set only, so i + j <= a + b - 2 * needed overlap.
-   A posting is kept if that can hold for it and the smallest place in its list, and a set only
-   while it has as many postings left as it must share.
+   places i and j, i shingles of the one set and j of the other aren't shared, so i <= a - o and
+   j <= b - o for the overlap o that sets of these sizes need. A posting is kept while its place
+   allows that at all, a set only while it has as many postings left as it must share.
 4. The other orders' prefixes are intersected for each candidate pair, and only then the sets, whose
    exact overlap decides.
 5. Instead of all pairs of a list, first each member against the member of smallest place (a star);
@@ -67,9 +67,9 @@ class Similarity:
         """Size of the smallest set that can link to one of n (SQL)."""
         return f"(({n} * {self.num} + {self.den - 1}) div {self.den})"
 
-    def spare(self, a, b):
-        """Shingles of either set that a linked pair may have alone (SQL over sizes a, b)."""
-        return f"({a} + {b} - 2 * (({self.num} * ({a} + {b}) + {self.num + self.den - 1}) div {self.num + self.den}))"
+    def alone(self, a: str, b: str) -> str:
+        """Shingles that a set of size a may have without a linked one of size b (SQL)."""
+        return f"({a} - (({self.num} * ({a} + {b}) + {self.num + self.den - 1}) div {self.num + self.den}))"
 
     def sizes(self, a, b):
         return f"({self.den} * least({a}, {b}) >= {self.num} * greatest({a}, {b}))"
@@ -216,13 +216,16 @@ def linked(spark: SparkSession, docs: DataFrame, by: Similarity = Similarity())
 
     # postings of tokens that two sets hold in their prefixes
     postings = _prefix_rows(docs, orders).select("sid", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
-    lists = postings.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("token")
+    # (all columns are read on this side too, so that one exchange serves both)
+    lists = postings.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.max("n").alias("n"), F.max("pos").alias("pos"))
+    lists = lists.where("lo < hi and n > 0 and pos >= 0").select("token")
     alive = postings.join(lists.hint("shuffle_hash"), "token")
     alive = written(spark, alive.select("token", "sid", "n", "pos").distinct(), "jj-postings")
     enough = alive.groupBy("sid").agg(F.count(F.lit(1)).alias("left"), F.first("n").alias("n")).where(f"left >= {by.shared(by.least('n'))}").select("sid")
-    alive = written(spark, alive.join(enough, "sid", "left_semi"), "jj-postings")
+    alive = alive.join(enough, "sid", "left_semi").where(f"pos <= n - {by.least('n')}")
+    alive = written(spark, alive, "jj-postings")
     lists = alive.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("pos", "sid", "n")).alias("pivot")).where("held > 1")
-    alive = alive.join(lists, "token").where(f"pos + pivot.pos <= ({by.den - by.num} * n) div {by.num}")
+    alive = alive.join(lists, "token")
     alive = written(spark, alive.select("token", "sid", "n", "pos", F.col("pivot.sid").alias("psid"), F.col("pivot.n").alias("pn"), F.col("pivot.pos").alias("ppos")), "jj-postings")
 
     # the texts of the sets that have a posting left
@@ -231,7 +234,7 @@ def linked(spark: SparkSession, docs: DataFrame, by: Similarity = Similarity())
     rows = _rows(docs)
     sets = written(spark, _set_rows(rows.join(wanted.distinct(), "doc_id", "left_semi"), orders), "jj-sets")
 
-    star = alive.where("sid <> psid").where(by.sizes("n", "pn")).where(f"pos + ppos <= {by.spare('n', 'pn')}")
+    star = alive.where("sid <> psid").where(by.sizes("n", "pn")).where(f"pos <= {by.alone('n', 'pn')} and ppos <= {by.alone('pn', 'n')}")
     star = written(spark, star.select(F.least("sid", "psid").alias("a"), F.greatest("sid", "psid").alias("b")).distinct(), "jj-star")
     links = written(spark, _verified(star, sets, by), "jj-links")
     label = written(spark, components(spark, links), "jj-labels")
@@ -241,7 +244,7 @@ def linked(spark: SparkSession, docs: DataFrame, by: Similarity = Similarity())
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
     left = written(spark, placed.join(mixed, "token", "left_semi"), "jj-mixed")
     x, y = left.alias("x"), left.alias("y")
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & F.expr(by.sizes("x.n", "y.n")) & F.expr(f"x.pos + y.pos <= {by.spare('x.n', 'y.n')}"))
+    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & F.expr(by.sizes("x.n", "y.n")) & F.expr(f"x.pos <= {by.alone('x.n', 'y.n')} and y.pos <= {by.alone('y.n', 'x.n')}"))
     cross = cross.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
     cross = cross.join(star, ["a", "b"], "left_anti")
     more = written(spark, _verified(cross, sets, by), "jj-more")
