@@ -6,7 +6,7 @@ n - ceil(t * n) + l of each set (its prefix; l is a twentieth of the smaller set
 must pass that test in every order.
 
 1. Sets. Documents of equal sets (copies) become one node, named by a 128-bit sum over the set.
-2. Orders. All orders put rare shingles first: the `hot` most frequent ones (counted in every task
+2. Orders. All orders put rare shingles first: up to `hot` most frequent ones (counted in every task
    over all documents, summed) come last, by count; the rest by one of several hashes. Any order
    is right, so the counts only decide the work: boilerplate that many documents hold gets into a
    prefix only where a document has little else.
@@ -133,6 +133,19 @@ def signatures(docs: DataFrame, by: Similarity) -> DataFrame:
     return _rows(docs).mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, token bigint, cnt bigint")
 
 
+def _hot_tokens(spark: SparkSession, counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens and their counts: all of 2^b or more, for the smallest b that gives
+    at most `most` of them (no more than those come to the driver)."""
+    counts = written(spark, counts.withColumn("bits", F.floor(F.log2("cnt")).cast("int")), "jj-counts")
+    sizes = {r["bits"]: r["n"] for r in counts.groupBy("bits").agg(F.count(F.lit(1)).alias("n")).collect()}  # 64 rows at most
+    least, held = 64, 0
+    while least > 0 and held + sizes.get(least - 1, 0) <= most:
+        least -= 1
+        held += sizes.get(least, 0)
+    hot = counts.where(F.col("bits") >= least).select("token", "cnt").toPandas()
+    return hot["token"].to_numpy(np.int64).view(U64), hot["cnt"].to_numpy(np.int64)
+
+
 class Orders:
     """The global orders: by count among the hot tokens (0 for others), then by hash."""
 
@@ -211,8 +224,7 @@ def linked(spark: SparkSession, docs: DataFrame, by: Similarity = Similarity())
     passed = written(spark, signatures(docs, by), "jj-signatures")
     members = passed.where("n is not null").select("doc_id", "n", F.col("s1").alias("sid"))
 
-    hot = passed.where("token is not null").groupBy("token").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "token").limit(by.hot).toPandas()  # `hot` rows at most
-    orders = Orders(by, hot["token"].to_numpy(np.int64).view(U64), hot["cnt"].to_numpy(np.int64))
+    orders = Orders(by, *_hot_tokens(spark, passed.where("token is not null").groupBy("token").agg(F.sum("cnt").alias("cnt")), by.hot))
 
     # postings of tokens that two sets hold in their prefixes
     postings = _prefix_rows(docs, orders).select("sid", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
