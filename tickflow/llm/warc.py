@@ -186,7 +186,9 @@ def train_dictionary(pages: DataFrame) -> bytes:
     import zstandard
 
     heads = pages.select(F.xxhash64(column(pages, "page_id")).alias("h"), F.substring(column(pages, "html"), 1, SAMPLE_CHARS).alias("head")).where("head <> ''")
-    samples = [r["head"].encode() for r in heads.orderBy("h", "head").limit(SAMPLES).collect()]
+    # the hashes alone are ranked; then only the chosen rows' heads come to the driver
+    last = heads.select("h").orderBy("h").limit(SAMPLES).agg(F.max("h")).first()[0]
+    samples = [r["head"].encode() for r in heads.where(F.col("h") <= F.lit(last)).limit(SAMPLES).collect()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few samples to train on: their text itself
