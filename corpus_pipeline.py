@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from tickflow.llm import decontaminate, jaccard_join, langid, prefix_bpe, substring_dedup
 from tickflow.llm import queries as _queries
-from tickflow.session import checkpoint_dir, prepare
+from tickflow.llm.common import lean
+from tickflow.session import checkpoint_dir
 
 LEAST_SCORE = 0.35
 NEAR = jaccard_join.Similarity(words=5, num=80, den=100)
@@ -29,16 +30,19 @@ NEAR = jaccard_join.Similarity(words=5, num=80, den=100)
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the texts that have a language."""
+    lean(spark)
     return langid.accepted(docs, langid.learn(docs), LEAST_SCORE)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies (five words, 0.8)."""
+    lean(spark)
     return jaccard_join.deduplicated(spark, docs, NEAR)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that an earlier document has; n_chars follows the text."""
+    lean(spark)
     out = substring_dedup.cut_documents(docs)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
@@ -50,6 +54,7 @@ def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, decoded_sha256 of every document left."""
+    lean(spark)
     return prefix_bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -67,7 +72,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pipeline's rows; the stages' tables are written under the shared folder."""
-    prepare(spark)
+    lean(spark)
     folder = f"{checkpoint_dir(spark).rstrip('/')}/llm-pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:

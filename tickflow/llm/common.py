@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickflow.session import checkpoint_dir
+from tickflow.session import checkpoint_dir, prepare
 
 # Word separators of the text contracts: U+0020 and U+0009..U+000D (single bytes in UTF-8).
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -29,6 +29,16 @@ def column(df: DataFrame, name: str) -> Column:
     return df[quoted(name)]
 
 
+BATCH_ROWS = "1000"  # rows of an Arrow batch: what the JVM and a Python worker hold at once
+
+
+def lean(spark: SparkSession) -> SparkSession:
+    """The session settings of these operators: the library's, and small Arrow batches."""
+    prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write `df` as Parquet under the shared folder named by
     ``spark.checkpoint.dir`` and read it back (survives the loss of any executor)."""
@@ -149,7 +159,7 @@ def _join(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return mix(a * U64(0x9FB21C651E98DF25) + (b ^ (b >> U64(32))) * U64(0xC2B2AE3D27D4EB4F) + U64(salt))
 
 
-def sliced(batch: pa.RecordBatch, name: str, limit: int = 4_000_000):
+def sliced(batch: pa.RecordBatch, name: str, limit: int = 1_000_000):
     """Cut a batch into runs of rows whose texts hold about `limit` bytes together (a longer
     text stands alone), so that what a task holds at once is bounded by bytes, not rows."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(name)), 0)).astype(np.int64)

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from tickflow.llm.common import U64, Words, as_long, column, list_of_long, mix, sliced, windows, written
 from tickflow.llm.components import components
 
-FLUSH = 2_000_000  # shingles that a task counts at once
+FLUSH = 1_500_000  # shingles that a task counts at once
 
 
 @dataclass(frozen=True)

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from tickflow.llm.common import column, sliced
 
-RUNS = 1_000_000  # runs that a worker remembers
-PAIRS = 500_000  # pairs of tokens that a worker remembers
+RUNS = 700_000  # runs that a worker remembers
+PAIRS = 250_000  # pairs of tokens that a worker remembers
 LONG_RUN = 256  # characters of a run that is worth remembering
 # White_Space of Unicode, as the pattern's \s means it
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -270,7 +270,7 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, fields: str, columns
     def run(batches):
         code = coder(ranks_path, pattern)
         for batch in batches:
-            for piece in sliced(batch, "text", 2_000_000):
+            for piece in sliced(batch, "text"):
                 packed = code.encode(piece.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *columns(packed, [code.decode(p) for p in packed])], ["doc_id", *names])
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tickflow.llm import decontaminate, hash_ring, jaccard_join, langid, prefix_bpe, quality, substring_dedup, token_count, url_filter, warc
-from tickflow.session import prepare
+from tickflow.llm.common import lean
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +17,7 @@ ORACLES: dict[str, str] = {}
 def _query(name: str, sql: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            prepare(spark)
+            lean(spark)
             return fn(spark, lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
         run.__doc__ = fn.__doc__

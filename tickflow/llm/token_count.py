@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tickflow.llm.common import column, sliced
 
 MARK = "▁"  # how the model writes a space
-PARTS = 300_000  # lengths that a worker remembers
+PARTS = 250_000  # lengths that a worker remembers
 LONG_PART = 16_384  # characters
 OVER_LIMIT = 4096
 
@@ -120,7 +120,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = OVER_LIMIT) -> D
     def run(batches):
         count = counter(model_path).count
         for batch in batches:
-            for piece in sliced(batch, "text", 2_000_000):
+            for piece in sliced(batch, "text"):
                 texts = piece.column("text")
                 n_bytes = pc.binary_length(texts).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), n_bytes, pa.array(count(texts.to_pylist()), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
