@@ -169,6 +169,44 @@ def test_leaks_equal_brute_force(spark):
     assert leaks(spark, empty(spark), table).collect() == [] == leaks(spark, frame(spark, docs), table.limit(0)).collect()
 
 
+def test_leaks_in_another_order_equal_brute_force(spark):
+    """Items whose parts are swapped or rotated inside a document: the best window is aligned with no
+    part of the item."""
+    from tickflow.llm.decontaminate import _dense, leaks
+
+    rnd = random.Random(8)
+    items = [[f"b{k}x{rnd.randrange(900)}" for _ in range(n)] for k, n in enumerate((50, 59, 100, 100, 64))]
+    items.append(["r", "s"] * 10 + [f"q{i}" for i in range(30)])  # shingles that the item holds more than once
+    cuts = [(0, 25), (1, 45), (1, 50), (2, 50), (3, 90), (4, 10), (5, 12), (5, 35)]
+    noise = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    texts = [noise(30) + items[k][c:] + items[k][:c] + noise(20) for k, c in cuts]
+    texts += [items[2][50:] + items[2][:50], items[2][50:] + items[2][3:50], items[0][25:] + noise(60) + items[0][:25], noise(90)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    want = {}
+    for d, t in enumerate(texts):
+        for k, b in enumerate(items):
+            n = min(len(b), len(t))
+            best, start = max((similarity(t[s : s + n], b), -s) for s in range(len(t) - n + 1))
+            if best >= 0.8:
+                want[d, k] = (-start, round(best, 9))
+    got = leaks(spark, frame(spark, docs), table).collect()
+    assert {(r.doc_id, r.item_id): (r.start_word, round(r.similarity, 9)) for r in got} == want
+    assert len(got) == len(want) and {d for d, _ in want} == set(range(len(cuts) + 2))
+
+    # the windows themselves: all that hold enough seeds, each once
+    rows, dense = [], set()
+    for i in range(60):
+        size, n = rnd.randrange(5, 60), rnd.randrange(5, 30)
+        p = [j for j in range(size - 4) if rnd.random() < (0.8, 0.95)[i % 2]]
+        m = min(size, n) - 4
+        need = -(-4 * (m + n - 4) // 9)
+        rows.append((i, 0, size, n, p))
+        dense |= {(i, n, s) for s in range(max(0, size - n) + 1) if sum(s <= j < s + m for j in p) >= need}
+    got = _dense(spark.createDataFrame(rows, "doc_id bigint, tid bigint, size int, n int, p array<int>")).collect()
+    assert Counter((r.doc_id, r.n, r.start) for r in got) == Counter(dense)
+
+
 def test_multi_index_misses_nothing_within_the_radius(spark):
     from tickflow.llm.decontaminate import RADIUS, _blocks
 

@@ -4,9 +4,10 @@ An item is compared with windows of its own number of words. Window and item hav
 of their five-word shingles; a multi-index over the fingerprints finds every item within RADIUS
 bits of a window; an exact similarity of the weighted shingles then decides.
 
-1. Seeds. A window of similarity > 0 shares a shingle with the item, so only windows that do are
-   fingerprinted: every place where a document holds an item's shingle gives the window that puts
-   it where the item has it (moved inside the text if it would reach beyond).
+1. Seeds. A window of m shingles and an item of k need 9 * common >= 4 * (m + k) for a similarity of
+   0.8, and `common` is at most the number of the window's places that hold a shingle of the item.
+   Every window with that many such places is fingerprinted, in whatever order they stand; items
+   of the same number of words are counted together (more windows, none less).
 2. Fingerprints. Bit i is set if most shingles of the window (weighted by their number) have it.
 3. Multi-index. BLOCKS blocks of 64 / BLOCKS bits; two fingerprints of distance <= RADIUS = 2 *
    BLOCKS - 1 have a block that differs in one bit at most, so items are listed under each block's
@@ -85,19 +86,33 @@ def item_shingles(items: DataFrame) -> DataFrame:
     return words.select("item_id", F.size("words").alias("n"), F.posexplode(_shingles("words")).alias("at", "h"))
 
 
+def _dense(seeds: DataFrame) -> DataFrame:
+    """(doc_id, tid, n, start) of every window with enough seeds, from a text's sorted places `p`.
+    The window's first seed is the i-th of them: it starts after the one before, and reaches the
+    (i + need - 1)-th. So each start comes once."""
+    m = f"(least(size, n) - {SHINGLE - 1})"
+    k = f"(n - {SHINGLE - 1})"
+    need = f"(({NUM} * ({m} + {k}) + {NUM + DEN - 1}) div {NUM + DEN})"
+    seeds = seeds.withColumn("m", F.expr(m)).withColumn("need", F.expr(need).cast("int")).where("size(p) >= need")
+    runs = F.expr("""transform(sequence(0, size(p) - need), i -> struct(
+        greatest(p[i + need - 1] - m + 1, if(i = 0, 0, p[greatest(i - 1, 0)] + 1), 0) as lo,
+        least(p[i], greatest(size - n, 0)) as hi))""")
+    runs = seeds.select("doc_id", "tid", "n", F.explode(runs).alias("r")).where("r.lo <= r.hi")
+    return runs.select("doc_id", "tid", "n", F.explode(F.sequence("r.lo", "r.hi")).alias("start"))
+
+
 def find(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, tid, item_id, start_word, n_words, distance, similarity): per document text (tid: its
     hash) and item the most similar window (the first of equals) of similarity >= 0.8."""
     pieces = written(spark, item_shingles(items), "dc-items")
     few = pieces.count() <= MAX_BROADCAST
-    by_hash = pieces.groupBy("h").agg(F.collect_set(F.struct("n", "at")).alias("places"))
+    by_hash = pieces.groupBy("h").agg(F.collect_set("n").alias("lengths"))
 
     text = column(docs, "text")
     hashed = docs.select(column(docs, "doc_id").alias("doc_id"), F.xxhash64(text).alias("tid"), _hashes(text).alias("words"))
     grams = hashed.select("doc_id", "tid", F.size("words").alias("size"), F.posexplode(_shingles("words")).alias("pos", "h"))
-    seeds = grams.join(F.broadcast(by_hash) if few else by_hash, "h").select("doc_id", "tid", "size", "pos", F.explode("places").alias("p"))
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("p.at"), F.col("size") - F.col("p.n")))
-    windows = seeds.select("doc_id", "tid", F.col("p.n").alias("n"), start.alias("start")).distinct()
+    seeds = grams.join(F.broadcast(by_hash) if few else by_hash, "h").select("doc_id", "tid", "size", "pos", F.explode("lengths").alias("n"))
+    windows = _dense(seeds.groupBy("doc_id", "tid", "size", "n").agg(F.array_sort(F.collect_set("pos")).alias("p")))
     windows = written(spark, windows.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("n", "start")).alias("windows")), "dc-windows")
 
     # the windows' shingles, from the texts that have windows
