@@ -42,6 +42,34 @@ def test_components_equal_brute_force(spark, rows, k, num, den, hot):
     assert Counter(tuple(r) for r in got) == brute_components(rows, k, num, den)
 
 
+def brute_links(rows, k, num, den):
+    named = {}
+    for i, t in rows:
+        if i is not None and shingles(t, k):
+            named.setdefault(frozenset(shingles(t, k)), set()).add(i)
+    out = Counter()
+    for (x, p), (y, q) in itertools.combinations(named.items(), 2):
+        if den * len(x & y) >= num * len(x | y):
+            (a, n), (b, m) = sorted([(min(p), len(p)), (min(q), len(q))])
+            out[a, b, n, m, len(x & y), len(x | y)] += 1
+    return out
+
+
+@pytest.mark.parametrize("k,num,den,hot,block", [(4, 85, 100, 1 << 17, 512), (2, 50, 100, 0, 3)])
+def test_links_equal_brute_force(spark, rows, k, num, den, hot, block):
+    """All links between different sets, those inside a component too."""
+    from tickflow.llm.jaccard_join import Similarity, links
+
+    base = [f"g{i}" for i in range(200)]  # a group in which all pairs link, with copies and a null doc_id
+    group = [" ".join(base[:j] + [f"n{j}"] + base[j + 1 :]) for j in range(0, 80, 4)]
+    more = [(5000 + i, t) for i, t in enumerate(group + group[:3])] + [(None, group[0]), (None, " ".join(base))]
+    got = links(spark, frame(spark, rows + more), Similarity(words=k, num=num, den=den, hot=hot), block)
+    want = brute_links(rows + more, k, num, den)
+    assert Counter(tuple(r) for r in got.collect()) == want
+    assert sum(a >= 5000 for a, *_ in want) == 190
+    assert links(spark, empty(spark)).collect() == []
+
+
 def test_a_row_without_doc_id_links_nothing(spark):
     from tickflow.llm.jaccard_join import deduplicated, linked, Similarity
 

@@ -19,6 +19,7 @@ must pass that test in every order.
 5. Instead of all pairs of a list, first each member against the member of smallest place (a star);
    then the pairs that are left between different components. Pairs inside a component can't
    change it, so a large group of near copies costs about its size, not its square.
+   `links` needs all of them: it compares all pairs of a list, long lists in blocks of LIST_BLOCK.
 
 Defined results: A-Z are lower-cased and words are ``[^\\x20\\x09-\\x0D]+``; a text with fewer words
 than a shingle has its whole sequence as the one shingle; null or wordless text has an empty set
@@ -44,6 +45,7 @@ from tickflow.llm.common import U64, Words, as_long, column, list_of_long, mix,
 from tickflow.llm.components import components
 
 FLUSH = 1_500_000  # shingles that a task counts at once
+LIST_BLOCK = 512  # sets of one list that a key of the join of all pairs holds on each side
 
 
 @dataclass(frozen=True)
@@ -216,11 +218,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, by: Similarity) -> DataFrame:
         pairs = both.select("a", "b")
     both = pairs.join(side(["n", "tokens"], "a"), "a").join(side(["n", "tokens"], "b"), "b")
     both = both.withColumn("common", F.size(F.array_intersect("tokens_a", "tokens_b")))
-    return both.where(f"cast({by.den} as bigint) * common >= cast({by.num} as bigint) * (n_a + n_b - common)").select("a", "b")
+    both = both.withColumn("total", F.expr("n_a + n_b - common"))
+    return both.where(f"cast({by.den} as bigint) * common >= cast({by.num} as bigint) * total").select("a", "b", "common", "total")
 
 
-def linked(spark: SparkSession, docs: DataFrame, by: Similarity = Similarity()) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _indexed(spark: SparkSession, docs: DataFrame, by: Similarity) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (doc_id, n, sid), the postings that can link (with their list's pivot), and the sets
+    that have one."""
     passed = written(spark, signatures(docs, by), "jj-signatures")
     members = passed.where("n is not null").select("doc_id", "n", F.col("s1").alias("sid"))
 
@@ -245,10 +249,40 @@ def linked(spark: SparkSession, docs: DataFrame, by: Similarity = Similarity())
     wanted = named.join(alive.select("sid").distinct(), "sid", "left_semi").select("doc_id")
     rows = _rows(docs)
     sets = written(spark, _set_rows(rows.join(wanted.distinct(), "doc_id", "left_semi"), orders), "jj-sets")
+    return members, alive, sets
+
+
+def links(spark: SparkSession, docs: DataFrame, by: Similarity = Similarity(), block: int = LIST_BLOCK) -> DataFrame:
+    """Every link between two different sets, once: a, b (the smallest doc_id of each, a <= b),
+    copies_a, copies_b (number of its doc_ids), n_common, n_union (shingles). So the number of links
+    between documents of different sets is the sum of copies_a * copies_b."""
+    members, alive, sets = _indexed(spark, docs, by)
+    held = alive.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    cells = alive.select("token", "sid", "n", "pos").join(held, "token").withColumn("of", F.expr(f"cast(ceil(held / {block}) as int)"))
+    cells = cells.withColumn("own", F.expr("cast(pmod(xxhash64(sid), of) as int)"))
+    x = cells.select("token", "sid", "n", "pos", F.col("own").alias("lo"), F.explode(F.expr("sequence(own, of - 1)")).alias("hi")).alias("x")
+    y = cells.select("token", "sid", "n", "pos", F.explode(F.expr("sequence(0, own)")).alias("lo"), F.col("own").alias("hi")).alias("y")
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
+    pairs = x.join(y, same & F.expr("(x.lo < x.hi or x.sid < y.sid)") & F.expr(by.sizes("x.n", "y.n")) & F.expr(f"x.pos <= {by.alone('x.n', 'y.n')} and y.pos <= {by.alone('y.n', 'x.n')}"))
+    pairs = written(spark, pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct(), "jj-pairs")
+    # (a set of several doc_ids that have more texts can stand in `sets` more than once)
+    found = written(spark, _verified(pairs, sets.dropDuplicates(["sid"]), by), "jj-links")
+
+    named = members.where("doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.countDistinct("doc_id").alias("copies"))
+    end = lambda s: named.select(F.col("sid").alias(s), F.struct("doc", "copies").alias(f"of_{s}"))
+    out = found.join(end("a"), "a").join(end("b"), "b").select(F.least("of_a", "of_b").alias("x"), F.greatest("of_a", "of_b").alias("y"), "common", "total")
+    return out.select(
+        F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.copies").alias("copies_a"), F.col("y.copies").alias("copies_b"),
+        F.col("common").cast("bigint").alias("n_common"), F.col("total").cast("bigint").alias("n_union"),
+    )
 
+
+def linked(spark: SparkSession, docs: DataFrame, by: Similarity = Similarity()) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    members, alive, sets = _indexed(spark, docs, by)
     star = alive.where("sid <> psid").where(by.sizes("n", "pn")).where(f"pos <= {by.alone('n', 'pn')} and ppos <= {by.alone('pn', 'n')}")
     star = written(spark, star.select(F.least("sid", "psid").alias("a"), F.greatest("sid", "psid").alias("b")).distinct(), "jj-star")
-    links = written(spark, _verified(star, sets, by), "jj-links")
+    links = written(spark, _verified(star, sets, by).select("a", "b"), "jj-links")
     label = written(spark, components(spark, links), "jj-labels")
 
     # pairs of one list that stand in different components and haven't been compared
@@ -259,7 +293,7 @@ def linked(spark: SparkSession, docs: DataFrame, by: Similarity = Similarity())
     cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & F.expr(by.sizes("x.n", "y.n")) & F.expr(f"x.pos <= {by.alone('x.n', 'y.n')} and y.pos <= {by.alone('y.n', 'x.n')}"))
     cross = cross.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
     cross = cross.join(star, ["a", "b"], "left_anti")
-    more = written(spark, _verified(cross, sets, by), "jj-more")
+    more = written(spark, _verified(cross, sets, by).select("a", "b"), "jj-more")
 
     # rows of one doc_id are one node too
     twice = members.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi")
@@ -302,3 +336,25 @@ WITH RECURSIVE w AS (
 SELECT w.doc_id, CAST(coalesce(sized.n, 0) AS BIGINT) AS n_shingles, component_id
 FROM w LEFT JOIN sized USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = w.doc_id
 """
+
+# As above, over the smallest doc_id of each set.
+LINKS_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), long AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 2)) AS i FROM w WHERE len(words) >= 4
+), s AS (
+  SELECT DISTINCT doc_id, words[i:i+3] AS g FROM long
+  UNION ALL SELECT doc_id, words FROM w WHERE len(words) BETWEEN 1 AND 3
+), sets AS (
+  SELECT doc_id, count(*) AS n, list(g ORDER BY g) AS k FROM s GROUP BY doc_id
+), named AS (
+  SELECT min(doc_id) AS doc_id, any_value(n) AS n, count(*) AS copies FROM sets GROUP BY k
+), t AS (
+  SELECT s.doc_id, g FROM s JOIN named USING (doc_id)
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM t x JOIN t y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+)
+SELECT a, b, x.copies AS copies_a, y.copies AS copies_b, c AS n_common, x.n + y.n - c AS n_union
+FROM pairs JOIN named x ON x.doc_id = a JOIN named y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+"""

@@ -59,6 +59,12 @@ def _op5(spark, table):
     return jaccard_join.linked(spark, table("documents"))
 
 
+@_query("jaccard_links", jaccard_join.LINKS_SQL)
+def _op5_links(spark, table):
+    """Every link of operator 5 between different sets, with the copies that each stands for."""
+    return jaccard_join.links(spark, table("documents"))
+
+
 @_query("op6_hash_ring")
 def _op6(spark, table):
     """Rows into shards 0 to 7 by a consistent-hash ring with bounded loads."""
