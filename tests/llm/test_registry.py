@@ -17,7 +17,7 @@ def test_one_query_per_operator():
     import __spark_entry__ as e
 
     names = [n for n in e.queries() if n == "pipeline" or n.startswith("op") and n[2].isdigit()]
-    assert sorted(n.split("_")[0] for n in names) == sorted([f"op{i}" for i in range(1, 11)] + ["pipeline"])
+    assert sorted(n.split("_")[0] for n in names) == sorted([f"op{i}" for i in range(1, 14)] + ["pipeline"])
     assert set(e.oracle_sql()) <= set(e.queries())
 
 

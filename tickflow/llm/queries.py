@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickflow.llm import decontaminate, hash_ring, jaccard_join, langid, prefix_bpe, quality, substring_dedup, token_count, url_filter, warc
+from tickflow.llm import decontaminate, hash_ring, jaccard_join, langid, periodic_runs, prefix_bpe, quality, substring_dedup, token_count, url_filter, warc
 from tickflow.llm.common import lean
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,9 @@ def _op9(spark, table):
 def _op10(spark, table):
     """Words left of every text when windows that a smaller doc_id has go."""
     return substring_dedup.removed(table("documents"))
+
+
+@_query("op13_periodic_runs")
+def _op13(spark, table):
+    """Periodic runs of every whole text, and the texts with each run cut to its first period."""
+    return periodic_runs.digests(table("documents"))
