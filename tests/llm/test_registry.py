@@ -21,7 +21,7 @@ def test_one_query_per_operator():
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["op1_url_filter", "op5_jaccard_join", "op7_warc", "op8_quality_ledger", "op10_substring_dedup"])
+@pytest.mark.parametrize("name", ["op1_url_filter", "op5_jaccard_join", "op7_warc", "op8_quality_ledger", "op10_substring_dedup", "op12_hard_negatives"])
 def test_queries_equal_their_sql(spark, name):
     import __spark_entry__ as e
     from tools.oracle_check import _norm, duck_connect
