@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickflow.llm import decontaminate, hard_negatives, hash_ring, jaccard_join, langid, periodic_runs, prefix_bpe, quality, substring_dedup, token_count, url_filter, warc
+from tickflow.llm import decontaminate, hard_negatives, hash_ring, jaccard_join, langid, periodic_runs, prefix_bpe, quality, substring_dedup, token_count, toxicity, url_filter, warc
 from tickflow.llm.common import lean
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,12 @@ def _op10(spark, table):
     return substring_dedup.removed(table("documents"))
 
 
+@_query("op11_toxicity")
+def _op11(spark, table):
+    """Toxicity of every whole text by a weighted grammar over clauses."""
+    return toxicity.scored(spark, table("documents"), table("labels"))
+
+
 @_query("op12_hard_negatives", hard_negatives.ORACLE_SQL)
 def _op12(spark, table):
     """Hard negatives of every fiftieth vector by angular triangle filtering."""
