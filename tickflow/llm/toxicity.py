@@ -18,8 +18,8 @@ so what is scored are matched clauses in their context, not words.
 What is learned, from rows with a label that aren't held out: the insults (whole words and stems of
 4 to 7 bytes, counted without their commonest word; the weight is a lower bound of the log odds that a text with the
 word is toxic, kept if far beyond chance for the number of words looked at), and the weights of the
-contexts, drawn towards PRIOR. It takes a bounded sample: TOXIC_ROWS and OTHER_ROWS texts of smallest hash, near
-copies among them once; the insults are counted on the executors. The lists of threats, targets, negations and verbs of report are fixed.
+contexts, drawn towards PRIOR. It takes a bounded sample: about TOXIC_ROWS and OTHER_ROWS texts, by a hash of
+doc_id, near copies among them once; the insults are counted on the executors. The lists of threats, targets, negations and verbs of report are fixed.
 
 Defined results: null, empty and letterless texts score what a text without matches scores; repeated
 rows get equal scores; labels other than 1 count as not toxic, null ones and those of held-out
@@ -37,7 +37,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickflow.llm.common import Words, as_long, column, mix, sliced, windows, written
@@ -271,11 +271,11 @@ def _sample(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[Da
     known = labels.select(column(labels, "doc_id").alias("doc_id"), (column(labels, "toxic") == 1).cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")  # Spark keeps so many a kind before the shuffle
-    chosen = known.withColumn("r", F.row_number().over(first)).where(F.col("r") <= max(TOXIC_ROWS, OTHER_ROWS))
-    chosen = chosen.where(F.col("r") <= F.when(F.col("toxic") == 1, TOXIC_ROWS).otherwise(OTHER_ROWS))
+    # by a hash under the share that is wanted of each kind: no order of all labels
+    share = F.when(F.col("toxic") == 1, min(1.0, TOXIC_ROWS / max(counts.get(1, 0), 1))).otherwise(min(1.0, OTHER_ROWS / max(counts.get(0, 0), 1)))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     rows = docs.select(column(docs, "doc_id").alias("doc_id"), F.coalesce(column(docs, "text"), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")  # at most TOXIC_ROWS + OTHER_ROWS ids
+    rows = rows.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")  # about TOXIC_ROWS + OTHER_ROWS ids
     rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("toxic", "text")
     for seed in (1, 2):  # near copies bear witness once
         rows = rows.mapInArrow(_sketched(seed), "toxic int, text string, sketch bigint").groupBy("toxic", "sketch").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("toxic", "text")
