@@ -193,6 +193,35 @@ def test_dead_stream_freezes_gauges(spark):
     assert got[-1].messages_per_second == 0.0
 
 
+@pytest.mark.parametrize("block", [3])
+def test_tiny_tick_blocks_equal_the_default(spark, block):
+    """Gauges, first published tick and resets carried over many block edges."""
+    rnd = random.Random(block)
+    arr, t = [], B + 700_000
+    for _ in range(50):
+        t += rnd.choice([10_000, 400_000, 900_000, 6_000_000])
+        arr.append(t)
+    msgs, runs = _msgs(spark, arr), _runs(spark, 70.0)
+    for reset in (1.0, 5.0):
+        want = ticks.tick_metrics(msgs, runs, n=5, reset_s=reset).orderBy("tick").collect()
+        got = ticks.tick_metrics(msgs, runs, n=5, reset_s=reset, block=block, block_rows=10, bucket_width=7).orderBy("tick").collect()
+        assert got == want and len(want) > 100
+    g = windows.message_gauges(msgs, 5)
+    assert ticks.sample_at_ticks(g, runs, block=block).orderBy("tick").collect() == ticks.sample_at_ticks(g, runs).orderBy("tick").collect()
+
+
+def test_long_grid_comes_from_many_tasks(spark):
+    """A topic with three messages in 14 days: its ticks are made in more than one partition."""
+    msgs, runs = _msgs(spark, [B + 100_000, B + 200_000, B + 86_400_000_000 * 9]), _runs(spark, 14 * 86_400.0)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        t = ticks.tick_metrics(msgs, runs, n=5)
+        parts = t.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(p.n for p in parts) == 14 * 86_400 * 2 and len(parts) > 3
+
+
 # --- series operators --------------------------------------------------------------------------
 def _series(spark, values, name="s"):
     return spark.createDataFrame([Row(run_id="r", series=name, idx=i, elapsed_us=i * 1_000_000, value=float(v)) for i, v in enumerate(values)])

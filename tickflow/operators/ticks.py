@@ -7,15 +7,18 @@ is published before the first tick ``f`` with at least 2 messages; afterwards ev
 publishes, the last-N gauges freezing when the stream goes quiet.
 
 Reset rule, closed form: with ``c = ceil(reset/step)`` and ``R0 = max(f, c)`` the last reset
-before tick i is 0 when ``i <= R0``, else ``R0 + ((i−1−R0) div c)·c``. Group id ``0`` or
-``1 + (i−1−R0) div c`` turns the counters into running sums inside a group of at most
-``max(R0, c)`` ticks.
-
-Scale: messages are first reduced to one row per (run, topic, tick) by a grouped aggregate
-(partial aggregation before the shuffle). Everything after works on the tick table, whose
-size per topic is duration × rate, fixed by the run length and independent of the message
-volume (a topic carrying a third of all messages has no more ticks than any other), so the
-tick-ordered windows are partitioned by (run, topic) and all share one exchange.
+before tick i is 0 when ``i <= R0``, else ``R0 + ((i−1−R0) div c)·c``.
+
+Scale: the last message of each tick is found where the gauges are (no shuffle), dealt once by
+(run, topic, block of BLOCK ticks), and stands for the *span* of ticks up to the next one. Ticks
+are only made at the very end, a span at a time, so neither the grid nor any window holds a topic's
+whole run. What crosses block edges goes through a table with one row a block:
+
+* level one: the last gauges and the first published tick of each block, carried forward over
+  the blocks of the run (which come from the run table, so silent blocks are there too);
+* level two: the totals at the last reset inside each block, carried forward likewise. Inside a
+  block the totals since the last reset are a scan that starts from the carried ones and anew at
+  every span that holds a reset.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from tickflow import schemas as S
 from tickflow.operators.windows import STREAM_KEYS, message_gauges
 from tickflow.schemas import RESET_SECONDS, WINDOW_SIZE
 
+BLOCK = 1 << 16  # ticks of a topic that one task windows at once
+
 GAUGE_COLS = [
     "current_hz",
     "jitter_ms",
@@ -49,15 +54,12 @@ def _step_us() -> F.Column:
     return F.lit(1e6) / F.col("tick_rate_hz")
 
 
-def tick_grid(runs: DataFrame, keys: Sequence[str] = STREAM_KEYS) -> DataFrame:
-    """One row per timer tick 1..floor(duration·rate) per (run, topic)."""
-    n_ticks = F.floor(F.col("duration_s") * F.col("tick_rate_hz")).cast("long")
-    return runs.select(
-        *keys,
-        "start_us",
-        "tick_rate_hz",
-        F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(n_ticks, F.lit(0).cast("long")))).alias("tick"),
-    ).where(F.col("tick") >= 1)
+def tick_blocks(runs: DataFrame, keys: Sequence[str] = STREAM_KEYS, block: int = BLOCK) -> DataFrame:
+    """One row per block of ``block`` ticks of each (run, topic): ``tb``, its first and last tick."""
+    ctx = runs.select(*keys, "start_us", "tick_rate_hz", F.floor(F.col("duration_s") * F.col("tick_rate_hz")).cast("long").alias("_nt"))
+    tb = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_nt - 1) div {int(block)}"))).alias("tb")
+    out = ctx.where(F.col("_nt") >= 1).select("*", tb)
+    return out.select("*", (F.col("tb") * block + 1).alias("_lo"), F.least((F.col("tb") + 1) * block, F.col("_nt")).alias("_hi"))
 
 
 def message_tick(arrival_us: str = "arrival_us") -> F.Column:
@@ -70,19 +72,12 @@ def tick_us() -> F.Column:
     return F.col("start_us") + F.round(F.col("tick").cast("double") * _step_us()).cast("long")
 
 
-def sample_at_ticks(
-    gauges: DataFrame,
-    runs: DataFrame,
-    keys: Sequence[str] = STREAM_KEYS,
-    cols: Sequence[str] = GAUGE_COLS,
-) -> DataFrame:
-    """Gauge values at every tick = the last message row with arrival <= tick.
-    Ticks before the first message carry NULL gauges.
+def last_of_ticks(gauges: DataFrame, runs: DataFrame, keys: Sequence[str], cols: Sequence[str], block: int) -> DataFrame:
+    """The last message row of every tick: keys, ``tb``, ``tick``, ``idx``, ``_g`` (the gauges),
+    dealt by (keys, tb). Where a key's index blocks meet, a tick may have two rows.
 
-    Only the last message of each tick matters. When the gauges come from
-    :func:`message_gauges` (``block`` column present) that row is found with ``lead`` inside
-    the existing (key, block) partitions, already sorted by idx: no new shuffle or sort, and
-    the per-tick aggregate then sees about one row per tick instead of every message."""
+    When the gauges come from :func:`message_gauges` (``block`` column present) the row is found
+    with ``lead`` inside the existing (key, block) partitions: no new shuffle or sort."""
     ctx = runs.select(*keys, "start_us", "tick_rate_hz", F.floor(F.col("duration_s") * F.col("tick_rate_hz")).cast("long").alias("_nt"))
     blocked = "block" in gauges.columns
     need = [*keys, "idx", *[c for c in cols if c not in keys and c != "idx"], *(["block"] if blocked else [])]
@@ -92,18 +87,68 @@ def sample_at_ticks(
         g = g.where((F.col("tick") <= F.col("_nt")) & (F.col("_nxt").isNull() | (F.col("_nxt") != F.col("tick"))))
     else:
         g = g.where(F.col("tick") <= F.col("_nt"))
-    per_tick = g.groupBy(*keys, "tick").agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("idx")).alias("_g"))
-    t = tick_grid(runs, keys).join(per_tick, [*keys, "tick"], "left")
-    upto = Window.partitionBy(*keys).orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
-    filled = F.last("_g", ignorenulls=True).over(upto)
-    return t.select(
-        *keys,
-        "tick",
-        tick_us().alias("tick_us"),
-        "start_us",
-        "tick_rate_hz",
-        *[filled.getField(c).alias(c) for c in cols],
-    )
+    rows = g.select(*keys, F.expr(f"(tick - 1) div {int(block)}").alias("tb"), "tick", "idx", F.struct(*[F.col(c) for c in cols]).alias("_g"))
+    return rows.repartition(*keys, "tb")
+
+
+def tick_spans(
+    gauges: DataFrame, runs: DataFrame, keys: Sequence[str], cols: Sequence[str], block: int, reset_s: float | None = None
+) -> DataFrame:
+    """Spans of ticks with equal gauges, none over a block's edge: keys, ``start_us``,
+    ``tick_rate_hz``, ``_s`` .. ``_e``, ``_g`` (NULL before the first message).
+
+    With ``reset_s`` (``cols`` hold the three totals) also ``_f`` (the first published tick), ``_r0``,
+    ``_c`` and ``_base``, the totals at the last reset before ``_s`` (NULL: no reset yet)."""
+    part, order = [*keys, "tb"], F.struct("tick", "idx")
+    rows = last_of_ticks(gauges, runs, keys, cols, block)
+    # every use of `rows` reads all of its columns, so that Spark deals them once
+    published = F.min(F.when(F.col("_g.total_messages") >= 2, F.col("tick"))) if reset_s is not None else F.lit(None).cast("long")
+    ends = rows.groupBy(*part).agg(F.max_by(F.struct("tick", "idx", "_g"), order).alias("_last"), F.min("tick").alias("_first"), published.alias("_p"))
+    over = Window.partitionBy(*keys)
+    prior = over.orderBy("tb").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = tick_blocks(runs, keys, block).join(ends, part, "left")
+    blocks = blocks.select(*part, "start_us", "tick_rate_hz", "_lo", "_hi", "_first", F.last("_last._g", ignorenulls=True).over(prior).alias("_in"), F.min("_p").over(over).alias("_f"))
+    extra = []
+    if reset_s is not None:
+        blocks = blocks.select("*", F.ceil(F.lit(reset_s * 1e6) / _step_us()).cast("long").alias("_c"))
+        blocks = blocks.select("*", F.greatest("_f", "_c").alias("_r0"))
+        # the last reset tick of the block, and the totals at it
+        blocks = blocks.select("*", F.expr("CASE WHEN _f IS NOT NULL AND _hi >= _r0 AND _r0 + ((_hi - _r0) div _c) * _c >= _lo THEN _r0 + ((_hi - _r0) div _c) * _c END").alias("_q"))
+        reset = rows.join(blocks.select(*part, "_q", F.col("_in").alias("_in0")), part).groupBy(*part, "_q")
+        # as a filter on the aggregate (and with `_in`): otherwise `rows` would get another plan here
+        at_reset = reset.agg(F.expr("max_by(struct(tick, idx, _g), struct(tick, idx)) FILTER (WHERE tick <= _q)").alias("_at"), F.first("_in0").alias("_in0"))
+        blocks = blocks.join(at_reset.select(*part, F.coalesce("_at._g", "_in0").alias("_at")), part, "left")
+        blocks = blocks.select("*", F.when(F.col("_q").isNotNull(), F.coalesce("_at", "_in")).alias("_bq"))
+        blocks = blocks.select(*[c for c in blocks.columns if c not in ("_q", "_at", "_bq")], F.last("_bq", ignorenulls=True).over(prior).alias("_bin"))
+        extra = ["_f", "_r0", "_c", "_bin"]
+    inside = Window.partitionBy(*part).orderBy("tick", "idx")
+    spans = rows.join(blocks.select(*part, "start_us", "tick_rate_hz", "_hi", *extra), part)
+    spans = spans.select("*", F.lead("tick").over(inside).alias("_nxt")).where(F.col("_nxt").isNull() | (F.col("_nxt") != F.col("tick")))
+    held = [*part, "start_us", "tick_rate_hz", *extra]
+    spans = spans.select(*held, F.col("tick").alias("_s"), F.coalesce(F.col("_nxt") - 1, F.col("_hi")).alias("_e"), "_g")
+    quiet = blocks.select(*held, F.col("_lo").alias("_s"), F.coalesce(F.col("_first") - 1, F.col("_hi")).alias("_e"), F.col("_in").alias("_g"))
+    # dealt anew: the block table stands by key, and a silent topic's ticks belong to many tasks
+    spans = spans.unionByName(quiet.where(F.col("_e") >= F.col("_s"))).repartition(*part)
+    if reset_s is None:
+        return spans
+    # a scan inside the block: the totals at the last span before that holds a reset, else the carried ones
+    holds = F.expr("CASE WHEN _e >= _r0 AND _r0 + ((_e - _r0) div _c) * _c >= _s THEN _g END")
+    before = Window.partitionBy(*part).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    return spans.select("*", F.coalesce(F.last(holds, ignorenulls=True).over(before), F.col("_bin")).alias("_base"))
+
+
+def sample_at_ticks(
+    gauges: DataFrame,
+    runs: DataFrame,
+    keys: Sequence[str] = STREAM_KEYS,
+    cols: Sequence[str] = GAUGE_COLS,
+    *,
+    block: int = BLOCK,
+) -> DataFrame:
+    """Gauge values at every tick = the last message row with arrival <= tick.
+    Ticks before the first message carry NULL gauges."""
+    t = tick_spans(gauges, runs, keys, cols, block).select("*", F.explode(F.sequence("_s", "_e")).alias("tick"))
+    return t.select(*keys, "tick", tick_us().alias("tick_us"), "start_us", "tick_rate_hz", *[F.col("_g").getField(c).alias(c) for c in cols])
 
 
 def tick_metrics(
@@ -112,6 +157,8 @@ def tick_metrics(
     n: int = WINDOW_SIZE,
     reset_s: float = RESET_SECONDS,
     keys: Sequence[str] = STREAM_KEYS,
+    *,
+    block: int = BLOCK,
     **kw,
 ) -> DataFrame:
     """All 17 stream metrics at every published tick, plus the diagnostic level/message.
@@ -121,25 +168,24 @@ def tick_metrics(
     gauges = message_gauges(msgs, n, keys, **kw)
     if "min_interval_ms" not in gauges.columns:  # with_min_max=False: the summaries skip them
         gauges = gauges.select("*", F.lit(None).cast("double").alias("min_interval_ms"), F.lit(None).cast("double").alias("max_interval_ms"))
-    t = sample_at_ticks(gauges, runs, keys)
-    published = F.coalesce(F.col("total_messages"), F.lit(0)) >= 2
-    t = t.select("*", F.min(F.when(published, F.col("tick"))).over(Window.partitionBy(*keys)).alias("_f"))
-    step = _step_us()
-    c = F.ceil(F.lit(reset_s * 1e6) / step).cast("long")
-    r0 = F.greatest(F.col("_f"), c)
-    tick = F.col("tick")
-    grp = F.when(tick <= r0, F.lit(0).cast("long")).otherwise(F.lit(1) + F.floor((tick - 1 - r0) / c).cast("long"))
-    last_reset = F.when(tick <= r0, F.lit(0).cast("long")).otherwise(r0 + F.floor((tick - 1 - r0) / c).cast("long") * c)
-    t = t.select("*", grp.alias("_grp"), last_reset.alias("_lr"))
-    # counters since the last reset = cumulative totals now minus at the reset tick; the tick
-    # before a group's first tick is its reset tick (tick 0 → 0 for group 0)
-    by_tick = Window.partitionBy(*keys).orderBy("tick")
-    in_group = Window.partitionBy(*keys, "_grp").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
-    pairs = (("total_messages", "_tm"), ("total_bytes", "_tb"), ("total_points", "_tp"))
-    # one select per window spec, so each spec is one Window operator (one sort each)
-    t = t.select("*", *[F.coalesce(F.lag(F.coalesce(F.col(src), F.lit(0)), 1).over(by_tick), F.lit(0)).alias(f"{dst}_prev") for src, dst in pairs])
-    t = t.select("*", *[(F.coalesce(F.col(src), F.lit(0)) - F.first(f"{dst}_prev").over(in_group)).alias(dst) for src, dst in pairs])
-    t = t.where(tick >= F.col("_f"))
+    spans = tick_spans(gauges, runs, keys, GAUGE_COLS, block, reset_s)
+    spans = spans.where(F.col("_e") >= F.col("_f")).withColumn("_s0", F.greatest("_s", "_f"))
+    t = spans.select("*", F.explode(F.sequence("_s0", "_e")).alias("tick"))
+    # counters since the last reset = totals now minus at the reset tick: the span's own if it holds
+    # the reset, else those before it (none before the first reset)
+    lr = "CASE WHEN tick <= _r0 THEN CAST(0 AS BIGINT) ELSE _r0 + ((tick - 1 - _r0) div _c) * _c END"
+    t = t.select("*", F.expr(lr).alias("_lr"))
+    since = "(_g.{0} - CASE WHEN _lr = 0 THEN 0 WHEN _lr >= _s THEN _g.{0} ELSE _base.{0} END)"
+    t = t.select(
+        *keys, "tick", tick_us().alias("tick_us"), "tick_rate_hz", "_lr", *[F.col("_g").getField(c).alias(c) for c in GAUGE_COLS],
+        *[F.expr(since.format(src)).alias(dst) for src, dst in (("total_messages", "_tm"), ("total_bytes", "_tb"), ("total_points", "_tp"))],
+    )
+    return tick_formulas(t, keys)
+
+
+def tick_formulas(t: DataFrame, keys: Sequence[str] = STREAM_KEYS) -> DataFrame:
+    """The published metrics of a tick from its gauges, its totals since the last reset (``_tm``,
+    ``_tb``, ``_tp``) and the tick of that reset (``_lr``); the same in batch and stream."""
     # per-tick formulas as SQL expressions (one JVM call each); the level rule is F5
     step_sql = "(1000000D / tick_rate_hz)"
     window_s = f"(CAST(tick - _lr AS DOUBLE) * {step_sql} / 1000000D)"
