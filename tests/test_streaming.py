@@ -67,3 +67,49 @@ def test_checkpoint_partials_stream_equals_batch(spark):
            .select("run_id", "series", F.col("window.start").alias("w"), "samples", "valid", "min", "max"))
     assert got.count() == exp.count() > 0
     assert got.exceptAll(exp).count() == 0
+
+
+def _tick_stream(spark, log, bounds, reset_s, n=100):
+    """The log replayed in files cut at `bounds` (event time in s since the base), one a micro-batch."""
+    from tickflow.streaming import ticks as st
+
+    base = tempfile.mkdtemp(prefix="tickflow-ticks-")
+    src = os.path.join(base, "src")
+    at = (F.unix_micros("event_ts") - F.lit(fx.BASE_US)) / 1e6
+    for lo, hi in zip([-1e18, *bounds], [*bounds, 1e18]):
+        log.where((at >= lo) & (at < hi)).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(st.LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (st.tick_metrics_stream(stream, n, reset_s, "5 seconds").writeStream.format("parquet").option("path", os.path.join(base, "out"))
+         .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(base, "out")), sum(p.numInputRows > 0 for p in q.recentProgress)
+
+
+def test_tick_metrics_stream_equals_batch(spark):
+    """Ticks from timers over seven micro-batches equal the batch, for two reset lengths, frozen
+    gauges of a topic that went quiet included; a topic without messages publishes nothing."""
+    from pyspark.sql import Row
+
+    from tickflow.operators import ticks
+    from tickflow.streaming import ticks as st
+
+    rnd = __import__("random").Random(5)
+    rows, b = [], fx.BASE_US
+    for topic, quiet in (("a", None), ("b", 20_000_000), ("late", 0)):
+        t = b + (30_000_000 if topic == "late" else 0)
+        for i in range(120):
+            t += rnd.choice([20_000, 333_333, 700_001, 1_500_000])
+            if quiet and t > b + quiet:
+                break
+            rows.append(Row(run_id="r", topic=topic, seq=i, arrival_us=t, width=10 + i, height=2, point_step=16, data_len=i % 5))
+    rows.append(Row(run_id="r", topic="one", seq=0, arrival_us=b + 5_000_000, width=1, height=1, point_step=1, data_len=1))
+    msgs = spark.createDataFrame(rows)
+    runs = spark.createDataFrame([Row(run_id="r", topic=x, start_us=b, duration_s=60.25, tick_rate_hz=2.0) for x in ("a", "b", "late", "one", "never")])
+    log = st.tick_log(msgs, runs).cache()
+    for reset_s in (1.0, 7.0):
+        want = ticks.tick_metrics(msgs, runs, n=8, reset_s=reset_s)
+        got, batches = _tick_stream(spark, log, [7, 15, 26, 40, 52], reset_s, n=8)
+        assert batches >= 6
+        assert got.count() == want.count() > 200
+        assert got.select(*want.columns).exceptAll(want).count() == 0
+    assert got.where("topic = 'b' and tick > 60").select("current_hz").distinct().count() == 1

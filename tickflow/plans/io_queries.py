@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickflow.operators import health, report, stats
+from tickflow.operators import health, report, stats, ticks
 from tickflow.plans import oracle as O
 from tickflow.plans.registry import ORACLES, query, round_doubles
 from tickflow.plans.report_queries import _report
@@ -14,6 +14,7 @@ from tickflow.plans.series_queries import CHECKPOINT_S, _series, _series_runs
 from tickflow.sources import fixtures as fx
 from tickflow.sources import readers, sinks
 from tickflow.streaming import live
+from tickflow.streaming import ticks as stream_ticks
 
 
 def _stream_until_done(spark, df, path: str, ckpt: str, mode: str = "append"):
@@ -27,7 +28,7 @@ def _stream_until_done(spark, df, path: str, ckpt: str, mode: str = "append"):
     return spark.read.parquet(path)
 
 
-_GAUGE_COLS = "run_id, topic, seq, idx, arrival_us, current_hz, jitter_ms, avg_hz, bandwidth_mbps, avg_message_size_kb, avg_points_per_message, total_messages, total_mb, total_points_millions"
+_GAUGE_COLS = "run_id, topic, seq, idx, arrival_us, current_hz, jitter_ms, min_interval_ms, max_interval_ms, avg_hz, bandwidth_mbps, avg_message_size_kb, avg_points_per_message, total_messages, total_mb, total_points_millions"
 
 
 @query("live_gauges", O.with_ctes(O.EV, O.MESSAGES, O.RUNS, O.GAUGES, body=f"SELECT {_GAUGE_COLS} FROM gauges"))
@@ -40,6 +41,36 @@ def q_live_gauges(spark, sf):
     return out.select(*[c.strip() for c in _GAUGE_COLS.split(",")])
 
 
+LOG_CUTS_S = tuple(range(50, 401, 50))  # the log is written cut by cut, so that files are as old as their rows
+LOG_WATERMARK = "60 seconds"  # more than a cut: the files of one cut come in any order
+
+
+def _tick_stream(spark, sf):
+    """X2, X3 over the whole message log, written file by file in time order and replayed."""
+    src = sinks.scratch_path(spark, "tick-log")
+    log = stream_ticks.tick_log(fx.messages(spark, sf), fx.runs(spark, sf))
+    at = F.unix_micros("event_ts") - F.lit(fx.BASE_US)
+    cuts = [c * 1000000 for c in LOG_CUTS_S]
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = log if lo is None else log.where(at >= lo)
+        (part if hi is None else part.where(at < hi)).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(stream_ticks.LOG_SCHEMA).option("maxFilesPerTrigger", 4).parquet(src)
+    out = stream_ticks.tick_metrics_stream(stream, watermark=LOG_WATERMARK)
+    return _stream_until_done(spark, out, sinks.scratch_path(spark, "ticks"), sinks.scratch_path(spark, "ticks-ckpt"))
+
+
+@query("tick_metrics_stream", ORACLES.get("tick_metrics"))
+def q_tick_metrics_stream(spark, sf):
+    """Every published tick, emitted by event-time timers."""
+    return _tick_stream(spark, sf)
+
+
+@query("resettable_throughput_stream", ORACLES.get("resettable_throughput"))
+def q_resettable_throughput_stream(spark, sf):
+    """The resettable counters of the ticked stream."""
+    return ticks.resettable_throughput(_tick_stream(spark, sf))
+
+
 @query(
     "tumbling_rates",
     O.with_ctes(

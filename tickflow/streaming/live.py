@@ -1,9 +1,10 @@
-"""Structured Streaming counterparts of the live metrics.
+"""Structured Streaming counterparts of the live metrics (X1, X4-X8; X2 and X3 are in
+:mod:`tickflow.streaming.ticks`).
 
 * X1 :func:`live_gauges` — last-N-row gauges per topic. Row frames are refused on streams,
   so the collector state (last N+1 arrivals, sizes, points and the running totals) is kept per
-  (run, topic) with ``applyInPandasWithState``; each micro-batch is folded in seq order with
-  vectorised NumPy prefix sums. Rows at or before the last seen seq are late: they join no
+  (run, topic) with ``applyInPandasWithState``; each micro-batch is folded in seq order, all
+  rows at once in 64-bit integers. Rows at or before the last seen seq are late: they join no
   gauge, and ``late_messages`` counts them.
 * X4 :func:`tumbling_rates` — built-in windowed counts with a watermark (append mode).
 * X5 :func:`snapshot_writer` — ``foreachBatch`` that overwrites the full current table.
@@ -25,96 +26,34 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickflow.functions.scalars import message_size, point_count
 from tickflow.schemas import WINDOW_SIZE
+from tickflow.streaming.ticks import gauges_at
 
-GAUGE_SCHEMA = (
-    "run_id string, topic string, seq long, idx long, arrival_us long, current_hz double, jitter_ms double, "
+GAUGE_COLS = (
+    "seq long, idx long, arrival_us long, current_hz double, jitter_ms double, min_interval_ms double, max_interval_ms double, "
     "avg_hz double, bandwidth_mbps double, avg_message_size_kb double, avg_points_per_message double, "
     "total_messages long, total_mb double, total_points_millions double, late_messages long"
 )
 STATE_SCHEMA = "late long, last_seq long, total long, total_bytes long, total_points long, tail_t array<long>, tail_s array<long>, tail_p array<long>"
 
 
-def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState, n: int) -> Iterator[pd.DataFrame]:
+def _fold(key, keys: Sequence[str], pdfs: Iterator[pd.DataFrame], state: GroupState, n: int) -> Iterator[pd.DataFrame]:
     new = pd.concat(list(pdfs), ignore_index=True).sort_values("seq")
-    if state.exists:
-        late, last_seq, total, tb, tp, tt, ts, tpts = state.get
-        tt, ts, tpts = list(tt), list(ts), list(tpts)
-    else:
-        late, last_seq, total, tb, tp, tt, ts, tpts = 0, -(2**62), 0, 0, 0, [], [], []
+    late, last_seq, total, tb, tp, *tails = state.get if state.exists else (0, -(2**62), 0, 0, 0, [], [], [])
     late += int((new["seq"] <= last_seq).sum())
     new = new[new["seq"] > last_seq]
     if new.empty:
-        state.update((late, last_seq, total, tb, tp, tt, ts, tpts))
+        state.update((late, last_seq, total, tb, tp, *map(list, tails)))
         return
-    k = len(new)
-    t = np.array(tt + new["arrival_us"].astype("int64").tolist(), dtype=object)
-    s = np.array(ts + new["size"].astype("int64").tolist(), dtype=object)
-    p = np.array(tpts + new["points"].astype("int64").tolist(), dtype=object)
-    L = len(t)
-    first_global = total - len(tt)  # global index of combined position 0
-    pos = np.arange(L - k, L)
-    g = (first_global + pos).astype(np.int64)
-    d = np.zeros(L, dtype=object)
-    d[1:] = t[1:] - t[:-1]
-    cd2 = np.cumsum(d * d)
-    cs = np.concatenate([[0], np.cumsum(s)]).astype(object)
-    cp = np.concatenate([[0], np.cumsum(p)]).astype(object)
-    # all new rows at once: positions of the frame starts, exact integer sums, then floats
-    n_int = np.minimum(g, n)
-    has = n_int > 0
-    lo = pos - n_int
-    span = (t[pos] - t[lo]).astype(object)
-    sq = (cd2[pos] - cd2[lo]).astype(object)
-    hz = np.full(k, np.nan)
-    jit = np.full(k, np.nan)
-    ni = n_int.astype(np.int64)
-    span_f = np.array([float(x) for x in span])
-    var_num = np.array([float(a * b - c * c) for a, b, c in zip(ni.tolist(), sq.tolist(), span.tolist())])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        hz = np.where(has, np.where(span_f == 0, np.inf, ni.astype(float) * 1e6 / span_f), np.nan)
-        jit = np.where(has, np.sqrt(var_num / (ni * ni).astype(float)) / 1000.0, np.nan)
-    n_ts = np.minimum(g + 1, n).astype(np.int64)
-    span_ts = np.array([float(x) for x in (t[pos] - t[pos - n_ts + 1])])
-    size_w = np.array([float(x) for x in (cs[pos + 1] - cs[pos + 1 - n_ts])])
-    pts_w = np.array([float(x) for x in (cp[pos + 1] - cp[pos + 1 - n_ts])])
-    tot_b = np.array([float(tb + x) for x in (cs[pos + 1] - cs[L - k])])
-    tot_p = np.array([float(tp + x) for x in (cp[pos + 1] - cp[L - k])])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        avg_hz = np.where(span_ts > 0, n_ts.astype(float) * 1e6 / span_ts, np.nan)
-        bw = np.where(span_ts > 0, size_w * 8.0 / span_ts, np.nan)
-    out = pd.DataFrame(
-        {
-            "run_id": key[0],
-            "topic": key[1],
-            "seq": new["seq"].to_numpy(dtype=np.int64),
-            "idx": g.astype(np.int64),
-            "arrival_us": new["arrival_us"].to_numpy(dtype=np.int64),
-            "current_hz": pd.Series(hz).where(has, None),
-            "jitter_ms": pd.Series(jit).where(has, None),
-            "avg_hz": pd.Series(avg_hz).where(span_ts > 0, None),
-            "bandwidth_mbps": pd.Series(bw).where(span_ts > 0, None),
-            "avg_message_size_kb": size_w / n_ts.astype(float) / 1024.0,
-            "avg_points_per_message": pts_w / n_ts.astype(float),
-            "total_messages": (g + 1).astype(np.int64),
-            "total_mb": tot_b / 1e6,
-            "total_points_millions": tot_p / 1e6,
-            "late_messages": np.full(k, late, dtype=np.int64),
-        }
-    )
-    keep = n + 1
-    state.update(
-        (
-            late,
-            int(new["seq"].iloc[-1]),
-            total + k,
-            tb + int(sum(new["size"].astype("int64"))),
-            tp + int(sum(new["points"].astype("int64"))),
-            [int(x) for x in t[-keep:]],
-            [int(x) for x in s[-keep:]],
-            [int(x) for x in p[-keep:]],
-        )
-    )
-    yield out
+    k, old = len(new), len(tails[0])
+    t, s, p = (np.concatenate([np.array(tail, np.int64), new[c].to_numpy(np.int64)]) for tail, c in zip(tails, ("arrival_us", "size", "points")))
+    idx = total + np.arange(k)
+    g = gauges_at(old + np.arange(k), idx, t, s, p, n)
+    nbytes, points = tb + np.cumsum(s[old:]), tp + np.cumsum(p[old:])
+    cols = dict(zip(keys, key)) | {"seq": new["seq"].to_numpy(np.int64), "idx": idx} | g
+    cols |= {"total_messages": idx + 1, "total_mb": nbytes / 1e6, "total_points_millions": points / 1e6, "late_messages": late}
+    tails = [x[-(n + 1) :].tolist() for x in (t, s, p)]
+    state.update((late, int(new["seq"].iloc[-1]), total + k, int(nbytes[-1]), int(points[-1]), *tails))
+    yield pd.DataFrame(cols)[[*keys, *[c.split()[0] for c in GAUGE_COLS.split(", ")]]]
 
 
 def live_gauges(stream: DataFrame, n: int = WINDOW_SIZE, keys: Sequence[str] = ("run_id", "topic")) -> DataFrame:
@@ -124,11 +63,12 @@ def live_gauges(stream: DataFrame, n: int = WINDOW_SIZE, keys: Sequence[str] = (
 
     ship_package(stream.sparkSession)
     src = stream.select(*keys, "seq", "arrival_us", message_size().alias("size"), point_count().alias("points"))
+    schema = "".join(f"`{k}` {src.schema[k].dataType.simpleString()}, " for k in keys) + GAUGE_COLS
 
     def fn(key, pdfs, state):
-        return _fold(key, pdfs, state, n)
+        return _fold(key, keys, pdfs, state, n)
 
-    return src.groupBy(*keys).applyInPandasWithState(fn, GAUGE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    return src.groupBy(*keys).applyInPandasWithState(fn, schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
 def tumbling_rates(stream: DataFrame, seconds: int = 1, watermark: str = "10 seconds", keys: Sequence[str] = ("run_id", "topic")) -> DataFrame:
