@@ -33,18 +33,34 @@ def test_asof_small_blocks(spark):
     m = fx.messages(spark, SF_SMALL).select("run_id", "topic", "seq", "arrival_us").cache()
     s = fx.system_samples(spark, SF_SMALL).where("host = 'view'").cache()
     big = align.align_asof(m, s, ["run_id"], "arrival_us", "sample_us", ["sample_seq"])
-    small = align.align_asof(m, s, ["run_id"], "arrival_us", "sample_us", ["sample_seq"], block_rows=50, bucket_us=5_000_000)
+    small = align.align_asof(m, s, ["run_id"], "arrival_us", "sample_us", ["sample_seq"], block_us=700_000)
     _same(big, small)
 
 
-def test_asof_blocks_grow_with_the_rows(spark):
-    """A busy key gets as many blocks as its rows need."""
-    counts = []
-    for n in (1000, 10000):
-        df = spark.range(n).select(F.lit("r").alias("run_id"), F.col("id").alias("t"))
-        blocks = scale.dense_index(df, ["run_id"], "t", bucket_width=2 * align.ASOF_BUCKET_US, idx_col="_pos").select(F.expr("_pos div 100")).distinct().count()
-        counts.append(blocks)
-    assert counts == [10, 100]
+def test_asof_ties_and_input_order(spark):
+    """Several right rows at one instant: the greatest wins, whatever the order of the input; nulls and a
+    tolerance."""
+    from pyspark.sql import Row
+
+    left = [Row(k="a", t=t, name=i) for i, t in enumerate([5, 10, 10, 11, 40, 99])] + [Row(k=None, t=10, name=90), Row(k="a", t=None, name=91), Row(k="b", t=3, name=92)]
+    right = [Row(k="a", u=10, v=x) for x in (3, 9, 4)] + [Row(k="a", u=20, v=1), Row(k="a", u=None, v=50), Row(k=None, u=1, v=60), Row(k="b", u=4, v=7)]
+    want = {0: None, 1: 9, 2: 9, 3: 9, 4: 1, 5: 1, 90: None, 91: None, 92: None}
+    for turn in (1, -1):
+        for block in (7, 1000):
+            got = align.align_asof(spark.createDataFrame(left[::turn]), spark.createDataFrame(right[::turn]).repartition(3), ["k"], "t", "u", ["v"], block_us=block)
+            assert {r.name: r.r_v for r in got.collect()} == want
+    got = align.align_asof(spark.createDataFrame(left), spark.createDataFrame(right), ["k"], "t", "u", ["v"], tolerance_us=20)
+    assert {r.name: r.r_v for r in got.collect()} == want | {5: None}
+
+
+def test_zip_small_blocks_equal_default(spark):
+    rnd = __import__("random").Random(3)
+    rows = [[(("x" if rnd.random() < 0.7 else "y"), t, i) for i, t in enumerate(sorted(rnd.randrange(3000) for _ in range(400)))] for _ in range(2)]
+    m, s = (spark.createDataFrame(r, "run_id string, elapsed_us long, seq long") for r in rows)
+    want = align.positional_zip(m, s)
+    assert want.count() > 300
+    for block in (1, 50, 1000):
+        _same(want, align.positional_zip(m, s, block_us=block))
 
 
 def test_blocked_carry_forward_equals_window(spark):

@@ -353,5 +353,5 @@ def test_positional_zip_model(spark, seed):
     st = sorted(rnd.sample(range(1, 100_000_000, 11), 50))
     m = spark.createDataFrame([Row(run_id="r", seq=i, elapsed_us=t) for i, t in enumerate(mt)])
     s = spark.createDataFrame([Row(run_id="r", seq=i, elapsed_us=t) for i, t in enumerate(st)])
-    got = sorted((r.k, r.metrics_time, r.sys_seq) for r in positional_zip(m, s, bucket_width=8).collect())
+    got = sorted((r.k, r.metrics_time, r.sys_seq) for r in positional_zip(m, s, block_us=8).collect())
     assert got == _zip_model(mt, st)

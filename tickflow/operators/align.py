@@ -1,9 +1,10 @@
 """Alignment and context joins (J1, J2, J4-J8, tumbling counts).
 
-The as-of alignment is a union of both sides ordered by time and a last-non-null fill, done
-in blocks of rows (:func:`tickflow.operators.scale.blocked_carry_forward`) so that one busy key
-is spread over many tasks. Catalyst's private as-of join is not used (it rewrites into a join
-plus aggregate over all candidate pairs).
+The as-of alignment and the positional pairing are one pass over the union of both sides in time
+order, dealt once by (key, block of BLOCK_US): inside a block a running window, across blocks what
+the block table carries (one row a block that has rows). So a key is spread over as many tasks as its
+run has blocks. Catalyst's private as-of join is not used (it rewrites into a join plus aggregate
+over all candidate pairs).
 """
 
 from __future__ import annotations
@@ -13,10 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickflow.operators.scale import DEFAULT_BUCKET_WIDTH, blocked_carry_forward, dense_index
-
-ASOF_BLOCK_ROWS = 1 << 16
-ASOF_BUCKET_US = 1000000  # rows are ranked inside a second, then cut into blocks by row number
+BLOCK_US = 600 * 1000000  # time that one task windows at once; for topics over some 1 kHz take less
 
 
 def align_asof(
@@ -27,33 +25,45 @@ def align_asof(
     right_time: str,
     right_cols: Sequence[str],
     *,
+    right_order: Sequence[str] | None = None,
     tolerance_us: int | None = None,
-    block_rows: int = ASOF_BLOCK_ROWS,
-    bucket_us: int = ASOF_BUCKET_US,
+    block_us: int = BLOCK_US,
     prefix: str = "r_",
 ) -> DataFrame:
     """For each left row, the latest right row with ``right_time <= left_time`` in ``by``.
 
     Right columns come back as ``r_<name>`` plus ``r_time``; NULL when no right row precedes or
-    when it is older than ``tolerance_us``. Both times are µs longs. A right row at the same
-    instant as a left row is visible to it. The union of both sides is numbered in time order and
-    filled in blocks of ``block_rows`` rows, so a busy key has as many blocks as its rows need."""
-    payload = F.struct(F.col(right_time).alias("time"), *[F.col(c).alias(c) for c in right_cols])
-    lpayload = F.struct(*[F.col(c) for c in left.columns])
-    rside = right.select(
-        *by, (F.col(right_time) * 2).alias("_ord"), payload.alias("_r"), F.lit(None).cast(left.select(lpayload.alias("x")).schema["x"].dataType).alias("_l")
-    )
-    lside = left.select(
-        *by, (F.col(left_time) * 2 + 1).alias("_ord"), F.lit(None).cast(rside.schema["_r"].dataType).alias("_r"), lpayload.alias("_l")
-    )
-    # left rows carry themselves through the fill: no row ids, no join back
-    numbered = dense_index(rside.unionByName(lside), by, "_ord", bucket_width=2 * bucket_us, idx_col="_pos")
-    filled = blocked_carry_forward(numbered, by, "_pos", "_r", block_width=block_rows)
-    out = filled.where(F.col("_l").isNotNull())
-    r = F.col("_r")
-    keep = F.lit(True) if tolerance_us is None else (F.col(f"_l.{left_time}") - r["time"] <= tolerance_us)
-    cols = [F.when(keep, r["time"]).alias(f"{prefix}time")] + [F.when(keep, r[c]).alias(f"{prefix}{c}") for c in right_cols]
-    return out.select(*[F.col(f"_l.{c}").alias(c) for c in left.columns], *cols)
+    when it is older than ``tolerance_us``. Both times are µs longs; rows without a time or key take
+    no part on the right and get NULLs on the left. A right row at the same instant as a left row is
+    visible to it. Of right rows at one instant the greatest by ``right_order`` counts (by default by
+    ``right_cols``, so the answer never depends on the order of the input).
+
+    The last right row of every block is carried over the blocks by the block table; left rows carry
+    their own payload, so there are no row ids and no join back."""
+    names = [f"_k{i}" for i in range(len(by))]
+    keys = [F.col(c).alias(n) for c, n in zip(by, names)]
+    right_row = F.struct(F.col(right_time).alias("time"), F.struct(*[F.col(c) for c in right_order or right_cols]).alias("tie"), F.struct(*[F.col(c).alias(c) for c in right_cols]).alias("row"))
+    left_row = F.struct(*[F.col(c) for c in left.columns])
+    none = lambda df, row: F.lit(None).cast(df.select(row.alias("x")).schema["x"].dataType)
+    rside = right.where(F.col(right_time).isNotNull()).select(*keys, F.col(right_time).alias("_t"), right_row.alias("_r"), none(left, left_row).alias("_l"))
+    lside = left.select(*keys, F.col(left_time).alias("_t"), none(right, right_row).alias("_r"), left_row.alias("_l"))
+    rows = rside.unionByName(lside).withColumn("_b", F.expr(f"_t div {int(block_us)}"))
+    part = [*names, "_b"]
+    ends = rows.groupBy(*part).agg(F.max("_r").alias("_last"))  # the greatest (time, tie) is the last
+    prior = Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*part, F.last("_last", ignorenulls=True).over(prior).alias("_in"))
+    # null keys and times meet nothing; the join keeps them apart from the rest
+    same = F.lit(True)
+    for c in part:
+        same = same & (rows[c] == carry[c])
+    inside = Window.partitionBy(*[rows[c] for c in part]).orderBy(rows["_t"], rows["_l"].isNotNull(), rows["_r.tie"]).rowsBetween(Window.unboundedPreceding, 0)
+    known = F.coalesce(F.last(rows["_r"], ignorenulls=True).over(inside), carry["_in"])
+    out = rows.join(carry, same, "left").select(rows["_t"], rows["_l"], *[rows[c] for c in names], known.alias("_r")).where("_l IS NOT NULL")
+    keep = F.col("_t").isNotNull() & F.expr(" AND ".join(f"{n} IS NOT NULL" for n in names))
+    if tolerance_us is not None:
+        keep = keep & (F.col("_t") - F.col("_r.time") <= tolerance_us)
+    cols = [F.when(keep, F.col("_r.time")).alias(f"{prefix}time")] + [F.when(keep, F.col("_r.row").getField(c)).alias(f"{prefix}{c}") for c in right_cols]
+    return out.select(*[F.col("_l").getField(c).alias(c) for c in left.columns], *cols)
 
 
 def with_run_context(df: DataFrame, runs: DataFrame, keys: Sequence[str] = ("run_id", "topic"), time_col: str = "arrival_us") -> DataFrame:
@@ -131,39 +141,34 @@ def positional_zip(
     time_col: str = "elapsed_us",
     order_col: str = "seq",
     *,
-    bucket_width: int = DEFAULT_BUCKET_WIDTH,
+    block_us: int = BLOCK_US,
 ) -> DataFrame:
     """The recorder's positional pairing. The k-th *accepted* system sample is paired with
     the k-th metrics timestamp; a system sample is accepted only while fewer system values
     than timestamps exist.
 
     With T_n = metrics timestamps seen by system sample n and a_n = accepted among the first n
-    samples, a_n = n + min(0, min_{m<=n}(T_m − m)); sample n is accepted iff a_n > a_{n−1}. T_n
-    is an as-of count (blocked carry of the metrics index), the running minimum a blocked
-    prefix, the pairing an equi-join on k."""
-    mi = dense_index(metrics.select(*keys, order_col, time_col), keys, order_col, bucket_width=bucket_width, idx_col="k")
-    si = dense_index(system.select(*keys, order_col, time_col), keys, order_col, bucket_width=bucket_width, idx_col="n0")
-    # T_n = number of metrics timestamps at or before the system sample
-    seen = align_asof(
-        si.select(*keys, order_col, time_col, "n0"), mi.select(*keys, F.col(time_col).alias("_mt"), "k"), keys, time_col, "_mt", ["k"]
-    )
-    d = seen.select(
-        *keys,
-        F.col(order_col).alias("sys_seq"),
-        F.col(time_col).alias("sys_time"),
-        (F.col("n0") + 1).alias("n"),
-        (F.coalesce(F.col("r_k") + 1, F.lit(0)) - (F.col("n0") + 1)).alias("_d"),
-    )
-    # prefix minimum per key over n (inclusive and exclusive), blocked
-    d = d.withColumn("_blk", F.expr(f"n div {int(bucket_width)}"))
-    bmin = d.groupBy(*keys, "_blk").agg(F.min("_d").alias("_bm"))
-    prior = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = bmin.select(*keys, "_blk", F.min("_bm").over(prior).alias("_cin"))
-    inside = Window.partitionBy(*keys, "_blk").orderBy("n")
-    d = d.join(carry, [*keys, "_blk"])
-    pin = F.least(F.coalesce(F.col("_cin"), F.lit(0)), F.min("_d").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    pex = F.least(F.coalesce(F.col("_cin"), F.lit(0)), F.coalesce(F.min("_d").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(0))
-    d = d.withColumn("a_n", F.col("n") + pin).withColumn("a_prev", F.col("n") - 1 + pex)
-    acc = d.where(F.col("a_n") > F.col("a_prev")).select(*keys, "sys_seq", "sys_time", F.col("a_n").alias("k"))
-    met = mi.select(*keys, (F.col("k") + 1).alias("k"), F.col(time_col).alias("metrics_time"))
-    return acc.join(met, [*keys, "k"], "inner").select(*keys, "k", "metrics_time", "sys_seq", "sys_time")
+    samples, a_n = n + min(0, min_{m<=n}(T_m − m)); sample n is accepted iff a_n > a_{n−1}. All of it
+    comes from one pass in the order (time, metrics first, ``order_col``): T and n are running counts,
+    the minimum is a running one, and each starts in a block from what the block table carries. The
+    pairs are a grouped aggregate on k."""
+    side = lambda df, s: df.select(*keys, F.col(time_col).alias("_t"), F.lit(s).alias("_s"), F.col(order_col).alias("_o"))
+    part = [*keys, "_b"]
+    rows = side(metrics, 0).unionByName(side(system, 1)).withColumn("_b", F.expr(f"_t div {int(block_us)}")).repartition(*part)
+    inside = Window.partitionBy(*part).orderBy("_t", "_s", "_o")
+    upto, before = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("*", F.sum(1 - F.col("_s")).over(upto).alias("_m"), F.sum("_s").over(upto).alias("_n"))
+    rows = rows.select("*", F.when(F.col("_s") == 1, F.col("_m") - F.col("_n")).alias("_d"))
+    # per block: how many of both, and the least T - n of its system samples, all counted from its start
+    ends = rows.groupBy(*part).agg(F.max("_m").alias("_bm"), F.max("_n").alias("_bn"), F.min("_d").alias("_bd"))
+    prior = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*part, "_bd", F.coalesce(F.sum("_bm").over(prior), F.lit(0)).alias("_om"), F.coalesce(F.sum("_bn").over(prior), F.lit(0)).alias("_on"))
+    carry = carry.select(*part, "_om", "_on", F.least(F.lit(0), F.min(F.expr("_bd + _om - _on")).over(prior)).alias("_least"))
+    rows = rows.select("*", F.min("_d").over(upto).alias("_in"), F.min("_d").over(before).alias("_ex")).join(carry, part)
+    low = lambda c: F.expr(f"least(_least, {c} + _om - _on)")  # noqa: E731  nulls don't count
+    n = F.col("_on") + F.col("_n")
+    rows = rows.select(*keys, "_t", "_s", "_o", (F.col("_om") + F.col("_m")).alias("_km"), (n + low("_in")).alias("_an"), (n - 1 + low("_ex")).alias("_ap"))
+    rows = rows.where("_s = 0 OR _an > _ap").select(*keys, F.expr("CASE WHEN _s = 0 THEN _km ELSE _an END").alias("k"), "_t", "_s", "_o")
+    own = lambda c, s: F.max(F.when(F.col("_s") == s, F.col(c)))  # noqa: E731  one row a side and k
+    pairs = rows.groupBy(*keys, "k").agg(own("_t", 0).alias("metrics_time"), own("_o", 1).alias("sys_seq"), own("_t", 1).alias("sys_time"))
+    return pairs.where("metrics_time IS NOT NULL AND sys_seq IS NOT NULL").select(*keys, "k", "metrics_time", "sys_seq", "sys_time")
