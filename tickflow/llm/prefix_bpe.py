@@ -33,13 +33,15 @@ from pyspark.sql import functions as F
 
 from tickflow.llm.common import column, sliced
 
-RUNS = 700_000  # runs that a worker remembers
+RUNS = 1_200_000  # runs that a worker remembers (about 200 bytes each)
 PAIRS = 250_000  # pairs of tokens that a worker remembers
 LONG_RUN = 256  # characters of a run that is worth remembering
 # White_Space of Unicode, as the pattern's \s means it
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
-_CODERS: dict[tuple[str, str], Coder] = {}
+DECODE = 1 << 18  # ids that are decoded at once
+
+_CODERS: dict[tuple[str, str, int], Coder] = {}
 
 
 class Ranks:
@@ -177,11 +179,11 @@ class PrefixTable:
 class Coder(dict):
     """Encodes texts with a pattern and ranks; itself the table of known runs (run -> packed ids)."""
 
-    def __init__(self, ranks: Ranks, pattern: str):
+    def __init__(self, ranks: Ranks, pattern: str, remembered: int = RUNS):
         import regex
 
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.remembered = ranks, remembered
         # regex's own \s holds U+001C..U+001F too, which White_Space doesn't
         inner = pattern.replace("[^\\s", "[^" + SPACE).replace("\\S", f"[^{SPACE}]").replace("\\s", f"[{SPACE}]")
         self.match = regex.compile(inner).findall
@@ -189,7 +191,12 @@ class Coder(dict):
         self.runs = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
         # a run of letters only is one piece: U+00C0 to U+024F are letters but for two signs
         self.plain = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch if "| ?\\p{L}+|" in pattern and pattern.startswith("'s|") else lambda run: False
-        self.vocabulary = self.ranks.tokens
+        # the vocabulary as one buffer: where each token starts in it, and its size
+        tokens, ids = self.ranks.tokens, np.array(sorted(self.ranks.tokens))
+        self.sizes, self.starts = (np.zeros(ids[-1] + 1, np.int64) for _ in range(2))
+        self.sizes[ids] = [len(tokens[i]) for i in ids.tolist()]
+        self.starts[ids] = np.cumsum(self.sizes[ids]) - self.sizes[ids]
+        self.buffer = np.frombuffer(b"".join([tokens[i] for i in ids.tolist()]), np.uint8)
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, run: str) -> bytes:
@@ -203,7 +210,7 @@ class Coder(dict):
     def learn(self, runs: set[str]) -> None:
         """Encode new runs and remember them. Their distinct pieces are taken in byte order, so
         that a piece's table begins with the prefixes that it shares with the piece before."""
-        if len(self) > RUNS // 2:  # keep what the last RUNS / 2 runs needed
+        if len(self) > self.remembered // 2:  # keep what the last half of them needed
             self.older = dict(self)
             self.clear()
         for run in runs & self.older.keys():
@@ -228,18 +235,34 @@ class Coder(dict):
         ids_of = self.__getitem__
         return [b"".join(map(ids_of, found)) for found in runs]
 
-    def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(packed, "<u4").tolist()))
-
-
-def coder(ranks_path: str, pattern: str) -> Coder:
-    if (ranks_path, pattern) not in _CODERS:
-        _CODERS[ranks_path, pattern] = Coder(Ranks.load(ranks_path), pattern)
-    return _CODERS[ranks_path, pattern]
-
-
-def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids (array of int), decoded_sha256 of every row."""
+    def decode(self, packed: list[bytes]) -> list[bytes]:
+        """Of each text's ids the bytes: one gather from the vocabulary's buffer for all of them."""
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        parts = []
+        for at in range(0, len(ids), DECODE):
+            some = ids[at : at + DECODE]
+            size = self.sizes[some]
+            first = self.starts[some] - (np.cumsum(size) - size)  # minus the place in the output
+            parts.append(self.buffer[np.repeat(first, size) + np.arange(size.sum())].tobytes())
+        whole, out, at, end = b"".join(parts), [], 0, 0
+        sums = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        for p in packed:
+            start, at = end, at + len(p) // 4
+            end = int(sums[at])
+            out.append(whole[start:end])
+        return out
+
+
+def coder(ranks_path: str, pattern: str, remembered: int = RUNS) -> Coder:
+    key = (ranks_path, pattern, remembered)
+    if key not in _CODERS:
+        _CODERS[key] = Coder(Ranks.load(ranks_path), pattern, remembered)
+    return _CODERS[key]
+
+
+def encoded(docs: DataFrame, ranks_path: str, pattern: str, remembered: int = RUNS) -> DataFrame:
+    """doc_id, n_tokens, ids (array of int), decoded_sha256 of every row. `remembered` bounds the
+    runs that a worker keeps."""
 
     def columns(packed: list[bytes], decoded: list[bytes]):
         sizes = [len(p) // 4 for p in packed]
@@ -247,31 +270,31 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
         return [pa.array(sizes, pa.int64()), ids, _sha256(decoded)]
 
-    return _mapped(docs, ranks_path, pattern, "n_tokens bigint, ids array<int>, decoded_sha256 string", columns)
+    return _mapped(docs, ranks_path, pattern, remembered, "n_tokens bigint, ids array<int>, decoded_sha256 string", columns)
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, remembered: int = RUNS) -> DataFrame:
     """The query's digest: doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
 
     def columns(packed: list[bytes], decoded: list[bytes]):
         return [pa.array([len(p) // 4 for p in packed], pa.int64()), _sha256(packed), _sha256(decoded)]
 
-    return _mapped(docs, ranks_path, pattern, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", columns)
+    return _mapped(docs, ranks_path, pattern, remembered, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", columns)
 
 
 def _sha256(values: list[bytes]) -> pa.Array:
     return pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())
 
 
-def _mapped(docs: DataFrame, ranks_path: str, pattern: str, fields: str, columns) -> DataFrame:
+def _mapped(docs: DataFrame, ranks_path: str, pattern: str, remembered: int, fields: str, columns) -> DataFrame:
     rows = docs.select(column(docs, "doc_id").alias("doc_id"), F.coalesce(column(docs, "text"), F.lit("")).alias("text"))
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches):
-        code = coder(ranks_path, pattern)
+        code = coder(ranks_path, pattern, remembered)
         for batch in batches:
             for piece in sliced(batch, "text"):
                 packed = code.encode(piece.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *columns(packed, [code.decode(p) for p in packed])], ["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *columns(packed, code.decode(packed))], ["doc_id", *names])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {fields}")
