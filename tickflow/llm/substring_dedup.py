@@ -88,7 +88,7 @@ def _index(rows: DataFrame, width: int) -> DataFrame:
                     owner = np.repeat([i for i, _ in found], [len(x) for _, x in found])
                     yield pa.RecordBatch.from_arrays([as_long(np.concatenate([x for _, x in found])), ids.take(pa.array(owner))], ["m", "doc_id"])
 
-    return rows.select("doc_id", "text", "copy").mapInArrow(run, "m bigint, doc_id bigint")
+    return rows.mapInArrow(run, "m bigint, doc_id bigint")  # all columns, so that its exchange is that of the cut
 
 
 def _candidates(rows: DataFrame, width: int) -> DataFrame:
@@ -102,7 +102,7 @@ def _candidates(rows: DataFrame, width: int) -> DataFrame:
                 m, one, two = windowed.minimizers(), windowed.prints(), windowed.second_prints()
                 found = []
                 for i, a, b in windowed.rows():
-                    if not copy[i] and lists[i].is_valid:
+                    if not copy[i] and lists[i].is_valid and ids[i].is_valid:
                         at = a + np.flatnonzero(np.isin(m[a:b], lists[i].values.to_numpy().view(U64)))
                         _, first = np.unique(one[at], return_index=True)
                         found.append((i, at[first]))
@@ -110,7 +110,7 @@ def _candidates(rows: DataFrame, width: int) -> DataFrame:
                     owner, at = np.repeat([i for i, _ in found], [len(x) for _, x in found]), np.concatenate([x for _, x in found])
                     yield pa.RecordBatch.from_arrays([as_long(one[at]), as_long(two[at]), ids.take(pa.array(owner))], ["h1", "h2", "doc_id"])
 
-    return rows.select("doc_id", "text", "copy", "ms").mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint")
+    return rows.mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint")
 
 
 def _kept(rows: DataFrame, width: int, digest: bool) -> DataFrame:
@@ -123,7 +123,8 @@ def _kept(rows: DataFrame, width: int, digest: bool) -> DataFrame:
             for piece in sliced(batch, "text"):
                 texts, copy, lists = piece.column("text"), piece.column("copy").to_pylist(), piece.column("gone")
                 split = [t.encode().split() for t in texts.to_pylist()]
-                gone = {i for i, x in enumerate(lists) if x.is_valid and not copy[i]}
+                ids = piece.column("doc_id")
+                gone = {i for i, x in enumerate(lists) if x.is_valid and not copy[i] and ids[i].is_valid}
                 keep: dict[int, np.ndarray] = {}
                 if gone:
                     windowed = Windowed(texts, width)
@@ -163,18 +164,19 @@ def _marked(rows: DataFrame, width: int) -> DataFrame:
     copies = texts.join(firsts, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     # Each exchange below is read more than once. Spark makes it once if its uses are alike, so the
     # texts meet left joins only and the keys are tested for null before, not by one of the joins.
-    dealt = rows.repartition("doc_id").join(copies, "doc_id", "left")
-    dealt = dealt.withColumn("copy", F.when(F.col("keys").isNull(), F.lit(False)).otherwise(F.array_contains("keys", F.md5("text")))).drop("keys")
+    # Rows without doc_id meet nothing, and are dealt by their texts.
+    dealt = rows.withColumn("k", F.coalesce("doc_id", F.xxhash64("text"))).repartition("k").join(copies.withColumnRenamed("doc_id", "k"), "k", "left")
+    dealt = dealt.withColumn("copy", F.when(F.col("keys").isNull() | F.col("doc_id").isNull(), F.lit(False)).otherwise(F.array_contains("keys", F.md5("text")))).drop("keys")
 
     index = _index(dealt, width).where("m is not null and doc_id is not null").repartition("m")
     shared = index.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m")
-    lists = index.join(shared.hint("shuffle_hash"), "m").groupBy("doc_id").agg(F.collect_list("m").alias("ms"))
+    lists = index.join(shared.hint("shuffle_hash"), "m").groupBy(F.col("doc_id").alias("k")).agg(F.collect_list("m").alias("ms"))
 
-    found = _candidates(dealt.join(lists, "doc_id", "left"), width)
+    found = _candidates(dealt.join(lists, "k", "left"), width)
     found = found.where("h1 is not null and h2 is not null and doc_id is not null").repartition("h1", "h2")
     firsts = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    gone = found.join(firsts.hint("shuffle_hash"), ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("h1").alias("gone"))
-    return dealt.join(gone, "doc_id", "left")
+    gone = found.join(firsts.hint("shuffle_hash"), ["h1", "h2"]).where("doc_id > lo").groupBy(F.col("doc_id").alias("k")).agg(F.collect_list("h1").alias("gone"))
+    return dealt.join(gone, "k", "left")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
