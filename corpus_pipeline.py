@@ -26,6 +26,7 @@ from tickflow.session import checkpoint_dir
 
 LEAST_SCORE = 0.35
 NEAR = jaccard_join.Similarity(words=5, num=80, den=100)
+REMEMBERED = 400_000  # runs that the last stage's workers keep: they hold the other stages' memory too
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, decoded_sha256 of every document left."""
     lean(spark)
-    return prefix_bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return prefix_bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, REMEMBERED)
 
 
 STAGES = [
