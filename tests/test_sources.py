@@ -5,6 +5,7 @@ import math
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -167,3 +168,26 @@ def test_sinks_skip_empty_and_append(spark):
     assert spark.read.parquet(os.path.join(d, "c")).count() == 2
     assert sinks.write_checkpoints(one, os.path.join(d, "c"))  # again: replaced, not doubled
     assert spark.read.parquet(os.path.join(d, "c")).count() == 2
+
+
+def test_snapshots_are_seen_whole_or_not_at_all(spark, tmp_path):
+    """A write that fails half way leaves the snapshot before; an empty one isn't published;
+    the version before the newest stays for its readers."""
+    from tickflow.sources import sinks
+
+    path, schema = str(tmp_path / "snap"), "id long, v long"
+    read = lambda: sorted(tuple(r) for r in sinks.read_snapshot(spark, path, schema).collect())
+    table = lambda n, v: spark.range(n).select("id", F.lit(v).cast("long").alias("v"))
+    assert read() == []
+    assert sinks.write_snapshot(table(5, 1), path) and read() == [(i, 1) for i in range(5)]
+    held = sinks.read_snapshot(spark, path, schema)
+    broken = spark.range(0, 40, 1, 4).select("id", F.when(F.col("id") == 35, F.raise_error(F.lit("lost"))).otherwise(F.lit(2)).cast("long").alias("v"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_snapshot(broken, path)
+    assert read() == [(i, 1) for i in range(5)]
+    assert not sinks.write_snapshot(table(0, 3), path) and read() == [(i, 1) for i in range(5)]
+    assert sinks.write_snapshot(table(3, 4), path) and read() == [(i, 4) for i in range(3)]
+    assert held.count() == 5
+    for v in (5, 6, 7):
+        assert sinks.write_snapshot(table(2, v), path) and read() == [(0, v), (1, v)]
+    assert not sinks.write_series_snapshot(spark.createDataFrame([], "run_id string, value double"), str(tmp_path / "none"))

@@ -153,11 +153,11 @@ def q_log_lines_roundtrip(spark, sf):
 
 @query("series_snapshot", O.with_ctes(O.EV, O.SERIES, body="SELECT run_id, series, idx, elapsed_us, value FROM series"))
 def q_series_snapshot(spark, sf):
-    """Whole-series snapshot written (overwrite) and read back."""
+    """Whole-series snapshot written twice, the newest read back."""
     path = sinks.scratch_path(spark, "snapshot")
     sinks.write_series_snapshot(_series(spark, sf), path)
-    sinks.write_series_snapshot(_series(spark, sf), path)  # a later tick overwrites
-    back = spark.read.schema("series string, idx long, elapsed_us long, value double, run_id string").json(path)
+    sinks.write_series_snapshot(_series(spark, sf), path)  # a later tick replaces it
+    back = sinks.read_snapshot(spark, path, "series string, idx long, elapsed_us long, value double, run_id string", "json")
     return back.select("run_id", "series", "idx", "elapsed_us", "value")
 
 
@@ -204,4 +204,4 @@ def q_latest_labels_stream(spark, sf):
         .option("checkpointLocation", sinks.scratch_path(spark, "labels-ckpt")).trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return spark.read.parquet(out).select("run_id", "slot", "field", "value")
+    return sinks.read_snapshot(spark, out, "run_id string, slot int, field string, value string").select("run_id", "slot", "field", "value")

@@ -3,9 +3,10 @@ intermediate tables); none passes data through the driver."""
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,20 +18,61 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> bool:
+    """A new version of a whole table: written to a folder of its own, then named in the version log,
+    which a reader asks for the newest one. So a reader sees the old table or the new one, never a
+    part, and a write that fails changes nothing it sees. The plan runs once; an empty table is
+    written but not named, and goes again (False). Of the versions before, the last one stays for its readers."""
+    spark, path, version = df.sparkSession, path.rstrip("/"), time.time_ns()
+    folder = f"{path}/version-{version}"
+    try:
+        df.write.partitionBy(*partition_by).format(fmt).save(folder)
+        published = bool(spark.read.schema(df.schema).format(fmt).load(folder).head(1))
+    except Exception:
+        _remove(spark, folder)
+        raise
+    if not published:
+        _remove(spark, folder)
+        return False
+    older = _versions(spark, path)
+    spark.createDataFrame([(version,)], VERSION).write.mode("append").parquet(f"{path}/{VERSIONS}")
+    for v in older[:-1]:
+        _remove(spark, f"{path}/version-{v}")
+    return True
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+    """The newest version written by :func:`write_snapshot`; no rows before the first."""
+    versions = _versions(spark, path.rstrip("/"))
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).format(fmt).load(f"{path.rstrip('/')}/version-{versions[-1]}")
+
+
+VERSIONS, VERSION = "_versions", "version long"
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The named versions that are still there, oldest first (two or three)."""
+    log = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{VERSIONS}")
+    fs = log.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(log):
+        return []
+    newest = spark.read.schema(VERSION).parquet(f"{path}/{VERSIONS}").orderBy(F.col("version").desc()).limit(3).collect()
+    return sorted(r["version"] for r in newest)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def write_series_snapshot(series: DataFrame, path: str) -> bool:
-    """Overwrite the whole current series, skipped while it is empty.
+    """The whole current series as a new snapshot, not published while it is empty.
 
     Written as JSON lines partitioned by run (one row per sample), not as one document per
     run: a whole run in one document would pass an unbounded group through one task."""
-    # persisted so the emptiness probe and the write share one evaluation of the plan
-    series = series.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if not series.head(1):
-            return False
-        series.write.mode("overwrite").partitionBy("run_id").json(path)
-        return True
-    finally:
-        series.unpersist()
+    return write_snapshot(series, path, "json", ["run_id"])
 
 
 def write_checkpoints(checkpoints: DataFrame, path: str) -> bool:

@@ -7,7 +7,7 @@
   rows at once in 64-bit integers. Rows at or before the last seen seq are late: they join no
   gauge, and ``late_messages`` counts them.
 * X4 :func:`tumbling_rates` — built-in windowed counts with a watermark (append mode).
-* X5 :func:`snapshot_writer` — ``foreachBatch`` that overwrites the full current table.
+* X5 :func:`snapshot_writer` — ``foreachBatch`` that publishes the full current table as a new version.
 * X6 :func:`checkpoint_partials` — per-interval partials in append mode; roll up with
   :func:`tickflow.operators.stats.cumulative_checkpoints` semantics in batch.
 * X7 :func:`latest_labels` — latest slot labels, update mode.
@@ -109,10 +109,11 @@ def latest_labels(kv_stream: DataFrame, keys: Sequence[str] = ("run_id", "slot",
 
 
 def snapshot_writer(path: str, fmt: str = "parquet"):
-    """``foreachBatch`` callback that overwrites ``path`` with the batch (full snapshot)."""
+    """``foreachBatch`` callback that makes the batch the newest snapshot under ``path``
+    (:func:`tickflow.sources.sinks.read_snapshot`); an empty batch leaves the one before."""
+    from tickflow.sources.sinks import write_snapshot
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        if batch.head(1):
-            batch.write.mode("overwrite").format(fmt).save(path)
+        write_snapshot(batch, path, fmt)
 
     return write
