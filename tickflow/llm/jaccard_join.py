@@ -5,7 +5,7 @@ In any global order of the shingles a linked pair shares l shingles among the fi
 n - ceil(t * n) + l of each set (its prefix; l is a twentieth of the smaller set), so a candidate
 must pass that test in every order.
 
-1. Sets. Documents of equal sets (copies) become one node, named by a 128-bit sum over the set.
+1. Sets. Documents of equal sets (copies) become one node, named by a 64-bit sum over the set (README: what that can miss).
 2. Orders. All orders put rare shingles first: up to `hot` most frequent ones (counted in every task
    over all documents, summed) come last, by count; the rest by one of several hashes. Any order
    is right, so the counts only decide the work: boilerplate that many documents hold gets into a
