@@ -70,6 +70,26 @@ def test_links_equal_brute_force(spark, rows, k, num, den, hot, block):
     assert links(spark, empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("bits", [0, 5])
+def test_sets_that_share_a_name_stay_apart(spark, rows, bits):
+    """With names of few bits most sets share one: components and links are the same."""
+    from tickflow.llm.jaccard_join import Similarity, linked, links
+
+    by = Similarity(words=3, num=60, den=100, bits=bits)
+    assert Counter(tuple(r) for r in linked(spark, frame(spark, rows), by, block=3).collect()) == brute_components(rows, 3, 60, 100)
+    assert Counter(tuple(r) for r in links(spark, frame(spark, rows), by).collect()) == brute_links(rows, 3, 60, 100)
+
+
+def test_lists_of_many_groups_in_blocks(spark):
+    """Groups of near copies that share lines with other groups, lists in blocks of three."""
+    from tickflow.llm.jaccard_join import Similarity, linked
+
+    lines = [" ".join(f"l{i}x{j}" for j in range(12)) for i in range(6)]
+    rows = [(100 * g + c, " ".join([lines[g % 6], lines[(g + 1) % 6], *(f"g{g}y{j}" for j in range(20)), f"c{c}"])) for g in range(18) for c in range(4)]
+    got = linked(spark, frame(spark, rows), Similarity(words=4, num=70, den=100, hot=0), block=3)
+    assert Counter(tuple(r) for r in got.collect()) == brute_components(rows, 4, 70, 100)
+
+
 def test_a_row_without_doc_id_links_nothing(spark):
     from tickflow.llm.jaccard_join import deduplicated, linked, Similarity
 

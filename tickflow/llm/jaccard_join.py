@@ -5,7 +5,8 @@ In any global order of the shingles a linked pair shares l shingles among the fi
 n - ceil(t * n) + l of each set (its prefix; l is a twentieth of the smaller set), so a candidate
 must pass that test in every order.
 
-1. Sets. Documents of equal sets (copies) become one node, named by a 64-bit sum over the set (README: what that can miss).
+1. Sets. Documents of equal sets (copies) become one node. Two 64-bit sums tell sets apart; the first
+   one names the node, and where different sets share it (`Names`), they get names of their own.
 2. Orders. All orders put rare shingles first: up to `hot` most frequent ones (counted in every task
    over all documents, summed) come last, by count; the rest by one of several hashes. Any order
    is right, so the counts only decide the work: boilerplate that many documents hold gets into a
@@ -19,7 +20,8 @@ must pass that test in every order.
 5. Instead of all pairs of a list, first each member against the member of smallest place (a star);
    then the pairs that are left between different components. Pairs inside a component can't
    change it, so a large group of near copies costs about its size, not its square.
-   `links` needs all of them: it compares all pairs of a list, long lists in blocks of LIST_BLOCK.
+   `links` needs all of them: it compares all pairs of a list. Both deal long lists in blocks of
+   LIST_BLOCK, so that no key of a join holds a whole list.
 
 Defined results: A-Z are lower-cased and words are ``[^\\x20\\x09-\\x0D]+``; a text with fewer words
 than a shingle has its whole sequence as the one shingle; null or wordless text has an empty set
@@ -28,7 +30,8 @@ without doc_id has component_id null and links nothing; empty tables give no row
 and text are read.
 
 Scale: a shuffle of the prefixes (20 % of the shingles at 0.85) and one of the texts that have a
-posting left; both keyed by hashes. Broadcast: `hot` tokens with counts (2 MB by default).
+posting left; both keyed by hashes. Broadcast: `hot` tokens with counts (2 MB by default), and the
+sets that share a name: about n * n / 2^64 of n different ones (some 140 of 5 * 10^10).
 Every step is written to the shared folder.
 """
 
@@ -50,13 +53,15 @@ LIST_BLOCK = 512  # sets of one list that a key of the join of all pairs holds o
 
 @dataclass(frozen=True)
 class Similarity:
-    """Shingles of `words` words; linked from num / den on; `orders` token orders."""
+    """Shingles of `words` words; linked from num / den on; `orders` token orders. A set's name has
+    `bits` bits: with few of them (tests) many sets share one."""
 
     words: int = 4
     num: int = 85
     den: int = 100
     orders: int = 3
     hot: int = 1 << 17
+    bits: int = 64
 
     def shared(self, n: str) -> str:
         """Shingles that two sets of at least n share in their prefixes (SQL)."""
@@ -92,11 +97,44 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def set_sums(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Two order-free 64-bit sums over each set."""
+def set_sums(sets: list[np.ndarray], bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two order-free 64-bit sums over each set, the first one cut to `bits`."""
     one = [mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64) + U64(len(s)) for s in sets]
     two = [mix(s + U64(0x1234567890ABCDEF)).sum(dtype=U64) for s in sets]
-    return np.array(one, U64), np.array(two, U64)
+    return np.array(one, U64) & U64((1 << bits) - 1), np.array(two, U64)
+
+
+class Names:
+    """The 64-bit names of sets: the first sum, but a name of their own for sets that share it."""
+
+    def __init__(self, rows: list | None = None):
+        self.own = {(r["s1"], r["s2"]): r["sid"] for r in rows or []}
+        self.shared = np.array(sorted({s1 for s1, _ in self.own}), np.int64).view(U64)
+
+    def of(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        out = one.copy()
+        for i in np.flatnonzero(np.isin(one, self.shared)).tolist():
+            key = (int(one[i : i + 1].view(np.int64)[0]), int(two[i : i + 1].view(np.int64)[0]))
+            out[i : i + 1] = np.array([self.own[key]], np.int64).view(U64)
+        return out
+
+
+def _named(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, Names]:
+    """(doc_id, n, sid) of the rows, and the names: different sets (s1, s2) have different ones."""
+    first = lambda df: df.select("doc_id", "n", F.col("s1").alias("sid"))
+    shared = rows.groupBy("s1").agg(F.min("s2").alias("lo"), F.max("s2").alias("hi")).where("lo < hi").select("s1")
+    shared = written(spark, rows.join(shared, "s1", "left_semi").select("s1", "s2").distinct(), "jj-shared")
+    if shared.isEmpty():
+        return first(rows), Names()
+    salt = 0
+    while True:  # a new name is as unlikely to be taken as any: one round nearly always
+        own = shared.withColumn("sid", F.xxhash64(F.lit(salt), "s1", "s2"))
+        alone = rows.select("s1").distinct().join(shared.select("s1").distinct(), "s1", "left_anti")
+        if own.select("sid").union(alone).groupBy("sid").count().where("count > 1").isEmpty():
+            break
+        salt += 1
+    names = rows.join(own, ["s1", "s2"], "left").select("doc_id", "n", F.coalesce("sid", "s1").alias("sid"))
+    return written(spark, names, "jj-members"), Names(own.collect())
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -121,7 +159,7 @@ def signatures(docs: DataFrame, by: Similarity) -> DataFrame:
         for batch in batches:
             for piece in sliced(batch, "text"):
                 sets = shingle_sets(piece.column("text"), by.words)
-                s1, s2 = set_sums(sets)
+                s1, s2 = set_sums(sets, by.bits)
                 m = len(sets)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), as_long(s1), as_long(s2), empty(m), empty(m)], names)
                 held += sets
@@ -169,7 +207,7 @@ class Orders:
         return out
 
 
-def _prefix_rows(docs: DataFrame, orders: Orders) -> DataFrame:
+def _prefix_rows(docs: DataFrame, orders: Orders, names: Names) -> DataFrame:
     """(sid, n, prefix) under the first order of every set that a task meets (once a task, so that
     copies don't pile up)."""
     k = orders.by.words
@@ -179,17 +217,17 @@ def _prefix_rows(docs: DataFrame, orders: Orders) -> DataFrame:
         for batch in batches:
             for piece in sliced(batch, "text"):
                 sets = shingle_sets(piece.column("text"), k)
-                s1, _ = set_sums(sets)
-                new = [i for i, s in enumerate(s1.tolist()) if len(sets[i]) and not (s in met or met.add(s))]
-                sets, s1 = [sets[i] for i in new], s1[new]
+                sid = names.of(*set_sums(sets, orders.by.bits))
+                new = [i for i, s in enumerate(sid.tolist()) if len(sets[i]) and not (s in met or met.add(s))]
+                sets, sid = [sets[i] for i in new], sid[new]
                 first = [orders.prefixes(s, [0])[0] for s in sets]
                 flat = np.concatenate(first) if first else np.zeros(0, U64)
-                yield pa.RecordBatch.from_arrays([as_long(s1), pa.array([len(s) for s in sets], pa.int32()), list_of_long(flat, [len(f) for f in first])], ["sid", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([as_long(sid), pa.array([len(s) for s in sets], pa.int32()), list_of_long(flat, [len(f) for f in first])], ["sid", "n", "prefix"])
 
     return _rows(docs).mapInArrow(run, "sid bigint, n int, prefix array<bigint>")
 
 
-def _set_rows(rows: DataFrame, orders: Orders) -> DataFrame:
+def _set_rows(rows: DataFrame, orders: Orders, names: Names) -> DataFrame:
     """(sid, n, tokens, p1, p2, ..): whole sets and their prefixes under the other orders."""
     k, others = orders.by.words, list(range(1, orders.by.orders))
 
@@ -197,11 +235,11 @@ def _set_rows(rows: DataFrame, orders: Orders) -> DataFrame:
         for batch in batches:
             for piece in sliced(batch, "text"):
                 sets = shingle_sets(piece.column("text"), k)
-                s1, _ = set_sums(sets)
+                sid = names.of(*set_sums(sets, orders.by.bits))
                 prefixes = [orders.prefixes(s, others) for s in sets]
                 lists = [sets, *([p[i] for p in prefixes] for i in range(len(others)))]
                 made = [list_of_long(np.concatenate(x) if x else np.zeros(0, U64), [len(y) for y in x]) for x in lists]
-                yield pa.RecordBatch.from_arrays([as_long(s1), pa.array([len(s) for s in sets], pa.int32()), *made], ["sid", "n", "tokens", *(f"p{i}" for i in others)])
+                yield pa.RecordBatch.from_arrays([as_long(sid), pa.array([len(s) for s in sets], pa.int32()), *made], ["sid", "n", "tokens", *(f"p{i}" for i in others)])
 
     fields = ", ".join(f"p{i} array<bigint>" for i in others)
     return rows.mapInArrow(run, f"sid bigint, n int, tokens array<bigint>{', ' if fields else ''}{fields}")
@@ -226,12 +264,12 @@ def _indexed(spark: SparkSession, docs: DataFrame, by: Similarity) -> tuple[Data
     """The rows (doc_id, n, sid), the postings that can link (with their list's pivot), and the sets
     that have one."""
     passed = written(spark, signatures(docs, by), "jj-signatures")
-    members = passed.where("n is not null").select("doc_id", "n", F.col("s1").alias("sid"))
+    members, names = _named(spark, passed.where("n is not null").select("doc_id", "n", "s1", "s2"))
 
     orders = Orders(by, *_hot_tokens(spark, passed.where("token is not null").groupBy("token").agg(F.sum("cnt").alias("cnt")), by.hot))
 
     # postings of tokens that two sets hold in their prefixes
-    postings = _prefix_rows(docs, orders).select("sid", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
+    postings = _prefix_rows(docs, orders, names).select("sid", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
     # (all columns are read on this side too, so that one exchange serves both)
     lists = postings.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.max("n").alias("n"), F.max("pos").alias("pos"))
     lists = lists.where("lo < hi and n > 0 and pos >= 0").select("token")
@@ -248,23 +286,30 @@ def _indexed(spark: SparkSession, docs: DataFrame, by: Similarity) -> tuple[Data
     named = members.where("doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     wanted = named.join(alive.select("sid").distinct(), "sid", "left_semi").select("doc_id")
     rows = _rows(docs)
-    sets = written(spark, _set_rows(rows.join(wanted.distinct(), "doc_id", "left_semi"), orders), "jj-sets")
+    sets = written(spark, _set_rows(rows.join(wanted.distinct(), "doc_id", "left_semi"), orders, names), "jj-sets")
     return members, alive, sets
 
 
+def _pairs_of_lists(postings: DataFrame, by: Similarity, block: int, only: str = "true") -> DataFrame:
+    """The distinct pairs (a, b) of sets of one list that can link by their sizes and places, where
+    `only` holds of the postings x and y. A list is cut into blocks by hash; a key of the join holds
+    two blocks of one list."""
+    held = postings.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    cells = postings.join(held, "token").withColumn("of", F.expr(f"cast(ceil(held / {block}) as int)"))
+    cells = cells.withColumn("own", F.expr("cast(pmod(xxhash64(sid), of) as int)")).drop("held")
+    x = cells.select("*", F.col("own").alias("lo"), F.explode(F.expr("sequence(own, of - 1)")).alias("hi")).drop("own", "of").alias("x")
+    y = cells.select("*", F.explode(F.expr("sequence(0, own)")).alias("lo"), F.col("own").alias("hi")).drop("own", "of").alias("y")
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
+    pairs = x.join(y, same & F.expr(f"(x.lo < x.hi or x.sid < y.sid) and ({only})") & F.expr(by.sizes("x.n", "y.n")) & F.expr(f"x.pos <= {by.alone('x.n', 'y.n')} and y.pos <= {by.alone('y.n', 'x.n')}"))
+    return pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
+
+
 def links(spark: SparkSession, docs: DataFrame, by: Similarity = Similarity(), block: int = LIST_BLOCK) -> DataFrame:
     """Every link between two different sets, once: a, b (the smallest doc_id of each, a <= b),
     copies_a, copies_b (number of its doc_ids), n_common, n_union (shingles). So the number of links
     between documents of different sets is the sum of copies_a * copies_b."""
     members, alive, sets = _indexed(spark, docs, by)
-    held = alive.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
-    cells = alive.select("token", "sid", "n", "pos").join(held, "token").withColumn("of", F.expr(f"cast(ceil(held / {block}) as int)"))
-    cells = cells.withColumn("own", F.expr("cast(pmod(xxhash64(sid), of) as int)"))
-    x = cells.select("token", "sid", "n", "pos", F.col("own").alias("lo"), F.explode(F.expr("sequence(own, of - 1)")).alias("hi")).alias("x")
-    y = cells.select("token", "sid", "n", "pos", F.explode(F.expr("sequence(0, own)")).alias("lo"), F.col("own").alias("hi")).alias("y")
-    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
-    pairs = x.join(y, same & F.expr("(x.lo < x.hi or x.sid < y.sid)") & F.expr(by.sizes("x.n", "y.n")) & F.expr(f"x.pos <= {by.alone('x.n', 'y.n')} and y.pos <= {by.alone('y.n', 'x.n')}"))
-    pairs = written(spark, pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct(), "jj-pairs")
+    pairs = written(spark, _pairs_of_lists(alive.select("token", "sid", "n", "pos"), by, block), "jj-pairs")
     # (a set of several doc_ids that have more texts can stand in `sets` more than once)
     found = written(spark, _verified(pairs, sets.dropDuplicates(["sid"]), by), "jj-links")
 
@@ -277,7 +322,7 @@ def links(spark: SparkSession, docs: DataFrame, by: Similarity = Similarity(), b
     )
 
 
-def linked(spark: SparkSession, docs: DataFrame, by: Similarity = Similarity()) -> DataFrame:
+def linked(spark: SparkSession, docs: DataFrame, by: Similarity = Similarity(), block: int = LIST_BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     members, alive, sets = _indexed(spark, docs, by)
     star = alive.where("sid <> psid").where(by.sizes("n", "pn")).where(f"pos <= {by.alone('n', 'pn')} and ppos <= {by.alone('pn', 'n')}")
@@ -289,10 +334,7 @@ def linked(spark: SparkSession, docs: DataFrame, by: Similarity = Similarity())
     placed = alive.join(label, alive["sid"] == label["node"], "left").select("token", "sid", "n", "pos", F.coalesce("label", "sid").alias("c"))
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
     left = written(spark, placed.join(mixed, "token", "left_semi"), "jj-mixed")
-    x, y = left.alias("x"), left.alias("y")
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & F.expr(by.sizes("x.n", "y.n")) & F.expr(f"x.pos <= {by.alone('x.n', 'y.n')} and y.pos <= {by.alone('y.n', 'x.n')}"))
-    cross = cross.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
-    cross = cross.join(star, ["a", "b"], "left_anti")
+    cross = _pairs_of_lists(left, by, block, "x.c <> y.c").join(star, ["a", "b"], "left_anti")
     more = written(spark, _verified(cross, sets, by).select("a", "b"), "jj-more")
 
     # rows of one doc_id are one node too
