@@ -58,6 +58,25 @@ def test_read_report_json_old_keys(spark):
     assert got == {"t": (40.0, "Good"), "u": (33.0, "Fair")}
 
 
+def test_diagnostic_ids_do_not_depend_on_the_splits(spark):
+    d = _tmp()
+    from tickflow import schemas as S
+
+    rows = [Row(run_id="r", ts_us=7, name="n", level=0, message=f"m{i}", values=[]) for i in range(400)]
+    made = spark.createDataFrame(rows, S.DIAGNOSTICS)
+    for p in ("p1", "p2"):
+        made.repartition(3).write.option("parquet.block.size", 2048).parquet(os.path.join(d, p))
+    seen = []
+    for split in ("128m", "2k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            both = readers.read_diagnostics(spark, [os.path.join(d, "p1"), os.path.join(d, "p2")])
+            seen.append(sorted((r.diag_seq, r.message) for r in both.collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] and len({i for i, _ in seen[0]}) == 800
+
+
 def test_read_diagnostics_union_and_samples(spark):
     d = _tmp()
     rows = [Row(run_id="r", ts_us=1, name="System Resources", level=0, message="ok", values=[Row(key="a", value="1")])]

@@ -113,3 +113,43 @@ def test_tick_metrics_stream_equals_batch(spark):
         assert got.count() == want.count() > 200
         assert got.select(*want.columns).exceptAll(want).count() == 0
     assert got.where("topic = 'b' and tick > 60").select("current_hz").distinct().count() == 1
+
+
+def test_checkpoints_roll_up_across_a_failed_batch(spark):
+    """A batch that fails after its partials are written and runs again counts once; late
+    samples count too. Equal to W15, whose offset of 1e9 would cancel in sums of squares."""
+    from tickflow.operators import stats
+
+    base = tempfile.mkdtemp(prefix="tickflow-x6-")
+    src, out = os.path.join(base, "src"), os.path.join(base, "out")
+    rows = [("r", s, i, 700_000 * i, float("nan") if i % 11 == 0 else 1e9 + (i * 37 % 101) / 7) for s in ("a", "b") for i in range(300)]
+    series = spark.createDataFrame(rows, "run_id string, series string, idx long, elapsed_us long, value double")
+    runs = spark.createDataFrame([("r", "a", 200.0), ("r", "b", 150.5), ("r", "c", 30.0)], "run_id string, series string, duration_s double")
+    for part in (2, 0, 1):
+        series.where(F.col("idx") % 3 == part).coalesce(1).write.mode("append").parquet(src)
+    write, failed = live.checkpoint_writer(out, 20.0, runs=runs), []
+
+    def fails_once(batch, epoch_id):
+        write(batch, epoch_id)
+        if epoch_id == 1 and not failed:
+            failed.append(epoch_id)
+            raise RuntimeError("lost after the write")
+
+    def start():
+        stream = spark.readStream.schema(series.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        return stream.writeStream.foreachBatch(fails_once).option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start()
+
+    try:
+        start().awaitTermination()
+    except Exception:  # the query's own failure
+        assert failed == [1]
+    start().awaitTermination()
+    got = {(r.series, r.checkpoint): r for r in live.rolled_checkpoints(spark, out, runs, 20.0).collect()}
+    want = {(r.series, r.checkpoint): r for r in stats.cumulative_checkpoints(series, runs, 20.0).collect()}
+    assert failed == [1] and set(got) == set(want) and len(want) == 10 + 8 + 2
+    for k, w in want.items():
+        assert (got[k].samples, got[k].valid, got[k].min, got[k].max, got[k].end_us, got[k].last_elapsed_us) == (w.samples, w.valid, w.min, w.max, w.end_us, w.last_elapsed_us)
+        assert abs(got[k].avg - w.avg) < 1e-6 and abs(got[k].std - w.std) < 1e-6
+    values = [v for _, s, _, e, v in rows if s == "a" and e <= 200_000_000 and v == v]
+    mean = sum(values) / len(values)
+    assert abs(want["a", 10].std - (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5) < 1e-6

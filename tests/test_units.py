@@ -355,3 +355,25 @@ def test_positional_zip_model(spark, seed):
     s = spark.createDataFrame([Row(run_id="r", seq=i, elapsed_us=t) for i, t in enumerate(st)])
     got = sorted((r.k, r.metrics_time, r.sys_seq) for r in positional_zip(m, s, block_us=8).collect())
     assert got == _zip_model(mt, st)
+
+
+def test_silences_in_blocks(spark):
+    """Equal to a walk over each topic, whatever the blocks; a topic that never sent is silent throughout."""
+    import random
+
+    from tickflow.operators.align import silences
+
+    rnd = random.Random(3)
+    runs = [("r", "a", 1000, 0.01), ("r", "b", 1000, 0.01), ("r", "never", 1000, 0.01)]
+    sent = [("r", t, rnd.randrange(0, 12_500)) for t in "ab" for _ in range(40)] + [("r", "a", 5000)] * 3 + [("r", "unknown", 2000)]
+    want = []
+    for run, topic, start, duration in runs:
+        end = start + int(duration * 1e6)
+        marks = [start, *sorted(at for _, t, at in sent if t == topic and start <= at <= end), end]
+        want += [(run, topic, x, y) for x, y in zip(marks, marks[1:]) if y - x >= 300]
+    expected = spark.createDataFrame(runs, "run_id string, topic string, start_us long, duration_s double")
+    msgs = spark.createDataFrame(sent, "run_id string, topic string, arrival_us long")
+    for block in (7, 450, 10**9):
+        got = silences(expected, msgs, 300, block_us=block).select("run_id", "topic", "from_us", "until_us").collect()
+        assert sorted(map(tuple, got)) == sorted(want), block
+    assert ("r", "never", 1000, 11000) in want

@@ -91,6 +91,28 @@ def silent_topics(runs: DataFrame, msgs: DataFrame, period_s: int = 1, keys: Seq
     return expected.join(seen, [*keys, "second"], "left_anti")
 
 
+def silences(
+    expected: DataFrame, msgs: DataFrame, least_us: int, keys: Sequence[str] = ("run_id", "topic"), block_us: int = 600_000_000
+) -> DataFrame:
+    """J7 as stretches: (keys, from_us, until_us) of at least ``least_us`` in which an expected topic
+    sent nothing, between its ``start_us`` and its end (``duration_s`` later). A topic that sent
+    nothing at all is silent from start to end; messages outside that time don't count.
+
+    Gaps inside a block of time come from windows of that block; those across blocks from a table
+    with one row a block."""
+    plan = expected.select(*keys, "start_us", (F.col("start_us") + (F.col("duration_s") * 1e6).cast("long")).alias("_end"))
+    at = F.col("arrival_us")
+    seen = msgs.select(*keys, "arrival_us").join(plan, list(keys)).where((at >= F.col("start_us")) & (at <= F.col("_end")))
+    seen = seen.select(*keys, "arrival_us", F.expr(f"(arrival_us - start_us) div {int(block_us)}").alias("_b"))
+    inside = seen.select(*keys, F.lag("arrival_us").over(Window.partitionBy(*keys, "_b").orderBy("arrival_us")).alias("from_us"), at.alias("until_us"))
+    edges = seen.groupBy(*keys, "_b").agg(F.min("arrival_us").alias("_first"), F.max("arrival_us").alias("_last"))
+    # the end of the time stands as a last block, so a topic without messages has that row alone
+    edges = edges.unionByName(plan.select(*keys, F.lit(None).cast("long").alias("_b"), F.col("_end").alias("_first"), F.col("_end").alias("_last")))
+    before = F.lag("_last").over(Window.partitionBy(*keys).orderBy(F.col("_b").asc_nulls_last()))
+    across = edges.withColumn("_before", before).join(plan, list(keys)).select(*keys, F.coalesce("_before", "start_us").alias("from_us"), F.col("_first").alias("until_us"))
+    return inside.unionByName(across).where(F.col("until_us") - F.col("from_us") >= int(least_us))
+
+
 def tumbling_counts(msgs: DataFrame, origin_us: int, seconds: int = 1, keys: Sequence[str] = ("run_id", "topic")) -> DataFrame:
     """X4 in batch form: messages, bytes and points per fixed interval per topic."""
     from tickflow.functions.scalars import message_size, point_count

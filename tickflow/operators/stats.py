@@ -116,8 +116,9 @@ def std_band(stats_df: DataFrame) -> DataFrame:
 
 
 def histogram(series: DataFrame, bins: int = 10, keys: Sequence[str] = SERIES_KEYS, value_col: str = "value") -> DataFrame:
-    """Equal-width histogram of the valid values per series, bins 1..n over [min, max]
-    (the maximum falls in the last bin). Bounds come from a grouped aggregate."""
+    """Equal-width histogram of the valid values per series, bins 1..n over [min, max], empty
+    ones too (the maximum falls in the last bin; equal values all fall in the first). Bounds come
+    from a grouped aggregate; a series without valid values has no bins."""
     v = valid(F.col(value_col))
     clean = series.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull())
     bounds = clean.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
@@ -126,11 +127,41 @@ def histogram(series: DataFrame, bins: int = 10, keys: Sequence[str] = SERIES_KE
     b = F.when(width == 0, F.lit(1).cast("long")).otherwise(
         F.least(F.lit(bins).cast("long"), F.floor((F.col("_v") - F.col("_lo")) * F.lit(float(bins)) / width).cast("long") + 1)
     )
-    return j.groupBy(*keys, b.alias("bin")).agg(
-        F.count(F.lit(1)).alias("count"), F.first("_lo").alias("lo"), F.first("_hi").alias("hi")
+    counts = j.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
+    grid = bounds.select(*keys, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(bins).cast("long"))).alias("bin"), "_lo", "_hi")
+    full = grid.join(counts, [*keys, "bin"], "left")
+    return full.select(*keys, "bin", F.coalesce("_n", F.lit(0)).alias("count"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
+
+
+PARTIALS = "bucket long, samples long, valid long, mean double, m2 double, min double, max double, last_us long"
+
+
+def checkpoint_partials(
+    series: DataFrame, interval_s: float, keys: Sequence[str] = SERIES_KEYS, runs: DataFrame | None = None, run_keys: Sequence[str] = SERIES_KEYS, value_col: str = "value"
+) -> DataFrame:
+    """Mergeable partials (``PARTIALS``) per interval of each series: number of samples and of valid
+    ones, mean, sum of squared distances from that mean, minimum, maximum, last elapsed time. An
+    interval holds the samples with (bucket - 1)·interval < elapsed <= bucket·interval, without
+    those after the run's end if ``runs`` (``duration_s``) is given."""
+    if runs is not None:
+        series = series.join(_durations(runs, run_keys), list(run_keys)).where(F.col("elapsed_us") <= F.col("_dur_us"))
+    v = valid(F.col(value_col))
+    b = F.expr(f"CAST(ceil(elapsed_us / {int(round(interval_s * 1e6))}D) AS BIGINT)")
+    return series.groupBy(*keys, b.alias("bucket")).agg(
+        F.count(F.lit(1)).alias("samples"),
+        F.count(v).alias("valid"),
+        F.avg(v).alias("mean"),
+        (F.var_pop(v) * F.count(v)).alias("m2"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
+        F.max("elapsed_us").alias("last_us"),
     )
 
 
+def _durations(runs: DataFrame, run_keys: Sequence[str]) -> DataFrame:
+    return runs.select(*run_keys, (F.col("duration_s") * F.lit(1e6)).cast("long").alias("_dur_us"))
+
+
 def cumulative_checkpoints(
     series: DataFrame,
     runs: DataFrame,
@@ -141,29 +172,31 @@ def cumulative_checkpoints(
 ) -> DataFrame:
     """At every checkpoint k·interval (and once at the run end when the duration is not a
     multiple) statistics over all samples with elapsed <= the checkpoint, NaN skipped. Samples
-    after the run's end belong to no checkpoint. The variance is taken around the series' mean,
-    so a large offset doesn't cancel it.
+    after the run's end belong to no checkpoint. ``runs`` gives ``duration_s`` per (run, series).
+
+    Partials per interval first; see :func:`merged_checkpoints`."""
+    return merged_checkpoints(checkpoint_partials(series, interval_s, keys, runs, run_keys, value_col), runs, interval_s, keys, run_keys)
+
 
-    Partials (n, Σ, Σ², min, max) per interval bucket first; the cumulative step is a running
-    window over the bucket table, which has one row per interval per series. ``runs`` gives
-    ``duration_s`` per (run, series)."""
+def merged_checkpoints(
+    parts: DataFrame, runs: DataFrame, interval_s: float, keys: Sequence[str] = SERIES_KEYS, run_keys: Sequence[str] = SERIES_KEYS
+) -> DataFrame:
+    """The cumulative checkpoints of W15 from partials (``PARTIALS``; any number of rows per series
+    and interval, so those of several micro-batches merge).
+
+    The variance is taken around the series' mean, so a large offset doesn't cancel it. The windows
+    run over the partials only."""
     iv = int(round(interval_s * 1e6))
-    v = valid(F.col(value_col))
-    b = F.expr(f"CAST(ceil(elapsed_us / {iv}D) AS BIGINT)")
-    dur = runs.select(*run_keys, (F.col("duration_s") * F.lit(1e6)).cast("long").alias("_dur_us"))
-    series = series.join(dur, list(run_keys)).where(F.col("elapsed_us") <= F.col("_dur_us"))
-    centre = series.groupBy(*keys).agg(F.coalesce(F.avg(F.when(F.abs(v) < float("inf"), v)), F.lit(0.0)).alias("_c"))
-    series = series.join(centre, list(keys))
-    shifted = v - F.col("_c")
-    parts = series.groupBy(*keys, b.alias("bucket"), "_c").agg(
-        F.count(F.lit(1)).alias("_cnt"),
-        F.count(v).alias("_n"),
-        F.sum(shifted).alias("_s"),
-        F.sum(shifted * shifted).alias("_s2"),
-        F.min(v).alias("_mn"),
-        F.max(v).alias("_mx"),
-        F.max("elapsed_us").alias("_last_us"),
-    )
+    dur = _durations(runs, run_keys)
+    every = Window.partitionBy(*keys)
+    finite = (F.col("valid") > 0) & (F.abs("mean") < float("inf"))
+    n = F.when(finite, F.col("valid"))
+    parts = parts.withColumn("_c", F.coalesce(F.sum(n * F.col("mean")).over(every) / F.sum(n).over(every), F.lit(0.0)))
+    off = F.col("mean") - F.col("_c")
+    parts = parts.select(
+        *keys, "bucket", "_c", F.col("samples").alias("_cnt"), F.col("valid").alias("_n"), (F.col("valid") * off).alias("_s"),
+        (F.col("m2") + F.col("valid") * off * off).alias("_s2"), F.col("min").alias("_mn"), F.col("max").alias("_mx"), F.col("last_us").alias("_last_us"),
+    )
     n_full = F.expr(f"_dur_us div {iv}")
     grid = dur.select(
         *run_keys,

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickflow.operators import health, report, stats, ticks
+from tickflow import schemas as S
 from tickflow.plans import oracle as O
 from tickflow.plans.registry import ORACLES, query, round_doubles
 from tickflow.plans.report_queries import _report
@@ -162,25 +163,50 @@ def q_series_snapshot(spark, sf):
 
 
 @query(
-    "report_tables_sink",
+    "read_samples",
+    O.with_ctes(O.EV, O.SYSTEM_VECTORS, body="SELECT run_id, seq, elapsed_us, data FROM system_vectors"),
+)
+def q_read_samples(spark, sf):
+    """Positional vectors of any length written and read back."""
+    path = sinks.scratch_path(spark, "vectors")
+    fx.system_vectors(spark, sf).select("run_id", "seq", "elapsed_us", "data").write.parquet(path)
+    return readers.read_samples(spark, path)
+
+
+@query(
+    "read_diagnostics",
     O.with_ctes(
         O.EV,
-        O.RUNS,
-        body="""SELECT run_id, topic, t.tbl AS "table", CAST(t.ord AS INTEGER) AS ord FROM runs, LATERAL (
-  SELECT 'summary' AS tbl, unnest(range(0, 4)) AS ord UNION ALL SELECT 'metrics', unnest(range(0, 17))) t""",
+        O.DIAGNOSTICS,
+        body="""SELECT run_id, ts_us, name, pos, key, value FROM kv
+UNION ALL SELECT run_id, ts_us, name, pos, key, value FROM kv WHERE name = 'System Resources'""",
     ),
 )
-def q_report_tables_sink(spark, sf):
-    """The report tables written as parquet, read back with their names."""
-    path = sinks.scratch_path(spark, "tables")
-    r = _report(spark, sf)
-    tables = {"summary": report.summary_table(r), "metrics": report.metrics_table(r)}
-    sinks.write_report_tables(tables, path, "parquet")
-    out = None
-    for name in tables:
-        t = spark.read.parquet(f"{path}/{name}").select("run_id", "topic", F.lit(name).alias("table"), F.col("ord"))
-        out = t if out is None else out.unionByName(t)
-    return out
+def q_read_diagnostics(spark, sf):
+    """The statuses of two producers read as one table; both send the system's."""
+    from tickflow.operators.diagnostics import explode_kv
+
+    diag = fx.diagnostics(spark, sf).select(*S.DIAGNOSTICS.fieldNames())
+    paths = [sinks.scratch_path(spark, "producer") for _ in range(2)]
+    diag.write.parquet(paths[0])
+    diag.where(F.col("name") == "System Resources").write.parquet(paths[1])
+    return explode_kv(readers.read_diagnostics(spark, paths)).drop("diag_seq")
+
+
+@query("checkpoints_stream", ORACLES.get("cumulative_checkpoints"))
+def q_checkpoints_stream(spark, sf):
+    """The series replayed as a file stream; partials kept per micro-batch, rolled up at the end."""
+    src, out = sinks.scratch_path(spark, "series"), sinks.scratch_path(spark, "partials")
+    series, runs = _series(spark, sf), _series_runs(spark, sf)
+    for part in range(3):  # files of samples that are not in order
+        series.where(F.col("idx") % 3 == part).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(series.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    q = (
+        stream.writeStream.foreachBatch(live.checkpoint_writer(out, CHECKPOINT_S, runs=runs))
+        .option("checkpointLocation", sinks.scratch_path(spark, "partials-ckpt")).trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return round_doubles(live.rolled_checkpoints(spark, out, runs, CHECKPOINT_S))
 
 
 @query("latest_labels_stream", ORACLES.get("latest_by_key"))

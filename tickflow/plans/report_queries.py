@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickflow.functions.scalars import format_value
@@ -13,6 +16,7 @@ from tickflow.plans.series_queries import _SLOTS_SQL, _slot_inputs
 from tickflow.schemas import PROCESS_TABLE_COLUMNS, STREAM_KV_METRICS
 from tickflow.session import per_session
 from tickflow.sources import fixtures as fx
+from tickflow.sources import sinks
 
 K = ["run_id", "topic"]
 
@@ -220,23 +224,64 @@ def q_run_info_table(spark, sf):
     return report.run_info_table(_report(spark, sf))
 
 
+# The five tables of a report, and what their columns are in one table of cells: name, text, values.
+REPORT_TABLES = {
+    "summary": ("summary_table", "metric", None, ["average", "min", "max", "std"]),
+    "run_info": ("run_info_table", "label", "value", []),
+    "metrics": ("metrics_table", "metric", "unit", ["value"]),
+    "system": ("system_table", "resource", None, ["average", "min", "max"]),
+    "targets": ("performance_targets", "metric", "band", ["value"]),
+}
+_VALUES = ["value_1", "value_2", "value_3", "value_4"]
+
+
+def _cells_sql() -> str:
+    """All cells of the five tables, from their own SQL."""
+    parts = []
+    for name, (q, label, text, values) in REPORT_TABLES.items():
+        cols = [*(f'"{v}"' for v in values), *["CAST(NULL AS DOUBLE)"] * 4][:4]
+        cells = ", ".join(f"{c} AS {v}" for c, v in zip(cols, _VALUES))
+        parts.append(f"""SELECT run_id, topic, '{name}' AS "table", CAST(ord AS INTEGER) AS ord, {label} AS name, {text or 'CAST(NULL AS VARCHAR)'} AS text, {cells} FROM ({ORACLES[q]})""")
+    return " UNION ALL ".join(parts)
+
+
+def written_report_tables(spark, sf) -> dict:
+    """The five tables written by the sink, each read back. The report they share is written
+    first, so it is computed once."""
+    path = sinks.scratch_path(spark, "tables")
+    r = _report(spark, sf, with_zones=True)
+    r.write.parquet(f"{path}/report")
+    r = spark.read.schema(r.schema).parquet(f"{path}/report")
+    made = {"summary": report.summary_table(r), "run_info": report.run_info_table(r), "metrics": report.metrics_table(r),
+            "system": report.system_table(r), "targets": report.performance_targets(r, SPEC_KPOINTS)}
+    made = {name: round_doubles(t) for name, t in made.items()}
+    return {name: spark.read.schema(made[name].schema).parquet(f"{path}/{name}") for name in sinks.write_report_tables(made, path, "parquet")}
+
+
+@query("report_tables_sink", _cells_sql())
+def q_report_tables_sink(spark, sf):
+    """Every cell of the five written tables."""
+    parts = []
+    for name, t in written_report_tables(spark, sf).items():
+        _, label, text, values = REPORT_TABLES[name]
+        cols = [*(F.col(v) for v in values), *[F.lit(None).cast("double")] * 4][:4]
+        words = F.col(text) if text else F.lit(None).cast("string")
+        parts.append(t.select(*K, F.lit(name).alias("table"), "ord", F.col(label).alias("name"), words.alias("text"), *[c.alias(v) for c, v in zip(cols, _VALUES)]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "run_metadata",
     _rsql(
-        """SELECT run_id, topic, strftime(make_timestamp(start_us + CAST(duration_seconds * 1e6 AS BIGINT)), '%Y%m%d_%H%M%S') AS timestamp,
-  duration_seconds, performance_rating, stability_rating, CAST(5 AS BIGINT) AS outputs
-FROM report JOIN runs USING (run_id, topic)"""
+        f"""SELECT run_id, topic, strftime(make_timestamp(start_us + CAST(duration_seconds * 1e6 AS BIGINT)), '%Y%m%d_%H%M%S') AS timestamp,
+  duration_seconds, performance_rating, stability_rating, outputs
+FROM report JOIN runs USING (run_id, topic) JOIN (SELECT run_id, topic, count(DISTINCT "table") AS outputs FROM ({_cells_sql()}) GROUP BY ALL) USING (run_id, topic)"""
     ),
 )
 def q_run_metadata(spark, sf):
-    r = _report(spark, sf)
-    tables = {"summary": report.summary_table(r), "run_info": report.run_info_table(r), "metrics": report.metrics_table(r),
-              "system": report.system_table(_report(spark, sf, with_zones=True)), "targets": report.performance_targets(r)}
-    outputs = None  # what the tables sink writes: (run_id, topic, table)
-    for name, t in tables.items():
-        t = t.select(*K, F.lit(name).alias("output"))
-        outputs = t if outputs is None else outputs.unionByName(t)
-    return report.run_metadata(r, outputs)
+    """A15, counting the tables that the sink has written."""
+    tables = [t.select(*K, F.lit(name).alias("output")) for name, t in written_report_tables(spark, sf).items()]
+    return report.run_metadata(_report(spark, sf), reduce(DataFrame.unionByName, tables))
 
 
 @query("report_lines")

@@ -63,16 +63,17 @@ def q_positive_only(spark, sf):
 @query(
     "series_stats",
     _sql(
-        """SELECT run_id, series, count(*) AS samples,
+        """SELECT run_id, series, idx // 10 AS part, count(*) AS samples,
   CASE WHEN bool_or(isnan(value)) THEN 'nan'::DOUBLE ELSE round(avg(value), 6) END AS avg,
   CASE WHEN bool_or(isnan(value)) THEN 'nan'::DOUBLE ELSE round(stddev_pop(value), 6) END AS std,
   CASE WHEN bool_or(isnan(value)) THEN 'nan'::DOUBLE ELSE round(min(value), 6) END AS min,
   CASE WHEN bool_or(isnan(value)) THEN 'nan'::DOUBLE ELSE round(max(value), 6) END AS max
-FROM series GROUP BY run_id, series"""
+FROM series GROUP BY run_id, series, idx // 10"""
     ),
 )
 def q_series_stats(spark, sf):
-    return round_doubles(stats.series_stats(_series(spark, sf)))
+    """A8 over stretches of ten samples: some hold a NaN, some don't."""
+    return round_doubles(stats.series_stats(_series(spark, sf).withColumn("part", F.expr("idx div 10")), [*K, "part"]))
 
 
 @query(
@@ -91,14 +92,14 @@ def q_std_band(spark, sf):
 @query(
     "truncate_to_shortest",
     _sql(
-        """SELECT a.run_id, a.idx, a.value AS view_value, b.value AS click_value
-FROM (SELECT * FROM series WHERE series = 'view') a JOIN (SELECT * FROM series WHERE series = 'click') b USING (run_id, idx)"""
+        """SELECT a.run_id, b.series AS other, a.idx, a.value AS view_value, b.value AS other_value
+FROM (SELECT * FROM series WHERE series = 'view') a JOIN (SELECT * FROM series WHERE series <> 'view') b USING (run_id, idx)"""
     ),
 )
 def q_truncate_to_shortest(spark, sf):
     s = _series(spark, sf)
     a = s.where(F.col("series") == "view").select("run_id", "idx", F.col("value").alias("view_value"))
-    b = s.where(F.col("series") == "click").select("run_id", "idx", F.col("value").alias("click_value"))
+    b = s.where(F.col("series") != "view").select("run_id", F.col("series").alias("other"), "idx", F.col("value").alias("other_value"))
     return align.truncate_to_shortest(a, b, ["run_id"])
 
 
@@ -236,11 +237,12 @@ def q_live_window(spark, sf):
 @query(
     "histogram",
     _sql(
-        f"""SELECT run_id, series, CASE WHEN hi = lo THEN 1 ELSE least(10, CAST(floor((v - lo) * 10e0 / (hi - lo)) AS BIGINT) + 1) END AS bin,
-  count(*) AS count, min(lo) AS lo, min(hi) AS hi
-FROM (SELECT run_id, series, v, min(v) OVER (PARTITION BY run_id, series) AS lo, max(v) OVER (PARTITION BY run_id, series) AS hi
-      FROM (SELECT run_id, series, {V} AS v FROM series) WHERE v IS NOT NULL)
-GROUP BY ALL"""
+        """SELECT run_id, series, bin, count(v) AS count, lo, hi
+FROM (SELECT *, unnest(range(1, 11)) AS bin FROM bounds) LEFT JOIN placed USING (run_id, series, bin, lo, hi) GROUP BY ALL""",
+        f"bounds AS (SELECT run_id, series, min({V}) AS lo, max({V}) AS hi FROM series GROUP BY ALL HAVING count({V}) > 0)",
+        f"""placed AS (SELECT run_id, series, lo, hi, {V} AS v,
+    CASE WHEN hi = lo THEN 1 ELSE least(10, CAST(floor((({V}) - lo) * 10e0 / (hi - lo)) AS BIGINT) + 1) END AS bin
+  FROM series JOIN bounds USING (run_id, series) WHERE ({V}) IS NOT NULL)""",
     ),
 )
 def q_histogram(spark, sf):

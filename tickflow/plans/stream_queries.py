@@ -309,6 +309,29 @@ def q_silent_topics(spark, sf):
     return silent_topics(fx.runs(spark, sf), fx.messages(spark, sf), period_s=1)
 
 
+SILENT_US = 1_000_000
+
+
+@query(
+    "silences",
+    _sql(
+        f"""SELECT run_id, topic, from_us, until_us FROM (
+  SELECT run_id, topic, coalesce(lag(us) OVER (PARTITION BY run_id, topic ORDER BY us), start_us) AS from_us, us AS until_us FROM (
+    SELECT run_id, topic, start_us, arrival_us AS us FROM expected JOIN messages USING (run_id, topic) WHERE arrival_us BETWEEN start_us AND end_us
+    UNION ALL SELECT run_id, topic, start_us, end_us FROM expected))
+WHERE until_us - from_us >= {SILENT_US}""",
+        """expected AS (SELECT run_id, unnest([topic, topic || '_standby']) AS topic, start_us,
+    start_us + CAST(duration_s * 1e6 AS BIGINT) AS end_us FROM runs)""",
+    ),
+)
+def q_silences(spark, sf):
+    """Stretches without a message; each topic's standby topic is expected too and never sends."""
+    from tickflow.operators.align import silences
+
+    expected = fx.runs(spark, sf).withColumn("topic", F.explode(F.array("topic", F.concat("topic", F.lit("_standby")))))
+    return silences(expected, fx.messages(spark, sf), SILENT_US)
+
+
 @query(
     "tumbling_windows",
     _sql(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,12 +28,20 @@ def read_samples(spark: SparkSession, path: str, streaming: bool = False) -> Dat
 
 def read_diagnostics(spark: SparkSession, paths: list[str], streaming: bool = False) -> DataFrame:
     """S3: diagnostic statuses of several producers fanned into one table (duplicates kept).
-    ``diag_seq`` names a status: its place in the files, or its time on a stream."""
+    ``diag_seq`` names a status: the number of its file (in the order of producers and file names)
+    and its row there, however the files are split into tasks; on a stream, its time."""
     frames = [_reader(spark, streaming).schema(S.DIAGNOSTICS).parquet(p) for p in paths]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.withColumn("diag_seq", F.col("ts_us") if streaming else F.monotonically_increasing_id())
+    if streaming:
+        return reduce(DataFrame.unionByName, frames).withColumn("diag_seq", F.col("ts_us"))
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    rows = reduce(DataFrame.unionByName, [f.select("*", F.lit(i).alias("_producer"), *place) for i, f in enumerate(frames)])
+    files = rows.select("_producer", "_file").distinct()  # a row a file
+    files = files.withColumn("_no", F.row_number().over(Window.orderBy("_producer", "_file")).cast("long") - 1)
+    seq = F.col("_no") * F.lit(1 << FILE_ROW_BITS) + F.col("_row")
+    return rows.join(files, ["_producer", "_file"]).select(*S.DIAGNOSTICS.fieldNames(), seq.alias("diag_seq"))
+
+
+FILE_ROW_BITS = 40  # of a row id; the bits above name the file
 
 
 SERIES_DOC = T.StructType(

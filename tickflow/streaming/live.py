@@ -8,8 +8,9 @@
   gauge, and ``late_messages`` counts them.
 * X4 :func:`tumbling_rates` — built-in windowed counts with a watermark (append mode).
 * X5 :func:`snapshot_writer` — ``foreachBatch`` that publishes the full current table as a new version.
-* X6 :func:`checkpoint_partials` — per-interval partials in append mode; roll up with
-  :func:`tickflow.operators.stats.cumulative_checkpoints` semantics in batch.
+* X6 :func:`checkpoint_writer` — ``foreachBatch`` that keeps mergeable partials per micro-batch;
+  :func:`rolled_checkpoints` gives the cumulative checkpoints so far. :func:`checkpoint_partials`
+  has plain sums of closed intervals.
 * X7 :func:`latest_labels` — latest slot labels, update mode.
 * X8 — watermark on ``arrival_ts``; dropped rows show up as ``numRowsDroppedByWatermark``.
 """
@@ -20,7 +21,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -102,6 +103,26 @@ def checkpoint_partials(stream: DataFrame, interval_s: int, watermark: str, keys
     )
 
 
+def checkpoint_writer(path: str, interval_s: float, keys: Sequence[str] = ("run_id", "series"), runs: DataFrame | None = None):
+    """``foreachBatch`` callback that keeps the partials of each micro-batch of a series stream in
+    a folder named by the batch. A batch that runs again after a failure replaces its folder, so no
+    sample counts twice; late samples join the interval they belong to."""
+    from tickflow.operators.stats import checkpoint_partials as partials
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        partials(batch, interval_s, keys, runs, keys).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={epoch_id}")
+
+    return write
+
+
+def rolled_checkpoints(spark: SparkSession, path: str, runs: DataFrame, interval_s: float, keys: Sequence[str] = ("run_id", "series")) -> DataFrame:
+    """The cumulative checkpoints (W15) of what :func:`checkpoint_writer` has kept so far."""
+    from tickflow.operators.stats import PARTIALS, merged_checkpoints
+
+    schema = "".join(f"`{k}` {runs.schema[k].dataType.simpleString()}, " for k in keys) + PARTIALS
+    return merged_checkpoints(spark.read.schema(schema).parquet(f"{path.rstrip('/')}/batch=*"), runs, interval_s, keys, keys)
+
+
 def latest_labels(kv_stream: DataFrame, keys: Sequence[str] = ("run_id", "slot", "field")) -> DataFrame:
     """Latest label per slot field (update / complete output mode); ties on time go to the
     later status and the later position inside it."""
