@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickflow import schemas as S
+from tickflow.sources import places as P
 
 
 def _reader(spark: SparkSession, streaming: bool):
@@ -37,13 +38,10 @@ def read_diagnostics(spark: SparkSession, paths: list[str], streaming: bool = Fa
     rows = reduce(DataFrame.unionByName, [f.select("*", F.lit(i).alias("_producer"), *place) for i, f in enumerate(frames)])
     files = rows.select("_producer", "_file").distinct()  # a row a file
     files = files.withColumn("_no", F.row_number().over(Window.orderBy("_producer", "_file")).cast("long") - 1)
-    seq = F.col("_no") * F.lit(1 << FILE_ROW_BITS) + F.col("_row")
+    seq = F.col("_no") * F.lit(1 << P.FILE_ROW_BITS) + F.col("_row")
     return rows.join(files, ["_producer", "_file"]).select(*S.DIAGNOSTICS.fieldNames(), seq.alias("diag_seq"))
 
 
-FILE_ROW_BITS = 40  # of a row id; the bits above name the file
-
-
 SERIES_DOC = T.StructType(
     [
         T.StructField("timestamps", T.ArrayType(T.DoubleType())),
@@ -226,12 +224,19 @@ LOG_JSON = T.StructType(
 
 def read_log_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """Journal export lines (one JSON object per line, the journal's own field names).
-    ``line_no`` is a line's place in the files; on a stream, its time."""
-    raw = _reader(spark, streaming).schema(LOG_JSON).json(path)
+    ``line_no`` names a line by its file (in the order of names) and its number there, from 0, however
+    the files are split into tasks; on a stream it is its time. Empty lines count but give no row; a
+    line that isn't JSON is a row of nulls."""
+    if streaming:
+        raw = spark.readStream.schema(LOG_JSON).json(path).withColumn("_line_no", F.col("__REALTIME_TIMESTAMP").cast("long"))
+    else:
+        lines = P.with_file_number(P.numbered(P.pieces(spark, path))).where(F.trim("value") != "")
+        no = F.col("_no") * F.lit(1 << P.FILE_ROW_BITS) + F.col("place")
+        raw = lines.select(F.from_json("value", LOG_JSON).alias("_l"), no.alias("_line_no")).select("_l.*", "_line_no")
     us = F.col("__REALTIME_TIMESTAMP").cast("long")
     return raw.select(
         F.col("__CURSOR").alias("cursor"),
-        (us if streaming else F.monotonically_increasing_id()).alias("line_no"),
+        F.col("_line_no").alias("line_no"),
         us.alias("ts_us"),
         F.timestamp_micros(us).alias("ts"),
         F.date_format(F.timestamp_micros(us), "yyyy-MM-dd").alias("day"),
