@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 from tickflow.operators import health, report, stats, ticks
 from tickflow import schemas as S
 from tickflow.plans import oracle as O
-from tickflow.plans.registry import ORACLES, query, round_doubles
+from tickflow.plans.registry import ORACLES, QUERIES, query, round_doubles
 from tickflow.plans.report_queries import _report
 from tickflow.plans.series_queries import CHECKPOINT_S, _series, _series_runs
+from tickflow.plans.stream_queries import SILENT_US, with_standby
+from tickflow.session import per_session
 from tickflow.sources import fixtures as fx
 from tickflow.sources import readers, sinks
-from tickflow.streaming import live
+from tickflow.sources.series_docs import read_long_series_json
+from tickflow.streaming import late, live, silence
 from tickflow.streaming import ticks as stream_ticks
 
 
@@ -46,16 +49,20 @@ LOG_CUTS_S = tuple(range(50, 401, 50))  # the log is written cut by cut, so that
 LOG_WATERMARK = "60 seconds"  # more than a cut: the files of one cut come in any order
 
 
-def _tick_stream(spark, sf):
-    """X2, X3 over the whole message log, written file by file in time order and replayed."""
+def _replayed(spark, log):
+    """The log as a stream: written cut by cut in time order."""
     src = sinks.scratch_path(spark, "tick-log")
-    log = stream_ticks.tick_log(fx.messages(spark, sf), fx.runs(spark, sf))
     at = F.unix_micros("event_ts") - F.lit(fx.BASE_US)
     cuts = [c * 1000000 for c in LOG_CUTS_S]
     for lo, hi in zip([None, *cuts], [*cuts, None]):
         part = log if lo is None else log.where(at >= lo)
         (part if hi is None else part.where(at < hi)).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(stream_ticks.LOG_SCHEMA).option("maxFilesPerTrigger", 4).parquet(src)
+    return spark.readStream.schema(stream_ticks.LOG_SCHEMA).option("maxFilesPerTrigger", 4).parquet(src)
+
+
+def _tick_stream(spark, sf):
+    """X2, X3 over the whole message log."""
+    stream = _replayed(spark, stream_ticks.tick_log(fx.messages(spark, sf), fx.runs(spark, sf)))
     out = stream_ticks.tick_metrics_stream(stream, watermark=LOG_WATERMARK)
     return _stream_until_done(spark, out, sinks.scratch_path(spark, "ticks"), sinks.scratch_path(spark, "ticks-ckpt"))
 
@@ -72,6 +79,64 @@ def q_resettable_throughput_stream(spark, sf):
     return ticks.resettable_throughput(_tick_stream(spark, sf))
 
 
+@query("silences_stream", ORACLES.get("silences"))
+def q_silences_stream(spark, sf):
+    """J7 on the replayed log: the stretches that have ended; a standby topic of each never sends."""
+    log = stream_ticks.tick_log(fx.messages(spark, sf), with_standby(fx.runs(spark, sf)))
+    out = silence.silences_stream(_replayed(spark, log), SILENT_US, LOG_WATERMARK)
+    out = _stream_until_done(spark, out, sinks.scratch_path(spark, "silences"), sinks.scratch_path(spark, "silences-ckpt"))
+    return out.where("until_us IS NOT NULL")
+
+
+CUT_US, HELD, DELAY_US = 200_000_000, 13, 10_000_000  # two halves by time; every 13th row comes after both
+_BATCHED_SQL = f"""batched AS (SELECT *, arrival_us // 1000000 * 1000000 AS window_start_us,
+    CASE WHEN seq % {HELD} = 0 THEN 2 WHEN arrival_us < {fx.BASE_US + CUT_US} THEN 0 ELSE 1 END AS batch FROM messages),
+  marked AS (SELECT b.*, (SELECT max(arrival_us) - {DELAY_US} FROM batched e WHERE e.batch < b.batch) AS watermark_us,
+    (SELECT max(seq) FROM batched e WHERE e.batch < b.batch AND e.run_id = b.run_id AND e.topic = b.topic) AS last_seq FROM batched b)"""
+
+
+@per_session
+def _late(spark, sf):
+    """The message log replayed in three micro-batches, one a run of the stream."""
+    src, out, ckpt = (sinks.scratch_path(spark, n) for n in ("late-messages", "late", "late-ckpt"))
+    msgs, held, first = fx.messages(spark, sf), F.col("seq") % HELD == 0, F.col("arrival_us") < fx.BASE_US + CUT_US
+    for part in (~held & first, ~held & ~first, held):
+        msgs.where(part).write.mode("append").parquet(src)
+        stream = readers.read_messages(spark, src, streaming=True)
+        q = stream.writeStream.foreachBatch(late.late_writer(out, 1, DELAY_US)).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return out
+
+
+@query(
+    "late_rows",
+    O.with_ctes(
+        O.EV, O.MESSAGES, _BATCHED_SQL,
+        body="""SELECT run_id, topic, seq, arrival_us, watermark_us, 'window_closed' AS reason, batch FROM marked WHERE window_start_us + 1000000 <= watermark_us
+UNION ALL SELECT run_id, topic, seq, arrival_us, watermark_us, 'out_of_order', batch FROM marked WHERE seq <= last_seq""",
+    ),
+)
+def q_late_rows(spark, sf):
+    """The side table of late rows."""
+    return late.late_rows(spark, _late(spark, sf))
+
+
+@query(
+    "late_window_counts",
+    O.with_ctes(
+        O.EV, O.MESSAGES, _BATCHED_SQL,
+        body=f"""SELECT run_id, topic, window_start_us, count(*) AS messages,
+  CAST(sum(CASE WHEN data_len > 0 THEN data_len ELSE CAST(width AS BIGINT) * height * point_step END) AS BIGINT) AS bytes,
+  CAST(sum(CAST(width AS BIGINT) * height) AS BIGINT) AS points,
+  window_start_us + 1000000 <= (SELECT max(arrival_us) - {DELAY_US} FROM messages) AS closed
+FROM marked WHERE NOT coalesce(window_start_us + 1000000 <= watermark_us, false) GROUP BY run_id, topic, window_start_us""",
+    ),
+)
+def q_late_window_counts(spark, sf):
+    """X4 of the rows in time, beside the side table."""
+    return late.window_counts(spark, _late(spark, sf), 1, DELAY_US)
+
+
 @query(
     "tumbling_rates",
     O.with_ctes(
@@ -152,6 +217,39 @@ def q_log_lines_roundtrip(spark, sf):
     return health.log_pattern_report(readers.read_log_lines(spark, path))
 
 
+DOC_SAMPLES = 5_000
+
+
+@query(
+    "read_series_json",
+    O.with_ctes(
+        O.EV, O.SERIES,
+        body=f"""SELECT series, CAST(idx // {DOC_SAMPLES} AS BIGINT) AS doc, CAST(idx % {DOC_SAMPLES} AS BIGINT) AS idx,
+  CAST(trunc(CAST(elapsed_us AS DOUBLE) / 1e6 * 1e6) AS BIGINT) AS elapsed_us, value FROM series""",
+    ),
+)
+def q_read_series_json(spark, sf):
+    """The series as JSON documents of bounded length, read back in splits."""
+    path, part = sinks.scratch_path(spark, "series-docs"), F.expr(f"idx div {DOC_SAMPLES}")
+    points = F.sort_array(F.collect_list(F.struct("idx", (F.col("elapsed_us").cast("double") / 1e6).alias("t"), "value")))
+    docs = _series(spark, sf).groupBy("series", part.alias("doc")).agg(points.alias("p"))
+    docs.select("series", "doc", F.to_json(F.struct(F.col("p.t").alias("timestamps"), F.col("p.value").alias("hz"))).alias("value")).write.partitionBy("series", "doc").text(path)
+    back = read_long_series_json(spark, path)
+    folder = "series=([^/]+)/doc=([0-9]+)/"
+    return back.select(F.regexp_extract("run_id", folder, 1).alias("series"), F.regexp_extract("run_id", folder, 2).cast("long").alias("doc"), "idx", "elapsed_us", "value")
+
+
+@query(
+    "downsample_in_order",
+    f"SELECT *, row_number() OVER (ORDER BY run_id, series, idx) - 1 AS row_no FROM ({ORACLES['minmax_downsample']}) kept",
+)
+def q_downsample_in_order(spark, sf):
+    """T4: the kept points of W14 written in order by several tasks, read back with their places."""
+    path, kept = sinks.scratch_path(spark, "kept"), QUERIES["minmax_downsample"](spark, sf)
+    sinks.write_in_order(kept, path)
+    return sinks.read_in_order(spark, path, kept.schema)
+
+
 @query("series_snapshot", O.with_ctes(O.EV, O.SERIES, body="SELECT run_id, series, idx, elapsed_us, value FROM series"))
 def q_series_snapshot(spark, sf):
     """Whole-series snapshot written twice, the newest read back."""

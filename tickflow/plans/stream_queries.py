@@ -312,6 +312,11 @@ def q_silent_topics(spark, sf):
 SILENT_US = 1_000_000
 
 
+def with_standby(runs: DataFrame) -> DataFrame:
+    """The runs' topics, and for each a standby topic that is expected too."""
+    return runs.withColumn("topic", F.explode(F.array("topic", F.concat("topic", F.lit("_standby")))))
+
+
 @query(
     "silences",
     _sql(
@@ -328,8 +333,7 @@ def q_silences(spark, sf):
     """Stretches without a message; each topic's standby topic is expected too and never sends."""
     from tickflow.operators.align import silences
 
-    expected = fx.runs(spark, sf).withColumn("topic", F.explode(F.array("topic", F.concat("topic", F.lit("_standby")))))
-    return silences(expected, fx.messages(spark, sf), SILENT_US)
+    return silences(with_standby(fx.runs(spark, sf)), fx.messages(spark, sf), SILENT_US)
 
 
 @query(

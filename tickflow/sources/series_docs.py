@@ -15,6 +15,7 @@ from tickflow.sources import places as P
 from tickflow.sources.readers import SERIES_NAMES, SERIES_ROWS
 
 SLOT_LISTS = {"top_processes_memory": "process_memory", "top_processes_cpu": "process_cpu"}
+NUMBER_TEXT = '"(NaN|[+-]?INF|[+-]?Infinity)"'  # numbers that a writer of strict JSON puts in quotes
 
 
 def _count(text: str, char: str):
@@ -32,7 +33,8 @@ def _elements(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumn("_t", F.when(inside, F.concat(F.lit('"'), "_t")).otherwise(F.col("_t")))
     key = r'^[^"]*"([^"]*)"\s*:'
     name = F.when(~inside & F.col("_t").rlike(key), F.regexp_extract("_t", key, 1))
-    rows = rows.select(*P.SPLIT, "_at", name.alias("name"), F.regexp_replace("_t", '"[^"]*("|$)', '"').alias("_t"))
+    number = F.regexp_replace("_t", NUMBER_TEXT, "$1")  # of the string lists no value is read
+    rows = rows.select(*P.SPLIT, "_at", name.alias("name"), F.regexp_replace(number, '"[^"]*("|$)', '"').alias("_t"))
     rows = rows.withColumn("_t", F.when(F.col("name").isNotNull(), F.regexp_replace("_t", r'^[^"]*"\s*:', "")).otherwise(F.col("_t")))
     return rows.select(*P.SPLIT, "_at", "name", _count("_t", "[").alias("opens"), F.regexp_replace("_t", r"[\[\]{}\s]", "").alias("val"))
 
