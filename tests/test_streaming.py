@@ -153,3 +153,109 @@ def test_checkpoints_roll_up_across_a_failed_batch(spark):
     values = [v for _, s, _, e, v in rows if s == "a" and e <= 200_000_000 and v == v]
     mean = sum(values) / len(values)
     assert abs(want["a", 10].std - (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5) < 1e-6
+
+
+def _replay(spark, base, parts, start):
+    """Each part written, then the stream run until it has read it: a micro-batch a part."""
+    src = os.path.join(base, "src")
+    for part in parts:
+        part.coalesce(2).write.mode("append").parquet(src)
+        start(src).awaitTermination()
+
+
+def test_late_rows_are_kept_and_add_up(spark):
+    """Rows in = rows counted + late rows, for X4 and X1, from files out of order and across a
+    batch that fails half way and runs again; windows and reasons equal a model row by row."""
+    from tickflow.streaming import late
+
+    rnd = __import__("random").Random(11)
+    base = tempfile.mkdtemp(prefix="tickflow-x8-")
+    out, gauges = os.path.join(base, "out"), os.path.join(base, "gauges")
+    rows = [("r", t, i, fx.BASE_US + i * 700_000 + rnd.randrange(900_000), 4, 2, 8, i % 3) for t in ("a", "b") for i in range(120)]
+    rows += [("r", "c", i, None if i == 3 else fx.BASE_US + i, 1, 1, 1, 0) for i in range(5)]
+    schema = "run_id string, topic string, seq long, arrival_us long, width long, height long, point_step long, data_len long"
+    order = sorted(rows, key=lambda r: (r[3] or fx.BASE_US) + rnd.choice([0, 0, 0, 15_000_000, 40_000_000]))
+    cuts = [order[i : i + 50] for i in range(0, len(order), 50)]
+    write, failed = late.late_writer(out, 2, 5_000_000), []
+
+    def fails_once(batch, epoch_id):
+        if epoch_id == 2 and not failed:
+            failed.append(epoch_id)
+            batch.limit(3).selectExpr("run_id", "topic", "seq", "arrival_us", "0L watermark_us", "'x' reason").write.parquet(f"{out}/late/batch=2")
+            raise RuntimeError("lost half way")
+        write(batch, epoch_id)
+
+    def side(src):
+        stream = spark.readStream.schema(schema).parquet(src)
+
+        def start():
+            return stream.writeStream.foreachBatch(fails_once).option("checkpointLocation", os.path.join(base, "c1")).trigger(availableNow=True).start()
+
+        q = start()
+        try:
+            q.awaitTermination()
+        except Exception:  # the query's own failure
+            assert failed == [2]
+            q = start()
+        return q
+
+    def folded(src):
+        stream = spark.readStream.schema(schema).parquet(src)
+        return (live.live_gauges(stream.where("arrival_us IS NOT NULL"), 8).writeStream.format("parquet").option("path", gauges)
+                .option("checkpointLocation", os.path.join(base, "c2")).trigger(availableNow=True).start())
+
+    frames = [spark.createDataFrame(c, schema) for c in cuts]
+    _replay(spark, base, frames, lambda src: (side(src).awaitTermination(), folded(src))[1])
+    want, counts, known, last = [], {}, None, {}
+    for b, cut in enumerate(cuts):
+        mark = None if known is None else known - 5_000_000
+        for _, t, seq, at, w, h, step, n in cut:
+            start = None if at is None else at // 2_000_000 * 2_000_000
+            closed = None not in (start, mark) and start + 2_000_000 <= mark
+            want += [(t, seq, "window_closed", b)] * closed + [(t, seq, "out_of_order", b)] * (seq <= last.get(t, -1))
+            if not closed:
+                counts[t, start] = counts.get((t, start), 0) + 1
+        known = max([r[3] for r in cut if r[3] is not None] + [known or 0])
+        for r in cut:
+            last[r[1]] = max(last.get(r[1], -1), r[2])
+    got = late.late_rows(spark, out)
+    assert failed == [2] and sorted((r.topic, r.seq, r.reason, r.batch) for r in got.collect()) == sorted(want)
+    windows = late.window_counts(spark, out, 2, 5_000_000).collect()
+    assert {(r.topic, r.window_start_us): r.messages for r in windows} == counts
+    assert all(r.closed == (r.window_start_us is not None and r.window_start_us + 2_000_000 <= known - 5_000_000) for r in windows)
+    by = {r.reason: r["count"] for r in got.groupBy("reason").count().collect()}
+    assert by["window_closed"] > 5 and len(rows) == sum(counts.values()) + by["window_closed"]
+    seen = got.where("reason = 'out_of_order' AND topic <> 'c'").count()
+    assert spark.read.parquet(gauges).where("topic <> 'c'").count() + seen == 240
+
+
+def test_silences_on_a_stream_equal_the_batch(spark):
+    """Closed stretches equal the batch; a topic that never sends is told while the run goes on;
+    messages in any order inside the watermark; rows after the end change nothing."""
+    from tickflow.operators.align import silences
+    from tickflow.streaming import silence
+    from tickflow.streaming import ticks as st
+
+    rnd, b = __import__("random").Random(3), fx.BASE_US
+    at = {"a": sorted(rnd.randrange(60_000_000) for _ in range(25)), "quiet": [5_000_000, 5_000_000, 9_000_000], "over": [1_000_000, 70_000_000], "edge": [0, 60_000_000]}
+    schema = "run_id string, topic string, seq long, arrival_us long, width long, height long, point_step long, data_len long"
+    msgs = spark.createDataFrame([("r", t, i, b + us, 1, 1, 1, 1) for t, v in at.items() for i, us in enumerate(v)], schema)
+    runs = spark.createDataFrame([("r", t, b, 60.0, 2.0) for t in (*at, "never")] + [("r", "brief", b, 1.5, 2.0)], "run_id string, topic string, start_us long, duration_s double, tick_rate_hz double")
+    log = st.tick_log(msgs, runs).cache()
+    base = tempfile.mkdtemp(prefix="tickflow-j7-")
+    ts = (F.unix_micros("event_ts") - F.lit(b)) / 1e6
+
+    def start(src):
+        stream = spark.readStream.schema(st.LOG_SCHEMA).parquet(src)
+        return (silence.silences_stream(stream, 4_000_000, "3 seconds").writeStream.format("parquet").option("path", os.path.join(base, "out"))
+                .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
+
+    cuts = [-1e18, 8, 20, 33, 50, 65, 1e18]
+    _replay(spark, base, [log.where((ts >= lo) & (ts < hi)).orderBy(F.rand(1)) for lo, hi in zip(cuts, cuts[1:])], start)
+    got = spark.read.parquet(os.path.join(base, "out"))
+    want = silences(runs, msgs, 4_000_000)
+    closed = got.where("until_us IS NOT NULL").select(*want.columns)
+    assert sorted(map(tuple, closed.collect())) == sorted(map(tuple, want.collect()))
+    told = {(r.topic, r.from_us - b) for r in got.where("until_us IS NULL").collect()}
+    assert ("never", 0) in told and ("quiet", 9_000_000) in told and not any(t == "brief" for t, _ in told)
+    assert told - {(r.topic, r.from_us - b) for r in want.collect()} == set()  # none is told that the batch doesn't have
