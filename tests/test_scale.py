@@ -79,3 +79,22 @@ def test_blocked_running_sum_equals_window(spark):
     w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
     exp = df.select("k", "o", "x", F.sum("x").over(w).alias("run_x"))
     _same(got.select("k", "o", "x", "run_x"), exp)
+
+
+def test_live_window_blocks_equal_the_whole(spark):
+    """Blocks of a few rows give the means of one window over the whole series, a hot series and NaNs included."""
+    rows = [("r", s, i, i * 300_000, float("nan") if i % 9 == 4 else float(i * 37 % 101)) for s, n in (("hot", 900), ("few", 3), ("one", 1)) for i in range(n)]
+    series = spark.createDataFrame(rows, "run_id string, series string, idx long, elapsed_us long, value double")
+    got = {(r.series, r.idx): r.mean_value for r in windows.live_window(series, 60, rate_hz=1, block_rows=7).collect()}
+    by = {}
+    for _, s, i, us, v in rows:
+        by.setdefault(s, []).append((us, v))
+    want = {}
+    for s, points in by.items():
+        for i, (us, _) in enumerate(points):
+            if us >= max(0, points[-1][0] - 60_000_000):
+                frame = [v for _, v in points[max(0, i - 59) : i + 1] if v == v]
+                want[s, i] = sum(frame) / len(frame)
+    assert got == want and len(got) > 200
+    wide = windows.live_window(series, 60, rate_hz=1)
+    assert {(r.series, r.idx): r.mean_value for r in wide.collect()} == want

@@ -257,23 +257,23 @@ def first_seen_zero(top: DataFrame, value_col: str = "cpu_percent", keys: Sequen
 
 
 def live_window(series: DataFrame, window_seconds: int = 60, keys: Sequence[str] = ("run_id", "series"),
-                rate_hz: int = 10) -> DataFrame:
+                rate_hz: int = 10, block_rows: int = 1 << 16) -> DataFrame:
     """Dashboard view. Mean of the last ``window_seconds·rate_hz`` points per series,
-    shown only for points with elapsed >= max(0, last elapsed − window_seconds)."""
+    shown only for points with elapsed >= max(0, last elapsed − window_seconds). ``idx`` is dense;
+    frames are evaluated in blocks of it, each with the points before it that its frames reach."""
     n = window_seconds * rate_hz
     last = series.groupBy(*keys).agg(F.max("elapsed_us").alias("_last_us"))
     lo = F.greatest(F.lit(0), F.col("_last_us") - F.lit(window_seconds * 1000000))
     # only the rows shown and the n-1 rows before them are needed for the frame
-    w = Window.partitionBy(*keys).orderBy("idx")
-    frame = w.rowsBetween(-(n - 1), 0)
+    frame = Window.partitionBy(*keys, "_blk").orderBy("idx").rowsBetween(-(n - 1), 0)
     j = series.join(last, list(keys))
     first_shown = j.where(F.col("elapsed_us") >= lo).groupBy(*keys).agg(F.min("idx").alias("_first_idx"))
     # rows that can reach a shown row's frame: a bounded tail of each series
     tail = j.join(first_shown, list(keys)).where(F.col("idx") > F.col("_first_idx") - n)
     v = F.when(~F.isnan(F.col("value").cast("double")), F.col("value"))
     # sum/count rather than avg: integral series keep an exact sum
-    out = tail.withColumn("mean_value", F.sum(v).over(frame).cast("double") / F.count(v).over(frame).cast("double"))
-    return out.where(F.col("elapsed_us") >= lo).select(*keys, "idx", "elapsed_us", "value", "mean_value")
+    out = halo_blocks(tail, "idx", block_rows=max(block_rows, n), halo=n - 1).withColumn("mean_value", F.sum(v).over(frame).cast("double") / F.count(v).over(frame).cast("double"))
+    return out.where((F.col("elapsed_us") >= lo) & ~F.col("_halo")).select(*keys, "idx", "elapsed_us", "value", "mean_value")
 
 
 def minmax_downsample(series: DataFrame, max_points: int = 8000, keys: Sequence[str] = ("run_id", "series")) -> DataFrame:
