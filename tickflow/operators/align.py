@@ -138,20 +138,23 @@ def attach_slot_labels(series: DataFrame, labels: DataFrame, keys: Sequence[str]
 
 
 def watched_process(procs: DataFrame, needle: str, keys: Sequence[str] = ("run_id", "host"), sample_col: str = "sample_seq") -> DataFrame:
-    """The first process (lowest pid) whose name contains ``needle`` per host, and its CPU
-    and memory at every sample of the host (0 where it no longer exists)."""
+    """The first process (lowest pid) whose name contains ``needle`` per host, and its CPU,
+    memory and threads at every sample of the host (0 where it no longer exists; no
+    ``process_threads`` if ``procs`` has no ``threads``)."""
     chosen = procs.where(F.col("name").contains(needle)).groupBy(*keys).agg(F.min("pid").alias("watched_pid"))
     samples = procs.select(*keys, sample_col).distinct()
     rows = procs.join(chosen, list(keys)).where(F.col("pid") == F.col("watched_pid"))
+    counted = ["threads"] if "threads" in procs.columns else []
     return (
         samples.join(chosen, list(keys))
-        .join(rows.select(*keys, sample_col, "cpu_percent", "rss_bytes"), [*keys, sample_col], "left")
+        .join(rows.select(*keys, sample_col, "cpu_percent", "rss_bytes", *counted), [*keys, sample_col], "left")
         .select(
             *keys,
             sample_col,
             "watched_pid",
             F.coalesce(F.col("cpu_percent"), F.lit(0.0)).alias("process_cpu_percent"),
             F.coalesce(F.col("rss_bytes").cast("double") / F.lit(1048576.0), F.lit(0.0)).alias("process_memory_mb"),
+            *[F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(f"process_{c}") for c in counted],
         )
     )
 

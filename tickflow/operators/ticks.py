@@ -241,3 +241,12 @@ def staleness(ticks: DataFrame) -> DataFrame:
         "tick",
         ((F.col("tick_us") - F.col("last_arrival_us")).cast("double") / F.lit(1e6)).alias("stale_s"),
     )
+
+
+def sample_staleness(ticks: DataFrame, samples: DataFrame, by: Sequence[str] = STREAM_KEYS, sample_time: str = "sample_us") -> DataFrame:
+    """F15, the host's side: seconds between each tick and the last system sample at or before it
+    (null before the first). ``samples`` carry the columns ``by`` of the ticks they are shown with."""
+    from tickflow.operators.align import align_asof
+
+    seen = align_asof(ticks.select(*by, "tick", "tick_us"), samples.select(*by, sample_time), by, "tick_us", sample_time, [sample_time])
+    return seen.select(*by, "tick", ((F.col("tick_us") - F.col("r_time")).cast("double") / F.lit(1e6)).alias("stale_s"))

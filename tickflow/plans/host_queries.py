@@ -15,9 +15,10 @@ from tickflow.functions.scalars import (
     zone_mean_temperature,
 )
 from tickflow.functions.vectors import decode_metrics_vector, decode_system_vector, encode_system_vector
-from tickflow.operators import align, diagnostics, processes, windows
+from tickflow.operators import align, diagnostics, processes, ticks, windows
 from tickflow.plans import oracle as O
 from tickflow.plans.registry import query, round_doubles
+from tickflow.plans.stream_queries import _ticks as tick_rows
 from tickflow.schemas import SYSTEM_BASE
 from tickflow.sources import fixtures as fx
 
@@ -175,6 +176,21 @@ def q_align_asof(spark, sf):
     return align.align_asof(m, s, ["run_id", "topic"], "arrival_us", "sample_us", ["sample_seq", "cpu_percent", "memory_percent"])
 
 
+@query(
+    "sample_staleness",
+    O.with_ctes(
+        *O.STREAM_CTES,
+        O.SYSTEM_SAMPLES,
+        body="""SELECT t.run_id, t.topic, t.tick, CAST(t.tick_us - s.sample_us AS DOUBLE) / 1e6 AS stale_s
+FROM ticks t ASOF LEFT JOIN system_samples s ON t.run_id = s.run_id AND t.topic = s.host AND t.tick_us >= s.sample_us""",
+    ),
+)
+def q_sample_staleness(spark, sf):
+    """F15 for the host samples: each topic's own host."""
+    s = fx.system_samples(spark, sf).withColumnRenamed("host", "topic")
+    return ticks.sample_staleness(tick_rows(spark, sf), s)
+
+
 @query(
     "positional_zip",
     O.with_ctes(
@@ -288,14 +304,16 @@ def q_truncate_text(spark, sf):
     "watched_process",
     _proc_sql(
         """SELECT s.run_id, s.host, s.sample_seq, c.watched_pid,
-  coalesce(p.cpu_percent, 0e0) AS process_cpu_percent, coalesce(CAST(p.rss_bytes AS DOUBLE) / 1048576e0, 0e0) AS process_memory_mb
+  coalesce(p.cpu_percent, 0e0) AS process_cpu_percent, coalesce(CAST(p.rss_bytes AS DOUBLE) / 1048576e0, 0e0) AS process_memory_mb,
+  CAST(coalesce(p.pid % 9 + 1, 0) AS INTEGER) AS process_threads
 FROM (SELECT DISTINCT run_id, host, sample_seq FROM process_samples) s
 JOIN (SELECT run_id, host, min(pid) AS watched_pid FROM process_samples WHERE contains(name, 'p3') GROUP BY run_id, host) c USING (run_id, host)
 LEFT JOIN process_samples p ON p.run_id = s.run_id AND p.host = s.host AND p.sample_seq = s.sample_seq AND p.pid = c.watched_pid"""
     ),
 )
 def q_watched_process(spark, sf):
-    return align.watched_process(fx.process_samples(spark, sf), "p3")
+    procs = fx.process_samples(spark, sf).withColumn("threads", F.col("pid") % 9 + 1)
+    return align.watched_process(procs, "p3")
 
 
 @query(
