@@ -244,3 +244,22 @@ def test_nothing_to_learn_from(spark):
     assert {(r.doc_id, r.lang_pred, r.score) for r in identified(docs).collect()} == {(1, "und", 0.0), (2, "und", 0.0)}
     assert [r.doc_id for r in accepted(docs, learn(docs), 0.4).collect()] == [1]
     assert identified(empty(spark)).collect() == []
+
+
+def test_warc_payloads_pass_unsorted_and_are_read_in_small_batches(spark):
+    """What an executor holds of the payloads: no sort of them, and few rows of a Parquet batch."""
+    import contextlib
+    import io
+
+    from tickflow.llm.common import lean
+    from tickflow.llm.warc import records
+
+    lean(spark)
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 256
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            records(pages(spark, warc_rows())).explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plan.getvalue() and "Sort " not in plan.getvalue()

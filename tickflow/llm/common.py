@@ -30,11 +30,15 @@ def column(df: DataFrame, name: str) -> Column:
 
 
 BATCH_ROWS = "1000"  # rows of an Arrow batch: what the JVM and a Python worker hold at once
+# Rows of a Parquet reader's batch. It keeps the texts of a batch in one array a column, which grows by
+# doubling: at the default of 4096 rows these are tens of MB each, for which the heap grows to its limit.
+READ_ROWS = "256"
 
 
 def lean(spark: SparkSession) -> SparkSession:
-    """The session settings of these operators: the library's, and small Arrow batches."""
+    """The session settings of these operators: the library's, and small Arrow and Parquet batches."""
     prepare(spark)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 

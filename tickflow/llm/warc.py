@@ -201,7 +201,8 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     rows = pages.select(column(pages, "page_id").cast("bigint").alias("page_id"), column(pages, "url").alias("url"), html.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "length": F.octet_length("payload").cast("bigint")})
     repeated = rows.where(F.col("length") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    rows = rows.join(repeated, "digest", "left")
+    # the payloads pass by a table of the repeated digests of their partition, unsorted
+    rows = rows.join(repeated.hint("shuffle_hash"), "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "length", F.when(revisit, F.col("first")).alias("refers_to"))
 
