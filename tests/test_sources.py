@@ -210,3 +210,24 @@ def test_snapshots_are_seen_whole_or_not_at_all(spark, tmp_path):
     for v in (5, 6, 7):
         assert sinks.write_snapshot(table(2, v), path) and read() == [(0, v), (1, v)]
     assert not sinks.write_series_snapshot(spark.createDataFrame([], "run_id string, value double"), str(tmp_path / "none"))
+
+
+def test_files_are_numbered_without_dealing_their_rows(spark, capsys):
+    """Rows joined with the number of their file stay where they are read, however large their file."""
+    from tickflow import schemas as S
+    from tickflow.sources import places, sinks
+
+    d = _tmp()
+    rows = [Row(run_id="r", ts_us=i, name="n", level=0, message="m", values=[]) for i in range(50)]
+    spark.createDataFrame(rows, S.DIAGNOSTICS).write.parquet(os.path.join(d, "p1"))
+    spark.createDataFrame([(str(i),) for i in range(50)], "value string").write.text(os.path.join(d, "t"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = places.with_file_number(places.pieces(spark, os.path.join(d, "t")))
+        in_order = sinks.read_in_order(spark, os.path.join(d, "p1"), S.DIAGNOSTICS)
+        for df in (readers.read_diagnostics(spark, [os.path.join(d, "p1")] * 2), numbered, in_order):
+            df.explain()
+            plan = capsys.readouterr().out
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

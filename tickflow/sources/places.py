@@ -56,6 +56,7 @@ def numbered(rows: DataFrame, name: str = "place") -> DataFrame:
 
 
 def with_file_number(rows: DataFrame, name: str = "_no") -> DataFrame:
-    """``rows`` with the number of their file in the order of names (one row a file is ranked)."""
+    """``rows`` with the number of their file in the order of names (one row a file is ranked). The
+    table of files goes to the rows, which stay where they are."""
     files = rows.select("_file").distinct()
-    return rows.join(files.withColumn(name, F.row_number().over(Window.orderBy("_file")).cast("long") - 1), "_file")
+    return rows.join(F.broadcast(files.withColumn(name, F.row_number().over(Window.orderBy("_file")).cast("long") - 1)), "_file")

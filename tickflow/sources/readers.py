@@ -39,7 +39,8 @@ def read_diagnostics(spark: SparkSession, paths: list[str], streaming: bool = Fa
     files = rows.select("_producer", "_file").distinct()  # a row a file
     files = files.withColumn("_no", F.row_number().over(Window.orderBy("_producer", "_file")).cast("long") - 1)
     seq = F.col("_no") * F.lit(1 << P.FILE_ROW_BITS) + F.col("_row")
-    return rows.join(files, ["_producer", "_file"]).select(*S.DIAGNOSTICS.fieldNames(), seq.alias("diag_seq"))
+    # the table of files goes to the rows: dealt by file, a large file's rows would meet in one task
+    return rows.join(F.broadcast(files), ["_producer", "_file"]).select(*S.DIAGNOSTICS.fieldNames(), seq.alias("diag_seq"))
 
 
 SERIES_DOC = T.StructType(
