@@ -123,3 +123,13 @@ def test_points_written_in_order_by_several_tasks(spark):
             assert [r.row_no for r in back] == list(range(9000)) and [(r.run_id, r.series, r.idx) for r in back] == one_by_one
     sinks.write_in_order(points.limit(0), out)
     assert sinks.read_in_order(spark, out, points.schema).count() == 0
+
+
+def test_run_metadata_reads_the_written_report(spark):
+    """The report is made once: what the query returns comes from the sink's files, not from the tables."""
+    from tickflow.plans import report_queries
+
+    from conftest import SF_SMALL
+
+    out = report_queries.q_run_metadata(spark, SF_SMALL)
+    assert out.count() > 0 and not any("events" in f for f in out.inputFiles())
