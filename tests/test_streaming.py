@@ -259,3 +259,38 @@ def test_silences_on_a_stream_equal_the_batch(spark):
     told = {(r.topic, r.from_us - b) for r in got.where("until_us IS NULL").collect()}
     assert ("never", 0) in told and ("quiet", 9_000_000) in told and not any(t == "brief" for t, _ in told)
     assert told - {(r.topic, r.from_us - b) for r in want.collect()} == set()  # none is told that the batch doesn't have
+
+
+def test_a_gauge_fold_returns_pieces(spark):
+    """A micro-batch larger than a piece: frames of at most that many rows, the same values as all at once."""
+    import numpy as np
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    seq = np.random.default_rng(7).permutation(500)
+    new = pd.DataFrame({"seq": seq, "arrival_us": seq * 1000 + seq % 7, "size": seq % 11, "points": seq % 5})
+    cuts, whole = State(), State()
+    frames = list(live._fold(("r", "t"), ("run_id", "topic"), iter([new[:200], new[200:]]), cuts, 8, 64))
+    assert [len(f) for f in frames] == [64] * 7 + [52]
+    once = list(live._fold(("r", "t"), ("run_id", "topic"), iter([new]), whole, 8, 1000))
+    pd.testing.assert_frame_equal(pd.concat(frames, ignore_index=True), once[0])
+    assert cuts.get == whole.get
+
+
+def test_live_gauges_replayed_in_cuts(spark, monkeypatch):
+    """The query's replay in several runs of the stream gives the rows of one, none of them late."""
+    from tickflow.plans import io_queries
+
+    whole = io_queries.q_live_gauges(spark, SF_SMALL)
+    monkeypatch.setattr(io_queries, "LIVE_ROWS", 300)
+    parts = io_queries._in_cuts(spark, fx.messages(spark, SF_SMALL), 300)
+    sizes = [p.count() for p in parts]
+    assert len(sizes) > 2 and max(sizes) < 600 and sum(sizes) == whole.count()
+    monkeypatch.setattr(io_queries, "LIVE_ROWS", -(-whole.count() // 3))
+    cut = io_queries.q_live_gauges(spark, SF_SMALL)
+    assert cut.count() == whole.count() and cut.exceptAll(whole).count() == 0

@@ -3,9 +3,9 @@
 
 * X1 :func:`live_gauges` — last-N-row gauges per topic. Row frames are refused on streams,
   so the collector state (last N+1 arrivals, sizes, points and the running totals) is kept per
-  (run, topic) with ``applyInPandasWithState``; each micro-batch is folded in seq order, all
-  rows at once in 64-bit integers. Rows at or before the last seen seq are late: they join no
-  gauge, and ``late_messages`` counts them.
+  (run, topic) with ``applyInPandasWithState``; each micro-batch is folded in seq order, pieces of
+  FOLD_ROWS rows at once in 64-bit integers, of which a task holds four a row. Rows at or before the
+  last seen seq are late: they join no gauge, and ``late_messages`` counts them.
 * X4 :func:`tumbling_rates` — built-in windowed counts with a watermark (append mode).
 * X5 :func:`snapshot_writer` — ``foreachBatch`` that publishes the full current table as a new version.
 * X6 :func:`checkpoint_writer` — ``foreachBatch`` that keeps mergeable partials per micro-batch;
@@ -37,24 +37,40 @@ GAUGE_COLS = (
 STATE_SCHEMA = "late long, last_seq long, total long, total_bytes long, total_points long, tail_t array<long>, tail_s array<long>, tail_p array<long>"
 
 
-def _fold(key, keys: Sequence[str], pdfs: Iterator[pd.DataFrame], state: GroupState, n: int) -> Iterator[pd.DataFrame]:
-    new = pd.concat(list(pdfs), ignore_index=True).sort_values("seq")
+FOLDED = ("seq", "arrival_us", "size", "points")
+FOLD_ROWS = 1 << 17  # rows whose gauges are computed and returned at once
+
+
+def _fold(key, keys: Sequence[str], pdfs: Iterator[pd.DataFrame], state: GroupState, n: int, fold_rows: int = FOLD_ROWS) -> Iterator[pd.DataFrame]:
     late, last_seq, total, tb, tp, *tails = state.get if state.exists else (0, -(2**62), 0, 0, 0, [], [], [])
-    late += int((new["seq"] <= last_seq).sum())
-    new = new[new["seq"] > last_seq]
-    if new.empty:
-        state.update((late, last_seq, total, tb, tp, *map(list, tails)))
-        return
-    k, old = len(new), len(tails[0])
-    t, s, p = (np.concatenate([np.array(tail, np.int64), new[c].to_numpy(np.int64)]) for tail, c in zip(tails, ("arrival_us", "size", "points")))
-    idx = total + np.arange(k)
-    g = gauges_at(old + np.arange(k), idx, t, s, p, n)
-    nbytes, points = tb + np.cumsum(s[old:]), tp + np.cumsum(p[old:])
-    cols = dict(zip(keys, key)) | {"seq": new["seq"].to_numpy(np.int64), "idx": idx} | g
-    cols |= {"total_messages": idx + 1, "total_mb": nbytes / 1e6, "total_points_millions": points / 1e6, "late_messages": late}
-    tails = [x[-(n + 1) :].tolist() for x in (t, s, p)]
-    state.update((late, int(new["seq"].iloc[-1]), total + k, int(nbytes[-1]), int(points[-1]), *tails))
-    yield pd.DataFrame(cols)[[*keys, *[c.split()[0] for c in GAUGE_COLS.split(", ")]]]
+    parts: list[list[np.ndarray]] = [[] for _ in FOLDED]
+    for pdf in pdfs:
+        late += int((pdf["seq"] <= last_seq).sum())
+        new = pdf[pdf["seq"] > last_seq]
+        for part, c in zip(parts, FOLDED):
+            part.append(new[c].to_numpy(np.int64))
+    seq = np.concatenate(parts[0])
+    order = np.argsort(seq, kind="stable")
+    rows = [seq[order]]
+    del seq
+    for part in parts[1:]:  # one column after the other, so that only one is held twice
+        rows.append(np.concatenate(part)[order])
+        part.clear()
+    parts.clear()
+    out_cols = [*keys, *[c.split()[0] for c in GAUGE_COLS.split(", ")]]
+    for lo in range(0, len(order), fold_rows):
+        seq, *new = (x[lo : lo + fold_rows] for x in rows)
+        k, old = len(seq), len(tails[0])
+        t, s, p = (np.concatenate([np.array(tail, np.int64), x]) for tail, x in zip(tails, new))
+        idx = total + np.arange(k)
+        g = gauges_at(old + np.arange(k), idx, t, s, p, n)
+        nbytes, points = tb + np.cumsum(s[old:]), tp + np.cumsum(p[old:])
+        cols = dict(zip(keys, key)) | {"seq": seq, "idx": idx} | g
+        cols |= {"total_messages": idx + 1, "total_mb": nbytes / 1e6, "total_points_millions": points / 1e6, "late_messages": late}
+        tails = [x[-(n + 1) :] for x in (t, s, p)]
+        last_seq, total, tb, tp = int(seq[-1]), total + k, int(nbytes[-1]), int(points[-1])
+        yield pd.DataFrame(cols)[out_cols]
+    state.update((late, last_seq, total, tb, tp, *[[int(x) for x in tail] for tail in tails]))
 
 
 def live_gauges(stream: DataFrame, n: int = WINDOW_SIZE, keys: Sequence[str] = ("run_id", "topic")) -> DataFrame:
