@@ -294,3 +294,82 @@ def test_live_gauges_replayed_in_cuts(spark, monkeypatch):
     monkeypatch.setattr(io_queries, "LIVE_ROWS", -(-whole.count() // 3))
     cut = io_queries.q_live_gauges(spark, SF_SMALL)
     assert cut.count() == whole.count() and cut.exceptAll(whole).count() == 0
+
+
+def test_due_ticks_read_only_their_messages(spark):
+    """A timer takes the packs of due ticks alone out of the state; messages of an earlier number than one
+    of a later tick, duplicates and small pieces change no row."""
+    import numpy as np
+    import pandas as pd
+
+    from tickflow.streaming import ticks as st
+
+    class Held(dict):
+        taken = 0
+
+        def exists(self):
+            return bool(self)
+
+        def get(self):
+            return dict.get(self, "v")
+
+        def update(self, v):
+            self["v"] = v
+
+        def updateValue(self, k, v):
+            assert k not in self
+            self[k] = v
+
+        def getValue(self, k):
+            self.taken += k[2]
+            return self[k]
+
+        def removeKey(self, k):
+            del self[k]
+
+        def keys(self):
+            return list(dict.keys(self))
+
+    class Handle:
+        def __init__(self):
+            self.states = {}
+
+        def getValueState(self, name, *schemas):
+            return self.states.setdefault(name, Held())
+
+        getMapState = getValueState
+
+        def registerTimer(self, at):
+            pass
+
+    class Timer:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    rnd = np.random.default_rng(2)
+    seq = np.arange(1000)
+    at = fx.BASE_US + seq * 20_000 + np.where(seq % 13 == 0, 1_700_000, 0)  # some come with a later time than their number
+    log = pd.DataFrame({"kind": st.MESSAGE, "seq": seq, "arrival_us": at, "size": seq % 9, "points": seq % 4, "start_us": fx.BASE_US, "duration_s": 30.0, "tick_rate_hz": 2.0})
+    log = pd.concat([log, log[::50]]).iloc[rnd.permutation(1020)]
+    results, taken = [], []
+    for held_rows in (16, 1 << 19):
+        p = st.TickProcessor(8, 5.0, held_rows)
+        p.init(Handle())
+        list(p.handleInputRows(("r", "t"), iter([log[:400], log[400:]]), None))
+        out = []
+        for s in (4, 9, 31):
+            before = p.pending.taken
+            out += list(p.handleExpiredTimer(("r", "t"), Timer(fx.BASE_US // 1000 + s * 1000), None))
+            taken.append(p.pending.taken - before)
+        results.append(pd.concat(out, ignore_index=True))
+    pd.testing.assert_frame_equal(*results)
+    assert max(taken[0], taken[3]) < 300 and len(results[0]) == 57 and results[0]["total_messages"].iloc[-1] == 1000
+    # one timer for everything gives the same ticks
+    p = st.TickProcessor(8, 5.0)
+    p.init(Handle())
+    list(p.handleInputRows(("r", "t"), iter([log]), None))
+    once = pd.concat(list(p.handleExpiredTimer(("r", "t"), Timer(fx.BASE_US // 1000 + 31_000), None)), ignore_index=True)
+    pd.testing.assert_frame_equal(once, results[0])
